@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, lang_id, packing
+from . import byte_bpe, chat_format, embed_dedup, exact_dedup, lang_id, ngram_join, packing, suffix_dedup
 from .common import held_out, training_half
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = lang_id.learn(docs.where(training_half()))
@@ -33,6 +37,10 @@ def op5_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.preferences(pairs).select("pair_id", "n_common", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -41,13 +49,36 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents")).drop("class")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_id, op4_byte_bpe, op5_chat_preferences, op8_best_fit_packing, op9_exact_dedup)
+    f.__name__: f for f in (op2_embedding_near_dedup, op3_language_id, op4_byte_bpe, op5_chat_preferences, op6_suffix_array_dedup, op8_best_fit_packing, op9_exact_dedup, op10_ngram_join)
 }
 
 _TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_near_dedup": """
+with recursive x as (
+  select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) as v from embeddings
+), v as (
+  select vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from x
+  where label is not null and v is not null and len(v) > 0 and len(list_filter(v, lambda c: c is null or not isfinite(c))) = 0
+), e as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+  where a.norm > 0 and b.norm > 0 and list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), r(id, root) as (
+  select vec_id, vec_id from embeddings
+  union
+  select e.b, r.root from r join e on e.a = r.id
+), c as (
+  select id, min(root) as root from r group by id
+)
+select x.vec_id, (select count(*) from e where e.a = x.vec_id) as n_links, c.root as component_id, c.root = x.vec_id as kept
+from x join c on c.id = x.vec_id
+""",
     "op5_chat_preferences": f"""
 with t as (
   select conv_id // 2 as pair_id, conv_id % 2 as odd, coalesce(role, '') as role, coalesce(text, '') as text,
@@ -75,6 +106,34 @@ select p.pair_id, cast(max(n_common) as integer) as n_common,
   coalesce(string_agg(cast(s as varchar) || '-' || cast(e as varchar), ',' order by k) filter (where odd = 0 and not shared and role = 'assistant'), '') as chosen_mask,
   coalesce(string_agg(cast(s as varchar) || '-' || cast(e as varchar), ',' order by k) filter (where odd = 1 and not shared and role = 'assistant'), '') as rejected_mask
 from p join v on v.pair_id = p.pair_id group by p.pair_id
+""",
+    "op10_ngram_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents
+), s as (
+  select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) as items
+  from w
+), n as (
+  select doc_id, len(items) as n_shingles from s
+), u as (
+  select doc_id, unnest(list_transform(items, lambda x: hash(x))) as item from s
+), f as (
+  select item from u group by item having count(*) > 1
+), v as (
+  select u.* from u semi join f on u.item = f.item
+), c as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from v a join v b on a.item = b.item and a.doc_id <> b.doc_id group by 1, 2
+), e as (
+  select c.a, c.b from c join n x on x.doc_id = c.a join n y on y.doc_id = c.b
+  where 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)
+), r(id, root) as (
+  select doc_id, doc_id from documents
+  union
+  select e.b, r.root from r join e on e.a = r.id
+)
+select n.doc_id, n.n_shingles, min(r.root) as component_id from n join r on r.id = n.doc_id group by 1, 2
 """,
     "op9_exact_dedup": r"""
 with n as (
