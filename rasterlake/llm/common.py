@@ -118,3 +118,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled training documents (text, label), the same for the same tables.
+
+    The ids are the ``rows`` smallest hashes of the training half, so the sample is bounded
+    whatever the tables hold; joining it broadcasts at most ``rows`` ids. Written once.
+    """
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & training_half()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Forest, columns_of, components, cut, in_slices, mix
 
-_SET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("items", pa.binary()), ("routes", pa.list_(pa.int64()))])
+_SET = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("items", pa.binary()), ("routes", pa.list_(pa.int64()))])
 _LINK = pa.schema([("a", pa.string()), ("b", pa.string())])
 _REMEMBERED = 400_000
 
@@ -87,12 +87,12 @@ def _sets(k: int, bands: int, rows: int):
 
         def made():
             for batch in batches:
-                for doc, text in zip(*columns_of(batch), strict=True):
+                for doc, text, mark in zip(*columns_of(batch), strict=True):
                     items = shingles(text or b"", k, words)
                     body = items.tobytes()
-                    yield doc, items.size, xxhash.xxh3_128_hexdigest(body), body, (_routes(items, seeds, rows) if items.size else [])
+                    yield doc, mark, items.size, xxhash.xxh3_128_hexdigest(body), body, (_routes(items, seeds, rows) if items.size else [])
 
-        yield from in_slices(made(), _SET, weigh=lambda row: len(row[3]))
+        yield from in_slices(made(), _SET, weigh=lambda row: len(row[4]))
 
     return run
 
@@ -168,11 +168,11 @@ def _pass(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(df: DataFrame, k: int = 4, percent: int = 85, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, and class (a digest, equal for linked rows)."""
+    """One row per input row: doc_id, n_shingles, component_id, class (a digest, equal for linked rows) and mark (a hash of the text)."""
     bands, rows = route_plan(percent / 100)
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    made = docs.mapInArrow(_sets(k, bands, rows), "id long, n long, digest string, items binary, routes array<long>")
-    ids = cut(made.select("id", "n", "digest", F.when(F.col("n") > 0, F.col("routes")).alias("routes")))
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("mark"))
+    made = docs.mapInArrow(_sets(k, bands, rows), "id long, mark long, n long, digest string, items binary, routes array<long>")
+    ids = cut(made.select("id", "mark", "n", "digest", F.when(F.col("n") > 0, F.col("routes")).alias("routes")))
     # a route of a set that many rows share is one row after the partial aggregation
     keys = ids.select("digest", F.explode("routes").alias("route"))
     led = keys.groupBy("route").agg(F.min("digest").alias("leader"), F.max("digest").alias("last"), F.approx_count_distinct("digest", 0.1).alias("m")).where("leader <> last")
@@ -205,9 +205,23 @@ def classes(df: DataFrame, k: int = 4, percent: int = 85, block: int = 256, doc_
     smallest = least.groupBy("class").agg(F.min("least").alias("smallest"))
     found = least.join(smallest, "class").select("digest", "class", "smallest")
     empty = F.col("n") == 0
-    return ids.select("id", "n", "digest").join(found, "digest", "left").select(
+    return ids.select("id", "mark", "n", "digest").join(found, "digest", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(empty, F.col("id")).otherwise(F.coalesce("smallest", "id")).alias("component_id"),
         F.when(~empty, F.coalesce("class", "digest")).alias("class"),
+        "mark",
     )
+
+
+def keep_one(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they were, with one row of each class: the smallest id, ids before null.
+
+    Texts without words are in no class and stay. Rows repeated with one id and text are
+    one row to this choice: remove them first.
+    """
+    found = classes(df, k, percent, doc_id=doc_id, text=text)
+    first = found.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))).alias("f"))
+    kept = first.select("f._id", "f._mark").unionByName(found.where(F.col("class").isNull()).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))).distinct()
+    rows = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_a"), F.xxhash64(text).alias("_b"))
+    return rows.join(kept, F.col("_a").eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_mark")), "left_semi").select("_row.*")

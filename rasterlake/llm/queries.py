@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, embed_dedup, exact_dedup, lang_id, ngram_join, packing, suffix_dedup
+from . import byte_bpe, chat_format, embed_dedup, exact_dedup, lang_id, ngram_join, packing, quality, suffix_dedup, toxicity
 from .common import held_out, training_half
 
 
@@ -16,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scored(found: DataFrame, most: float, *more: str) -> DataFrame:
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= most).cast("int").alias("predicted"), *more)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _scored(toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels"))), 0.7, "spans")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_dedup(_table(spark, sf_dir, "embeddings"))
 
@@ -50,11 +64,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.classes(_table(spark, sf_dir, "documents")).drop("class")
+    return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_embedding_near_dedup, op3_language_id, op4_byte_bpe, op5_chat_preferences, op6_suffix_array_dedup, op8_best_fit_packing, op9_exact_dedup, op10_ngram_join)
+    f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_language_id, op4_byte_bpe, op5_chat_preferences, op6_suffix_array_dedup, op7_toxicity, op8_best_fit_packing, op9_exact_dedup, op10_ngram_join)
 }
 
 _TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"

@@ -345,3 +345,43 @@ def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: i
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_spans(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", length, **options)
     return rows.select("doc_id", "body", "copies", "spans").mapInArrow(_digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _whole_characters(body: bytes, start: int, stop: int) -> tuple[int, int]:
+    """The largest run inside that cuts no UTF-8 character."""
+    while start < stop and body[start] & 0xC0 == 0x80:
+        start += 1
+    while stop > start and stop < len(body) and body[stop] & 0xC0 == 0x80:
+        stop -= 1
+    return start, stop
+
+
+def _strip(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for body, copies, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                kept, at = [], 0
+                for start, stop in joined(spans, len(body), (copies or 0) > 1, length):
+                    start, stop = _whole_characters(body, start, stop)
+                    kept.append(body[at:start])
+                    at = stop
+                texts.append((b"".join(kept) + body[at:]).decode("utf-8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "rest"])
+
+    return run
+
+
+def strip(df: DataFrame, text: str = "text", length: int = 400, **options) -> DataFrame:
+    """The rows of ``df`` with the removed bytes gone from ``text``, whole characters only.
+
+    A column n_chars gets the new length. Rows of which nothing but white space is left,
+    though there was more, go; null texts stay null.
+    """
+    packed = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("row"), F.col(text).alias("_text"))
+    rows = with_spans(packed, "_text", length, **options).select("row", "body", "copies", "spans")
+    out = rows.mapInArrow(_strip(length), f"row {packed.schema['row'].dataType.simpleString()}, rest string")
+    was = F.col(f"row.`{text}`")
+    out = out.where(was.isNull() | (F.trim(F.col("rest")) != "") | (F.trim(was) == ""))
+    value = {text: F.when(was.isNotNull(), F.col("rest")), "n_chars": F.when(was.isNotNull(), F.length("rest").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in df.columns else None}
+    return out.select(*[(value[name] if name in value else F.col(f"row.`{name}`")).alias(name) for name in df.columns])
