@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_TABLES: list[str] = []
+
+
+def table(df: DataFrame) -> DataFrame:
+    """As :func:`cut` for large tables: compressed Parquet files in the shared checkpoint folder."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables written so far; for callers whose results are written already."""
+    while _TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def columns_of(batch: pa.RecordBatch) -> list[list]:
     """The columns of a batch as Python lists."""
     return [column.to_pylist() for column in batch.columns]

@@ -8,8 +8,8 @@ only if its sizes allow the threshold (the size band), then only if the common b
 two hashed bitmaps allow it (from the bit counts, overlap <= |x| - |bits only in x|),
 then decided by exact intersection of the sorted sets.
 
-Whatever the size of a group, no task holds it: documents with equal sets are one
-representative; a route's members are dealt into blocks of ``block`` documents which
+Whatever the size of a group, no task holds it: documents with equal sets (by a 64-bit hash
+of the set) are one representative; a route's members are dealt into blocks of ``block`` documents which
 all hold the route's leader (its smallest id). After this first pass, routes whose
 members are not yet one component get a second pass: members outside the route's
 largest-sized component go to every block, so that every pair of a route is either in
@@ -25,6 +25,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, columns_of, components, cut, in_slices, mix
+from .common import Forest, columns_of, components, cut, in_slices, mix, table
 
-_SET = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("items", pa.binary()), ("routes", pa.list_(pa.int64()))])
-_LINK = pa.schema([("a", pa.string()), ("b", pa.string())])
+_SET = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("routes", pa.list_(pa.int64()))])
+_ITEMS = pa.schema([("digest", pa.int64()), ("items", pa.binary())])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _REMEMBERED = 400_000
 
 
@@ -80,6 +82,33 @@ def _routes(items: np.ndarray, seeds: np.ndarray, rows: int) -> list[int]:
     return key.astype(np.int64).tolist()
 
 
+def _name(items: np.ndarray) -> int:
+    """A set's name, 64 bits of a hash of it."""
+    return xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)
+
+
+def _items(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+
+        def made():
+            for batch in batches:
+                for packed in batch.column(0).to_pylist():
+                    items = shingles(zlib.decompress(packed), k, words)
+                    yield _name(items), items.tobytes()
+
+        yield from in_slices(made(), _ITEMS, weigh=lambda row: len(row[1]))
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, text) with the text compressed, as it is to be exchanged."""
+    for batch in batches:
+        packed = [zlib.compress(text, 1) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["mark", "packed"])
+
+
 def _sets(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(bands * rows, dtype=np.uint64), 3)
@@ -89,10 +118,9 @@ def _sets(k: int, bands: int, rows: int):
             for batch in batches:
                 for doc, text, mark in zip(*columns_of(batch), strict=True):
                     items = shingles(text or b"", k, words)
-                    body = items.tobytes()
-                    yield doc, mark, items.size, xxhash.xxh3_128_hexdigest(body), body, (_routes(items, seeds, rows) if items.size else [])
+                    yield doc, mark, items.size, _name(items), (_routes(items, seeds, rows) if items.size else None)
 
-        yield from in_slices(made(), _SET, weigh=lambda row: len(row[4]))
+        yield from in_slices(made(), _SET)
 
     return run
 
@@ -110,7 +138,7 @@ class _Tile:
     def __init__(self, percent: int, bits: int = 2048) -> None:
         self.percent, self.bits = percent, bits
 
-    def links(self, members: list[tuple[str, str, bytes]]) -> Iterator[tuple[str, str]]:
+    def links(self, members: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
         """``members``: (digest, component so far, set)."""
         rows = sorted(((np.frombuffer(body, np.uint64), digest, comp) for digest, comp, body in {m[0]: m for m in members}.values()), key=lambda r: (len(r[0]), r[1]))
         size = np.array([len(r[0]) for r in rows], np.int64)
@@ -164,23 +192,25 @@ def _pass(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the tiles (route, block) with members ``digest`` of component ``comp``."""
     rows = placed.join(sets, "digest").select("route", "block", "digest", "comp", "items")
     rows = rows.repartition("route", "block").sortWithinPartitions("route", "block")
-    return rows.mapInArrow(_tiles(percent), "a string, b string")
+    return rows.mapInArrow(_tiles(percent), "a long, b long")
 
 
 def classes(df: DataFrame, k: int = 4, percent: int = 85, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class (a digest, equal for linked rows) and mark (a hash of the text)."""
     bands, rows = route_plan(percent / 100)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("mark"))
-    made = docs.mapInArrow(_sets(k, bands, rows), "id long, mark long, n long, digest string, items binary, routes array<long>")
-    ids = cut(made.select("id", "mark", "n", "digest", F.when(F.col("n") > 0, F.col("routes")).alias("routes")))
-    # a route of a set that many rows share is one row after the partial aggregation
-    keys = ids.select("digest", F.explode("routes").alias("route"))
-    led = keys.groupBy("route").agg(F.min("digest").alias("leader"), F.max("digest").alias("last"), F.approx_count_distinct("digest", 0.1).alias("m")).where("leader <> last")
-    kept = cut(keys.join(led, "route").select("route", "digest", "leader", "m").distinct())
+    ids = table(docs.mapInArrow(_sets(k, bands, rows), "id long, mark long, n long, digest long, routes array<long>"))
+    # a set that many rows share has one row a route
+    keys = ids.where("n > 0").groupBy("digest").agg(F.first("routes").alias("routes")).select("digest", F.explode("routes").alias("route"))
+    led = keys.groupBy("route").agg(F.min("digest").alias("leader"), F.max("digest").alias("last"), F.count("*").alias("m")).where("leader <> last")
+    kept = table(keys.join(led, "route").select("route", "digest", "leader", "m"))
     # of the routes with the same leader, each document needs its tile once
     members = kept.groupBy("leader", "digest").agg(F.max("m").alias("m"))
     needed = kept.select("digest").distinct()
-    sets = cut(made.where("n > 0").select("digest", "items").join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("items").alias("items")))
+    # their texts, one a set: only compressed texts are exchanged
+    marks = ids.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min("mark").alias("mark")).select("mark").distinct()
+    texts = docs.where("text is not null").select("mark", "text").mapInArrow(_packed, "mark long, packed binary").join(marks, "mark", "left_semi")
+    sets = table(texts.select("packed").mapInArrow(_items(k), "digest long, items binary").groupBy("digest").agg(F.first("items").alias("items")))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
     first = members.where("digest <> leader").select(F.xxhash64("leader").alias("route"), F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"), "digest", "leader")
     tops = first.select("route", "block", F.col("leader").alias("digest")).distinct()
