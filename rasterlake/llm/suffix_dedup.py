@@ -20,7 +20,7 @@ A key with more than ``hot`` different edges is not given to one suffix array: i
 are dealt by single windows, which need no array, as a group of equal windows is a
 repeat. Occurrences become spans of bytes; spans of a text are merged.
 
-Texts are named by their SHA-256, so copies of a text are one text with a flag: a text
+Texts are named by 128 bits of their SHA-256, so copies of a text are one text with a flag: a text
 that several rows have is removed whole if it has ``length`` bytes.
 
 Defined results: a null text is an empty text; texts shorter than ``length`` keep all
@@ -32,6 +32,7 @@ long texts are handled whole.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, in_slices, mix
+from .common import columns_of, cut, in_slices, mix, table
 
-_ANCHOR = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("at", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+_ANCHOR = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("place", pa.int64())])
 _ROW = pa.schema([("key", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("sha", pa.binary()), ("at", pa.int32()), ("many", pa.bool_())])
 _SPAN = pa.schema([("sha", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
 #: Rows that a task holds before it sends them.
@@ -110,7 +111,8 @@ def _anchors(length: int, gram: int):
                 names += [sha] * found[0].size
             if names:
                 h, at, first, last = (np.concatenate(part) for part in parts)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names, pa.binary()), *(pa.array(x.astype(np.int32)) for x in (at, first, last))], schema=_ANCHOR)
+                place = (at << 32) | ((at - first) << 16) | (at - last)  # both below length, which is below 2 ** 16
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names, pa.binary()), pa.array(place)], schema=_ANCHOR)
 
     return run
 
@@ -123,15 +125,17 @@ def _rows(length: int, step: int):
             found: dict[tuple, list] = {}
             spans: list[tuple] = []
             seen = set()
-            for sha, body, places in zip(*columns_of(batch), strict=True):
+            for sha, packed, places in zip(*columns_of(batch), strict=True):
                 if sha in seen:
                     continue
                 seen.add(sha)
+                body = zlib.decompress(packed)
                 if len(found) > _HELD:
                     yield from in_slices(((*row, name, at, many) for row, (name, at, many) in found.items()), _ROW)
                     found.clear()
                 for place in places:
-                    at, first, last = place["at"], place["first"], place["last"]
+                    at = place >> 32
+                    first, last = at - (place >> 16 & 0xFFFF), at - (place & 0xFFFF)
                     for block in range((at - last) // step, (at - first) // step + 1):
                         low, high = max(at - last, block * step), min(at - first, block * step + step - 1)
                         core0, core1 = at - block * step, at + length - block * step - step + 1
@@ -151,6 +155,13 @@ def _rows(length: int, step: int):
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column compressed, as it is to be exchanged; the others as they are."""
+    for batch in batches:
+        packed = pa.array([zlib.compress(body, 1) for body in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=[*batch.schema.names[:-1], "packed"])
+
+
 def _merge_spans(spans: list[tuple]) -> list[tuple]:
     out: list[list] = []
     for name, start, stop in sorted(spans):
@@ -279,11 +290,11 @@ def _arrays(length: int, step: int, symbols: int = 1 << 20):
 
 def spans_of(docs: DataFrame, length: int = 400, gram: int = 64, step: int = 32, hot: int = 256) -> DataFrame:
     """Repeated spans (sha, spans) of ``docs`` (sha, body); one row a text that has any."""
-    found = docs.mapInArrow(_anchors(length, gram), "h long, sha binary, at int, first int, last int")
-    found = cut(found)
-    twice = found.groupBy("h").agg(F.min("sha").alias("s0"), F.max("sha").alias("s1"), F.count("*").alias("c")).where("c > 1").select("h")
-    places = found.join(twice, "h").groupBy("sha").agg(F.collect_set(F.struct("at", "first", "last")).alias("places"))
-    rows = cut(docs.join(places, "sha").select("sha", "body", "places").mapInArrow(_rows(length, step), _DDL_ROW))
+    found = table(docs.mapInArrow(_anchors(length, gram), "h long, sha binary, place long"))
+    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    places = found.join(twice, "h").groupBy("sha").agg(F.collect_set("place").alias("places"))
+    packed = docs.mapInArrow(_pack, "sha binary, packed binary")
+    rows = table(packed.join(places, "sha").select("sha", "packed", "places").mapInArrow(_rows(length, step), _DDL_ROW))
     blocks, done = rows.where("many is not null"), rows.where("many is null")
     loads = blocks.groupBy("key").agg(F.count("*").alias("c"), F.max("many").alias("m")).where("c > 1")
     shared = blocks.join(loads.select("key", "c"), "key")
@@ -302,7 +313,7 @@ def spans_of(docs: DataFrame, length: int = 400, gram: int = 64, step: int = 32,
 
 def _bodies(df: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return df.withColumn("body", body).withColumn("sha", F.unhex(F.sha2(body, 256)))
+    return df.withColumn("body", body).withColumn("sha", F.substring(F.unhex(F.sha2(body, 256)), 1, 16))
 
 
 def joined(spans: list, size: int, whole: bool, length: int) -> list[list[int]]:
@@ -318,7 +329,8 @@ def _digests(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc, body, copies, spans in zip(*columns_of(batch), strict=True):
+                for doc, packed, copies, spans in zip(*columns_of(batch), strict=True):
+                    body = zlib.decompress(packed)
                     runs, at, kept = joined(spans, len(body), (copies or 0) > 1, length), 0, hashlib.sha256()
                     for start, stop in runs:
                         kept.update(body[at:start])
@@ -331,20 +343,21 @@ def _digests(length: int):
     return run
 
 
-def with_spans(df: DataFrame, text: str = "text", length: int = 400, **options) -> DataFrame:
-    """``df`` with body, sha, copies (null: one) and spans (null: none)."""
+def with_spans(df: DataFrame, text: str, length: int = 400, **options) -> DataFrame:
+    """The first column of ``df``, then packed (the compressed text), copies (null: one) and spans (null: none)."""
     docs = _bodies(df, text)
-    long = docs.select("sha", "body").where(F.length("body") >= length)
-    spans = spans_of(long, length, **options)
+    spans = spans_of(docs.select("sha", "body").where(F.length("body") >= length), length, **options)
     copies = docs.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")
     marks = cut(spans.join(copies, "sha", "full"))
-    return docs.join(marks, "sha", "left")
+    first = df.columns[0]
+    packed = docs.select(first, "sha", "body").mapInArrow(_pack, f"{first} {df.schema[first].dataType.simpleString()}, sha binary, packed binary")
+    return packed.join(marks, "sha", "left").select(first, "packed", "copies", "spans")
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, **options) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = with_spans(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", length, **options)
-    return rows.select("doc_id", "body", "copies", "spans").mapInArrow(_digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(_digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _whole_characters(body: bytes, start: int, stop: int) -> tuple[int, int]:
@@ -360,8 +373,8 @@ def _strip(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for body, copies, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                kept, at = [], 0
+            for packed, copies, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                body, kept, at = zlib.decompress(packed), [], 0
                 for start, stop in joined(spans, len(body), (copies or 0) > 1, length):
                     start, stop = _whole_characters(body, start, stop)
                     kept.append(body[at:start])
@@ -378,10 +391,13 @@ def strip(df: DataFrame, text: str = "text", length: int = 400, **options) -> Da
     A column n_chars gets the new length. Rows of which nothing but white space is left,
     though there was more, go; null texts stay null.
     """
-    packed = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("row"), F.col(text).alias("_text"))
-    rows = with_spans(packed, "_text", length, **options).select("row", "body", "copies", "spans")
+    others = [F.col(f"`{name}`") for name in df.columns if name != text]
+    packed = df.select(F.struct(*others, F.col(text).isNull().alias("_none"), (F.trim(F.coalesce(F.col(text), F.lit(""))) == "").alias("_blank")).alias("row"), F.col(text).alias("_text"))
+    rows = with_spans(packed, "_text", length, **options)
     out = rows.mapInArrow(_strip(length), f"row {packed.schema['row'].dataType.simpleString()}, rest string")
-    was = F.col(f"row.`{text}`")
-    out = out.where(was.isNull() | (F.trim(F.col("rest")) != "") | (F.trim(was) == ""))
-    value = {text: F.when(was.isNotNull(), F.col("rest")), "n_chars": F.when(was.isNotNull(), F.length("rest").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in df.columns else None}
+    none = F.col("row._none")
+    out = out.where(none | F.col("row._blank") | (F.trim(F.col("rest")) != ""))
+    value = {text: F.when(~none, F.col("rest"))}
+    if "n_chars" in df.columns:
+        value["n_chars"] = F.when(none, F.col("row.n_chars")).otherwise(F.length("rest").cast("long"))
     return out.select(*[(value[name] if name in value else F.col(f"row.`{name}`")).alias(name) for name in df.columns])
