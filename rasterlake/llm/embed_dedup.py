@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, columns_of, components, cut, in_slices, mix
+from .common import Forest, columns_of, components, cut, in_slices, mix, table
 
 _SIG = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("keys", pa.list_(pa.int64()))])
 _FOUND = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
@@ -124,8 +124,8 @@ def near_dedup(df: DataFrame, threshold: float = 0.98, tables: int = 40, k: int
     name = F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))
     ids = rows.select("vec_id", name.alias("rep"), "label", "v")
     reps = ids.where("rep is not null").groupBy("rep").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("v").alias("v"))
-    signed = cut(reps.select("rep", "label", "n", "v", "least").repartition("rep").select("rep", "label", "n", "v", "least"))
-    hashed = cut(signed.select("rep", "label", "n", "v").mapInArrow(_signatures(tables, k, width, seed), "rep long, label long, n long, body binary, keys array<long>"))
+    signed = table(reps)
+    hashed = table(signed.select("rep", "label", "n", "v").mapInArrow(_signatures(tables, k, width, seed), "rep long, label long, n long, body binary, keys array<long>"))
     keyed = hashed.select("rep", "label", F.posexplode("keys").alias("table", "bucket"))
     sizes = keyed.groupBy("label", "table", "bucket").agg(F.count("*").alias("m")).where("m > 1")
     shared = keyed.join(sizes, ["label", "table", "bucket"]).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
