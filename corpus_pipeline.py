@@ -11,37 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import exact_dedup, lang_id, ngram_join, packing, suffix_dedup
-from rasterlake.llm.common import ensure_checkpoints, training_half
+from rasterlake.llm.common import ensure_checkpoints, sweep, training_half
 from rasterlake.session import ship
 
 
+def _start(spark: SparkSession) -> None:
+    """``docs`` is written, so what earlier stages put aside may go."""
+    ship(spark)
+    sweep(spark)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identified language go: null texts and texts without a letter."""
-    ship(spark)
+    _start(spark)
     return lang_id.predict(docs, lang_id.learn(docs.where(training_half()))).where(F.col("lang_pred") != lang_id.UNKNOWN).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    ship(spark)
+    _start(spark)
     return exact_dedup.keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8 or more the smallest id stays."""
-    ship(spark)
+    _start(spark)
     return ngram_join.keep_one(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings that start at several places are cut out of the texts."""
-    ship(spark)
+    _start(spark)
     return suffix_dedup.strip(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every part of every document goes."""
-    ship(spark)
+    _start(spark)
     return packing.pack(docs)
 
 
