@@ -11,9 +11,9 @@ then decided by exact intersection of the sorted sets.
 Whatever the size of a group, no task holds it: documents with equal sets (by a 64-bit hash
 of the set) are one representative; a route's members are dealt into blocks of ``block`` documents which
 all hold the route's leader (its smallest id). After this first pass, routes whose
-members are not yet one component get a second pass: members outside the route's
-largest-sized component go to every block, so that every pair of a route is either in
-one component or tested. Within a tile, pairs of one component aren't looked at again.
+members are not yet one component get a second pass: members outside a route's largest
+component meet every block of it, so that every pair of a route is either in one
+component or tested. Within a tile, pairs of one component aren't looked at again.
 
 Defined results: a null text and a text without words have an empty set, which links
 with nothing; fewer words than a shingle are one shingle; a null id takes part with no
@@ -222,11 +222,16 @@ def classes(df: DataFrame, k: int = 4, percent: int = 85, block: int = 256, doc_
     seen = known.groupBy("route").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("mark"))
     open_ = seen.where("low <> high").groupBy("c", "mark").agg(F.min("route").alias("route"))  # routes of the same members need one tile
     counts = known.join(open_.select("route"), "route").groupBy("route", "comp").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("route").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("total"))
-    again = known.join(sizes, "route").withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
-    stay = again.where("comp = main").select("route", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int").alias("block"), "digest", "comp")
-    roam = again.where("comp <> main").select("route", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "digest", "comp")
-    more = _pass(stay.unionByName(roam), sets, percent)
+    mains = counts.groupBy("route").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    # all routes with one main component share its tiles: a member is in one block, and a member of
+    # another component is in one chunk and meets every block; each pair (block, chunk) is a tile
+    again = known.join(mains, "route").select(F.col("main").alias("route"), "digest", "comp").distinct()
+    loads = again.groupBy("route").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("route")) / (4 * block)).cast("int").alias("chunks"))
+    again = table(again.join(loads, "route"))
+    left = again.withColumn("i", F.pmod(F.xxhash64("digest"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    right = again.where("comp <> route").withColumn("j", F.pmod(F.xxhash64("digest"), F.col("chunks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = ["route", (F.col("i") * F.col("chunks") + F.col("j")).cast("int").alias("block"), "digest", "comp"]
+    more = _pass(left.select(*tile).unionByName(right.select(*tile)), sets, percent)
     every = cut(links.unionByName(more).distinct())
     linked = components(every).withColumnRenamed("node", "digest")
     # the smallest id of each class; partial aggregation comes before each exchange
