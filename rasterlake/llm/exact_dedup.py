@@ -60,6 +60,17 @@ def _shared(a: bytes, b: bytes) -> int:
     return low
 
 
+def _drain(file) -> Iterator[tuple]:
+    """The entries of a spilled subtree; the file goes."""
+    file.seek(0)
+    while True:
+        try:
+            yield pickle.load(file)
+        except EOFError:
+            break
+    file.close()
+
+
 class _Node:
     __slots__ = ("edge", "below", "value", "spill")
 
@@ -116,6 +127,8 @@ class OwnerTrie:
             node, path = stack.pop()
             if node.value is not None:
                 yield path, node.value
+            if node.spill is not None:
+                yield from ((path + rest, (sha, value)) for rest, sha, value in _drain(node.spill))
             stack += [(child, path + child.edge) for child in node.below.values()]
 
     def owners(self) -> Iterator[tuple]:
@@ -127,14 +140,9 @@ class OwnerTrie:
                 yield node.value
             stack += node.below.values()
             if node.spill is not None:
-                node.spill.seek(0)
                 inner = OwnerTrie(self.limit)
-                while True:
-                    try:
-                        inner.add(*pickle.load(node.spill))
-                    except EOFError:
-                        break
-                node.spill.close()
+                for entry in _drain(node.spill):
+                    inner.add(*entry)
                 yield from inner.owners()
 
 
