@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import assets
 from .functions import limits as L
 from .plans import dimensions, variants
 
@@ -186,3 +187,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 ORACLES["flagship"] = "with d as (" + ORACLES["x3_descriptor"] + "), l as (" + ORACLES["l1_decode_limits"] + ") select descriptor, coalesce(violated, 'ok') as verdict, count(*) as n, cast(sum(p_size * 40 * (p_partkey % 1500 + 1)) as bigint) as pixels from d join l using (id) join part on p_partkey = id group by all"
+
+QUERIES |= assets.QUERIES
+ORACLES |= assets.ORACLES

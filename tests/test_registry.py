@@ -20,7 +20,7 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_oracle(spark, sql, name):
     got = registry.QUERIES[name](spark, FOLDER)
     want = sql.sql(registry.ORACLES[name])
