@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import pixels as P
+from .operators import document_columns as D
 from .operators import tiff_columns as T
 from .plans import variants
 
@@ -62,3 +64,64 @@ ORACLES = {
     "p1_tiff_probe": f"{_SQL} select id, " + ", ".join(f"case when {_GONE} then null else {v} end as {k}" for k, v in {"width": "w", "height": "h", "color": "'gray'", "bits": "8", "samples": "1", "big": "big", "page_count": "1", "compression": "[1, 5, 8, 32773][m + 1]", "orientation": "orientation"}.items()) + ", case when id % 13 > 0 and id % 11 = 0 then 'Decode' end as error from t",
     "p11_tiff_tags": f"{_SQL} select id, cast(11 + (hpred and m > 0)::int as bigint) as n_tags, true as ifd0, hpred and m > 0 as predicted, format('{{:02X}}', orientation) as orientation from t",
 }
+
+
+def minified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minified SVG text and its size; every 9th document breaks off."""
+    body = F.concat(F.lit('<?xml version="1.0"?><?x y?><svg width="'), "p_size", F.lit('" viewBox="0 0 3 40"><!-- > --><title>a<b/></title><desc/><text> '), "p_name", F.when(F.col("p_partkey") % 9 == 0, "").otherwise(" </text></svg>"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.encode(body, "UTF-8").alias("content"))
+    found = rows.select("id", D.minify_svg(F.col("content")).alias("m"), D.svg_size(F.col("content")).alias("s"))
+    return found.select("id", F.decode("m.content", "UTF-8").alias("text"), F.col("m.error.kind").alias("error"), "s.width", "s.height")
+
+
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page sizes: an inherited box, a rotated page and one with its own crop box."""
+    text = "concat('%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R 4 0 R 5 0 R] /MediaBox [0 0 ', p_size + 100, ' 300]>> endobj\n3 0 obj <</Type /Page>> endobj\n4 0 obj <</Type /Page /Rotate 90>> endobj\n5 0 obj <</Type /Page /CropBox [10 20 60.5 ', p_size + 30, ']>> endobj\n')"
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", f"encode({text}, 'UTF-8') as content")
+    return D.pdf_pages(rows).select("id", "page.page", F.col("page.width").cast("double").alias("width"), F.col("page.height").cast("double").alias("height"))
+
+
+def jp2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codestream headers of every part; every 7th is cut."""
+    number = lambda c: F.lpad(F.hex(F.col(c)), 8, "0")
+    head = F.concat(F.lit("FF4FFF51002F0000"), number("p_size"), number("p_partkey"), F.lit("0" * 16 + "0" * 32), F.lpad(F.hex(F.col("p_partkey") % 4 + 1), 4, "0"), F.lit("070101"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.unhex(F.when(F.col("p_partkey") % 7 == 0, F.substring(head, 1, 40)).otherwise(head)).alias("content"))
+    return rows.select("id", D.jp2_info(F.col("content")).alias("i")).select("id", *[f"i.{x}" for x in ("width", "height", "components", "bits", "color", "descriptor", "probe_descriptor")], F.col("i.error.kind").alias("error"))
+
+
+def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interleaved planes; every 5th pixel list is short."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", "array(p_size, p_partkey % 7) as r", "array(1, p_size) as g", "if(p_partkey % 5 = 0, array(9), array(9, p_size)) as b")
+    mixed = P.interleave([F.col(x).cast("array<bigint>") for x in "rgb"], F.lit(2))
+    return rows.select("id", F.array_join(mixed.cast("array<string>"), ",").alias("samples"))
+
+
+def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of indices of two bits; index 4 is beyond the map and every 3rd map is short."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", "cast(p_partkey % 5 as int) as i", "transform(sequence(0, if(p_partkey % 3 = 0, 9, 11)), x -> cast((x * 5 + p_size % 200) * 256 + 77 as int)) as colours")
+    return rows.select("id", F.array_join(P.palette(F.col("colours"), F.col("i"), F.lit(2)).cast("array<string>"), ",").alias("rgb"))
+
+
+def orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each orientation hint resolves to."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id as id", "cast(event_id % 10 as int) as own", "cast(user_id % 8 + 1 as int) as asked", "element_at(array('preserve', 'correct', 'exact', 'both'), cast(event_id % 4 as int) + 1) as hint")
+    return rows.select("id", P.resolve_orientation(F.col("hint"), F.col("own"), F.col("asked")).alias("orientation"))
+
+
+def _composed() -> str:
+    """Orientation pairs by products of 2 x 2 matrices, apart from the operator's own rule."""
+    #: What each tag does to (x, y) about the centre.
+    turns = [(1, 0, 0, 1), (-1, 0, 0, 1), (-1, 0, 0, -1), (1, 0, 0, -1), (0, 1, 1, 0), (0, -1, 1, 0), (0, -1, -1, 0), (0, 1, -1, 0)]
+    product = lambda m, n: (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3])
+    return "[" + ", ".join(str(turns.index(product(then, first)) + 1) for first in turns for then in turns) + "]"
+
+
+QUERIES |= {"v1_svg_minify": minified, "p25_pdf_pages": pdf_pages, "p28_jp2_headers": jp2_headers, "x6_interleave": planes, "x21_palette": palettes, "x34_orientation_hints": orientations}
+ORACLES |= {
+    "v1_svg_minify": "select p_partkey as id, case when p_partkey % 9 > 0 then '<?xml version=\"1.0\"?><svg width=\"' || p_size || '\" viewBox=\"0 0 3 40\"><desc/><text>' || trim(p_name) || '</text></svg>' end as text, case when p_partkey % 9 = 0 then 'Parse' end as error, cast(p_size as double) as width, cast(40 as double) as height from part",
+    "p25_pdf_pages": "select p_partkey as id, cast(page as int) as page, cast([p_size + 100, 300, 50.5][page + 1] as double) as width, cast([300, p_size + 100, p_size + 10][page + 1] as double) as height from part, range(3) r(page)",
+    "p28_jp2_headers": "with t as (select p_partkey as id, p_size as s, cast(p_partkey % 4 + 1 as int) as n, p_partkey % 7 = 0 as cut from part) select id, case when not cut then cast(s as bigint) end as width, case when not cut then cast(id as bigint) end as height, case when not cut then n end as components, case when not cut then 8 end as bits, case when not cut then case when n < 3 then 'gray' else 'rgb' end end as color, case when not cut then case when n < 3 then 'gray_u8' else 'rgb_u8' end end as descriptor, case when not cut then 'rgb_u8' end as probe_descriptor, case when cut then 'Decode' end as error from t",
+    "x6_interleave": "select p_partkey as id, case when p_partkey % 5 = 0 then concat_ws(',', p_size, p_partkey % 7, 1, p_size, 9) else concat_ws(',', p_size, 1, 9, p_partkey % 7, p_size, p_size) end as samples from part",
+    "x21_palette": "select p_partkey as id, case when p_partkey % 3 > 0 and p_partkey % 5 < 4 then concat_ws(',', p_partkey % 5 * 5 + p_size % 200, (p_partkey % 5 + 4) * 5 + p_size % 200, (p_partkey % 5 + 8) * 5 + p_size % 200) end as rgb from part",
+    "x34_orientation_hints": f"with t as (select event_id as id, case when event_id % 10 between 1 and 8 then event_id % 10 else 1 end as own, user_id % 8 + 1 as asked, event_id % 4 as hint from events) select id, cast(case hint when 0 then 1 when 1 then own when 2 then asked else {_composed()}[cast((own - 1) * 8 + asked as int)] end as int) as orientation from t",
+}
