@@ -39,10 +39,11 @@ def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a probe tells; every 11th file is cut after its header, every 13th is null."""
+    """What a probe tells; every 11th file is cut after its header, every 13th is null (numbers 0)."""
     content = F.when(F.col("id") % 13 == 0, None).when(F.col("id") % 11 == 0, F.substring("content", 1, 8)).otherwise(F.col("content"))
     found = _files(spark, sf_dir).select("id", T.tiff_info(content).alias("i"))
-    return found.select("id", *[f"i.{x}" for x in ("width", "height", "color", "bits", "samples", "big", "page_count", "compression", "orientation")], F.col("i.error.kind").alias("error"))
+    numbers = [F.coalesce(f"i.{x}", F.lit(0)).alias(x) for x in ("width", "height", "bits", "samples", "page_count", "compression", "orientation")]
+    return found.select("id", "i.color", *numbers, F.coalesce("i.big", F.lit(False)).alias("big"), F.col("i.error.kind").alias("error"))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ _GONE = "id % 13 = 0 or id % 11 = 0"
 QUERIES = {"x1_tiff_roundtrip": roundtrip, "p1_tiff_probe": probe, "p11_tiff_tags": tags, "w10_best_variant": best}
 ORACLES = {
     "x1_tiff_roundtrip": f"{_SQL} select id, w as width, h as height, 'gray_u8' as descriptor, array_to_string([format('{{:02X}}', (id + 3 * i) % 256) for i in range(w * h)], '') as pixels, cast(null as varchar) as error from t",
-    "p1_tiff_probe": f"{_SQL} select id, " + ", ".join(f"case when {_GONE} then null else {v} end as {k}" for k, v in {"width": "w", "height": "h", "color": "'gray'", "bits": "8", "samples": "1", "big": "big", "page_count": "1", "compression": "[1, 5, 8, 32773][m + 1]", "orientation": "orientation"}.items()) + ", case when id % 13 > 0 and id % 11 = 0 then 'Decode' end as error from t",
+    "p1_tiff_probe": f"{_SQL} select id, " + ", ".join(f"case when {_GONE} then {'null' if k == 'color' else 'false' if k == 'big' else 0} else {v} end as {k}" for k, v in {"width": "w", "height": "h", "color": "'gray'", "bits": "8", "samples": "1", "big": "big", "page_count": "1", "compression": "[1, 5, 8, 32773][m + 1]", "orientation": "orientation"}.items()) + ", case when id % 13 > 0 and id % 11 = 0 then 'Decode' end as error from t",
     "p11_tiff_tags": f"{_SQL} select id, cast(11 + (hpred and m > 0)::int as bigint) as n_tags, true as ifd0, hpred and m > 0 as predicted, format('{{:02X}}', orientation) as orientation from t",
 }
 
@@ -86,7 +87,7 @@ def jp2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.lpad(F.hex(F.col(c)), 8, "0")
     head = F.concat(F.lit("FF4FFF51002F0000"), number("p_size"), number("p_partkey"), F.lit("0" * 16 + "0" * 32), F.lpad(F.hex(F.col("p_partkey") % 4 + 1), 4, "0"), F.lit("070101"))
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.unhex(F.when(F.col("p_partkey") % 7 == 0, F.substring(head, 1, 40)).otherwise(head)).alias("content"))
-    return rows.select("id", D.jp2_info(F.col("content")).alias("i")).select("id", *[f"i.{x}" for x in ("width", "height", "components", "bits", "color", "descriptor", "probe_descriptor")], F.col("i.error.kind").alias("error"))
+    return rows.select("id", D.jp2_info(F.col("content")).alias("i")).select("id", *[F.coalesce(f"i.{x}", F.lit(0)).alias(x) for x in ("width", "height", "components", "bits")], "i.color", "i.descriptor", "i.probe_descriptor", F.col("i.error.kind").alias("error"))
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,7 @@ QUERIES |= {"v1_svg_minify": minified, "p25_pdf_pages": pdf_pages, "p28_jp2_head
 ORACLES |= {
     "v1_svg_minify": "select p_partkey as id, case when p_partkey % 9 > 0 then '<?xml version=\"1.0\"?><svg width=\"' || p_size || '\" viewBox=\"0 0 3 40\"><desc/><text>' || trim(p_name) || '</text></svg>' end as text, case when p_partkey % 9 = 0 then 'Parse' end as error, cast(p_size as double) as width, cast(40 as double) as height from part",
     "p25_pdf_pages": "select p_partkey as id, cast(page as int) as page, cast([p_size + 100, 300, 50.5][page + 1] as double) as width, cast([300, p_size + 100, p_size + 10][page + 1] as double) as height from part, range(3) r(page)",
-    "p28_jp2_headers": "with t as (select p_partkey as id, p_size as s, cast(p_partkey % 4 + 1 as int) as n, p_partkey % 7 = 0 as cut from part) select id, case when not cut then cast(s as bigint) end as width, case when not cut then cast(id as bigint) end as height, case when not cut then n end as components, case when not cut then 8 end as bits, case when not cut then case when n < 3 then 'gray' else 'rgb' end end as color, case when not cut then case when n < 3 then 'gray_u8' else 'rgb_u8' end end as descriptor, case when not cut then 'rgb_u8' end as probe_descriptor, case when cut then 'Decode' end as error from t",
+    "p28_jp2_headers": "with t as (select p_partkey as id, p_size as s, cast(p_partkey % 4 + 1 as int) as n, p_partkey % 7 = 0 as cut from part) select id, case when not cut then cast(s as bigint) else 0 end as width, case when not cut then cast(id as bigint) else 0 end as height, case when not cut then n else 0 end as components, case when not cut then 8 else 0 end as bits, case when not cut then case when n < 3 then 'gray' else 'rgb' end end as color, case when not cut then case when n < 3 then 'gray_u8' else 'rgb_u8' end end as descriptor, case when not cut then 'rgb_u8' end as probe_descriptor, case when cut then 'Decode' end as error from t",
     "x6_interleave": "select p_partkey as id, case when p_partkey % 5 = 0 then concat_ws(',', p_size, p_partkey % 7, 1, p_size, 9) else concat_ws(',', p_size, 1, 9, p_partkey % 7, p_size, p_size) end as samples from part",
     "x21_palette": "select p_partkey as id, case when p_partkey % 3 > 0 and p_partkey % 5 < 4 then concat_ws(',', p_partkey % 5 * 5 + p_size % 200, (p_partkey % 5 + 4) * 5 + p_size % 200, (p_partkey % 5 + 8) * 5 + p_size % 200) end as rgb from part",
     "x34_orientation_hints": f"with t as (select event_id as id, case when event_id % 10 between 1 and 8 then event_id % 10 else 1 end as own, user_id % 8 + 1 as asked, event_id % 4 as hint from events) select id, cast(case hint when 0 then 1 when 1 then own when 2 then asked else {_composed()}[cast((own - 1) * 8 + asked as int)] end as int) as orientation from t",
