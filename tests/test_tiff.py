@@ -110,3 +110,17 @@ def test_files_and_stream(spark, tmp_path):
     ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     rows = {r.path.rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows["a.tif"].info.width == 10 and rows["b.tiff"].info.error.kind == "Decode"
+
+
+def test_planes_and_tiles():
+    """Planes behind one another, and tiles that reach over both edges."""
+    grid = np.arange(5 * 3 * 3, dtype="u1").reshape(3, 5, 3)
+    data = grid.transpose(2, 0, 1).tobytes()
+    more = [(258, 3, 8, 8, 8), (262, 3, 2), (277, 3, 3), (284, 3, 2), (273, 4, 8, 23, 38), (279, 4, 15, 15, 15)]
+    assert tiff.decode(stored("<", 5, 3, data, *more))["pixels"] == grid.tobytes()
+    gray = np.arange(20 * 18, dtype="<u2").reshape(18, 20)
+    wide = np.zeros((32, 32), "<u2")
+    wide[:18, :20] = gray
+    tiles = [wide[y : y + 16, x : x + 16].tobytes() for y in (0, 16) for x in (0, 16)]
+    more = [(258, 3, 16), (262, 3, 1), (277, 3, 1), (322, 3, 16), (323, 3, 16), (324, 4, 8, 520, 1032, 1544), (325, 4, 512, 512, 512, 512)]
+    assert tiff.decode(stored("<", 20, 18, b"".join(tiles), *more))["pixels"] == gray.tobytes()
