@@ -6,6 +6,7 @@ defect of a file is a ``TiffError`` whose ``kind`` is a row of the error table.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -262,29 +263,24 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_encode(data: bytes) -> bytes:
-    out, i, literal = bytearray(), 0, bytearray()
+RUN = re.compile(rb"(.)\1{2,127}", re.S)
 
-    def flush() -> None:
-        if literal:
-            out.append(len(literal) - 1)
-            out.extend(literal)
-            literal.clear()
 
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            flush()
-            out += bytes((257 - run, data[i]))
-        else:
-            for byte in data[i : i + run]:
-                literal.append(byte)
-                if len(literal) == 128:
-                    flush()
-        i += run
-    flush()
+def packbits_encode(data: bytes) -> bytes:
+    """Runs of 3 to 128 bytes as pairs, what lies between as literals."""
+    out, at = bytearray(), 0
+
+    def literals(end: int) -> None:
+        for start in range(at, end, 128):
+            part = data[start : min(start + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for run in RUN.finditer(data):
+        literals(run.start())
+        at = run.end()
+        out += bytes((257 - at + run.start(), data[run.start()]))
+    literals(len(data))
     return bytes(out)
 
 
