@@ -40,9 +40,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that start at several places are cut out of the texts."""
+    """Passages of over 50 words, and byte strings of 400, that start at several places are cut out of the texts."""
     _start(spark)
-    return suffix_dedup.strip(docs)
+    return suffix_dedup.strip(docs, words=51)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -44,13 +45,25 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete the tables written so far; for callers whose results are written already."""
-    while _TABLES:
+def written() -> int:
+    """How many tables are there now, for :func:`sweep`."""
+    return len(_TABLES)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables written after the first ``since``; for callers whose results are written already."""
+    while len(_TABLES) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession, since: int) -> None:
+    """As :func:`sweep`, and let Spark drop the shuffle files of plans that nothing refers to any more."""
+    sweep(spark, since)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def columns_of(batch: pa.RecordBatch) -> list[list]:
     """The columns of a batch as Python lists."""
     return [column.to_pylist() for column in batch.columns]

@@ -20,6 +20,10 @@ A key with more than ``hot`` different edges is not given to one suffix array: i
 are dealt by single windows, which need no array, as a group of equal windows is a
 repeat. Occurrences become spans of bytes; spans of a text are merged.
 
+``strip`` can also be given a number of ``words``: then a passage of so many words that is found
+anywhere else goes too, however short its words are. The same search runs over the words'
+64-bit hashes in place of the bytes, so white space between words may differ.
+
 Texts are named by 128 bits of their SHA-256, so copies of a text are one text with a flag: a text
 that several rows have is removed whole if it has ``length`` bytes.
 
@@ -32,6 +36,7 @@ long texts are handled whole.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,11 +46,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, in_slices, mix, table
+from .common import columns_of, cut, in_slices, mix, release, table, written
 
+_TEXT = pa.schema([("sha", pa.binary()), ("body", pa.binary())])
 _ANCHOR = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("place", pa.int64())])
 _ROW = pa.schema([("key", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("sha", pa.binary()), ("at", pa.int32()), ("many", pa.bool_())])
 _SPAN = pa.schema([("sha", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
+#: A word as bytes.split() has it, and the bytes of its code.
+_WORD = re.compile(rb"[^ \t-\r]+")
+_CODE = 8
 #: Rows that a task holds before it sends them.
 _HELD = 150_000
 _DDL_ROW = "key binary, left binary, right binary, sha binary, at int, many boolean"
@@ -288,12 +297,13 @@ def _arrays(length: int, step: int, symbols: int = 1 << 20):
     return run
 
 
-def spans_of(docs: DataFrame, length: int = 400, gram: int = 64, step: int = 32, hot: int = 256) -> DataFrame:
-    """Repeated spans (sha, spans) of ``docs`` (sha, body); one row a text that has any."""
-    found = table(docs.mapInArrow(_anchors(length, gram), "h long, sha binary, place long"))
+def spans_of(docs: DataFrame, length: int = 400, gram: int = 64, step: int = 32, hot: int = 256, first=None) -> DataFrame:
+    """Repeated spans (sha, spans) of ``docs`` (sha, body), or of what ``first`` makes of its batches; one row a text that has any."""
+    after = lambda run: (lambda batches: run(first(batches))) if first else run
+    found = table(docs.mapInArrow(after(_anchors(length, gram)), "h long, sha binary, place long"))
     twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     places = found.join(twice, "h").groupBy("sha").agg(F.collect_set("place").alias("places"))
-    packed = docs.mapInArrow(_pack, "sha binary, packed binary")
+    packed = docs.mapInArrow(after(_pack), "sha binary, packed binary")
     rows = table(packed.join(places, "sha").select("sha", "packed", "places").mapInArrow(_rows(length, step), _DDL_ROW))
     blocks, done = rows.where("many is not null"), rows.where("many is null")
     loads = blocks.groupBy("key").agg(F.count("*").alias("c"), F.max("many").alias("m")).where("c > 1")
@@ -311,6 +321,34 @@ def spans_of(docs: DataFrame, length: int = 400, gram: int = 64, step: int = 32,
     return every.groupBy("sha").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
+class _Codes(dict):
+    """Codes of words, in bounded memory."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 100_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_digest(word)
+        return found
+
+
+def _coded(words: int):
+    """(sha, codes of the words) of the texts of at least ``words`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for batch in batches:
+            texts = ((sha, body.split()) for sha, body in zip(*columns_of(batch), strict=True))
+            coded = ((sha, b"".join(map(codes.__getitem__, parts))) for sha, parts in texts if len(parts) >= words)
+            yield from in_slices(coded, _TEXT, weigh=lambda row: len(row[1]), most=4 << 20)
+
+    return run
+
+
+def word_spans_of(docs: DataFrame, words: int, gram: int = 64, step: int = 64, **options) -> DataFrame:
+    """Spans of repeated windows of ``words`` words (sha, spans) of ``docs`` (sha, body), as places in the codes."""
+    return spans_of(docs, _CODE * words, gram, step, first=_coded(words), **options)
+
+
 def _bodies(df: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return df.withColumn("body", body).withColumn("sha", F.substring(F.unhex(F.sha2(body, 256)), 1, 16))
@@ -323,6 +361,20 @@ def joined(spans: list, size: int, whole: bool, length: int) -> list[list[int]]:
     return [[start, stop] for _, start, stop in _merge_spans([(0, x["start"], x["stop"]) for x in spans or []])]
 
 
+def with_passages(runs: list[list[int]], body: bytes, passages: list | None, whole: bool, words: int) -> list[list[int]]:
+    """``runs`` and the repeated passages of words, whose spans are places in the codes."""
+    if not passages and not whole:
+        return runs
+    places = [match.span() for match in _WORD.finditer(body)]
+    if whole and len(places) >= words:
+        return [[0, len(body)]]
+    found = [(0, *run) for run in runs]
+    for start, stop in joined(passages, _CODE * len(places), False, 0):
+        first, last = -(-start // _CODE), stop // _CODE - 1  # a neighbour's code may begin or end alike
+        found.append((0, places[first][0], places[last][1]))
+    return [[start, stop] for _, start, stop in _merge_spans(found)]
+
+
 def _digests(length: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -343,15 +395,24 @@ def _digests(length: int):
     return run
 
 
-def with_spans(df: DataFrame, text: str, length: int = 400, **options) -> DataFrame:
-    """The first column of ``df``, then packed (the compressed text), copies (null: one) and spans (null: none)."""
+def with_spans(df: DataFrame, text: str, length: int = 400, words: int | None = None, **options) -> DataFrame:
+    """The first column of ``df``, then packed (the compressed text), copies (null: one) and spans (null: none).
+
+    With ``words``, a column passages follows: spans of the repeated passages of so many words.
+    """
     docs = _bodies(df, text)
+    passages = None
+    if words:
+        since = written()
+        passages = cut(word_spans_of(docs.select("sha", "body"), words).withColumnRenamed("spans", "passages"))
+        release(df.sparkSession, since)
     spans = spans_of(docs.select("sha", "body").where(F.length("body") >= length), length, **options)
     copies = docs.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")
-    marks = cut(spans.join(copies, "sha", "full"))
+    marks = spans.join(copies, "sha", "full")
+    marks = cut(marks if passages is None else marks.join(passages, "sha", "full"))
     first = df.columns[0]
     packed = docs.select(first, "sha", "body").mapInArrow(_pack, f"{first} {df.schema[first].dataType.simpleString()}, sha binary, packed binary")
-    return packed.join(marks, "sha", "left").select(first, "packed", "copies", "spans")
+    return packed.join(marks, "sha", "left").select(first, "packed", "copies", "spans", *["passages"] * bool(words))
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, **options) -> DataFrame:
@@ -369,13 +430,15 @@ def _whole_characters(body: bytes, start: int, stop: int) -> tuple[int, int]:
     return start, stop
 
 
-def _strip(length: int):
+def _strip(length: int, words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for packed, copies, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for packed, copies, spans, *passages in zip(*(column.to_pylist() for column in batch.columns[1:]), strict=True):
                 body, kept, at = zlib.decompress(packed), [], 0
-                for start, stop in joined(spans, len(body), (copies or 0) > 1, length):
+                whole = (copies or 0) > 1
+                runs = joined(spans, len(body), whole, length)
+                for start, stop in with_passages(runs, body, passages[0], whole, words) if words else runs:
                     start, stop = _whole_characters(body, start, stop)
                     kept.append(body[at:start])
                     at = stop
@@ -385,18 +448,20 @@ def _strip(length: int):
     return run
 
 
-def strip(df: DataFrame, text: str = "text", length: int = 400, **options) -> DataFrame:
+def strip(df: DataFrame, text: str = "text", length: int = 400, words: int | None = None, **options) -> DataFrame:
     """The rows of ``df`` with the removed bytes gone from ``text``, whole characters only.
 
+    With ``words``, passages of so many words that are found anywhere else go as well.
     A column n_chars gets the new length. Rows of which nothing but white space is left,
     though there was more, go; null texts stay null.
     """
+    space = F.lit(" \t\n\x0b\x0c\r")
     others = [F.col(f"`{name}`") for name in df.columns if name != text]
-    packed = df.select(F.struct(*others, F.col(text).isNull().alias("_none"), (F.trim(F.coalesce(F.col(text), F.lit(""))) == "").alias("_blank")).alias("row"), F.col(text).alias("_text"))
-    rows = with_spans(packed, "_text", length, **options)
-    out = rows.mapInArrow(_strip(length), f"row {packed.schema['row'].dataType.simpleString()}, rest string")
+    packed = df.select(F.struct(*others, F.col(text).isNull().alias("_none"), (F.trim(F.coalesce(F.col(text), F.lit("")), space) == "").alias("_blank")).alias("row"), F.col(text).alias("_text"))
+    rows = with_spans(packed, "_text", length, words, **options)
+    out = rows.mapInArrow(_strip(length, words), f"row {packed.schema['row'].dataType.simpleString()}, rest string")
     none = F.col("row._none")
-    out = out.where(none | F.col("row._blank") | (F.trim(F.col("rest")) != ""))
+    out = out.where(none | F.col("row._blank") | (F.trim(F.col("rest"), space) != ""))
     value = {text: F.when(~none, F.col("rest"))}
     if "n_chars" in df.columns:
         value["n_chars"] = F.when(none, F.col("row.n_chars")).otherwise(F.length("rest").cast("long"))

@@ -67,6 +67,47 @@ def test_pipeline(spark, tmp_path):
     assert max(bins.values()) <= 16384
 
 
+def spaced(rng, text):
+    return re.sub(" ", lambda _: rng.choice([" ", " ", "\n", "  "]), text)
+
+
+def without_passages(text, others):
+    """``text`` without the words of windows of 51 words that are elsewhere, as a list of words."""
+    own = text.split()
+    seen = {}
+    for t in [text, *others]:
+        parts = t.split()
+        for i in range(len(parts) - 50):
+            seen[tuple(parts[i : i + 51])] = seen.get(tuple(parts[i : i + 51]), 0) + 1
+    gone = set()
+    for i in range(len(own) - 50):
+        if seen[tuple(own[i : i + 51])] > 1:
+            gone.update(range(i, i + 51))
+    return [w for i, w in enumerate(own) if i not in gone]
+
+
+def test_passages_of_over_fifty_words(spark):
+    rng = random.Random(8)
+    short = lambda n: " ".join("".join(rng.choice("abcdefé") for _ in range(rng.randint(1, 3))) for _ in range(n))
+    passages = [f"{i}p {words(rng, n - 2)} p{i}" for i, n in enumerate((50, 51, 52, 55, 58, 60))] + [f"s {short(49)} s"]
+    texts = []
+    for i, passage in enumerate(passages):
+        for k in range(2 + i % 2):
+            texts.append(f"{i}a{k} {words(rng, rng.randint(5, 90))} {i}b{k} {spaced(rng, passage) if i == 4 else passage} {i}c{k} {words(rng, rng.randint(5, 90))}")
+    texts += [f"0a9 {passages[5]} x9 {passages[3]}", "\n" + passages[2] + "\n", None, "", " \n", f"t {passages[1]} u {passages[1]} v"]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").repartition(3)
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, df, "").collect()}
+    for i, t in enumerate(texts):
+        want = without_passages(t or "", [o for j, o in enumerate(texts) if j != i and o])
+        if (t or "").split() and not want:
+            assert i not in got
+        elif t is None:
+            assert got[i].text is None
+        else:
+            assert got[i].text.split() == want and got[i].n_chars == len(got[i].text)
+    assert passages[0] in got[0].text and passages[1] not in got[2].text
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
