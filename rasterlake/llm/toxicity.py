@@ -2,16 +2,17 @@
 
 Tokens are runs of letters and digits, lower-cased; their features are the word, its
 first three to six characters and its last three. The labelled tokens come from the
-labelled documents: a feature that at least ``least`` toxic documents and hardly any
-other documents of the sample have makes a token of a toxic document toxic. The field
+labelled documents: a feature that hardly any documents but toxic ones have, and that more
+of these have than chance explains at the sample's share of toxic documents (see
+``markers``), makes a token of a toxic document toxic. The field
 has the states clean and toxic, hashed feature weights and transition weights, fitted by
 gradient ascent on the likelihood of whole documents. Forward-backward over a batch of
 documents at once gives each token's marginal; a document's score is its largest
 marginal, and the tokens above ``mark`` are its spans.
 
 The model is fitted on at most ``rows`` labelled documents (a bounded sample, see
-``labelled_sample``), and the field on at most ``chains`` of them; what reaches the
-driver is bounded by these. Every document is scored over its whole text.
+``labelled_sample``), and the field on all toxic documents of these and as many others; what
+reaches the driver is bounded by the sample. Every document is scored over its whole text.
 
 Defined results: a null text, or one without a token, has score 0 and no span; without
 labelled rows or toxic tokens every score is 0; repeated rows score the same; other
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import columns_of, in_slices, labelled_sample
 
 BUCKETS = 1 << 20
+#: Features of a word.
+PER_WORD = 6
 _TOKEN = re.compile(r"[^\W_]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
@@ -68,12 +71,29 @@ class _Weights(dict):
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, known = np.zeros((2, BUCKETS), np.int32), _Features()
+    counts, sizes, known = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64), _Features()
     for batch in batches:
         for text, label in zip(*columns_of(batch), strict=True):
+            sizes[label] += 1
             there = {i for word in set(tokens(text)) for i in known[word]}
             counts[label, np.fromiter(there, np.int64, len(there))] += 1
-    yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (counts, sizes)], names=["counts", "sizes"])
+
+
+def markers(counts: np.ndarray, sizes: np.ndarray, purity: float = 0.95) -> np.ndarray:
+    """Which features mark toxic tokens, by the documents (others, toxic) that have them.
+
+    The likelihood ratio of a feature compares the toxic share of its documents, smoothed by one
+    document of the base rate, with the base rate. Chance alone reaches a ratio r in about one of r
+    tests, so r has to exceed the number of tests among features that are in as many documents; the
+    features of a word stand or fall together and are one test.
+    """
+    base = (sizes[1] + 0.5) / (sizes.sum() + 1)
+    both = counts.sum(0)
+    share = (counts[1] + base) / (both + 1)
+    ratio = counts[1] * np.log(share / base) + counts[0] * np.log((1 - share) / (1 - base))
+    as_many = np.cumsum(np.bincount(both)[::-1])[::-1]  # features in at least so many documents
+    return (both > 0) & (share > base) & (counts[1] >= purity * both) & (ratio >= np.log(as_many[both] / PER_WORD))
 
 
 def _chains(sent):
@@ -82,7 +102,7 @@ def _chains(sent):
         for batch in batches:
             xs, ys = [], []
             for text, label in zip(*columns_of(batch), strict=True):
-                x = np.array([known[word] for word in tokens(text)], np.int32).reshape(-1, 6)
+                x = np.array([known[word] for word in tokens(text)], np.int32).reshape(-1, PER_WORD)
                 xs.append(x.tobytes())
                 ys.append((marked[x].any(1) & bool(label)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
@@ -175,21 +195,22 @@ def train_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 30
     return {"used": used, "weights": p[0], "moves": p[1], "start": p[2], "bias": float(p[3][0])}
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10000, chains: int = 600, least: int = 8, purity: float = 0.95) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10000, others: int = 300, purity: float = 0.95) -> dict | None:
     """The field, or None without anything toxic to learn."""
     sample = labelled_sample(docs, labels, label, rows).coalesce(6)
-    counts = np.zeros((2, BUCKETS), np.int64)
-    for row in sample.mapInArrow(_document_counts, "counts binary").toLocalIterator():
+    counts, sizes = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
+    for row in sample.mapInArrow(_document_counts, "counts binary, sizes binary").toLocalIterator():
         counts += np.frombuffer(row.counts, np.int32).reshape(2, BUCKETS)
-    marked = (counts[1] >= least) & (counts[1] >= purity * counts.sum(0))
+        sizes += np.frombuffer(row.sizes, np.int64)
+    marked = markers(counts, sizes, purity)
     if not marked.any():
         return None
     sent = docs.sparkSession.sparkContext.broadcast(marked)
-    some = lambda kind, n: sample.where(F.col("label") == kind).orderBy(F.xxhash64("text")).limit(n)
-    few = some(1, chains // 2).unionByName(some(0, chains - chains // 2)).coalesce(4)
+    some = sample.where("label = 0").orderBy(F.xxhash64("text")).limit(max(others, int(sizes[1])))
+    few = sample.where("label = 1").unionByName(some).coalesce(4)
     found = few.mapInArrow(_chains(sent), "x binary, y binary").toPandas()
     pairs = sorted((bytes(x), bytes(y)) for x, y in zip(found["x"], found["y"], strict=True) if len(y))
-    x = np.concatenate([np.frombuffer(a, np.int32).reshape(-1, 6) for a, _ in pairs])
+    x = np.concatenate([np.frombuffer(a, np.int32).reshape(-1, PER_WORD) for a, _ in pairs])
     y = np.concatenate([np.frombuffer(b, np.uint8) for _, b in pairs]).astype(np.float64)
     first = np.zeros(y.size, bool)
     first[np.cumsum([0] + [len(b) for _, b in pairs[:-1]])] = True

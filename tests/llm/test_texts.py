@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -91,3 +92,37 @@ def test_field_marginals():
             on += w * np.array(tags)
         assert np.allclose(q[at : at + n], on / total)
         at += n
+
+
+def test_toxic_documents_of_a_small_language(spark):
+    rng = np.random.default_rng(6)
+    lists = {"a": (300, 60, "abcde"), "z": (60, 6, "uvwxyz")}  # documents, toxic ones, letters
+    rows, at = [], 0
+    for name, (n, toxic, letters) in lists.items():
+        known = ["".join(rng.choice(list(letters), 6)) for _ in range(80)]
+        for i in range(n):
+            while zlib.crc32(str(at).encode()) % 3 == 1:
+                at += 1
+            held = list(rng.choice(known, 30))
+            if i < toxic:
+                held[10:12] = [f"mal{name}on", f"qu{name}erk"]
+            rows.append((at, " ".join(held), int(i < toxic), name))
+            at += 1
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    for i, text, toxic, name in rows:
+        assert (got[i].score >= 0.7) == bool(toxic), name
+        assert [text[s.start : s.stop] for s in got[i].spans] == ([f"mal{name}on qu{name}erk"] if toxic else [])
+
+
+def test_toxic_markers_scale():
+    def marked(factor):
+        counts = np.zeros((2, toxicity.BUCKETS), np.int64)
+        counts[:, :3000] = [[2 * factor], [0]]  # features of others only
+        counts[:, 3000] = 0, 6
+        counts[:, 3001] = 0, 2
+        counts[:, 3002] = 9 * factor, 9 * factor
+        return toxicity.markers(counts, np.array([900 * factor, 100 * factor]))[3000:3003].tolist()
+
+    assert marked(1) == marked(4) == [True, False, False]
