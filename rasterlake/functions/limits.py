@@ -6,11 +6,44 @@ limit function gives the name of the first violated limit or null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 f32 = lambda c: c.cast("float")
-U32 = 4294967295
+LARGEST = (1 << 63) - 1
+#: Decode limits where none are asked for; no size limit of a side.
+DEFAULT_LIMITS = {"max_pixels": 120_000_000, "max_memory": 4 << 30, "max_width": None, "max_height": None}
+#: Largest buffers of a strip or tile, decoded and in between; pages of one call.
+DECODE_BUFFER, MIDDLE_BUFFER, MAX_PAGES = 256 << 20, 128 << 20, 1000
+
+
+def product(*factors: Column) -> Column:
+    """Product of non-negative whole numbers as bigint, the largest bigint where it is larger; null with a null factor."""
+    out = factors[0].cast("bigint")
+    for factor in factors[1:]:
+        factor = factor.cast("bigint")
+        out = F.when(out.isNotNull() & factor.isNotNull(), F.coalesce(F.try_multiply(out, factor), F.lit(LARGEST)))
+    return out
+
+
+def total(value: Column, more: int) -> Column:
+    """``value`` and a constant, saturating as :func:`product` does."""
+    return F.when(value.isNotNull(), F.coalesce(F.try_add(value, F.lit(more).cast("bigint")), F.lit(LARGEST)))
+
+
+def effective_limits(asked: Column) -> Column:
+    """Struct of the decode limits: those asked for (a struct whose fields may be null), else the defaults."""
+    return F.struct(*[F.coalesce(asked[name].cast("bigint"), F.lit(value).cast("bigint")).alias(name) for name, value in DEFAULT_LIMITS.items()])
+
+
+def tightened_buffers(max_memory: Column) -> Column:
+    """Struct (decoding, intermediate): the inner buffers' sizes, tightened to a memory limit and never loosened."""
+    return F.struct(F.least(F.lit(DECODE_BUFFER), max_memory).cast("bigint").alias("decoding"), F.least(F.lit(MIDDLE_BUFFER), max_memory).cast("bigint").alias("intermediate"))
+
+
+def finite(c: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
 def first_violation(*checks: tuple[str, Column]) -> Column:
@@ -67,14 +100,30 @@ def peak_factor(color: Column, bits: Column) -> Column:
 
 def decode_limits(w: Column, h: Column, bpp: Column, factor: Column, max_w: Column, max_h: Column, max_px: Column, max_mem: Column) -> Column:
     """TIFF decode: width, height, pixels, then peak memory of factor x output plus 512 KiB."""
-    px = w.cast("bigint") * h
-    return first_violation(("width", w > max_w), ("height", h > max_h), ("pixels", px > max_px), ("memory", px * bpp * factor + 524288 > max_mem))
+    px = product(w, h)
+    return first_violation(("width", w > max_w), ("height", h > max_h), ("pixels", px > max_px), ("memory", total(product(px, bpp, factor), 524288) > max_mem))
 
 
 def encode_limits(w: Column, h: Column, bpp: Column, max_w: Column, max_h: Column, max_px: Column, max_mem: Column) -> Column:
     """TIFF encode: pixels, width, height, memory."""
-    px = w.cast("bigint") * h
-    return first_violation(("pixels", px > max_px), ("width", w > max_w), ("height", h > max_h), ("memory", px * bpp > max_mem))
+    px = product(w, h)
+    return first_violation(("pixels", px > max_px), ("width", w > max_w), ("height", h > max_h), ("memory", product(px, bpp) > max_mem))
+
+
+def raster_limits(w: Column, h: Column, max_w: Column, max_h: Column, max_px: Column, max_mem: Column | None = None) -> Column:
+    """SVG and JPEG 2000 output: width, height, pixels and, where given, memory of four bytes a pixel."""
+    px = product(w, h)
+    checks = [("width", w > max_w), ("height", h > max_h), ("pixels", px > max_px)]
+    return first_violation(*checks, *([] if max_mem is None else [("memory", product(px, F.lit(4)) > max_mem)]))
+
+
+def input_gate(length: Column, max_input: Column) -> Column:
+    """``InputSize`` where a file is larger than allowed, else null."""
+    return F.when(length > max_input, "InputSize")
+
+
+def has_alpha(color: Column, samples: Column) -> Column:
+    return color.isin("graya", "rgba", "cmyka") | ((color == "multiband") & samples.isin(2, 4))
 
 
 def descriptor(color: Column, bits: Column, is_float: Column, samples: Column) -> Column:
@@ -97,9 +146,10 @@ def svg_size(w: Column, h: Column, tw: Column, th: Column, fit: Column, scale: C
 
 
 def pdf_scale(pw: Column, ph: Column, kind: Column, a: Column, b: Column) -> tuple[Column, Column]:
-    """Horizontal and vertical scale of a page for render bounds."""
-    x, y = f32(f32(a) / f32(pw)), f32(f32(b) / f32(ph))
-    sx = F.when(kind == "scale", f32(a)).when(kind == "dpi", f32(f32(a) / F.lit(72.0))).when(kind == "width", x).when(kind == "height", f32(f32(a) / f32(ph))).when(kind == "box", F.least(x, y)).otherwise(x)
+    """Horizontal and vertical scale of a page for render bounds; null for a page of no size."""
+    over = lambda x, y: f32(F.try_divide(f32(x), f32(y)))
+    x, y = over(a, pw), over(b, ph)
+    sx = F.when(kind == "scale", f32(a)).when(kind == "dpi", f32(f32(a) / F.lit(72.0))).when(kind == "width", x).when(kind == "height", over(a, ph)).when(kind == "box", F.least(x, y)).otherwise(x)
     return sx, F.when(kind == "exact", y).otherwise(sx)
 
 
@@ -110,8 +160,45 @@ def pdf_size(pw: Column, ph: Column, kind: Column, a: Column, b: Column) -> tupl
     return F.when(kind == "exact", F.floor(a)).otherwise(w).cast("bigint"), F.when(kind == "exact", F.floor(b)).otherwise(h).cast("bigint")
 
 
-def pdf_verdict(pw: Column, ph: Column, w: Column, h: Column, max_px: int) -> Column:
-    return first_violation(("ZeroDimensions", (pw <= 0) | (ph <= 0)), ("InvalidRenderBounds", (w < 1) | (h < 1)), ("DimensionOverflow", (w > 65535) | (h > 65535)), ("PixelLimitExceeded", w * h > max_px))
+def pdf_verdict(pw: Column, ph: Column, w: Column, h: Column, max_px: Column, a: Column | None = None, b: Column | None = None) -> Column:
+    """What is wrong with a page and its raster size, else null; ``a`` and ``b`` are what the bounds ask for."""
+    asked = [x for x in (a, b) if x is not None]
+    bad = (w < 1) | (h < 1) | w.isNull() | h.isNull()
+    for x in asked:
+        bad = bad | ~finite(x)
+    return first_violation(
+        ("ZeroDimensions", ~finite(pw) | ~finite(ph) | (pw <= 0) | (ph <= 0)),
+        ("InvalidRenderBounds", bad),
+        ("DimensionOverflow", (w > 65535) | (h > 65535)),
+        ("PixelLimitExceeded", product(w, h) > max_px),
+    )
+
+
+def pdf_output_size(df: DataFrame, pw: Column, ph: Column, kind: Column, a: Column, b: Column, into: tuple[str, str, str] = ("out_w", "out_h", "error")) -> DataFrame:
+    """``df`` with the width, height and error that are announced before rendering.
+
+    A fitted side is as asked, exact sizes aren't checked. Each step is a column that the next
+    one reads, so that generated code doesn't repeat it.
+    """
+    sx, sy = pdf_scale(pw, ph, kind, a, b)
+    out = df.withColumns({"_kind": kind, "_pw": f32(pw), "_ph": f32(ph), "_sx": sx, "_sy": sy, "_a": a, "_b": b})
+    c = F.col
+    out = out.withColumns({"_w": F.when(c("_kind") == "width", f32(c("_a"))).otherwise(f32(c("_pw") * c("_sx"))), "_h": F.when(c("_kind") == "height", f32(c("_a"))).otherwise(f32(c("_ph") * c("_sy")))})
+    page = ~finite(c("_pw")) | ~finite(c("_ph")) | (c("_pw") <= 0) | (c("_ph") <= 0)
+    bad = (c("_kind") != "exact") & (~finite(c("_w")) | ~finite(c("_h")) | (c("_w") < 1) | (c("_h") < 1))
+    out = out.withColumn(into[2], first_violation(("ZeroDimensions", page), ("InvalidRenderBounds", bad)))
+    whole = lambda exact, side: F.when(c(into[2]).isNull(), F.floor(F.when(c("_kind") == "exact", c(exact)).otherwise(c(side))).cast("bigint"))
+    return out.withColumns({into[0]: whole("_a", "_w"), into[1]: whole("_b", "_h")}).drop("_kind", "_pw", "_ph", "_sx", "_sy", "_a", "_b", "_w", "_h")
+
+
+def too_many_pages(selected: Column, most: int = MAX_PAGES) -> Column:
+    """``TooManyPages`` where more pages are asked for than one call renders, else null."""
+    return F.when(F.size(selected) > most, "TooManyPages")
+
+
+def page_clamp(start: Column, count: Column) -> Column:
+    """The page that a job shows: the asked one, or the last."""
+    return F.least(start, F.greatest(count - 1, F.lit(0)))
 
 
 def page_indices(kind: Column, start: Column, end: Column, count: Column) -> Column:
@@ -144,11 +231,23 @@ def unpremultiply(c: Column, a: Column) -> Column:
 
 
 def narrow_signed(s: Column, bits: int) -> Column:
-    """i8, i16 and i32 as unsigned: offset by half the range; 32 bits keep their upper 16."""
+    """i8, i16, i32 and i64 as unsigned: offset by half the range; 32 and 64 bits keep their upper 16."""
+    if bits == 64:
+        return (F.shiftright(s.cast("bigint"), 48) + (1 << 15)).cast("int")
     moved = s.cast("bigint") + (1 << (bits - 1))
     return F.shiftright(moved, 16).cast("int") if bits == 32 else moved.cast("int")
 
 
+def narrow_unsigned(s: Column, bits: int) -> Column:
+    """The upper 16 of 32 bits, or of 64 bits held in a bigint."""
+    return F.shiftrightunsigned(s.cast("bigint"), bits - 16).cast("int")
+
+
+def fit_channels(samples: Column, channels: Column, largest: int) -> Column:
+    """The first ``channels`` samples of a pixel, padded with ``largest`` (255 or 65,535)."""
+    return F.slice(F.concat(samples, F.array_repeat(F.lit(largest), 4)), F.lit(1), channels)
+
+
 def unpack_bits(byte: Column, bits: int) -> Column:
     """Samples of one byte, most significant first, scaled to 0..255 by integer division."""
     top = (1 << bits) - 1
@@ -184,7 +283,7 @@ def estimate(codec: Column, px: Column, out_bytes: Column) -> tuple[Column, Colu
     typical = most = wall = None
     for name, (low, high, more, speed) in ESTIMATES.items():
         top = more * 2 if name in ("tiff_encode", "jp2") else more
-        size = px * 4 if name in ("svg", "pdf") else out_bytes
+        size = product(px, F.lit(4)) if name in ("svg", "pdf") else out_bytes
         pick = lambda c, v, name=name: F.when(codec == name, v) if c is None else c.when(codec == name, v)
-        typical, most, wall = pick(typical, size * low + more), pick(most, size * high + top), pick(wall, F.floor(px / speed))
+        typical, most, wall = pick(typical, total(product(size, F.lit(low)), more)), pick(most, total(product(size, F.lit(high)), top)), pick(wall, F.floor(px / speed))
     return typical.cast("bigint"), most.cast("bigint"), wall.cast("bigint")

@@ -1,8 +1,9 @@
 """TIFF operators as Column functions over Arrow batches.
 
 A bad row gives an ``error`` struct (kind, message) and never fails its task; null content
-gives null fields and no error. Batches hold whole files: lower
-``spark.sql.execution.arrow.maxRecordsPerBatch`` where files are large.
+gives null fields and no error. Spark cuts Arrow batches by
+``spark.sql.execution.arrow.maxBytesPerBatch`` as well as by rows, so a batch of large files
+stays bounded; what a batch gives back is bounded by the limits of decoding.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.limits import DEFAULT_LIMITS
 from ..sources import tiff
 
 ERROR = "error struct<kind: string, message: string>"
-INFO = "width int, height int, color string, bits int, samples int, big boolean, page_count int, compression int, photometric int, orientation int, resolution_unit int, dpi_x double, dpi_y double, page_name string, icc binary, xmp binary, iptc binary, exif binary"
+INFO = "width int, height int, color string, bits int, samples int, is_float boolean, big boolean, page_count int, compression int, photometric int, orientation int, resolution_unit int, dpi_x double, dpi_y double, page_name string, icc binary, xmp binary, iptc binary, exif binary"
 PIXELS = "width int, height int, descriptor string, pixels binary"
 TAG = "page int, dest string, tag int, type int, count bigint, raw binary"
 
@@ -53,17 +55,28 @@ def tiff_info(content: Column) -> Column:
     return struct_udf(lambda data: tiff.info(bytes(data)), INFO)(F.struct(content))
 
 
-def tiff_pixels(content: Column) -> Column:
-    """Struct of the first page's pixels."""
-    return struct_udf(lambda data: tiff.decode(bytes(data)), PIXELS)(F.struct(content))
+def tiff_pixels(content: Column, **limits: int) -> Column:
+    """Struct of the first page's pixels; sizes beyond the default limits, or those given, are errors before pixels are made."""
+    asked = DEFAULT_LIMITS | limits
+    return struct_udf(lambda data: tiff.decode(bytes(data), asked), PIXELS)(F.struct(content))
 
 
-def encode_tiff(pixels: Column, width: Column, height: Column, descriptor: Column, method: Column, hpred: Column, big: Column, orientation: Column | None = None, icc: Column | None = None, xmp: Column | None = None, exif: Column | None = None) -> Column:
-    """Struct (content, error): the file for a row of pixels."""
+def tiff_decode(content: Column, limits: dict | None = None, hint: Column | None = None, asked: Column | None = None, **policy: bool) -> Column:
+    """Struct of pixels and metadata as a decode job gives them.
+
+    ``hint`` is preserve (default), correct, exact or both, ``asked`` the orientation of the
+    last two; ``policy`` may forbid icc, exif or xmp.
+    """
+    work = lambda data, hint, asked: tiff.decode_job(bytes(data), limits, hint or "preserve", None if pd.isna(asked) else int(asked), **policy)
+    return struct_udf(work, f"{PIXELS}, orientation int, icc binary, exif binary, xmp binary")(F.struct(content.alias("c0"), (F.lit("preserve") if hint is None else hint).alias("c1"), (F.lit(None).cast("int") if asked is None else asked).alias("c2")))
+
+
+def encode_tiff(pixels: Column, width: Column, height: Column, descriptor: Column, method: Column, hpred: Column, big: Column, orientation: Column | None = None, icc: Column | None = None, xmp: Column | None = None, exif: Column | None = None, limits: dict | None = None) -> Column:
+    """Struct (content, error): the file for a row of pixels, unless it is beyond the job's limits."""
 
     def work(pixels, width, height, descriptor, method, hpred, big, orientation, icc, xmp, exif) -> dict:
         metadata = {"orientation": None if orientation is None or pd.isna(orientation) else int(orientation), "icc": icc, "xmp": xmp, "exif": exif and bytes(exif)}
-        return {"content": tiff.encode(bytes(pixels), int(width), int(height), descriptor, method, bool(hpred), bool(big), metadata)}
+        return {"content": tiff.encode_job(bytes(pixels), int(width), int(height), descriptor, method, bool(hpred), bool(big), metadata, limits)}
 
     empty = F.lit(None).cast("binary")
     rest = [F.lit(None).cast("int") if orientation is None else orientation, *[empty if x is None else x for x in (icc, xmp, exif)]]

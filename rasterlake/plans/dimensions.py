@@ -64,6 +64,9 @@ pdf|Buffer|Resource|OutOfMemory
 pdf|Unsupported|Request|Unsupported
 pdf|LimitExceeded|Resource|Limits
 pdf|Sink|Io|Io
+jp2|Decode(Truncated)|Image|UnexpectedEof
+jp2|Decode(Format)|Image|Unsupported(Type)
+jp2|Decode(Marker)|Image|Unsupported(Feature)
 jp2|Decode|Image|Malformed
 jp2|PixelBuffer|Internal|Bug
 jp2|OutOfMemory|Resource|OutOfMemory
@@ -73,6 +76,24 @@ jp2|Sink|Io|Io
 """.strip().splitlines()
 ]
 
+#: Codec, direction and the pixel descriptors that it takes or gives.
+DESCRIPTORS = [
+    ("tiff", "decode", "rgb_u8,rgba_u8,gray_u8,rgb_u16,rgba_u16,gray_u16,rgb_f32,rgba_f32,gray_f32,graya_u8,graya_u16,graya_f32"),
+    ("tiff", "encode", "rgb_u8,rgba_u8,gray_u8,rgb_u16,rgba_u16,gray_u16,rgb_f32,rgba_f32,gray_f32,graya_u8,graya_u16,graya_f32"),
+    ("svg", "decode", "rgba_u8"),
+    ("pdf", "decode", "rgba_u8"),
+    ("jp2", "decode", "rgb_u8,rgba_u8,gray_u8"),
+]
+
+#: Codec and whether its sources are known to be lossless; a quality is told by none.
+SOURCES = [("tiff", True), ("jp2", False)]
+
+#: TIFF compression, its code, and whether it is read here.
+COMPRESSIONS = [("none", 1, True), ("fax", 3, False), ("fax4", 4, False), ("lzw", 5, True), ("jpeg", 7, False), ("deflate", 8, True), ("packbits", 32773, True), ("old_deflate", 32946, True), ("zstd", 50000, False), ("webp", 50001, False)]
+
+#: Operations that a codec refuses with Unsupported.
+REFUSED = [("tiff", "row_level_decode,animation_decode,animation_encode"), ("svg", "row_level_decode,animation_decode"), ("pdf", "row_level_decode,animation_decode"), ("jp2", "row_level_decode,animation_decode")]
+
 #: Descriptive IFD0 tags, and tags that describe the stored image itself.
 DESCRIPTIVE = (0x010D, 0x010E, 0x010F, 0x0110, 0x0131, 0x0132, 0x013B, 0x013C, 0x8298, 0x02BC)
 STRUCTURAL = (0x0100, 0x0101, 0x0102, 0x0103, 0x0106, 0x0111, 0x0112, 0x0115, 0x0116, 0x0117, 0x011A, 0x011B, 0x011C, 0x0128)
@@ -100,6 +121,23 @@ def errors(spark: SparkSession) -> DataFrame:
     return small(spark, [(i, *row) for i, row in enumerate(ERRORS)], "variant_id int, codec string, variant string, origin string, kind string")
 
 
+def descriptors(spark: SparkSession) -> DataFrame:
+    return small(spark, [(c, d, x) for c, d, many in DESCRIPTORS for x in many.split(",")], "codec string, direction string, descriptor string")
+
+
+def source_details(spark: SparkSession) -> DataFrame:
+    """codec, lossless and quality, which is always null."""
+    return small(spark, SOURCES, "codec string, lossless boolean").selectExpr("codec", "lossless", "cast(null as float) as quality")
+
+
+def compressions(spark: SparkSession) -> DataFrame:
+    return small(spark, COMPRESSIONS, "compression string, code int, readable boolean")
+
+
+def refused_operations(spark: SparkSession) -> DataFrame:
+    return small(spark, [(c, x) for c, many in REFUSED for x in many.split(",")], "codec string, operation string")
+
+
 def fingerprint(*parts: int) -> str:
     """FNV-1a of a few bytes, as 16 hex digits."""
     h = FNV_START

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import assets
+from . import assets, oracles
 from .functions import limits as L
 from .plans import dimensions, variants
 
@@ -25,22 +25,25 @@ INPUTS = {
     "svgreq": ("part", "p_partkey as id, cast(p_size as int) as w, cast(p_partkey % 400 + 1 as int) as h, case when p_partkey % 3 = 0 then null else cast(p_partkey % 900 + 1 as int) end as tw, case when p_partkey % 5 < 2 then null else cast(p_size * 17 % 700 + 1 as int) end as th, case cast(p_partkey % 4 as int) when 0 then 'original' when 1 then 'contain' when 2 then 'cover' else 'fill' end as fit, case cast(p_partkey % 3 as int) when 0 then 0.5 when 1 then 1.0 else 2.0 end as scale"),
     "doc": ("part", "p_partkey as id, case cast(p_partkey % 8 as int) when 0 then '<svg width=\"10\">' when 1 then '  <?xml version=\"1.0\"?>' when 2 then '%PDF-1.7' when 3 then ' %PDF-1.4' when 4 then '<html><p><svg></svg>' when 5 then '<!DOCTYPE SVG>' when 6 then '<html>' else p_name end as body"),
     "pdfreq": ("orders", "o_orderkey as id, cast(o_orderkey % 7 as int) as n, case cast(o_custkey % 3 as int) when 0 then 595.28 when 1 then 612.0 else 0.0 end as pw, case cast(o_custkey % 3 as int) when 0 then 841.89 when 1 then 792.0 else 100.0 end as ph, case cast(o_orderkey % 6 as int) when 0 then 'scale' when 1 then 'dpi' when 2 then 'width' when 3 then 'height' when 4 then 'box' else 'exact' end as kind, case cast(o_orderkey % 6 as int) when 0 then 1.5 else cast(o_orderkey % 1999 as double) + 1 end as a, cast(o_orderkey % 4001 as double) as b, case cast(o_orderkey % 4 as int) when 0 then 'all' when 1 then 'single' when 2 then 'range' else 'list' end as sel, cast(o_orderkey % 5 as int) as p0, cast(o_custkey % 6 as int) as p1"),
-    "ev": ("events", "event_id as id, cast(event_id % 10 as int) as tag, cast(user_id % 40 + 1 as bigint) as w, cast(event_id % 30 + 1 as bigint) as h, cast(event_id % 44 as int) as variant_id, cast(event_id % 65536 as int) as exif_tag"),
+    "ev": ("events", "event_id as id, cast(event_id % 10 as int) as tag, cast(user_id % 40 + 1 as bigint) as w, cast(event_id % 30 + 1 as bigint) as h, cast(event_id % 47 as int) as variant_id, cast(event_id % 65536 as int) as exif_tag"),
+    "big": ("part", "p_partkey as id, cast(case cast(p_partkey % 3 as int) when 0 then 4294967295 when 1 then 65536 else p_size end as bigint) as w, cast(case cast(p_partkey % 5 as int) when 0 then 4294967295 when 1 then 2147483648 else p_partkey end as bigint) as h, cast(p_partkey % 4 * 4 + 1 as int) as bpp"),
+    "box": ("orders", "o_orderkey as id, case cast(o_custkey % 5 as int) when 0 then cast('NaN' as double) when 1 then cast('Infinity' as double) when 2 then 0.0 else 612.0 end as pw, 792.0 + o_custkey % 3 as ph, case cast(o_orderkey % 6 as int) when 0 then 'scale' when 1 then 'dpi' when 2 then 'width' when 3 then 'height' when 4 then 'box' else 'exact' end as kind, case when o_orderkey % 11 = 0 and o_orderkey % 6 < 5 then cast('NaN' as double) when o_orderkey % 11 = 1 then 0.0 else cast(o_orderkey % 1999 as double) + 1 end as a, cast(o_orderkey % 4001 as double) + 1 as b"),
     "res": ("supplier", "s_suppkey as id, cast(s_suppkey % 5 as int) as unit, cast(s_suppkey * 100 as bigint) as num, cast(s_suppkey % 4 as bigint) as den"),
 }
 
 
-def _query(name: str, source: str, columns: Callable[[DataFrame], list[Column]], sql: str, more: str = "id") -> None:
+def _query(name: str, source: str, columns: Callable[[DataFrame], list[Column]], sql: str, more: str = "id", source_sql: str = "t", prepare: Callable[[DataFrame], DataFrame] | None = None) -> None:
     table, select = INPUTS[source]
     keys = more.split(",")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*_split(select))
+        rows = prepare(rows) if prepare else rows
         return rows.select(*keys, *columns(rows))
 
     run.__name__ = name
     QUERIES[name] = run
-    ORACLES[name] = f"with t as (select {select} from {table}) select {more}, {sql} from t"
+    ORACLES[name] = f"with t as (select {select} from {table}) select {more}, {sql} from {source_sql}"
 
 
 def _split(select: str) -> list[str]:
@@ -61,8 +64,8 @@ c = F.col
 _MAX = lambda: (F.lit(1600), F.lit(1400), F.lit(1500000), F.lit(6 << 20))
 
 _query("s_sniff", "doc", lambda d: [L.is_svg(c("body").cast("binary")).alias("svg"), L.is_pdf(c("body").cast("binary")).alias("pdf"), L.sniff(c("body").cast("binary")).alias("format")],
-       "x.svg, x.pdf, case when x.pdf then 'pdf' when x.svg then 'svg' end as format from (select *, ltrim(lower(substr(body, 1, 256)), ' ') like '<svg%' or ltrim(lower(substr(body, 1, 256)), ' ') like '<?xml%' or ltrim(lower(substr(body, 1, 256)), ' ') like '<!doctype svg%' or contains(lower(substr(body, 1, 256)), '<svg') as svg, starts_with(body, '%PDF-') as pdf from t) x --", more="id")
-ORACLES["s_sniff"] = ORACLES["s_sniff"].replace("select id,", "select x.id,").replace(" -- from t", "")
+       "svg, pdf, case when pdf then 'pdf' when svg then 'svg' end as format",
+       source_sql="(select *, head like '<svg%' or head like '<?xml%' or head like '<!doctype svg%' or contains(head, '<svg') as svg, starts_with(body, '%PDF-') as pdf from (select *, ltrim(lower(substr(body, 1, 256)), ' ') as head from t))")
 _query("p3_dpi", "res", lambda d: [F.round(L.dpi(c("unit"), c("num"), c("den")), 6).alias("dpi")],
        "round(case when den = 0 then null when unit = 2 then cast(num as double) / den when unit = 3 then cast(num as double) / den * 2.54 end, 6) as dpi")
 _CH = "case when color in ('cmyk', 'cmyka') then 4 when color = 'palette' then 3 when color = 'multiband' and samples = 2 then 2 else samples end"
@@ -79,11 +82,22 @@ def _decode(d: DataFrame) -> list[Column]:
 _query("l1_decode_limits", "req", _decode, f"cast(({_CH}) * ({_BY}) as bigint) as bpp, cast({_FA} as bigint) as factor, case when w > 1600 then 'width' when h > 1400 then 'height' when w * h > 1500000 then 'pixels' when w * h * ({_CH}) * ({_BY}) * ({_FA}) + 524288 > 6291456 then 'memory' end as violated")
 _query("l8_encode_limits", "req", lambda d: [L.encode_limits(c("w"), c("h"), L.sample_bytes(c("bits")) * c("samples"), *_MAX()).alias("violated")],
        f"case when w * h > 1500000 then 'pixels' when w > 1600 then 'width' when h > 1400 then 'height' when w * h * samples * ({_BY}) > 6291456 then 'memory' end as violated")
-_query("l14_jp2_limits", "req", lambda d: [L.first_violation(("width", c("w") > 1600), ("height", c("h") > 1400), ("pixels", c("w") * c("h") > 1500000), ("memory", c("w") * c("h") * 4 > 5 << 20)).alias("violated")],
+_query("l14_jp2_limits", "req", lambda d: [L.raster_limits(c("w"), c("h"), F.lit(1600), F.lit(1400), F.lit(1500000), F.lit(5 << 20)).alias("violated")],
        "case when w > 1600 then 'width' when h > 1400 then 'height' when w * h > 1500000 then 'pixels' when w * h * 4 > 5242880 then 'memory' end as violated")
-_query("l6_limit_merge", "req", lambda d: [F.coalesce(F.when(c("id") % 2 == 0, c("w")), F.lit(120000000)).alias("max_pixels"), F.least(F.lit(268435456), c("w") * c("h")).alias("buffer")],
-       "coalesce(case when id % 2 = 0 then w end, 120000000) as max_pixels, least(268435456, w * h) as buffer")
-_query("x3_descriptor", "req", lambda d: [L.descriptor(c("color"), c("bits"), c("is_float"), c("samples")).alias("descriptor"), (c("color").isin("graya", "rgba", "cmyka") | ((c("color") == "multiband") & c("samples").isin(2, 4))).alias("has_alpha")],
+def _merged(d: DataFrame) -> list[Column]:
+    none = F.lit(None).cast("bigint")
+    asked = F.struct(F.when(c("id") % 2 == 0, c("w")).alias("max_pixels"), F.when(c("id") % 3 == 0, c("w") * c("h") * 1000).alias("max_memory"), none.alias("max_width"), c("h").alias("max_height"))
+    found = L.effective_limits(asked)
+    buffers = L.tightened_buffers(found["max_memory"])
+    return [*[found[x].alias(x) for x in ("max_pixels", "max_memory", "max_height")], buffers["decoding"].alias("decoding"), buffers["intermediate"].alias("intermediate")]
+
+
+_query("l6_limit_merge", "req", _merged, "coalesce(case when id % 2 = 0 then w end, 120000000) as max_pixels, m as max_memory, h as max_height, least(268435456, m) as decoding, least(134217728, m) as intermediate",
+       source_sql="(select *, coalesce(case when id % 3 = 0 then w * h * 1000 end, 4294967296) as m from t)")
+_query("l17_overflow", "big", lambda d: [L.decode_limits(c("w"), c("h"), c("bpp"), F.lit(2), c("w"), c("h"), *[F.lit(x).cast("bigint") for x in (None, 9223372036854775806)]).alias("decode"), L.encode_limits(c("w"), c("h"), c("bpp"), c("w"), c("h"), F.lit(9223372036854775806), F.lit(4 << 30)).alias("encode"), L.product(c("w"), c("h"), c("bpp")).alias("bytes"), L.estimate(F.lit("tiff_decode"), L.product(c("w"), c("h")), L.product(c("w"), c("h"), c("bpp")))[1].alias("most")],
+       "case when least(w * h * bpp * 2 + 524288, 9223372036854775807) > 9223372036854775806 then 'memory' end as decode, case when least(w * h, 9223372036854775807) > 9223372036854775806 then 'pixels' when w * h * bpp > 4294967296 then 'memory' end as encode, cast(least(w * h * bpp, 9223372036854775807) as bigint) as bytes, cast(least(w * h * bpp * 2 + 524288, 9223372036854775807) as bigint) as most",
+       source_sql="(select id, w::hugeint as w, h::hugeint as h, bpp::hugeint as bpp from t)")
+_query("x3_descriptor", "req", lambda d: [L.descriptor(c("color"), c("bits"), c("is_float"), c("samples")).alias("descriptor"), L.has_alpha(c("color"), c("samples")).alias("has_alpha")],
        "case when color = 'gray' then 'gray' when color = 'graya' then 'graya' when color in ('rgb', 'ycbcr', 'lab', 'palette') then 'rgb' when color = 'multiband' and samples = 1 then 'gray' when color = 'multiband' and samples = 2 then 'graya' when color = 'multiband' and samples = 3 then 'rgb' else 'rgba' end || '_' || case when bits <= 8 or color = 'palette' then 'u8' when is_float then 'f32' else 'u16' end as descriptor, color in ('graya', 'rgba', 'cmyka') or (color = 'multiband' and samples in (2, 4)) as has_alpha")
 
 
@@ -101,40 +115,47 @@ _query("g10_estimates", "req", _estimates, ", ".join(f"{t} as {k}_typical, {m} a
 
 def _svg(d: DataFrame) -> list[Column]:
     w, h = L.svg_size(c("w"), c("h"), c("tw"), c("th"), c("fit"), c("scale"))
-    return [w.alias("out_w"), h.alias("out_h"), L.first_violation(("width", w > 800), ("height", h > 800), ("pixels", w * h > 300000)).alias("violated")]
+    return [w.alias("out_w"), h.alias("out_h"), L.raster_limits(w, h, F.lit(800), F.lit(800), F.lit(300000)).alias("violated")]
 
 
-_query("g1_svg_geometry", "svgreq", _svg, """cast(ow as bigint) as out_w, cast(oh as bigint) as out_h, case when ow > 800 then 'width' when oh > 800 then 'height' when ow * oh > 300000 then 'pixels' end as violated
-from (select *, ceil(cast(w as float) * sx) as ow, ceil(cast(h as float) * sy) as oh from (select *, case when tw is not null and th is not null and fit = 'fill' then cast(ry * cast(scale as float) as float) else sx end as sy from (select *,
+_query("g1_svg_geometry", "svgreq", _svg, """cast(ow as bigint) as out_w, cast(oh as bigint) as out_h, case when ow > 800 then 'width' when oh > 800 then 'height' when ow * oh > 300000 then 'pixels' end as violated""", source_sql="""(select *, ceil(cast(w as float) * sx) as ow, ceil(cast(h as float) * sy) as oh from (select *, case when tw is not null and th is not null and fit = 'fill' then cast(ry * cast(scale as float) as float) else sx end as sy from (select *,
 case when tw is not null and th is not null and fit = 'fill' then rx * cast(scale as float) when tw is not null and th is not null and fit = 'cover' then greatest(rx, ry) * cast(scale as float) when tw is not null and th is not null then least(rx, ry) * cast(scale as float) when tw is not null then rx * cast(scale as float) when th is not null then ry * cast(scale as float) else cast(scale as float) end as sx
-from (select *, cast(tw as float) / cast(w as float) as rx, cast(th as float) / cast(h as float) as ry from t)))) --""")
-ORACLES["g1_svg_geometry"] = ORACLES["g1_svg_geometry"].replace(" -- from t", "")
+from (select *, cast(tw as float) / cast(w as float) as rx, cast(th as float) / cast(h as float) as ry from t))))""")
 
 
-def _pdf(d: DataFrame) -> list[Column]:
-    pw, ph = F.when(c("pw") > 0, c("pw")).otherwise(1.0), c("ph")
-    w, h = L.pdf_size(pw, ph, c("kind"), c("a"), c("b"))
-    return [w.alias("out_w"), h.alias("out_h"), L.pdf_verdict(c("pw"), c("ph"), w, h, 2000000).alias("error")]
+def _pdf(d: DataFrame) -> DataFrame:
+    """The final size as columns, which the verdict reads."""
+    w, h = L.pdf_size(F.when(c("pw") > 0, c("pw")).otherwise(1.0), c("ph"), c("kind"), c("a"), c("b"))
+    return d.withColumns({"out_w": w, "out_h": h})
+
+
+def _bounds(d: DataFrame) -> DataFrame:
+    w, h = L.pdf_size(c("pw"), c("ph"), c("kind"), c("a"), c("b"))
+    return L.pdf_output_size(d.withColumns({"fw": w, "fh": h}), c("pw"), c("ph"), c("kind"), c("a"), c("b"))
 
 
 _PW = "cast(case when pw > 0 then pw else 1.0 end as float)"
-_query("g5_pdf_geometry", "pdfreq", _pdf, f"""ow as out_w, oh as out_h, case when pw <= 0 or ph <= 0 then 'ZeroDimensions' when ow < 1 or oh < 1 then 'InvalidRenderBounds' when ow > 65535 or oh > 65535 then 'DimensionOverflow' when ow * oh > 2000000 then 'PixelLimitExceeded' end as error
-from (select *, cast(case when kind = 'exact' then floor(a) else floor({_PW} * s) end as bigint) as ow, cast(case when kind = 'exact' then floor(b) else floor(cast(ph as float) * s) end as bigint) as oh from (select *, cast(case kind when 'scale' then cast(a as float) when 'dpi' then cast(a as float) / cast(72 as float) when 'width' then cast(a as float) / {_PW} when 'height' then cast(a as float) / cast(ph as float) else least(cast(a as float) / {_PW}, cast(b as float) / cast(ph as float)) end as float) as s from t)) --""")
-ORACLES["g5_pdf_geometry"] = ORACLES["g5_pdf_geometry"].replace(" -- from t", "")
-_query("g8_page_selection", "pdfreq", lambda d: [F.array_join(L.page_indices(c("sel"), c("p0"), c("p1"), c("n")).cast("array<string>"), ",").alias("pages"), F.least(c("p0"), F.greatest(c("n") - 1, F.lit(0))).alias("clamped")],
-       "case when sel = 'all' then array_to_string(range(0, n), ',') when sel = 'single' and p0 < n then cast(p0 as varchar) when sel = 'range' and p0 < n and p1 < n then array_to_string(range(p0, p1 + 1), ',') when sel = 'list' and p0 < n and p1 < n then concat_ws(',', p0, p1, p0) end as pages, least(p0, greatest(n - 1, 0)) as clamped")
+_query("g5_pdf_geometry", "pdfreq", lambda d: [c("out_w"), c("out_h"), L.pdf_verdict(c("pw"), c("ph"), c("out_w"), c("out_h"), F.lit(2000000)).alias("error")], prepare=_pdf, sql=f"""ow as out_w, oh as out_h, case when pw <= 0 or ph <= 0 then 'ZeroDimensions' when ow < 1 or oh < 1 then 'InvalidRenderBounds' when ow > 65535 or oh > 65535 then 'DimensionOverflow' when ow * oh > 2000000 then 'PixelLimitExceeded' end as error""", source_sql=f"""(select *, cast(case when kind = 'exact' then floor(a) else floor({_PW} * s) end as bigint) as ow, cast(case when kind = 'exact' then floor(b) else floor(cast(ph as float) * s) end as bigint) as oh from (select *, cast(case kind when 'scale' then cast(a as float) when 'dpi' then cast(a as float) / cast(72 as float) when 'width' then cast(a as float) / {_PW} when 'height' then cast(a as float) / cast(ph as float) else least(cast(a as float) / {_PW}, cast(b as float) / cast(ph as float)) end as float) as s from t))""")
+_query("g7_pdf_output_size", "box", lambda d: [c("out_w"), c("out_h"), c("error"), L.pdf_verdict(c("pw"), c("ph"), c("fw"), c("fh"), F.lit(120000000), c("a")).alias("verdict")],
+       """case when error is null then cast(floor(case when kind = 'exact' then a else rw end) as bigint) end as out_w, case when error is null then cast(floor(case when kind = 'exact' then b else rh end) as bigint) end as out_h, error,
+case when pw = 0 or isnan(pw) or isinf(pw) then 'ZeroDimensions' when isnan(a) or fw < 1 or fh < 1 then 'InvalidRenderBounds' when fw > 65535 or fh > 65535 then 'DimensionOverflow' when fw * fh > 120000000 then 'PixelLimitExceeded' end as verdict""",
+       source_sql="""(select *, case when pw = 0 or isnan(pw) or isinf(pw) then 'ZeroDimensions' when kind <> 'exact' and (isnan(rw) or isnan(rh) or rw < 1 or rh < 1) then 'InvalidRenderBounds' end as error
+from (select *, case when kind = 'width' then cast(a as float) else cast(612 as float) * s end as rw, case when kind = 'height' then cast(a as float) else cast(ph as float) * s end as rh, case when kind = 'exact' then a else floor(cast(612 as float) * s) end as fw, case when kind = 'exact' then b else floor(cast(ph as float) * s) end as fh
+from (select *, cast(case kind when 'scale' then cast(a as float) when 'dpi' then cast(a as float) / cast(72 as float) when 'width' then cast(a as float) / cast(612 as float) when 'height' then cast(a as float) / cast(ph as float) else least(cast(a as float) / cast(612 as float), cast(b as float) / cast(ph as float)) end as float) as s from t)))""", prepare=_bounds)
+_query("g8_page_selection", "pdfreq", lambda d: [F.array_join(L.page_indices(c("sel"), c("p0"), c("p1"), c("n")).cast("array<string>"), ",").alias("pages"), L.page_clamp(c("p0"), c("n")).alias("clamped"), L.too_many_pages(L.page_indices(c("sel"), c("p0"), c("p1"), c("n")), 4).alias("too_many")],
+       "case when sel = 'all' then array_to_string(range(0, n), ',') when sel = 'single' and p0 < n then cast(p0 as varchar) when sel = 'range' and p0 < n and p1 < n then array_to_string(range(p0, p1 + 1), ',') when sel = 'list' and p0 < n and p1 < n then concat_ws(',', p0, p1, p0) end as pages, least(p0, greatest(n - 1, 0)) as clamped, case when sel = 'all' and n > 4 or sel = 'range' and p0 < n and p1 < n and p1 - p0 >= 4 then 'TooManyPages' end as too_many")
 _query("x16_cmyk8", "px", lambda d: [L.cmyk8(c("c"), c("k")).alias("r"), L.cmyk8(c("m"), c("k")).alias("g"), L.cmyk8(c("y"), c("k")).alias("b")],
        ", ".join(f"cast(floor((cast(1 as float) - cast({i} as float) / cast(255 as float)) * (cast(1 as float) - cast(k as float) / cast(255 as float)) * cast(255 as float) + cast(0.5 as float)) as int) as {o}" for i, o in (("c", "r"), ("m", "g"), ("y", "b"))), more="id,line")
 _query("x18_cmyk16", "px", lambda d: [L.cmyk16(c("c") * 257, c("k") * 257).alias("r"), L.cmyk16(c("m") * 257, c("k") * 257).alias("g")],
        ", ".join(f"cast(floor((1 - {i} * 257 / 65535.0::double) * (1 - k * 257 / 65535.0::double) * 65535 + 0.5) as int) as {o}" for i, o in (("c", "r"), ("m", "g"))), more="id,line")
 _query("x26_unpremultiply", "px", lambda d: [L.unpremultiply(c("c"), c("a")).alias("r"), L.unpremultiply(c("m"), c("a")).alias("g")],
        ", ".join(f"case when a = 0 then 0 when a = 255 then {i} else least(255, ({i} * 255 + a // 2) // a) end as {o}" for i, o in (("c", "r"), ("m", "g"))), more="id,line")
-_query("x8_sample_conversion", "px", lambda d: [L.narrow_signed(c("c") - 128, 8).alias("i8"), L.narrow_signed(c("c") * 257 - 32768, 16).alias("i16"), L.narrow_signed(c("id") - 5000, 32).alias("i32"), F.shiftright(c("id") * 65537, 16).cast("int").alias("u32")],
-       "c as i8, c * 257 as i16, cast((id - 5000 + 2147483648) >> 16 as int) as i32, cast((id * 65537) >> 16 as int) as u32", more="id,line")
+_query("x8_sample_conversion", "px", lambda d: [L.narrow_signed(c("c") - 128, 8).alias("i8"), L.narrow_signed(c("c") * 257 - 32768, 16).alias("i16"), L.narrow_signed(c("id") - 5000, 32).alias("i32"), L.narrow_signed((c("id") - 5000) * (1 << 47), 64).alias("i64"), L.narrow_unsigned(c("id") * 65537, 32).alias("u32"), L.narrow_unsigned(c("id") * (1 << 47), 64).alias("u64")],
+       "cast((id - 5000 + 65536) // 2 as int) as i64, cast(id // 2 as int) as u64, c as i8, c * 257 as i16, cast((id - 5000 + 2147483648) >> 16 as int) as i32, cast((id * 65537) >> 16 as int) as u32", more="id,line")
 _query("x5_unpack", "px", lambda d: [F.array_join(L.unpack_bits(c("c"), n).cast("array<string>"), ",").alias(f"b{n}") for n in (1, 2, 4)],
        ", ".join("concat_ws(','" + "".join(f", ((c >> {i}) & {(1 << n) - 1}) * 255 // {(1 << n) - 1}" for i in range(8 - n, -1, -n)) + f") as b{n}" for n in (1, 2, 4)), more="id,line")
-_query("x14_channels", "px", lambda d: [F.array_join(F.slice(F.array("c", "m", "y", "k"), 1, 3).cast("array<string>"), ",").alias("cut"), F.array_join(F.concat(F.array("c", "m"), F.array_repeat(F.lit(255), 2)).cast("array<string>"), ",").alias("padded")],
-       "concat_ws(',', c, m, y) as cut, concat_ws(',', c, m, 255, 255) as padded", more="id,line")
+_query("x14_channels", "px", lambda d: [F.array_join(L.fit_channels(samples, F.lit(n), largest).cast("array<string>"), ",").alias(name) for samples, n, largest, name in ((F.array("c", "m", "y", "k"), 3, 255, "cut"), (F.array("c", "m"), 4, 255, "padded"), (F.array("c", "m", "y", "k", "a"), 4, 65535, "cut16"), (F.array("c"), 3, 65535, "padded16"))],
+       "concat_ws(',', c, m, y) as cut, concat_ws(',', c, m, 255, 255) as padded, concat_ws(',', c, m, y, k) as cut16, concat_ws(',', c, 65535, 65535) as padded16", more="id,line")
 
 
 def _orient(d: DataFrame) -> list[Column]:
@@ -146,24 +167,22 @@ def _orient(d: DataFrame) -> list[Column]:
 _X, _Y = "(w % 7 % w)", "(h % 5 % h)"
 _query("x35_orientation", "ev", _orient, f"case when tag between 5 and 8 then h else w end as out_w, case when tag between 5 and 8 then w else h end as out_h, case tag when 2 then w-1-{_X} when 3 then w-1-{_X} when 5 then {_Y} when 6 then h-1-{_Y} when 7 then h-1-{_Y} when 8 then {_Y} else {_X} end as x, case tag when 3 then h-1-{_Y} when 4 then h-1-{_Y} when 5 then {_X} when 6 then {_X} when 7 then w-1-{_X} when 8 then w-1-{_X} else {_Y} end as y")
 _query("e8_exif_routing", "ev", lambda d: [F.when(c("exif_tag") == 0xA005, None).when(c("exif_tag").isin(*dimensions.STRUCTURAL), None).when(c("exif_tag").isin(*dimensions.DESCRIPTIVE), "ifd0").when(c("exif_tag") == 0x8769, "exif").when(c("exif_tag") == 0x8825, "gps").otherwise("exif").alias("dest"), F.element_at(F.array(*[F.lit(n) for n in dimensions.FIELD_SIZES]), (c("tag") % 12 + 1)).alias("field_size")],
-       f"case when exif_tag = {0xA005} or exif_tag in {dimensions.STRUCTURAL} then null when exif_tag in {dimensions.DESCRIPTIVE} then 'ifd0' when exif_tag = {0x8825} then 'gps' else 'exif' end as dest, [{', '.join(map(str, dimensions.FIELD_SIZES))}][tag % 12 + 1] as field_size")
+       "case when exif_tag in (40965, 256, 257, 258, 259, 262, 273, 274, 277, 278, 279, 282, 283, 284, 296) then null when exif_tag in (269, 270, 271, 272, 305, 306, 315, 316, 33432, 700) then 'ifd0' when exif_tag = 34853 then 'gps' else 'exif' end as dest, [1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8][tag % 12 + 1] as field_size")
 
 
 def _error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(event_id % 44 as int) as variant_id")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(event_id % 47 as int) as variant_id")
     return events.join(F.broadcast(dimensions.errors(spark)), "variant_id").groupBy("codec", "origin", "kind").agg(F.count("*").alias("n"))
 
 
 QUERIES["e_error_categories"] = _error_counts
-_VALUES = ", ".join(f"({i}, '{a}', '{b}', '{d}', '{e}')" for i, (a, b, d, e) in enumerate(dimensions.ERRORS))
-ORACLES["e_error_categories"] = f"select codec, origin, kind, count(*) as n from events join (values {_VALUES}) v(variant_id, codec, variant, origin, kind) on v.variant_id = event_id % 44 group by all"
-QUERIES["s7_formats"] = lambda spark, sf_dir: dimensions.formats(spark)
-ORACLES["s7_formats"] = "select * from (values " + ", ".join(repr(r).replace("True", "true").replace("False", "false") for r in dimensions.FORMATS) + ") v(" + ", ".join(x.split()[0] for x in dimensions.FORMAT_COLUMNS.split(", ")) + ")"
-QUERIES["s9_capabilities"] = lambda spark, sf_dir: dimensions.capabilities(spark)
-ORACLES["s9_capabilities"] = "select operation, unnest(string_split(flags, ',')) as flag from (values " + ", ".join(map(repr, dimensions.CAPABILITIES)) + ") v(operation, flags)"
+ORACLES["e_error_categories"] = f"select codec, origin, kind, count(*) as n from events join {oracles.ERRORS} on v.variant_id = event_id % 47 group by all"
+_TABLES = {"s7_formats": (dimensions.formats, oracles.FORMATS), "s9_capabilities": (dimensions.capabilities, oracles.CAPABILITIES), "s10_descriptors": (dimensions.descriptors, oracles.DESCRIPTORS), "s17_source_details": (dimensions.source_details, oracles.SOURCES), "x40_compressions": (dimensions.compressions, oracles.COMPRESSIONS), "e_refused_operations": (dimensions.refused_operations, oracles.REFUSED)}
+for _name, (_made, _sql) in _TABLES.items():
+    QUERIES[_name] = lambda spark, sf_dir, made=_made: made(spark)
+    ORACLES[_name] = _sql
 QUERIES["w2_variant_plan"] = lambda spark, sf_dir: variants.plan(spark, True, 2, 2).select("cell_id", "deviations", "idx_sum", "tier", "fingerprint", "dropped")
-_CELLS = [("tiff-" + m + ("-hpred" if p else "") + ("-big" if b else ""), (ci > 0) + p + b, ci + p + b, tier, dimensions.fingerprint(code, p, b)) for ci, (m, code, tier) in enumerate(variants.METHODS) for p in (0, 1) for b in (0, 1) if ci or not p]
-ORACLES["w2_variant_plan"] = "select *, tier > 2 as dropped from (values " + ", ".join(map(repr, _CELLS)) + ") v(cell_id, deviations, idx_sum, tier, fingerprint) where tier > 2 or deviations <= 2"
+ORACLES["w2_variant_plan"] = oracles.VARIANTS
 
 
 def _cell_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import zlib
 
 from .tiff import TiffError as SourceError
 
+#: Bytes of an object stream that are inflated at most; what lies behind isn't read.
+MAX_STREAM = 64 << 20
 WORD = re.compile(rb"[\s\0]*(?:%[^\r\n]*[\s\0]*)*(<<|>>|\[|\]|\(|<[0-9A-Fa-f\s]*>|/[^\s\0()<>\[\]{}/%]*|(\d+)[\s\0]+(\d+)[\s\0]+R\b|[^\s\0()<>\[\]{}/%]+)")
 OBJECT = re.compile(rb"(?<!\d)(\d+)[\s\0]+\d+[\s\0]+obj\b")
 
@@ -62,7 +64,7 @@ def objects(data: bytes) -> dict[int, object]:
             body = data[start.end() : stop]
             if item.get("/Filter") in ("/FlateDecode", ["/FlateDecode"]):
                 try:
-                    body = zlib.decompressobj().decompress(body)
+                    body = zlib.decompressobj().decompress(body, MAX_STREAM)
                 except zlib.error:
                     continue
             first = int(item.get("/First", 0))

@@ -12,6 +12,11 @@ import zlib
 
 import numpy as np
 
+from ..functions.limits import DEFAULT_LIMITS
+from ..functions.pixels import COMPOSED
+
+#: Bytes that decoding needs beside its rasters.
+SCRATCH = 524288
 #: Fixed values of the file format.
 MAGICS = {b"II*\0": ("<", False), b"MM\0*": (">", False), b"II+\0": ("<", True), b"MM\0+": (">", True)}
 CODES = {1: "B", 2: "B", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -30,13 +35,15 @@ class TiffError(Exception):
 
 def header(data: bytes) -> tuple[str, bool, int]:
     """Byte order, whether offsets have 64 bits, first directory."""
+    if len(data) < 4 and (len(data) < 2 or data[:2] in (b"II", b"MM")):
+        raise TiffError("Truncated", "short header")
     if data[:4] not in MAGICS:
         raise TiffError("Decode", "no TIFF header")
     order, big = MAGICS[data[:4]]
     try:
         return order, big, struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
     except struct.error:
-        raise TiffError("Decode", "short header") from None
+        raise TiffError("Truncated", "short header") from None
 
 
 def directory(data: bytes, at: int, order: str, big: bool = False) -> tuple[list[Entry], int] | None:
@@ -115,10 +122,10 @@ class Directory:
 
 
 def first_page(data: bytes) -> tuple[Directory, int, bool]:
-    order, big, _ = header(data)
+    order, big, at = header(data)
     found = pages(data)
     if not found:
-        raise TiffError("Decode", "no directory")
+        raise TiffError("Truncated" if at else "Decode", "no directory")
     return Directory(found[0], order), len(found), big
 
 
@@ -174,84 +181,111 @@ def info(data: bytes) -> dict:
     unit, x, y = d.one(296), d.pair(282), d.pair(283)
     dpi = dots_per_inch(unit, x, y)
     return {
-        "width": width, "height": height, "color": color_type(d), "bits": d.one(258, 1), "samples": d.one(277, 1),
+        "width": width, "height": height, "color": color_type(d), "bits": d.one(258, 1), "samples": d.one(277, 1), "is_float": 3 in d.many(339),
         "big": big, "page_count": count, "compression": d.one(259), "photometric": d.one(262), "orientation": d.one(274),
         "resolution_unit": unit, "dpi_x": dpi and dpi[0], "dpi_y": dpi and dpi[1], "page_name": d.text(285),
         "icc": d.raw(34675), "xmp": d.raw(700), "iptc": d.raw(33723), "exif": exif_blob(data, d, big),
     }
 
 
-def lzw_decode(data: bytes) -> bytes:
-    base = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, table, width, acc, held, previous = bytearray(), list(base), 9, 0, 0, None
-    for byte in data:
-        acc, held = acc << 8 | byte, held + 8
-        if held < width:
-            continue
-        held -= width
-        code, acc = acc >> held, acc & ((1 << held) - 1)
-        if code == 256:
-            table, width, previous = list(base), 9, None
-            continue
-        if code == 257:
+#: Fixed values of LZW: the codes that clear the table and end the data, and the codes between two clears.
+CLEAR, END, _AT_ONCE = 256, 257, 4096 - 258 + 1
+#: Bits of the k-th code after a clear, and of all before it: one more each time the table has all but one of its codes.
+_WIDTHS = np.searchsorted(np.array([511, 1023, 2047]), np.arange(_AT_ONCE) + 258 - 1, side="right") + 9
+_BEFORE = np.concatenate([[0], np.cumsum(_WIDTHS)])
+
+
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """The bytes of LZW data, no more than about ``most``.
+
+    The codes between two clears are cut out together. A new code stands for a code's bytes
+    and the byte behind them, which lie together in the output.
+    """
+    raw, total = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64), len(data) * 8
+    out, at = bytearray(), 0
+    single = [bytes([i]) for i in range(256)]
+    while at + 9 <= total and (most is None or len(out) < most):
+        places = at + _BEFORE[:-1]
+        n = int(np.searchsorted(places + _WIDTHS, total, side="right"))
+        places, widths = places[:n], _WIDTHS[:n]
+        first = places >> 3
+        window = raw[first] << 16 | raw[first + 1] << 8 | raw[first + 2]
+        codes = window >> (24 - (places & 7) - widths) & ((1 << widths) - 1)
+        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
+        stop = int(stops[0]) if stops.size else n
+        starts, sizes = [], []  # of each code's bytes in the output
+        for i, code in enumerate(codes[:stop].tolist()):
+            start = len(out)
+            if code < 256:
+                out += single[code]
+                size = 1
+            else:
+                known = code - 258
+                if known < i - 1:
+                    begin, size = starts[known], sizes[known] + 1
+                    out += out[begin : begin + size]
+                elif known == i - 1:
+                    begin, size = starts[known], sizes[known] + 1
+                    out += out[begin : begin + size - 1]
+                    out.append(out[begin])
+                else:
+                    raise TiffError("Decode", "bad LZW code")
+            starts.append(start)
+            sizes.append(size)
+            if most is not None and len(out) >= most:
+                return bytes(out)
+        if stop < n and codes[stop] == END:
             break
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and previous:
-            entry = previous + previous[:1]
-        else:
-            raise TiffError("Decode", "bad LZW code")
-        if previous is not None:
-            table.append(previous + entry[:1])
-        out += entry
-        previous = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+        if not stops.size and n < _AT_ONCE:
+            break
+        at += int(_BEFORE[min(stop, n - 1) + 1])
     return bytes(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, acc, held, width = bytearray(), 0, 0, 9
-
-    def emit(code: int) -> None:
-        nonlocal acc, held
-        acc, held = acc << width | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(acc >> held)
-            acc &= (1 << held) - 1
-
-    emit(256)
-    table, after, prefix = {}, 258, None
+    """LZW data of bytes; codes are packed together once all are known."""
+    codes, counts = [CLEAR], [0]  # of the codes, the number since the last clear
+    table, after, prefix, since = {}, 258, -1, 0
+    find = table.get
     for byte in data:
-        if prefix is None:
+        if prefix < 0:
             prefix = byte
             continue
-        known = table.get((prefix, byte))
+        pair = prefix << 8 | byte
+        known = find(pair)
         if known is not None:
             prefix = known
             continue
-        emit(prefix)
-        table[prefix, byte] = after
+        codes.append(prefix)
+        counts.append(since)
+        since += 1
+        table[pair] = after
         after, prefix = after + 1, byte
-        if after == 1 << width:
-            width += 1
         if after == 4094:
-            emit(256)
-            table, after, width = {}, 258, 9
-    if prefix is not None:
-        emit(prefix)
-        if after + 1 >= 1 << width and width < 12:
-            width += 1
-    emit(257)
-    if held:
-        out.append(acc << (8 - held))
-    return bytes(out)
-
-
-def packbits_decode(data: bytes) -> bytes:
+            codes.append(CLEAR)
+            counts.append(since)
+            table.clear()
+            after, since = 258, 0
+    if prefix >= 0:
+        codes.append(prefix)
+        counts.append(since)
+        since += 1
+    codes.append(END)
+    counts.append(since)
+    widths = _WIDTHS[np.array(counts)]
+    widths[0] = 9
+    ends = np.cumsum(widths)
+    bits = np.zeros(-(-int(ends[-1]) // 8) * 8, np.uint8)
+    values = np.array(codes)
+    for i in range(12):
+        there = widths > i
+        bits[ends[there] - 1 - i] = values[there] >> i & 1
+    return np.packbits(bits).tobytes()
+
+
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (most is None or len(out) < most):
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -288,18 +322,18 @@ def inflate(block: bytes, method: int, want: int) -> bytes:
     if method == 1:
         out = block
     elif method == 5:
-        out = lzw_decode(block)
+        out = lzw_decode(block, want)
     elif method in (8, 32946):
         try:
             out = zlib.decompressobj().decompress(block, want)
         except zlib.error as error:
             raise TiffError("Decode", str(error)) from None
     elif method == 32773:
-        out = packbits_decode(block)
+        out = packbits_decode(block, want)
     else:
         raise TiffError("UnsupportedFeature", f"compression {method}")
     if len(out) < want:
-        raise TiffError("Decode", "short image data")
+        raise TiffError("Truncated", "short image data")
     return out[:want]
 
 
@@ -392,12 +426,44 @@ def _convert(grid: np.ndarray, bits: int) -> np.ndarray:
     return grid if size <= 2 else (grid >> np.array(size * 8 - 16, grid.dtype)).astype(np.uint16)
 
 
-def decode(data: bytes) -> dict:
-    """First page's pixels: width, height, descriptor, little-endian bytes."""
+#: What each orientation does to (rows, columns): transposed, columns turned round, rows turned round.
+_TURNS = {2: (False, True, False), 3: (False, True, True), 4: (False, False, True), 5: (True, False, False), 6: (True, True, False), 7: (True, True, True), 8: (True, False, True)}
+
+
+def turn(grid: np.ndarray, orientation: int) -> np.ndarray:
+    """Pixels (height, width, channels) with an orientation applied; tags beyond 2..8 change nothing."""
+    across, columns, rows = _TURNS.get(orientation, (False, False, False))
+    if across:
+        grid = grid.transpose(1, 0, 2)
+    return grid[:: -1 if rows else 1, :: -1 if columns else 1]
+
+
+def check_limits(d: Directory, color: str, limits: dict) -> None:
+    """``LimitExceeded`` before anything is allocated: sides, pixels, then peak memory."""
+    width, height, bits, samples = d.one(256), d.one(257), d.one(258, 1), d.one(277, 1)
+    channels = {"cmyk": 4, "cmyka": 4, "palette": 3}.get(color, samples)
+    size = next(n for top, n in ((8, 1), (16, 2), (32, 4), (1 << 16, 8)) if bits <= top)
+    factor = 1 if bits == 8 and color in ("gray", "graya", "rgb", "rgba") else 2
+    found = {"max_width": width, "max_height": height, "max_pixels": width * height, "max_memory": width * height * channels * size * factor + SCRATCH}
+    for name, value in found.items():
+        if limits.get(name) is not None and value > limits[name]:
+            raise TiffError("LimitExceeded", f"{name}: {value} exceeds {limits[name]}")
+
+
+def decode(data: bytes, limits: dict | None = None, orientation: int = 1) -> dict:
+    """First page's pixels: width, height, descriptor, little-endian bytes.
+
+    ``limits`` may have max_input, max_width, max_height, max_pixels and max_memory;
+    ``orientation`` is applied to the pixels.
+    """
+    limits = limits or {}
+    if limits.get("max_input") is not None and len(data) > limits["max_input"]:
+        raise TiffError("Limit", f"{len(data)} bytes of input")
     d, _, _ = first_page(data)
     if not d.one(256) or not d.one(257):
         raise TiffError("Decode", "no image size")
     color, bits = color_type(d), d.one(258, 1)
+    check_limits(d, color, limits)
     grid = planes(data, d)
     if color == "palette":
         out = _palette(grid, d.many(320), bits)
@@ -405,10 +471,39 @@ def decode(data: bytes) -> dict:
         out = _cmyk(grid)
     else:
         out = _convert(grid, bits)[:, :, :4]
+    out = turn(out, orientation)
     layout = ("gray", "graya", "rgb", "rgba")[out.shape[2] - 1]
     return {"width": out.shape[1], "height": out.shape[0], "descriptor": f"{layout}_{ {'u1': 'u8', 'u2': 'u16', 'f4': 'f32'}[out.dtype.str[1:]] }", "pixels": np.ascontiguousarray(out.astype(out.dtype.newbyteorder("<"))).tobytes()}
 
 
+def resolved(hint: str, own: int | None, asked: int | None) -> int:
+    """The orientation that a hint bakes into the pixels: none, the file's own, the asked one, or the own and then the asked one."""
+    own, asked = own if own in range(1, 9) else 1, asked or 1
+    return {"preserve": 1, "correct": own, "exact": asked, "both": COMPOSED[(own - 1) * 8 + asked - 1]}[hint]
+
+
+def decode_job(data: bytes, limits: dict | None = None, hint: str = "preserve", asked: int | None = None, icc: bool = True, exif: bool = True, xmp: bool = True) -> dict:
+    """Pixels and metadata as a decode job gives them; the orientation that is left to apply, 1 after any baking."""
+    limits = DEFAULT_LIMITS | {k: v for k, v in (limits or {}).items() if v is not None}
+    if limits.get("max_input") is not None and len(data) > limits["max_input"]:
+        raise TiffError("Limit", f"{len(data)} bytes of input")
+    d, _, big = first_page(data)
+    own = d.one(274) if d.one(274) in range(1, 9) else 1
+    found = decode(data, limits, resolved(hint, own, asked))
+    return found | {"orientation": own if hint == "preserve" else 1, "icc": d.raw(34675) if icc else None, "exif": exif_blob(data, d, big) if exif else None, "xmp": d.raw(700) if xmp else None}
+
+
+def encode_job(pixels: bytes, width: int, height: int, descriptor: str, method: str = "lzw", hpred: bool = True, big: bool = False, metadata: dict | None = None, limits: dict | None = None) -> bytes:
+    """As :func:`encode`, after the limits of an encode job: pixels, width, height, memory of the raster."""
+    limits = limits or {}
+    layout, _, sample = descriptor.partition("_")
+    size = {"gray": 1, "graya": 2, "rgb": 3, "rgba": 4}.get(layout, 4) * {"u8": 1, "u16": 2}.get(sample, 4)
+    for name, value in (("max_pixels", width * height), ("max_width", width), ("max_height", height), ("max_memory", width * height * size)):
+        if limits.get(name) is not None and value > limits[name]:
+            raise TiffError("Limit", f"{name}: {value} exceeds {limits[name]}")
+    return encode(pixels, width, height, descriptor, method, hpred, big, metadata)
+
+
 def encode(pixels: bytes, width: int, height: int, descriptor: str, method: str = "lzw", hpred: bool = True, big: bool = False, metadata: dict | None = None, strip_bytes: int = 1 << 16) -> bytes:
     """Pixels of one of the twelve descriptors as a little-endian TIFF of one page.
 
@@ -421,7 +516,7 @@ def encode(pixels: bytes, width: int, height: int, descriptor: str, method: str
     samples, size = {"gray": 1, "graya": 2, "rgb": 3, "rgba": 4}[layout], {"u8": 1, "u16": 2, "f32": 4}[sample]
     if width < 1 or height < 1 or len(pixels) != width * height * samples * size:
         raise TiffError("InvalidInput", "pixels don't fit the size")
-    hpred = hpred and method != "none" and layout != "graya" and sample != "f32"
+    hpred = hpred and method != "none" and layout != "graya"
     grid = np.frombuffer(pixels, f"<u{size}").reshape(height, width, samples)
     if hpred:
         grid = np.concatenate([grid[:, :1], grid[:, 1:] - grid[:, :-1]], axis=1)

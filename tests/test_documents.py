@@ -74,3 +74,24 @@ def test_columns(spark):
 def test_policy_and_merge(spark):
     row = spark.sql("select named_struct('icc', X'01', 'exif', X'02', 'xmp', X'03') as i, named_struct('q', cast(null as int), 'r', 2) as o, named_struct('q', 5, 'r', 6) as b").select(pixels.apply_policy(F.col("i"), exif=False).alias("i"), pixels.merge_parameters(F.col("o"), F.col("b"), ["q", "r"]).alias("m")).first()
     assert (row.i.exif, bytes(row.i.icc), tuple(row.m)) == (None, b"\1", (5, 2))
+
+
+def test_no_more_of_a_stream_than_allowed(monkeypatch):
+    inner = b"2 0 3 40 " + b"<</Type/Pages/Kids[3 0 R]>>".ljust(40) + b"<</Type/Page/MediaBox[0 0 9 9]>>"
+    packed = zlib.compress(inner + b" " * 1_000_000)
+    data = b"%PDF-1.5\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n5 0 obj<</Type/ObjStm/N 2/First 9/Filter/FlateDecode/Length " + str(len(packed)).encode() + b">>\nstream\n" + packed + b"\nendstream endobj"
+    monkeypatch.setattr(pdf, "MAX_STREAM", 200)
+    assert pdf.pages(data) == [(9.0, 9.0)]
+
+
+def test_limits_and_metadata_of_jobs(spark):
+    from rasterlake.functions import jobs, limits
+
+    row = spark.sql("select struct(cast(null as binary) as icc, cast(null as binary) as exif, X'01' as xmp, 1 as orientation) as m, cast(5 as bigint) as w").select(
+        jobs.nothing_to_write(jobs.lower_metadata(F.col("m"))).alias("some"),
+        jobs.nothing_to_write(jobs.lower_metadata(F.col("m"), xmp=False)).alias("none"),
+        limits.product(F.col("w"), F.lit(None).cast("bigint")).alias("unknown"),
+        limits.input_gate(F.col("w"), F.lit(4)).alias("gate"),
+        limits.finite(F.lit(float("nan"))).alias("nan"),
+    ).first()
+    assert tuple(row) == (False, True, None, "InputSize", False)

@@ -59,6 +59,8 @@ def test_other_layouts(order):
     assert get(2, 1, bytes([0x1F]), (258, 3, 4), (262, 3, 3), (277, 3, 1), (320, 3, *colours)) == ("rgb_u8", [1, 17, 33, 15, 31, 47])
     with pytest.raises(tiff.TiffError, match="colour map"):
         get(2, 1, bytes([0x1F]), (258, 3, 4), (262, 3, 3), (277, 3, 1), (320, 3, *colours[:20]))
+    with pytest.raises(tiff.TiffError, match="sample format"):
+        get(1, 1, bytes(3), (258, 3, 24), (262, 3, 1), (277, 3, 1))
     assert get(1, 1, bytes(range(6)), (258, 3, *[8] * 6), (262, 3, 2), (277, 3, 6)) == ("rgba_u8", [0, 1, 2, 3])
 
 
@@ -80,7 +82,7 @@ def test_defects(spark):
     df = spark.createDataFrame(rows, "id int, content binary, tag string")
     got = {r.id: r for r in df.select("id", T.tiff_pixels(F.col("content")).alias("p"), T.tiff_info(F.col("content")).alias("i")).collect()}
     assert got[0].p.error is None and bytes(got[0].p.pixels) == bytes(range(100))
-    assert [got[i].p.error and got[i].p.error.kind for i in range(1, 6)] == ["Decode", "Decode", None, "Decode", "Decode"]
+    assert [got[i].p.error and got[i].p.error.kind for i in range(1, 6)] == ["Truncated", "Truncated", None, "Decode", "Truncated"]
     assert got[3].p.width is None and got[0].i.page_count == 1
     assert T.tiff_tags(df.select("id", "content")).where("id = 0").count() == 11
     assert df.limit(0).select(T.tiff_info(F.col("content")).alias("i")).count() == 0
@@ -93,7 +95,7 @@ def test_best_variant(spark):
     got = {r.id: (r.n_bytes, r.cell_id) for r in assets.best(spark, folder).collect()}
     assert set(got) == set(images)
     for key, r in images.items():
-        sizes = [(len(tiff.encode(bytes(r.pixels), r.w, r.h, "gray_u8", c.method, c.predictor == "horizontal", c.big_tiff)), i, c.cell_id) for i, c in enumerate(cells)]
+        sizes = [(len(tiff.encode(bytes(r.pixels), r.w, r.h, r.descriptor, c.method, c.predictor == "horizontal", c.big_tiff)), i, c.cell_id) for i, c in enumerate(cells)]
         assert got[key] == (min(sizes)[0], min(sizes)[2])
 
 
@@ -109,7 +111,7 @@ def test_files_and_stream(spark, tmp_path):
     assert files.listing_difference(found.select("path"), found.where("length > 20").select("path")).count() == 1
     ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     rows = {r.path.rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert rows["a.tif"].info.width == 10 and rows["b.tiff"].info.error.kind == "Decode"
+    assert rows["a.tif"].info.width == 10 and rows["b.tiff"].info.error.kind == "Truncated"
 
 
 def test_planes_and_tiles():
@@ -124,3 +126,55 @@ def test_planes_and_tiles():
     tiles = [wide[y : y + 16, x : x + 16].tobytes() for y in (0, 16) for x in (0, 16)]
     more = [(258, 3, 16), (262, 3, 1), (277, 3, 1), (322, 3, 16), (323, 3, 16), (324, 4, 8, 520, 1032, 1544), (325, 4, 512, 512, 512, 512)]
     assert tiff.decode(stored("<", 20, 18, b"".join(tiles), *more))["pixels"] == gray.tobytes()
+
+
+def test_limits_come_before_pixels(spark):
+    huge = stored("<", 4_000_000_000, 4_000_000_000, b"\0", (258, 3, 8), (262, 3, 1), (277, 3, 1))
+    small = tiff.encode(bytes(range(100)), 10, 10, "gray_u8")
+    rgb16 = tiff.encode(bytes(600), 10, 10, "rgb_u16")
+    df = spark.createDataFrame([(0, huge), (1, small), (2, rgb16)], "id int, content binary")
+    kinds = lambda **limits: [r.p.error and r.p.error.kind for r in df.orderBy("id").select(T.tiff_pixels(F.col("content"), **limits).alias("p")).collect()]
+    assert kinds() == ["LimitExceeded", None, None]
+    assert kinds(max_width=9) == ["LimitExceeded"] * 3 and kinds(max_height=10, max_pixels=99) == ["LimitExceeded"] * 3
+    # peak memory: once the output for 8-bit samples, twice for others, and 512 KiB
+    assert kinds(max_memory=524288 + 100) == ["LimitExceeded", None, "LimitExceeded"] and kinds(max_memory=524288 + 1200)[2] is None
+    assert kinds(max_memory=524288 + 1199)[2] == "LimitExceeded" and kinds(max_input=len(small))[2] == "Limit"
+    bomb = tiff.packbits_encode(b"\0" * 1_000_000)
+    assert len(tiff.packbits_decode(bomb, 1000)) < 1200 and len(tiff.lzw_decode(tiff.lzw_encode(bytes(1_000_000)), 1000)) < 6000
+
+
+@pytest.mark.parametrize("tag", range(1, 9))
+def test_orientation_in_pixels(tag):
+    """A 4 x 2 grid of colours, turned by each tag: where its corners go."""
+    grid = np.array([[[10 + 20 * x, 100 + 40 * y, 200] for x in range(4)] for y in range(2)], "u1")
+    data = tiff.encode(grid.tobytes(), 4, 2, "rgb_u8", metadata={"orientation": tag})
+    kept = tiff.decode_job(data)
+    assert (kept["orientation"], kept["pixels"]) == (tag, grid.tobytes())
+    got = tiff.decode_job(data, hint="correct")
+    out = np.frombuffer(got["pixels"], "u1").reshape(got["height"], got["width"], 3)
+    assert (got["width"], got["height"], got["orientation"]) == ((2, 4, 1) if tag > 4 else (4, 2, 1))
+    #: The stored (x, y) that is seen at the upper left and at the upper right.
+    seen = {1: ((0, 0), (3, 0)), 2: ((3, 0), (0, 0)), 3: ((3, 1), (0, 1)), 4: ((0, 1), (3, 1)), 5: ((0, 0), (0, 1)), 6: ((0, 1), (0, 0)), 7: ((3, 1), (3, 0)), 8: ((3, 0), (3, 1))}[tag]
+    for place, (x, y) in zip((0, -1), seen, strict=True):
+        assert out[0, place].tolist() == grid[y, x].tolist()
+    upright = tiff.decode_job(data, hint="exact", asked=1)
+    assert (upright["pixels"], upright["orientation"]) == (grid.tobytes(), 1)
+    back = {6: 8, 8: 6}.get(tag, tag)
+    assert tiff.decode_job(data, hint="both", asked=back)["pixels"] == grid.tobytes()
+
+
+def test_metadata_policy():
+    exif = b"II*\0" + struct.pack("<I", 8) + tiff.pack_directory([(0x010F, 2, 6, b"Maker\0")], "<", 8)
+    data = tiff.encode(b"\1" * 4, 2, 2, "gray_u8", metadata={"orientation": 3, "icc": b"profile", "xmp": b"<x/>", "exif": exif})
+    assert [tiff.decode_job(data)[k] is None for k in ("icc", "exif", "xmp")] == [False] * 3
+    assert [tiff.decode_job(data, icc=False, exif=False, xmp=False)[k] for k in ("icc", "exif", "xmp")] == [None] * 3
+
+
+def test_large_codes():
+    """Tables that fill up and are cleared, and data that ends with them."""
+    rng = np.random.default_rng(4)
+    for n in (3836, 3837, 3838, 3839, 7680, 40000):
+        x = rng.integers(0, 256, n).astype("u1").tobytes()
+        assert tiff.lzw_decode(tiff.lzw_encode(x)) == x
+    with pytest.raises(tiff.TiffError, match="LZW"):
+        tiff.lzw_decode(bytes([0x80, 0x7F, 0xFF, 0xFF]))
