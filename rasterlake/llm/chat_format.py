@@ -12,7 +12,8 @@ Defined results: a null role or text is an empty one; turns go by turn number, t
 role and text, null numbers first; repeated turns stay; a pair without a second
 conversation has an empty rejected completion and no common prefix; a common prefix
 covers the shorter conversation whole if it is a prefix of the other; an empty table
-gives no pairs. Other columns are ignored.
+gives no pairs; very long texts are rendered whole; rows of a null conversation id are in no
+pair. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def preferences(pairs: DataFrame, trained: str = "assistant") -> DataFrame:
 def neighbour_pairs(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """Pairs of conversations 2k (chosen) and 2k + 1 (rejected); either may be absent."""
     none = F.array().cast("array<struct<turn:long,role:string,text:string>>")
-    pair = F.floor(F.col(key).cast("long") / F.lit(2)).cast("long")
+    pair = F.shiftright(F.col(key).cast("long"), 1)
     turns = turns_of(df, key).withColumn("pair_id", pair)
     side = lambda odd: F.coalesce(F.max(F.when(F.pmod(F.col(key), F.lit(2)) == odd, F.col("turns"))), none)
     return turns.where(F.col(key).isNotNull()).groupBy("pair_id").agg(side(0).alias("chosen"), side(1).alias("rejected"))

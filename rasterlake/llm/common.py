@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,13 +17,21 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a folder only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``, or the one set on the context.
+
+    Where neither is set, a temporary folder is, but only if driver and workers are one
+    process: other executors could not see it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="rasterlake-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,37 +40,55 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_TABLES: list[str] = []
+class Tables:
+    """Large tables of one operator call: compressed Parquet files in the shared checkpoint folder.
+
+    ``with Tables(spark) as tables`` deletes them at the end of the block, so what the
+    operator returns must not read them: its last step is a :func:`cut`.
+    """
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
 
-def table(df: DataFrame) -> DataFrame:
-    """As :func:`cut` for large tables: compressed Parquet files in the shared checkpoint folder."""
-    spark = df.sparkSession
-    ensure_checkpoints(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{ensure_checkpoints(self.spark)}/table-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Delete the tables, and let Spark drop the shuffle files of plans that nothing refers to any more."""
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
-def written() -> int:
-    """How many tables are there now, for :func:`sweep`."""
-    return len(_TABLES)
+    def __enter__(self) -> Tables:
+        return self
 
+    def __exit__(self, *_) -> None:
+        self.drop()
 
-def sweep(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables written after the first ``since``; for callers whose results are written already."""
-    while len(_TABLES) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
+def hot_limit(df: DataFrame, rows: int) -> int:
+    """A quarter of a shuffle partition's share of ``rows``; fewer than four keys a partition can have more."""
+    return max(1, rows // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
-def release(spark: SparkSession, since: int) -> None:
-    """As :func:`sweep`, and let Spark drop the shuffle files of plans that nothing refers to any more."""
-    sweep(spark, since)
-    gc.collect()
-    spark._jvm.System.gc()
+
+def join_salted(left: DataFrame, right: DataFrame, on: str, count: str, limit: int, by: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has each key once and in ``count`` how many rows of ``left`` have it.
+
+    Keys of more than ``limit`` rows are dealt over so many salts, by a hash of the columns ``by``
+    of ``left``, that a task gets about ``limit`` of them; only these keys are broadcast, and
+    with :func:`hot_limit` they are fewer than four a shuffle partition. ``count`` goes.
+    """
+    hot = right.where(F.col(count) > limit).select(on, F.ceil(F.col(count) / limit).cast("int").alias("_salts"))
+    salts = F.when(F.col(count) > limit, F.ceil(F.col(count) / limit)).otherwise(1).cast("int")
+    dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    own = F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1))).cast("int")
+    marked = left.join(F.broadcast(hot), on, "left").withColumn("_salt", own).drop("_salts")
+    return marked.join(dealt, [on, "_salt"], how).drop("_salt", count)
 
 
 def columns_of(batch: pa.RecordBatch) -> list[list]:
@@ -134,7 +161,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star contraction; every round is two joins and
     aggregations on the executors, and reliable checkpoints cut the lineage. Nodes
-    without an edge do not appear. Only a count and a checksum reach the driver.
+    without an edge do not appear. Only a count and a checksum reach the driver. Rounds
+    grow with the logarithm of the longest chain; ``rounds`` is a stop against endless
+    work, which raises and never returns unfinished components.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
@@ -159,8 +188,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     """At most ``rows`` labelled training documents (text, label), the same for the same tables.
 
     The ids are the ``rows`` smallest hashes of the training half, so the sample is bounded
-    whatever the tables hold; joining it broadcasts at most ``rows`` ids. Written once.
+    whatever the tables hold; joining it broadcasts at most ``rows`` ids. Of documents with
+    one id the smallest text is taken. Written once.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & training_half()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    return cut(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label"))

@@ -11,7 +11,8 @@ Defined results: a null text is an empty text; a null doc_id is larger than any
 it owns a group only if all its ids are null (keep_id is then null); rows repeated with
 the same doc_id and text are copies of which exactly one is kept; an empty table gives
 an empty result; other columns pass through ``keep_first`` untouched and are ignored
-otherwise. Very long texts are handled whole.
+otherwise. Very long texts are handled whole. Spilled subtrees are files of their own
+task, which are gone with it; a task that is run again spills again.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, in_slices
+from .common import columns_of, cut, hot_limit, in_slices, join_salted
 
 #: Runs that differ from one single space.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -176,7 +177,8 @@ def _joined(df: DataFrame, doc_id: str, text: str, spill_bytes: int, rows: DataF
     parts = parts.mapInArrow(_combine, "size long, sha string, body binary, owner long, n long, at_owner long")
     owners = cut(parts.repartition("size", "sha").mapInArrow(_tries(spill_bytes), "sha string, owner long, n long, at_owner long"))
     found = owners.select(F.col("sha").alias("_sha"), F.col("owner").alias("_owner"), F.col("n").alias("_n"), F.col("at_owner").alias("_at"))
-    out = rows.join(found, "_sha", "left")
+    found = found.withColumn("_rows", F.col("_n"))
+    out = join_salted(rows, found, "_sha", "_rows", hot_limit(df, df.count()), ["_id"], "left")
     first = F.coalesce(F.col("_n").isNull() | F.col("_id").eqNullSafe(F.col("_owner")), F.lit(False))
     if owners.where("at_owner > 1").isEmpty():
         return out.withColumn("_kept", first)

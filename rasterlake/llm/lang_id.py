@@ -5,15 +5,15 @@ vectors, each rotated by the letter's place; a text is the sum of its trigrams,
 language is the sum of the trigrams of its learned texts. A text gets the language
 whose profile has the largest cosine with it.
 
-Learned counts cover every training row: they are summed per trigram and language on
-the executors, so what reaches the driver is bounded by languages times trigram codes,
-however large the corpus is. Profiles have their common mean taken off, so that
+Every training row is learned from: each task bundles its trigrams into one vector a language,
+and these are summed on the executors in whole numbers, so what reaches the driver is one
+vector a language, however large the corpus is. Profiles have their common mean taken off, so that
 trigrams that all languages share don't decide.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows of
 null lang aren't learned from; without any learned row every text is ``und``; ties go
 to the first language by name; whole texts are used however long; repeated rows and
-other columns change nothing.
+other columns change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from .common import columns_of, mix
 #: Letter classes (a power of two); class 0 is a run of other characters.
 _CLASSES = 64
 _CODES = _CLASSES**3
-_COUNT = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
 _OUT = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 UNKNOWN = "und"
 
@@ -78,32 +77,36 @@ def bind(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(*columns_of(batch), strict=True):
-            if lang not in sums:
-                sums[lang] = np.zeros(_CODES, np.int64)
-            codes = codes_of(text or "")
-            np.add.at(sums[lang], codes, 1)
-    for lang, n in sums.items():
-        there = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * there.size, pa.string()), pa.array(there, pa.int32()), pa.array(n[there], pa.int64())], schema=_COUNT)
+def _bundles(size: int, seed: int):
+    """One row a language and task: the sum of its trigrams' vectors, and their number behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(*columns_of(batch), strict=True):
+                if lang not in counts:
+                    counts[lang] = np.zeros(_CODES, np.int64)
+                np.add.at(counts[lang], codes_of(text or ""), 1)
+        letters = letter_vectors(size, seed)
+        for lang, n in counts.items():
+            there, total = np.flatnonzero(n), np.zeros(size, np.int64)
+            for start in range(0, there.size, 8192):
+                part = there[start : start + 8192]
+                total += n[part] @ bind(part, letters).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([[*total.tolist(), int(n.sum())]], pa.list_(pa.int64()))], names=["lang", "sums"])
+
+    return run
 
 
 def learn(df: DataFrame, lang: str = "lang", text: str = "text", size: int = 256, seed: int = 20) -> dict:
     """Profiles of the languages of ``df``."""
     rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), F.col(text))
-    sums = rows.mapInArrow(_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    letters = letter_vectors(size, seed)
-    names, profiles = sorted(sums["lang"].unique()), []
+    each = rows.mapInArrow(_bundles(size, seed), "lang string, sums array<long>").select("lang", F.posexplode("sums").alias("place", "value"))
+    found = each.groupBy("lang", "place").agg(F.sum("value").alias("value")).toPandas()
+    names, profiles = sorted(found["lang"].unique()), []
     for name in names:
-        part = sums[sums["lang"] == name]
-        codes, n = part["code"].to_numpy(), part["n"].to_numpy(np.float64)
-        total = np.zeros(size)
-        for start in range(0, codes.size, 8192):
-            total += n[start : start + 8192] @ bind(codes[start : start + 8192], letters).astype(np.float64)
-        profiles.append(total / max(1.0, n.sum()))
+        sums = found[found["lang"] == name].sort_values("place")["value"].to_numpy(np.float64)
+        profiles.append(sums[:size] / max(1.0, sums[size]))
     return {"names": names, "profiles": np.array(profiles).reshape(len(names), size), "size": size, "seed": seed}
 
 

@@ -8,8 +8,8 @@ only if its sizes allow the threshold (the size band), then only if the common b
 two hashed bitmaps allow it (from the bit counts, overlap <= |x| - |bits only in x|),
 then decided by exact intersection of the sorted sets.
 
-Whatever the size of a group, no task holds it: documents with equal sets (by a 64-bit hash
-of the set) are one representative; a route's members are dealt into blocks of ``block`` documents which
+Whatever the size of a group, no task holds it: documents with equal sets (by a 128-bit hash
+of the set) are one representative with a number of its own; a route's members are dealt into blocks of ``block`` documents which
 all hold the route's leader (its smallest id). After this first pass, routes whose
 members are not yet one component get a second pass: members outside a route's largest
 component meet every block of it, so that every pair of a route is either in one
@@ -19,12 +19,13 @@ Defined results: a null text and a text without words have an empty set, which l
 with nothing; fewer words than a shingle are one shingle; a null id takes part with no
 id of its own, and its component is the smallest id of those linked (null if none);
 repeated rows are copies; ties go to the smallest id; other columns are ignored; an
-empty table gives an empty result.
+empty table gives an empty result; very long texts take part whole, with all their shingles.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, columns_of, components, cut, in_slices, mix, table
+from .common import Forest, Tables, columns_of, components, cut, in_slices, mix
 
-_SET = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("routes", pa.list_(pa.int64()))])
-_ITEMS = pa.schema([("digest", pa.int64()), ("items", pa.binary())])
+_SET = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("routes", pa.list_(pa.int64()))])
+_ITEMS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("items", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _REMEMBERED = 400_000
 
@@ -82,9 +83,9 @@ def _routes(items: np.ndarray, seeds: np.ndarray, rows: int) -> list[int]:
     return key.astype(np.int64).tolist()
 
 
-def _name(items: np.ndarray) -> int:
-    """A set's name, 64 bits of a hash of it."""
-    return xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)
+def _name(items: np.ndarray) -> tuple[int, int]:
+    """A set's name, the halves of a 128-bit hash of it."""
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(items.tobytes()))
 
 
 def _items(k: int):
@@ -95,18 +96,19 @@ def _items(k: int):
             for batch in batches:
                 for packed in batch.column(0).to_pylist():
                     items = shingles(zlib.decompress(packed), k, words)
-                    yield _name(items), items.tobytes()
+                    yield *_name(items), items.tobytes()
 
-        yield from in_slices(made(), _ITEMS, weigh=lambda row: len(row[1]))
+        yield from in_slices(made(), _ITEMS, weigh=lambda row: len(row[2]))
 
     return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(mark, text) with the text compressed, as it is to be exchanged."""
+    """(mark, text) with the text compressed, as it is to be exchanged; each text of a batch once."""
     for batch in batches:
-        packed = [zlib.compress(text, 1) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["mark", "packed"])
+        texts = dict(zip(*columns_of(batch), strict=True))
+        packed = [zlib.compress(text, 1) for text in texts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(packed, pa.binary())], names=["mark", "packed"])
 
 
 def _sets(k: int, bands: int, rows: int):
@@ -118,7 +120,7 @@ def _sets(k: int, bands: int, rows: int):
             for batch in batches:
                 for doc, text, mark in zip(*columns_of(batch), strict=True):
                     items = shingles(text or b"", k, words)
-                    yield doc, mark, items.size, _name(items), (_routes(items, seeds, rows) if items.size else None)
+                    yield doc, mark, items.size, *_name(items), (_routes(items, seeds, rows) if items.size else None)
 
         yield from in_slices(made(), _SET)
 
@@ -196,21 +198,29 @@ def _pass(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(df: DataFrame, k: int = 4, percent: int = 85, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, class (a digest, equal for linked rows) and mark (a hash of the text)."""
+    """One row per input row: doc_id, n_shingles, component_id, class (a number, equal for linked rows) and mark (a hash of the text)."""
+    with Tables(df.sparkSession) as tables:
+        return cut(_classes(df, tables, k, percent, block, doc_id, text))
+
+
+def _classes(df: DataFrame, tables: Tables, k: int, percent: int, block: int, doc_id: str, text: str) -> DataFrame:
+    """As :func:`classes`; the result reads ``tables``."""
     bands, rows = route_plan(percent / 100)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("mark"))
-    ids = table(docs.mapInArrow(_sets(k, bands, rows), "id long, mark long, n long, digest long, routes array<long>"))
-    # a set that many rows share has one row a route
-    keys = ids.where("n > 0").groupBy("digest").agg(F.first("routes").alias("routes")).select("digest", F.explode("routes").alias("route"))
+    ids = tables.write(docs.mapInArrow(_sets(k, bands, rows), "id long, mark long, n long, d1 long, d2 long, routes array<long>"))
+    # a set that many rows share is one row; its number is written, so it is the same for all who read it
+    reps = ids.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("routes").alias("routes"))
+    reps = tables.write(reps.withColumn("digest", F.monotonically_increasing_id()))
+    keys = reps.select("digest", F.explode("routes").alias("route"))
     led = keys.groupBy("route").agg(F.min("digest").alias("leader"), F.max("digest").alias("last"), F.count("*").alias("m")).where("leader <> last")
-    kept = table(keys.join(led, "route").select("route", "digest", "leader", "m"))
+    kept = tables.write(keys.join(led, "route").select("route", "digest", "leader", "m"))
     # of the routes with the same leader, each document needs its tile once
     members = kept.groupBy("leader", "digest").agg(F.max("m").alias("m"))
-    needed = kept.select("digest").distinct()
     # their texts, one a set: only compressed texts are exchanged
-    marks = ids.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min("mark").alias("mark")).select("mark").distinct()
-    texts = docs.where("text is not null").select("mark", "text").mapInArrow(_packed, "mark long, packed binary").join(marks, "mark", "left_semi")
-    sets = table(texts.select("packed").mapInArrow(_items(k), "digest long, items binary").groupBy("digest").agg(F.first("items").alias("items")))
+    needed = reps.select("d1", "d2", "digest", "mark").join(kept.select("digest").distinct(), "digest", "left_semi")
+    texts = docs.where("text is not null").select("mark", "text").mapInArrow(_packed, "mark long, packed binary").join(needed.select("mark").distinct(), "mark", "left_semi")
+    items = texts.select("packed").mapInArrow(_items(k), "d1 long, d2 long, items binary").groupBy("d1", "d2").agg(F.first("items").alias("items"))
+    sets = tables.write(items.join(needed, ["d1", "d2"]).select("digest", "items"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
     first = members.where("digest <> leader").select(F.xxhash64("leader").alias("route"), F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"), "digest", "leader")
     tops = first.select("route", "block", F.col("leader").alias("digest")).distinct()
@@ -227,24 +237,31 @@ def classes(df: DataFrame, k: int = 4, percent: int = 85, block: int = 256, doc_
     # another component is in one chunk and meets every block; each pair (block, chunk) is a tile
     again = known.join(mains, "route").select(F.col("main").alias("route"), "digest", "comp").distinct()
     loads = again.groupBy("route").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("route")) / (4 * block)).cast("int").alias("chunks"))
-    again = table(again.join(loads, "route"))
+    again = tables.write(again.join(loads, "route"))
     left = again.withColumn("i", F.pmod(F.xxhash64("digest"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     right = again.where("comp <> route").withColumn("j", F.pmod(F.xxhash64("digest"), F.col("chunks"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = ["route", (F.col("i") * F.col("chunks") + F.col("j")).cast("int").alias("block"), "digest", "comp"]
     more = _pass(left.select(*tile).unionByName(right.select(*tile)), sets, percent)
-    every = cut(links.unionByName(more).distinct())
-    linked = components(every).withColumnRenamed("node", "digest")
+    # its links are between components of the first pass, so only these are joined again
+    more = cut(more)
+    found = comps.withColumnRenamed("node", "digest")
+    if not more.isEmpty():
+        name = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"{side}_class"))
+        upper = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
+        upper = cut(components(upper).select(F.col("node").alias("component"), F.col("component").alias("top")))
+        found = found.join(upper, "component", "left").select("digest", F.coalesce("top", "component").alias("component"))
+        alone = upper.join(comps.select(F.col("node").alias("known")), F.col("component") == F.col("known"), "left_anti")
+        found = found.unionByName(alone.select(F.col("component").alias("digest"), F.col("top").alias("component")))
     # the smallest id of each class; partial aggregation comes before each exchange
-    least = ids.where("n > 0").groupBy("digest").agg(F.min("id").alias("least")).join(linked, "digest", "left")
-    least = cut(least.select("digest", "least", F.coalesce("component", "digest").alias("class")))
+    least = reps.select("d1", "d2", "digest", "least").join(found, "digest", "left")
+    least = cut(least.select("d1", "d2", "least", F.coalesce("component", "digest").alias("class")))
     smallest = least.groupBy("class").agg(F.min("least").alias("smallest"))
-    found = least.join(smallest, "class").select("digest", "class", "smallest")
-    empty = F.col("n") == 0
-    return ids.select("id", "mark", "n", "digest").join(found, "digest", "left").select(
+    found = least.join(smallest, "class").select("d1", "d2", "class", "smallest")
+    return ids.select("id", "mark", "n", "d1", "d2").join(found, ["d1", "d2"], "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("id")).otherwise(F.coalesce("smallest", "id")).alias("component_id"),
-        F.when(~empty, F.coalesce("class", "digest")).alias("class"),
+        F.coalesce("smallest", "id").alias("component_id"),
+        "class",
         "mark",
     )
 

@@ -1,7 +1,8 @@
 """Best-fit packing with conflicts.
 
-Documents are dealt into shards by a hash of their id, so that a shard has about
-``shard_rows`` documents whatever source or duplicate cluster is frequent. In a shard,
+Documents are dealt into shards by a hash of their id, length, source and cluster, so that a
+shard has about ``shard_rows`` documents whatever source or duplicate cluster is frequent;
+rows that are equal in all four and more than a shard's share are dealt on by their number. In a shard,
 documents go from the longest to the shortest. A document longer than a bin first fills
 whole bins of its own; its last part is packed. Bins are ordered by residual; each has a
 bitmap of the duplicate clusters and, in ``per_source`` planes, of the sources that it
@@ -10,9 +11,10 @@ one until a bin has neither the document's cluster nor its source in every plane
 bin is the tightest compatible one. Otherwise a new bin is opened.
 
 Defined results: a null or empty text has length 0 and is placed as a part of length 0;
-a null source or cluster conflicts with nothing; rows of a null id share a shard chosen
-by their length; repeated rows are placed once each (they share a cluster, so in
-different bins); ties in length go by id as text; an empty table has no bins.
+a null source or cluster conflicts with nothing; repeated rows are placed once each (they
+share a cluster, so in different bins of their shard); ties in length go by id as text, null
+ids last; an empty table has no bins; very long texts fill bins of their own; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Tables, cut, hot_limit
+
 _DDL = "doc_id string, part long, bin_id string, offset long, length long, start long"
 
 
@@ -100,8 +104,12 @@ def pack(
         F.col(source).cast("string").alias("source"),
         (F.when(F.coalesce(F.octet_length(text), F.lit(0)) > 0, key) if cluster is None else F.when(F.col(cluster).isNotNull(), key)).alias("cluster"),
     )
-    shards = max(1, -(-df.count() // shard_rows))
-    spread = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("length", "source", "cluster"))), F.lit(shards))
-    return rows.withColumn("shard", spread).groupBy("shard").applyInPandas(_shard(capacity, per_source), _DDL).withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
+    with Tables(df.sparkSession) as tables:
+        rows = tables.write(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("doc_id", "length", "source", "cluster")))
+        total = rows.count()
+        shards = max(1, -(-total // shard_rows))
+        most = max(shard_rows, hot_limit(df, total))  # so fewer keys are broadcast than four a shuffle partition
+        hot = rows.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > most).select("h", F.ceil(F.col("c") / shard_rows).alias("c"))
+        rows = rows.join(F.broadcast(hot), "h", "left").withColumn("shard", F.pmod(F.xxhash64("h", F.pmod("row", "c")), F.lit(shards)))
+        rows = rows.select("doc_id", "length", "source", "cluster", "shard")
+        return cut(rows.groupBy("shard").applyInPandas(_shard(capacity, per_source), _DDL).withColumn("doc_id", F.col("doc_id").cast("long")))

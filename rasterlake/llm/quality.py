@@ -15,7 +15,8 @@ scored over its whole text.
 
 Defined results: a null or empty text has the features of no words and gets a score as
 any other; without labelled rows, or with one class only, the score is the share of
-label 1 (0.5 without rows); repeated rows score the same; other columns are ignored.
+label 1 (0.5 without rows); repeated rows score the same; other columns are ignored; an empty table
+gives no rows; very long texts and words are read whole.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        shape = _RUN.sub(r"\1", word[:64].translate(_SHAPE))
+        shape = _RUN.sub(r"\1", word.translate(_SHAPE))
         found = self[word] = xxhash.xxh3_64_intdigest(word) % WORDS << 16 | WORDS + xxhash.xxh3_64_intdigest(shape) % SHAPES
         return found
 

@@ -20,9 +20,9 @@ A key with more than ``hot`` different edges is not given to one suffix array: i
 are dealt by single windows, which need no array, as a group of equal windows is a
 repeat. Occurrences become spans of bytes; spans of a text are merged.
 
-``strip`` can also be given a number of ``words``: then a passage of so many words that is found
-anywhere else goes too, however short its words are. The same search runs over the words'
-64-bit hashes in place of the bytes, so white space between words may differ.
+The same search runs over words in place of bytes: a symbol is then a word's 64-bit hash, so
+white space between words may differ. ``strip`` with a number of ``words`` also cuts passages
+of so many words that are found anywhere else, and ``digests`` counts them.
 
 Texts are named by 128 bits of their SHA-256, so copies of a text are one text with a flag: a text
 that several rows have is removed whole if it has ``length`` bytes.
@@ -38,7 +38,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,23 +46,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, in_slices, mix, release, table, written
+from .common import Tables, columns_of, cut, hot_limit, in_slices, join_salted, mix
 
 _TEXT = pa.schema([("sha", pa.binary()), ("body", pa.binary())])
 _ANCHOR = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("place", pa.int64())])
 _ROW = pa.schema([("key", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("sha", pa.binary()), ("at", pa.int32()), ("many", pa.bool_())])
 _SPAN = pa.schema([("sha", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
-#: A word as bytes.split() has it, and the bytes of its code.
+#: A word as bytes.split() has it, and the bytes of its hash.
 _WORD = re.compile(rb"[^ \t-\r]+")
 _CODE = 8
+_NUMBERS = {1: np.uint8, _CODE: np.uint64}
 #: Rows that a task holds before it sends them.
 _HELD = 150_000
 _DDL_ROW = "key binary, left binary, right binary, sha binary, at int, many boolean"
 
 
-def _gram_hashes(body: bytes, gram: int) -> np.ndarray:
-    """Hash of the ``gram`` bytes (a power of two) from each place, by doubling."""
-    h = mix(np.frombuffer(body, np.uint8), 5)
+def _gram_hashes(body: bytes, gram: int, unit: int = 1) -> np.ndarray:
+    """Hash of the ``gram`` symbols (a power of two) of ``unit`` bytes from each place, by doubling."""
+    h = mix(np.frombuffer(body, _NUMBERS[unit]), 5)
     size = 1
     while size < gram:
         h = h[:-size] * np.uint64(0x9E3779B97F4A7C15 | 1) ^ ((h[size:] << np.uint64(7)) | (h[size:] >> np.uint64(57)))
@@ -71,9 +72,9 @@ def _gram_hashes(body: bytes, gram: int) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchors(body: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(hash, place, first window, last window) of the anchors of a text."""
-    h = _gram_hashes(body, gram)
+def anchors(body: bytes, length: int, gram: int, unit: int = 1) -> tuple[np.ndarray, ...]:
+    """(hash, place, first window, last window) of the anchors of a text, counted in symbols."""
+    h = _gram_hashes(body, gram, unit)
     span = length - gram + 1  # grams in a window
     windows = h.size - span + 1
     padded = np.full(-(-h.size // span) * span, np.iinfo(np.uint64).max, np.uint64)
@@ -103,7 +104,7 @@ def anchors(body: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return h[at], at, np.array(out_first, np.int64), np.array(out_last, np.int64)
 
 
-def _anchors(length: int, gram: int):
+def _anchors(length: int, gram: int, unit: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shas, bodies = columns_of(batch)
@@ -111,10 +112,10 @@ def _anchors(length: int, gram: int):
             parts: list[list[np.ndarray]] = [[], [], [], []]
             names: list[bytes] = []
             for sha, body in zip(shas, bodies, strict=True):
-                if len(body) < length or sha in seen:
+                if len(body) < length * unit or sha in seen:
                     continue
                 seen.add(sha)
-                found = anchors(body, length, gram)
+                found = anchors(body, length, gram, unit)
                 for part, values in zip(parts, found, strict=True):
                     part.append(values)
                 names += [sha] * found[0].size
@@ -126,8 +127,11 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _rows(length: int, step: int):
-    """Rows of the blocks of repeated anchors; equal rows of a batch are marked here and sent once."""
+def _rows(length: int, step: int, unit: int = 1):
+    """Rows of the blocks of repeated anchors; equal rows of a batch are marked here and sent once.
+
+    Places are counted in symbols; keys and edges are bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,23 +152,31 @@ def _rows(length: int, step: int):
                     for block in range((at - last) // step, (at - first) // step + 1):
                         low, high = max(at - last, block * step), min(at - first, block * step + step - 1)
                         core0, core1 = at - block * step, at + length - block * step - step + 1
-                        key = xxhash.xxh3_128_digest(body[core0:core1]) + block.to_bytes(2, "little")
-                        row = key, body[at - high : core0], body[core1 : at + length - low]
+                        key = xxhash.xxh3_128_digest(body[core0 * unit : core1 * unit]) + block.to_bytes(2, "little")
+                        begin, end = at - high, at + length - low
+                        row = key, body[begin * unit : core0 * unit], body[core1 * unit : end * unit]
                         mark = found.get(row)
                         if mark is None:
                             found[row] = [sha, core0, False]
                         else:
                             if not mark[2]:
-                                spans.append((mark[0], mark[1] - len(row[1]), mark[1] + length - step + 1 + len(row[2])))
+                                spans.append((mark[0], mark[1] - core0 + begin, mark[1] - core0 + end))
                                 mark[2] = True
-                            spans.append((sha, core0 - len(row[1]), core1 + len(row[2])))
+                            spans.append((sha, begin, end))
             yield from in_slices(((*row, sha, at, many) for row, (sha, at, many) in found.items()), _ROW)
             yield from in_slices(((sha, stop.to_bytes(4, "little"), b"", sha, start, None) for sha, start, stop in _merge_spans(spans)), _ROW)
 
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sha, body compressed), each text of a batch once: a group of copies is merged before the exchange."""
+    for batch in batches:
+        texts = dict(zip(*columns_of(batch), strict=True))
+        yield from _pack([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(texts.values(), pa.binary())], schema=_TEXT)])
+
+
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column compressed, as it is to be exchanged; the others as they are."""
     for batch in batches:
         packed = pa.array([zlib.compress(body, 1) for body in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
@@ -236,17 +248,21 @@ class SuffixArray:
                     stack.append([depth, first, sign, differs])
 
 
-def covered(rows: list[tuple], length: int, step: int) -> Iterator[tuple]:
+def covered(rows: list[tuple], length: int, step: int, unit: int = 1) -> Iterator[tuple]:
     """Spans of the windows that repeat among rows (key, left, right, sha, at, many)."""
     keys = {key: i for i, key in enumerate(sorted({row[0] for row in rows}))}
-    base, n = 256 + len(keys), len(rows)
-    sizes = np.array([len(row[1]) + len(row[2]) + 2 for row in rows])
+    n = len(rows)
+    lefts = np.array([len(row[1]) // unit for row in rows])
+    sizes = lefts + np.array([len(row[2]) // unit for row in rows]) + 2
     ends = np.cumsum(sizes)
-    symbols = np.empty(int(ends[-1]), np.int64)
-    core = ends - sizes + np.array([len(row[1]) for row in rows])
-    raw = np.frombuffer(b"".join(row[1] + b"\0" + row[2] + b"\0" for row in rows), np.uint8)
-    symbols[:] = raw
-    symbols[core] = 256 + np.array([keys[row[0]] for row in rows])
+    core, blank = ends - sizes + lefts, b"\0" * unit
+    raw = np.frombuffer(b"".join(row[1] + blank + row[2] + blank for row in rows), _NUMBERS[unit])
+    if unit > 1:
+        raw = np.unique(raw, return_inverse=True)[1]
+    symbols = raw.astype(np.int64)
+    top = int(symbols.max()) + 1
+    base = top + len(keys)
+    symbols[core] = top + np.array([keys[row[0]] for row in rows])
     symbols[ends - 1] = base + np.arange(n)  # separators, each once
     array = SuffixArray(symbols, 2 * step)
     before = np.empty_like(symbols)
@@ -263,7 +279,7 @@ def covered(rows: list[tuple], length: int, step: int) -> Iterator[tuple]:
             yield rows[i][3], start, rows[i][4] + length - step + int(high[i] - core[i])
 
 
-def _arrays(length: int, step: int, symbols: int = 1 << 20):
+def _arrays(length: int, step: int, unit: int = 1, symbols: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans():
             held, group, key, weight = [], [], None, 0
@@ -275,54 +291,67 @@ def _arrays(length: int, step: int, symbols: int = 1 << 20):
                     if row[0] != key:
                         if len(group) > 1:
                             held += group
-                            weight += sum(len(x[1]) + len(x[2]) + 2 for x in group)
+                            weight += sum(len(x[1]) + len(x[2]) + 2 * unit for x in group) // unit
                         if weight > symbols:
-                            yield from covered(held, length, step)
+                            yield from covered(held, length, step, unit)
                             held, weight = [], 0
                         group, key = [], row[0]
                     if group and group[-1][1:3] == row[1:3]:  # equal edges meet: sorted
                         for x in (group[-1], row):
                             if x[3] is not None:
-                                yield x[3], x[4] - len(x[1]), x[4] + length - step + 1 + len(x[2])
+                                yield x[3], x[4] - len(x[1]) // unit, x[4] + length - step + 1 + len(x[2]) // unit
                         group[-1] = (*row[:3], None, None, True)
                         continue
                     group.append(row)
             if len(group) > 1:
                 held += group
             if held:
-                yield from covered(held, length, step)
+                yield from covered(held, length, step, unit)
 
         yield from in_slices(spans(), _SPAN)
 
     return run
 
 
-def spans_of(docs: DataFrame, length: int = 400, gram: int = 64, step: int = 32, hot: int = 256, first=None) -> DataFrame:
-    """Repeated spans (sha, spans) of ``docs`` (sha, body), or of what ``first`` makes of its batches; one row a text that has any."""
+def _spans(docs: DataFrame, tables: Tables, length: int, gram: int, step: int, hot: int, unit: int = 1, first=None) -> DataFrame:
+    """Repeated spans (sha, spans) of ``docs`` (sha, body), or of what ``first`` makes of its batches; one row a text that has any.
+
+    Lengths and spans are counted in symbols of ``unit`` bytes. The result reads ``tables``.
+    """
+    if gram & (gram - 1) or not 0 < gram <= length - step + 1 or not 0 < length < 1 << 16:
+        raise ValueError("gram must be a power of two of at most length - step + 1, and length below 65,536")
     after = lambda run: (lambda batches: run(first(batches))) if first else run
-    found = table(docs.mapInArrow(after(_anchors(length, gram)), "h long, sha binary, place long"))
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = found.join(twice, "h").groupBy("sha").agg(F.collect_set("place").alias("places"))
-    packed = docs.mapInArrow(after(_pack), "sha binary, packed binary")
-    rows = table(packed.join(places, "sha").select("sha", "packed", "places").mapInArrow(_rows(length, step), _DDL_ROW))
+    found = tables.write(docs.mapInArrow(after(_anchors(length, gram, unit)), "h long, sha binary, place long"))
+    limit = hot_limit(docs, found.count())
+    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    places = join_salted(found, twice, "h", "c", limit, ["sha", "place"]).groupBy("sha").agg(F.collect_set("place").alias("places"))
+    packed = docs.mapInArrow(after(_pack_once), "sha binary, packed binary")
+    rows = tables.write(packed.join(places, "sha").select("sha", "packed", "places").mapInArrow(_rows(length, step, unit), _DDL_ROW))
     blocks, done = rows.where("many is not null"), rows.where("many is null")
-    loads = blocks.groupBy("key").agg(F.count("*").alias("c"), F.max("many").alias("m")).where("c > 1")
-    shared = blocks.join(loads.select("key", "c"), "key")
-    mild = shared.where(F.col("c") <= hot).drop("c").repartition("key").sortWithinPartitions("key", "left", "right").mapInArrow(_arrays(length, step), "sha binary, start int, stop int")
-    # windows of the hot keys, one by one: t bytes of the left edge and the rest of the right one
-    t = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(step - 1) - F.length("right")), F.least(F.length("left"), F.lit(step - 1))))
-    single = shared.where(F.col("c") > hot).withColumn("t", t)
-    edges = F.expr("substring(left, length(left) - t + 1, t)"), F.expr(f"substring(right, 1, {step - 1} - t)")
-    single = single.withColumn("w", F.sha2(F.concat("key", *edges, F.col("t").cast("string").cast("binary")), 256))
-    twice = single.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-    each = single.join(twice, "w").select("sha", (F.col("at") - F.col("t")).cast("int").alias("start"), (F.col("at") - F.col("t") + length).cast("int").alias("stop"))
-    local = done.mapInArrow(_arrays(length, step), "sha binary, start int, stop int")
+    limit = hot_limit(docs, rows.count())
+    loads = blocks.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("n", F.col("c"))
+    shared = join_salted(blocks, loads, "key", "c", limit, ["sha", "at"]).withColumnRenamed("n", "c")
+    mild = shared.where(F.col("c") <= hot).drop("c").repartition("key").sortWithinPartitions("key", "left", "right").mapInArrow(_arrays(length, step, unit), "sha binary, start int, stop int")
+    # windows of the hot keys, one by one: t symbols of the left edge and the rest of the right one
+    t = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(step - 1) - F.expr(f"length(right) div {unit}")), F.least(F.expr(f"length(left) div {unit}"), F.lit(step - 1))))
+    single = shared.where(F.col("c") > hot).drop("c").withColumn("t", t)
+    edges = F.expr(f"substring(left, length(left) - cast(t as int) * {unit} + 1, cast(t as int) * {unit})"), F.expr(f"substring(right, 1, ({step - 1} - cast(t as int)) * {unit})")
+    single = single.withColumn("w", F.sha2(F.concat("key", *edges, F.col("t").cast("string").cast("binary")), 256)).select("w", "sha", "at", "t")
+    twice = single.groupBy("w").agg(F.count("*").alias("k")).where("k > 1")
+    each = join_salted(single, twice, "w", "k", limit, ["sha", "at"]).select("sha", (F.col("at") - F.col("t")).cast("int").alias("start"), (F.col("at") - F.col("t") + length).cast("int").alias("stop"))
+    local = done.mapInArrow(_arrays(length, step, unit), "sha binary, start int, stop int")
     every = mild.unionByName(each).unionByName(local)
     return every.groupBy("sha").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
+def spans_of(docs: DataFrame, length: int = 400, gram: int = 64, step: int = 32, hot: int = 256) -> DataFrame:
+    """Repeated spans of bytes (sha, spans) of ``docs`` (sha, body); one row a text that has any."""
+    with Tables(docs.sparkSession) as tables:
+        return cut(_spans(docs, tables, length, gram, step, hot))
+
+
 class _Codes(dict):
-    """Codes of words, in bounded memory."""
+    """Hashes of words, in bounded memory."""
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > 100_000:
@@ -332,7 +361,7 @@ class _Codes(dict):
 
 
 def _coded(words: int):
-    """(sha, codes of the words) of the texts of at least ``words`` words."""
+    """(sha, hashes of the words) of the texts of at least ``words`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
@@ -344,9 +373,10 @@ def _coded(words: int):
     return run
 
 
-def word_spans_of(docs: DataFrame, words: int, gram: int = 64, step: int = 64, **options) -> DataFrame:
-    """Spans of repeated windows of ``words`` words (sha, spans) of ``docs`` (sha, body), as places in the codes."""
-    return spans_of(docs, _CODE * words, gram, step, first=_coded(words), **options)
+def word_spans_of(docs: DataFrame, words: int, gram: int = 8, step: int = 8, hot: int = 256) -> DataFrame:
+    """Repeated windows of ``words`` words (sha, spans) of ``docs`` (sha, body), as numbers of words."""
+    with Tables(docs.sparkSession) as tables:
+        return cut(_spans(docs, tables, words, gram, step, hot, _CODE, _coded(words)))
 
 
 def _bodies(df: DataFrame, text: str) -> DataFrame:
@@ -355,70 +385,70 @@ def _bodies(df: DataFrame, text: str) -> DataFrame:
 
 
 def joined(spans: list, size: int, whole: bool, length: int) -> list[list[int]]:
-    """Maximal removed runs of a text of ``size`` bytes."""
+    """Maximal removed runs of a text of ``size`` bytes (or words)."""
     if whole and size >= length:
         return [[0, size]]
     return [[start, stop] for _, start, stop in _merge_spans([(0, x["start"], x["stop"]) for x in spans or []])]
 
 
 def with_passages(runs: list[list[int]], body: bytes, passages: list | None, whole: bool, words: int) -> list[list[int]]:
-    """``runs`` and the repeated passages of words, whose spans are places in the codes."""
+    """``runs`` and the repeated passages of words, whose spans are numbers of words."""
     if not passages and not whole:
         return runs
     places = [match.span() for match in _WORD.finditer(body)]
     if whole and len(places) >= words:
         return [[0, len(body)]]
     found = [(0, *run) for run in runs]
-    for start, stop in joined(passages, _CODE * len(places), False, 0):
-        first, last = -(-start // _CODE), stop // _CODE - 1  # a neighbour's code may begin or end alike
-        found.append((0, places[first][0], places[last][1]))
+    found += [(0, places[start][0], places[stop - 1][1]) for start, stop in joined(passages, len(places), False, words)]
     return [[start, stop] for _, start, stop in _merge_spans(found)]
 
 
-def _digests(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+def _digests(length: int, words: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for doc, packed, copies, spans in zip(*columns_of(batch), strict=True):
-                    body = zlib.decompress(packed)
-                    runs, at, kept = joined(spans, len(body), (copies or 0) > 1, length), 0, hashlib.sha256()
+                for doc, packed, copies, spans, passages in zip(*columns_of(batch), strict=True):
+                    body, whole = zlib.decompress(packed), (copies or 0) > 1
+                    runs, at, kept = joined(spans, len(body), whole, length), 0, hashlib.sha256()
                     for start, stop in runs:
                         kept.update(body[at:start])
                         at = stop
                     kept.update(body[at:])
-                    yield doc, len(body), sum(b - a for a, b in runs), len(runs), kept.hexdigest()
+                    n = len(joined(passages, len(body.split()) if whole else 0, whole, words))
+                    yield doc, len(body), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), n
 
         yield from in_slices(rows(), schema)
 
     return run
 
 
-def with_spans(df: DataFrame, text: str, length: int = 400, words: int | None = None, **options) -> DataFrame:
-    """The first column of ``df``, then packed (the compressed text), copies (null: one) and spans (null: none).
+def with_spans(df: DataFrame, text: str, length: int = 400, words: int = 51, **options) -> DataFrame:
+    """The first column of ``df``, then packed (the compressed text), copies (null: one), spans and passages (null: none).
 
-    With ``words``, a column passages follows: spans of the repeated passages of so many words.
+    ``spans`` are of bytes, ``passages`` of words. The result reads ``df`` and marks that are checkpoints.
     """
     docs = _bodies(df, text)
-    passages = None
-    if words:
-        since = written()
-        passages = cut(word_spans_of(docs.select("sha", "body"), words).withColumnRenamed("spans", "passages"))
-        release(df.sparkSession, since)
-    spans = spans_of(docs.select("sha", "body").where(F.length("body") >= length), length, **options)
+    texts = docs.select("sha", "body")
+    passages = word_spans_of(texts, words).withColumnRenamed("spans", "passages")
+    spans = spans_of(texts.where(F.length("body") >= length), length, **options)
     copies = docs.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")
-    marks = spans.join(copies, "sha", "full")
-    marks = cut(marks if passages is None else marks.join(passages, "sha", "full"))
+    marks = cut(spans.join(copies, "sha", "full").join(passages, "sha", "full"))
     first = df.columns[0]
     packed = docs.select(first, "sha", "body").mapInArrow(_pack, f"{first} {df.schema[first].dataType.simpleString()}, sha binary, packed binary")
-    return packed.join(marks, "sha", "left").select(first, "packed", "copies", "spans", *["passages"] * bool(words))
+    marks = marks.withColumn("n", F.coalesce("copies", F.lit(1)))
+    return join_salted(packed, marks, "sha", "n", hot_limit(df, df.count()), [first], "left").select(first, "packed", "copies", "spans", "passages")
 
 
-def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, **options) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = with_spans(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", length, **options)
-    return rows.mapInArrow(_digests(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, words: int = 51, **options) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages.
+
+    The first five are of strings of ``length`` bytes; n_passages counts the maximal runs of
+    words all in passages of ``words`` words that are found elsewhere, which go with ``strip``.
+    """
+    rows = with_spans(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", length, words, **options)
+    return rows.mapInArrow(_digests(length, words), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")
 
 
 def _whole_characters(body: bytes, start: int, stop: int) -> tuple[int, int]:
@@ -430,15 +460,15 @@ def _whole_characters(body: bytes, start: int, stop: int) -> tuple[int, int]:
     return start, stop
 
 
-def _strip(length: int, words: int | None):
+def _strip(length: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for packed, copies, spans, *passages in zip(*(column.to_pylist() for column in batch.columns[1:]), strict=True):
+            for packed, copies, spans, passages in zip(*(column.to_pylist() for column in batch.columns[1:]), strict=True):
                 body, kept, at = zlib.decompress(packed), [], 0
                 whole = (copies or 0) > 1
                 runs = joined(spans, len(body), whole, length)
-                for start, stop in with_passages(runs, body, passages[0], whole, words) if words else runs:
+                for start, stop in with_passages(runs, body, passages, whole, words):
                     start, stop = _whole_characters(body, start, stop)
                     kept.append(body[at:start])
                     at = stop
@@ -448,10 +478,10 @@ def _strip(length: int, words: int | None):
     return run
 
 
-def strip(df: DataFrame, text: str = "text", length: int = 400, words: int | None = None, **options) -> DataFrame:
+def strip(df: DataFrame, text: str = "text", length: int = 400, words: int = 51, **options) -> DataFrame:
     """The rows of ``df`` with the removed bytes gone from ``text``, whole characters only.
 
-    With ``words``, passages of so many words that are found anywhere else go as well.
+    Passages of ``words`` words that are found anywhere else go as well.
     A column n_chars gets the new length. Rows of which nothing but white space is left,
     though there was more, go; null texts stay null.
     """

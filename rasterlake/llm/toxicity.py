@@ -1,6 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Tokens are runs of letters and digits, lower-cased; their features are the word, its
+Tokens are runs of letters and digits, each lower-cased by itself, so that the offsets of
+spans are characters of the text as it is; their features are the word, its
 first three to six characters and its last three. The labelled tokens come from the
 labelled documents: a feature that hardly any documents but toxic ones have, and that more
 of these have than chance explains at the sample's share of toxic documents (see
@@ -11,12 +12,13 @@ documents at once gives each token's marginal; a document's score is its largest
 marginal, and the tokens above ``mark`` are its spans.
 
 The model is fitted on at most ``rows`` labelled documents (a bounded sample, see
-``labelled_sample``), and the field on all toxic documents of these and as many others; what
-reaches the driver is bounded by the sample. Every document is scored over its whole text.
+``labelled_sample``), and the field on all toxic documents of these and as many others, of
+which no more than ``most_tokens`` tokens reach the driver (documents by their hash; one that
+doesn't fit is left out). Every document is scored over its whole text.
 
 Defined results: a null text, or one without a token, has score 0 and no span; without
 labelled rows or toxic tokens every score is 0; repeated rows score the same; other
-columns are ignored.
+columns are ignored; an empty table gives no rows; very long texts are one chain.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, in_slices, labelled_sample
+from .common import columns_of, cut, in_slices, labelled_sample
 
 BUCKETS = 1 << 20
 #: Features of a word.
@@ -40,7 +42,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("spans", pa.
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    return [word.lower() for word in _TOKEN.findall(text)]
 
 
 def features(word: str) -> list[int]:
@@ -100,12 +102,14 @@ def _chains(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked, known = sent.value, _Features()
         for batch in batches:
-            xs, ys = [], []
+            hashes, sizes, xs, ys = [], [], [], []
             for text, label in zip(*columns_of(batch), strict=True):
                 x = np.array([known[word] for word in tokens(text)], np.int32).reshape(-1, PER_WORD)
+                hashes.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
+                sizes.append(len(x))
                 xs.append(x.tobytes())
                 ys.append((marked[x].any(1) & bool(label)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["hash", "n", "x", "y"])
 
     return run
 
@@ -195,7 +199,7 @@ def train_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 30
     return {"used": used, "weights": p[0], "moves": p[1], "start": p[2], "bias": float(p[3][0])}
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10000, others: int = 300, purity: float = 0.95) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10000, others: int = 300, purity: float = 0.95, most_tokens: int = 2_000_000) -> dict | None:
     """The field, or None without anything toxic to learn."""
     sample = labelled_sample(docs, labels, label, rows).coalesce(6)
     counts, sizes = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
@@ -208,8 +212,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     sent = docs.sparkSession.sparkContext.broadcast(marked)
     some = sample.where("label = 0").orderBy(F.xxhash64("text")).limit(max(others, int(sizes[1])))
     few = sample.where("label = 1").unionByName(some).coalesce(4)
-    found = few.mapInArrow(_chains(sent), "x binary, y binary").toPandas()
-    pairs = sorted((bytes(x), bytes(y)) for x, y in zip(found["x"], found["y"], strict=True) if len(y))
+    chains = cut(few.mapInArrow(_chains(sent), "hash long, n long, x binary, y binary").where("n > 0"))
+    total, taken = 0, []
+    for row in chains.groupBy("hash").agg(F.sum("n").alias("n")).orderBy("hash").collect():  # numbers of at most 2 * rows texts
+        if total + row.n <= most_tokens:
+            total += row.n
+            taken.append((row.hash,))
+    if not taken:
+        return None
+    found = chains.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "hash long")), "hash").select("x", "y").toPandas()
+    pairs = sorted((bytes(x), bytes(y)) for x, y in zip(found["x"], found["y"], strict=True))
     x = np.concatenate([np.frombuffer(a, np.int32).reshape(-1, PER_WORD) for a, _ in pairs])
     y = np.concatenate([np.frombuffer(b, np.uint8) for _, b in pairs]).astype(np.float64)
     first = np.zeros(y.size, bool)
@@ -221,10 +233,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 
 
 def spans_in(text: str, marginals: np.ndarray, mark: float) -> list[dict]:
-    """Offsets (in characters of the text lower-cased) of runs of tokens above ``mark``."""
+    """Offsets (in characters of the text) of runs of tokens above ``mark``."""
     out: list[dict] = []
     open_ = False
-    for match, p in zip(_TOKEN.finditer(text.lower()), marginals.tolist(), strict=True):
+    for match, p in zip(_TOKEN.finditer(text), marginals.tolist(), strict=True):
         if p >= mark and open_:
             out[-1]["stop"] = match.end()
         elif p >= mark:

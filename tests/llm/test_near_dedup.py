@@ -83,3 +83,37 @@ def test_jaccard(spark):
         assert {i: r.component_id for i, r in got.items()} == want
         assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
     assert ngram_join.classes(df.limit(0)).collect() == []
+
+
+def test_second_pass_finds_what_the_first_leaves(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(400)]
+    texts = []
+    for _ in range(3):
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        for _ in range(25):
+            base[rng.randrange(120)] = rng.choice(vocabulary)
+            texts.append(" ".join(base))
+    sets = [sets_of(t, 4) for t in texts]
+    want = closure(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole, calls = ngram_join._pass, []
+
+    def some(*args):
+        calls.append(args)
+        return whole(*args).where("a % 3 = 0") if len(calls) == 1 else whole(*args)
+
+    monkeypatch.setattr(ngram_join, "_pass", some)
+    assert {r.doc_id: r.component_id for r in ngram_join.classes(df, block=2).collect()} == want
+
+
+def test_null_and_repeated_ids(spark):
+    row = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(None, row, "a"), (None, row, "a"), (4, row, "a"), (4, [1.0, 2.0, 3.0001], "a"), (5, row, "b"), (6, row, None)], "vec_id long, embedding array<double>, label string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_dedup(df).collect()), key=str)
+    assert got == sorted([(None, 3, 4, False), (None, 3, 4, False), (4, 3, 4, True), (4, 3, 4, True), (5, 0, 5, True), (6, 0, 6, True)], key=str)
+    labels = spark.createDataFrame([(1, [1.0, 1.0], 1.2), (2, [1.0, 1.0], 1.7), (3, [2.0, 2.0], 1.2), (4, [1.0, 1.0], -0.0), (5, [1.0, 1.0], 0.0)], "vec_id long, embedding array<float>, label double")
+    assert {r.vec_id: r.component_id for r in embed_dedup.near_dedup(labels).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+    texts = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (7, "x"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.classes(texts).collect()), key=str)
+    assert got == sorted([(None, 2, 7), (None, 2, 7), (7, 2, 7), (7, 1, 7), (None, 0, None)], key=str)

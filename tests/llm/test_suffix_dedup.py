@@ -23,6 +23,20 @@ def brute(texts, length):
     return out
 
 
+def passages(texts, n):
+    """How many maximal runs of words each text has that lie in windows of ``n`` words found elsewhere."""
+    split = [(t or "").split() for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in split for i in range(len(w) - n + 1))
+    out = []
+    for w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                gone[i : i + n] = [True] * n
+        out.append(sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)))
+    return out
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(n))
 
@@ -42,8 +56,11 @@ def test_matches_brute_force(spark, seed):
     texts += [texts[12], texts[13]]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, sha string").repartition(3)
     for hot in (256, 2):
-        got = {r[0]: tuple(r[1:]) for r in suffix_dedup.digests(df, hot=hot).collect()}
+        rows = suffix_dedup.digests(df, hot=hot).collect()
+        got = {r[0]: tuple(r[1:5]) for r in rows}
         assert [got[i] for i in range(len(texts))] == brute(texts, 400)
+        found = {r.doc_id: r.n_passages for r in rows}
+        assert [found[i] for i in range(len(texts))] == passages(texts, 51)
 
 
 def test_empty_table(spark):
