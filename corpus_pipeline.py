@@ -11,43 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import exact_dedup, lang_id, ngram_join, packing, suffix_dedup
-from rasterlake.llm.common import ensure_checkpoints, sweep, training_half
+from rasterlake.llm.common import ensure_checkpoints, training_half
 from rasterlake.session import ship
 
 
-def _start(spark: SparkSession) -> None:
-    """``docs`` is written, so what earlier stages put aside may go."""
-    ship(spark)
-    sweep(spark)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identified language go: null texts and texts without a letter."""
-    _start(spark)
+    ship(spark)
     return lang_id.predict(docs, lang_id.learn(docs.where(training_half()))).where(F.col("lang_pred") != lang_id.UNKNOWN).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    _start(spark)
+    ship(spark)
     return exact_dedup.keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at 0.8 or more the smallest id stays."""
-    _start(spark)
+    ship(spark)
     return ngram_join.keep_one(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of over 50 words, and byte strings of 400, that start at several places are cut out of the texts."""
-    _start(spark)
+    ship(spark)
     return suffix_dedup.strip(docs, words=51)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every part of every document goes."""
-    _start(spark)
+    ship(spark)
     return packing.pack(docs)
 
 
@@ -65,10 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written as Parquet and read again."""
-    ensure_checkpoints(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    place = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    place = f"{ensure_checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{i}")
         docs = spark.read.parquet(f"{place}/{i}")
