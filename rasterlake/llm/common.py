@@ -56,13 +56,17 @@ class Tables:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
-        """Delete the tables, and let Spark drop the shuffle files of plans that nothing refers to any more."""
+        """Delete the tables, then :meth:`release`."""
         while self.paths:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        self.release()
 
     def __enter__(self) -> Tables:
         return self

@@ -16,13 +16,18 @@ else. Finding these strings without one suffix array of the whole corpus:
    (``length`` bytes) whose suffixes have different symbols to their left is a maximal
    repeat, reported with all its occurrences.
 
-A key with more than ``hot`` different edges is not given to one suffix array: its rows
-are dealt by single windows, which need no array, as a group of equal windows is a
-repeat. Occurrences become spans of bytes; spans of a text are merged.
+A key of more than ``hot`` rows is split before it is sent: half of a block's windows hold
+the first half of the right edge, the others the last half of the left edge, so each half
+is a block of ``step / 2`` with that much longer cores, whose rows are far fewer a key. This
+is repeated while keys are hot; in blocks of one window the core is all of it, and a key of
+several rows is a repeat as it stands. Occurrences become spans of bytes; spans of a text
+are merged.
 
 The same search runs over words in place of bytes: a symbol is then a word's 64-bit hash, so
-white space between words may differ. ``strip`` with a number of ``words`` also cuts passages
-of so many words that are found anywhere else, and ``digests`` counts them.
+white space between words may differ. ``strip`` also cuts passages of ``words`` words that are
+found anywhere else, and ``digests`` counts them.
+
+``repeats`` returns the maximal repeats themselves, one row an occurrence.
 
 Texts are named by 128 bits of their SHA-256, so copies of a text are one text with a flag: a text
 that several rows have is removed whole if it has ``length`` bytes.
@@ -38,7 +43,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +56,59 @@ from .common import Tables, columns_of, cut, hot_limit, in_slices, join_salted,
 
 _TEXT = pa.schema([("sha", pa.binary()), ("body", pa.binary())])
 _ANCHOR = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("place", pa.int64())])
-_ROW = pa.schema([("key", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("sha", pa.binary()), ("at", pa.int32()), ("many", pa.bool_())])
+_ROW = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("sha", pa.binary()), ("at", pa.int32()), ("stop", pa.int32())])
+_DDL_ROW = "kind int, key binary, left binary, right binary, sha binary, at int, stop int"
 _SPAN = pa.schema([("sha", pa.binary()), ("start", pa.int32()), ("stop", pa.int32())])
+_REPEAT = pa.schema([("repeat", pa.binary()), ("length", pa.int32()), ("sha", pa.binary()), ("start", pa.int32())])
 #: A word as bytes.split() has it, and the bytes of its hash.
 _WORD = re.compile(rb"[^ \t-\r]+")
 _CODE = 8
 _NUMBERS = {1: np.uint8, _CODE: np.uint64}
 #: Rows that a task holds before it sends them.
 _HELD = 150_000
-_DDL_ROW = "key binary, left binary, right binary, sha binary, at int, many boolean"
+
+
+class Search(NamedTuple):
+    """Strings of ``length`` symbols of ``unit`` bytes: bytes themselves, or words by their hashes."""
+
+    length: int
+    gram: int
+    step: int
+    unit: int = 1
+
+    def checked(self) -> Search:
+        """This search, if its parts fit together."""
+        for name, size in (("gram", self.gram), ("step", self.step)):
+            if size < 1 or size & (size - 1):
+                raise ValueError(f"{name} must be a power of two")
+        if self.gram > self.length - self.step + 1 or self.length >= 1 << 16:
+            raise ValueError("gram must be at most length - step + 1, and length below 65,536")
+        return self
+
+    def reader(self) -> Callable[[bytes], bytes]:
+        """A function from texts to the bytes of their symbols."""
+        if self.unit == 1:
+            return bytes
+        codes = _Codes()
+        return lambda body: b"".join(map(codes.__getitem__, body.split()))
+
+
+class _Codes(dict):
+    """Hashes of words, in bounded memory."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 100_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_digest(word)
+        return found
+
+
+def of_bytes(length: int = 400, gram: int = 64, step: int = 32) -> Search:
+    return Search(length, gram, step).checked()
+
+
+def of_words(words: int = 51, gram: int = 8, step: int = 8) -> Search:
+    return Search(words, gram, step, _CODE).checked()
 
 
 def _gram_hashes(body: bytes, gram: int, unit: int = 1) -> np.ndarray:
@@ -104,18 +154,21 @@ def anchors(body: bytes, length: int, gram: int, unit: int = 1) -> tuple[np.ndar
     return h[at], at, np.array(out_first, np.int64), np.array(out_last, np.int64)
 
 
-def _anchors(length: int, gram: int, unit: int = 1):
+def _anchors(search: Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = search.reader()
         for batch in batches:
-            shas, bodies = columns_of(batch)
             seen = set()
             parts: list[list[np.ndarray]] = [[], [], [], []]
             names: list[bytes] = []
-            for sha, body in zip(shas, bodies, strict=True):
-                if len(body) < length * unit or sha in seen:
+            for sha, body in zip(*columns_of(batch), strict=True):
+                if len(body) < search.length or sha in seen:
                     continue
                 seen.add(sha)
-                found = anchors(body, length, gram, unit)
+                text = read(body)
+                if len(text) < search.length * search.unit:
+                    continue
+                found = anchors(text, search.length, search.gram, search.unit)
                 for part, values in zip(parts, found, strict=True):
                     part.append(values)
                 names += [sha] * found[0].size
@@ -127,44 +180,93 @@ def _anchors(length: int, gram: int, unit: int = 1):
     return run
 
 
-def _rows(length: int, step: int, unit: int = 1):
-    """Rows of the blocks of repeated anchors; equal rows of a batch are marked here and sent once.
+class _Rows:
+    """Rows of blocks on their way out. Equal rows are sent once, and their spans reported at once, unless all are wanted."""
+
+    def __init__(self, every: bool) -> None:
+        self.every, self.held = every, []
+        self.found: dict[tuple, list] = {}
+        self.spans: list[tuple] = []
+
+    def add(self, kind: int, row: tuple, sha: bytes, at: int, begin: int, end: int) -> None:
+        """``row`` is key, left and right edge; ``at`` the place of its core, ``begin`` and ``end`` its reach."""
+        if self.every:
+            self.held.append((kind, *row, sha, at, None))
+            return
+        mark = self.found.get((kind, *row))
+        if mark is None:
+            self.found[kind, *row] = [sha, at, begin, end, False]
+            return
+        if not mark[4]:
+            self.spans.append(((kind, mark[0]), mark[2], mark[3]))
+            mark[4] = True
+        self.spans.append(((kind, sha), begin, end))
+
+    def full(self) -> bool:
+        return len(self.found) + len(self.held) > _HELD
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        yield from in_slices(((*row, mark[0], mark[1], None) for row, mark in self.found.items()), _ROW)
+        yield from in_slices(iter(self.held), _ROW)
+        yield from in_slices(((kind, None, None, None, sha, start, stop) for (kind, sha), start, stop in _merge_spans(self.spans)), _ROW)
+        self.__init__(self.every)
 
-    Places are counted in symbols; keys and edges are bytes.
-    """
+
+def _rows(searches: list[Search], every: bool):
+    """Rows of the blocks of repeated anchors, of each search in turn. Places are counted in symbols; keys and edges are bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        readers = [search.reader() for search in searches]
         for batch in batches:
-            found: dict[tuple, list] = {}
-            spans: list[tuple] = []
-            seen = set()
-            for sha, packed, places in zip(*columns_of(batch), strict=True):
+            rows, seen = _Rows(every), set()
+            for sha, packed, *each in zip(*columns_of(batch), strict=True):
                 if sha in seen:
                     continue
                 seen.add(sha)
-                body = zlib.decompress(packed)
-                if len(found) > _HELD:
-                    yield from in_slices(((*row, name, at, many) for row, (name, at, many) in found.items()), _ROW)
-                    found.clear()
-                for place in places:
-                    at = place >> 32
-                    first, last = at - (place >> 16 & 0xFFFF), at - (place & 0xFFFF)
-                    for block in range((at - last) // step, (at - first) // step + 1):
-                        low, high = max(at - last, block * step), min(at - first, block * step + step - 1)
-                        core0, core1 = at - block * step, at + length - block * step - step + 1
-                        key = xxhash.xxh3_128_digest(body[core0 * unit : core1 * unit]) + block.to_bytes(2, "little")
-                        begin, end = at - high, at + length - low
-                        row = key, body[begin * unit : core0 * unit], body[core1 * unit : end * unit]
-                        mark = found.get(row)
-                        if mark is None:
-                            found[row] = [sha, core0, False]
-                        else:
-                            if not mark[2]:
-                                spans.append((mark[0], mark[1] - core0 + begin, mark[1] - core0 + end))
-                                mark[2] = True
-                            spans.append((sha, begin, end))
-            yield from in_slices(((*row, sha, at, many) for row, (sha, at, many) in found.items()), _ROW)
-            yield from in_slices(((sha, stop.to_bytes(4, "little"), b"", sha, start, None) for sha, start, stop in _merge_spans(spans)), _ROW)
+                text = zlib.decompress(packed)
+                for kind, (search, places) in enumerate(zip(searches, each, strict=True)):
+                    if places:
+                        _add_blocks(rows, kind, search, sha, readers[kind](text), places)
+                if rows.full():
+                    yield from rows.out()
+            yield from rows.out()
+
+    return run
+
+
+def _add_blocks(rows: _Rows, kind: int, search: Search, sha: bytes, body: bytes, places: list[int]) -> None:
+    length, _, step, unit = search
+    for place in places:
+        at = place >> 32
+        first, last = at - (place >> 16 & 0xFFFF), at - (place & 0xFFFF)
+        for block in range((at - last) // step, (at - first) // step + 1):
+            low, high = max(at - last, block * step), min(at - first, block * step + step - 1)
+            core0, core1 = at - block * step, at + length - block * step - step + 1
+            key = xxhash.xxh3_128_digest(body[core0 * unit : core1 * unit]) + block.to_bytes(2, "little")
+            begin, end = at - high, at + length - low
+            rows.add(kind, (key, body[begin * unit : core0 * unit], body[core1 * unit : end * unit]), sha, core0, begin, end)
+
+
+def _halve(search: Search, step: int, every: bool):
+    """Rows of blocks of ``step`` as rows of blocks of half that step: longer cores, shorter edges."""
+    half, unit, core = step // 2, search.unit, search.length - step + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _Rows(every)
+            for kind, key, left, right, sha, at in zip(*columns_of(batch), strict=True):
+                n = len(left) // unit
+                # windows have from low to high symbols of the left edge
+                low, high = max(0, step - 1 - len(right) // unit), min(n, step - 1)
+                if low < half:
+                    top = min(high, half - 1)
+                    name = xxhash.xxh3_128_digest(key + b">" + right[: half * unit])
+                    rows.add(kind, (name, left[(n - top) * unit :], right[half * unit : (step - 1 - low) * unit]), sha, at, at - top, at + core + step - 1 - low)
+                if high >= half:
+                    bottom = max(low, half)
+                    name = xxhash.xxh3_128_digest(key + b"<" + left[(n - half) * unit :])
+                    rows.add(kind, (name, left[(n - high) * unit : (n - half) * unit], right[: (step - 1 - bottom) * unit]), sha, at - half, at - high, at + core + step - 1 - bottom)
+            yield from rows.out()
 
     return run
 
@@ -248,135 +350,195 @@ class SuffixArray:
                     stack.append([depth, first, sign, differs])
 
 
+class _Block:
+    """The maximal repeats among rows (key, left, right, ...), whose edges and cores are one text of symbols."""
+
+    def __init__(self, rows: list[tuple], step: int, unit: int) -> None:
+        keys = {key: i for i, key in enumerate(sorted({row[0] for row in rows}))}
+        lefts = np.array([len(row[1]) // unit for row in rows])
+        sizes = lefts + np.array([len(row[2]) // unit for row in rows]) + 2
+        self.rows, self.step, self.ends = rows, step, np.cumsum(sizes)
+        self.core, blank = self.ends - sizes + lefts, b"\0" * unit
+        raw = np.frombuffer(b"".join(row[1] + blank + row[2] + blank for row in rows), _NUMBERS[unit])
+        if unit > 1:
+            raw = np.unique(raw, return_inverse=True)[1]
+        self.symbols = raw.astype(np.int64)
+        top = int(self.symbols.max()) + 1
+        base = top + len(keys)
+        self.symbols[self.core] = top + np.array([keys[row[0]] for row in rows])
+        self.symbols[self.ends - 1] = base + np.arange(len(rows))  # separators, each once
+        self.before = np.concatenate([[base + len(rows)], self.symbols[:-1]])
+
+    def repeats(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Symbols, places and rows of each."""
+        for size, places in SuffixArray(self.symbols, 2 * self.step).maximal_repeats(self.before, self.step):
+            yield size, places, np.searchsorted(self.ends, places, side="right")
+
+
 def covered(rows: list[tuple], length: int, step: int, unit: int = 1) -> Iterator[tuple]:
-    """Spans of the windows that repeat among rows (key, left, right, sha, at, many)."""
-    keys = {key: i for i, key in enumerate(sorted({row[0] for row in rows}))}
-    n = len(rows)
-    lefts = np.array([len(row[1]) // unit for row in rows])
-    sizes = lefts + np.array([len(row[2]) // unit for row in rows]) + 2
-    ends = np.cumsum(sizes)
-    core, blank = ends - sizes + lefts, b"\0" * unit
-    raw = np.frombuffer(b"".join(row[1] + blank + row[2] + blank for row in rows), _NUMBERS[unit])
-    if unit > 1:
-        raw = np.unique(raw, return_inverse=True)[1]
-    symbols = raw.astype(np.int64)
-    top = int(symbols.max()) + 1
-    base = top + len(keys)
-    symbols[core] = top + np.array([keys[row[0]] for row in rows])
-    symbols[ends - 1] = base + np.arange(n)  # separators, each once
-    array = SuffixArray(symbols, 2 * step)
-    before = np.empty_like(symbols)
-    before[1:], before[0] = symbols[:-1], base + n
+    """Spans of the windows that repeat among rows (key, left, right, sha, at)."""
+    block, n = _Block(rows, step, unit), len(rows)
     low, high = np.full(n, 1 << 40), np.full(n, -1)
-    for size, places in array.maximal_repeats(before, step):
-        row = np.searchsorted(ends, places, side="right")
+    for size, places, row in block.repeats():
         np.minimum.at(low, row, places)
         np.maximum.at(high, row, places + size)
     for i in np.flatnonzero(high >= 0).tolist():
         # repeats of one row all hold its core, so together they are one span
         if rows[i][3] is not None:
-            start = rows[i][4] - int(core[i] - low[i])
-            yield rows[i][3], start, rows[i][4] + length - step + int(high[i] - core[i])
-
-
-def _arrays(length: int, step: int, unit: int = 1, symbols: int = 1 << 20):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans():
-            held, group, key, weight = [], [], None, 0
-            for batch in batches:
-                for row in zip(*columns_of(batch), strict=True):
-                    if row[5] is None:  # a span that its own task found
-                        yield row[3], row[4], int.from_bytes(row[1], "little")
-                        continue
-                    if row[0] != key:
-                        if len(group) > 1:
-                            held += group
-                            weight += sum(len(x[1]) + len(x[2]) + 2 * unit for x in group) // unit
-                        if weight > symbols:
-                            yield from covered(held, length, step, unit)
-                            held, weight = [], 0
-                        group, key = [], row[0]
-                    if group and group[-1][1:3] == row[1:3]:  # equal edges meet: sorted
-                        for x in (group[-1], row):
-                            if x[3] is not None:
-                                yield x[3], x[4] - len(x[1]) // unit, x[4] + length - step + 1 + len(x[2]) // unit
-                        group[-1] = (*row[:3], None, None, True)
-                        continue
-                    group.append(row)
-            if len(group) > 1:
-                held += group
-            if held:
-                yield from covered(held, length, step, unit)
+            start = rows[i][4] - int(block.core[i] - low[i])
+            yield rows[i][3], start, rows[i][4] + length - step + int(high[i] - block.core[i])
 
-        yield from in_slices(spans(), _SPAN)
 
-    return run
+def occurrences(rows: list[tuple], length: int, step: int, unit: int = 1) -> Iterator[tuple]:
+    """(repeat, length, sha, start) of the maximal repeats among rows (key, left, right, sha, at)."""
+    block = _Block(rows, step, unit)
+    for size, places, row in block.repeats():
+        key, left, right, *_ = rows[row[0]]
+        before = int(block.core[row[0]] - places[0])  # symbols of it left of the core, and right of it
+        after = size - 1 - before
+        name = xxhash.xxh3_128_digest(key + before.to_bytes(4, "little") + left[len(left) - before * unit :] + right[: after * unit])
+        for i, place in zip(row.tolist(), places.tolist(), strict=True):
+            yield name, size + length - step, rows[i][3], rows[i][4] - int(block.core[i] - place)
 
 
-def _spans(docs: DataFrame, tables: Tables, length: int, gram: int, step: int, hot: int, unit: int = 1, first=None) -> DataFrame:
-    """Repeated spans (sha, spans) of ``docs`` (sha, body), or of what ``first`` makes of its batches; one row a text that has any.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (key, left, right, sha, at) of one key after another, as their batches are sorted."""
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*columns_of(batch), strict=True):
+            if group and row[0] != group[0][0]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def _merged(group: list[tuple], core: int, unit: int, spans: list[tuple]) -> list[tuple]:
+    """The rows of a key (sorted by their edges) with different edges; rows of equal ones are repeats, whose spans are added."""
+    out: list[tuple] = []
+    for row in group:
+        if out and out[-1][1:3] == row[1:3]:
+            for x in (out[-1], row):
+                if x[3] is not None:
+                    spans.append((x[3], x[4] - len(x[1]) // unit, x[4] + core + len(x[2]) // unit))
+            out[-1] = (*row[:3], None, None)
+        else:
+            out.append(row)
+    return out
 
-    Lengths and spans are counted in symbols of ``unit`` bytes. The result reads ``tables``.
-    """
-    if gram & (gram - 1) or not 0 < gram <= length - step + 1 or not 0 < length < 1 << 16:
-        raise ValueError("gram must be a power of two of at most length - step + 1, and length below 65,536")
-    after = lambda run: (lambda batches: run(first(batches))) if first else run
-    found = tables.write(docs.mapInArrow(after(_anchors(length, gram, unit)), "h long, sha binary, place long"))
-    limit = hot_limit(docs, found.count())
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    places = join_salted(found, twice, "h", "c", limit, ["sha", "place"]).groupBy("sha").agg(F.collect_set("place").alias("places"))
-    packed = docs.mapInArrow(after(_pack_once), "sha binary, packed binary")
-    rows = tables.write(packed.join(places, "sha").select("sha", "packed", "places").mapInArrow(_rows(length, step, unit), _DDL_ROW))
-    blocks, done = rows.where("many is not null"), rows.where("many is null")
-    limit = hot_limit(docs, rows.count())
-    loads = blocks.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("n", F.col("c"))
-    shared = join_salted(blocks, loads, "key", "c", limit, ["sha", "at"]).withColumnRenamed("n", "c")
-    mild = shared.where(F.col("c") <= hot).drop("c").repartition("key").sortWithinPartitions("key", "left", "right").mapInArrow(_arrays(length, step, unit), "sha binary, start int, stop int")
-    # windows of the hot keys, one by one: t symbols of the left edge and the rest of the right one
-    t = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(step - 1) - F.expr(f"length(right) div {unit}")), F.least(F.expr(f"length(left) div {unit}"), F.lit(step - 1))))
-    single = shared.where(F.col("c") > hot).drop("c").withColumn("t", t)
-    edges = F.expr(f"substring(left, length(left) - cast(t as int) * {unit} + 1, cast(t as int) * {unit})"), F.expr(f"substring(right, 1, ({step - 1} - cast(t as int)) * {unit})")
-    single = single.withColumn("w", F.sha2(F.concat("key", *edges, F.col("t").cast("string").cast("binary")), 256)).select("w", "sha", "at", "t")
-    twice = single.groupBy("w").agg(F.count("*").alias("k")).where("k > 1")
-    each = join_salted(single, twice, "w", "k", limit, ["sha", "at"]).select("sha", (F.col("at") - F.col("t")).cast("int").alias("start"), (F.col("at") - F.col("t") + length).cast("int").alias("stop"))
-    local = done.mapInArrow(_arrays(length, step, unit), "sha binary, start int, stop int")
-    every = mild.unionByName(each).unionByName(local)
-    return every.groupBy("sha").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-
-
-def spans_of(docs: DataFrame, length: int = 400, gram: int = 64, step: int = 32, hot: int = 256) -> DataFrame:
-    """Repeated spans of bytes (sha, spans) of ``docs`` (sha, body); one row a text that has any."""
-    with Tables(docs.sparkSession) as tables:
-        return cut(_spans(docs, tables, length, gram, step, hot))
 
+def _arrays(search: Search, step: int, work, every: bool, symbols: int = 1 << 20):
+    """``work`` (``covered`` or ``occurrences``) over the keys of a task, several together."""
+    schema = _REPEAT if every else _SPAN
 
-class _Codes(dict):
-    """Hashes of words, in bounded memory."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 100_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_digest(word)
-        return found
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            held, weight = [], 0
+            for group in _groups(batches):
+                spans: list[tuple] = []
+                rows = group if every else _merged(group, search.length - step + 1, search.unit, spans)
+                yield from spans
+                if len(rows) > 1:
+                    held += rows
+                    weight += sum(len(x[1]) + len(x[2]) + 2 * search.unit for x in rows) // search.unit
+                if weight > symbols:
+                    yield from work(held, search.length, step, search.unit)
+                    held, weight = [], 0
+            if held:
+                yield from work(held, search.length, step, search.unit)
 
+        yield from in_slices(found(), schema)
 
-def _coded(words: int):
-    """(sha, hashes of the words) of the texts of at least ``words`` words."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
-        for batch in batches:
-            texts = ((sha, body.split()) for sha, body in zip(*columns_of(batch), strict=True))
-            coded = ((sha, b"".join(map(codes.__getitem__, parts))) for sha, parts in texts if len(parts) >= words)
-            yield from in_slices(coded, _TEXT, weigh=lambda row: len(row[1]), most=4 << 20)
 
-    return run
+def _anchored(docs: DataFrame, tables: Tables, search: Search) -> DataFrame:
+    """Places of the anchors that occur more than once: sha, places."""
+    found = tables.write(docs.mapInArrow(_anchors(search), "h long, sha binary, place long"))
+    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    each = join_salted(found, twice, "h", "c", hot_limit(docs, found.count()), ["sha", "place"])
+    return each.groupBy("sha").agg(F.collect_set("place").alias("places"))
 
 
-def word_spans_of(docs: DataFrame, words: int, gram: int = 8, step: int = 8, hot: int = 256) -> DataFrame:
-    """Repeated windows of ``words`` words (sha, spans) of ``docs`` (sha, body), as numbers of words."""
+def _places(docs: DataFrame, search: Search) -> DataFrame:
     with Tables(docs.sparkSession) as tables:
-        return cut(_spans(docs, tables, words, gram, step, hot, _CODE, _coded(words)))
+        return cut(_anchored(docs, tables, search))
+
+
+def _blocks(docs: DataFrame, tables: Tables, searches: list[Search], every: bool) -> DataFrame:
+    """Rows of the blocks of every search, in one pass over the texts that have any."""
+    places = None
+    for kind, search in enumerate(searches):
+        one = _places(docs, search).withColumnRenamed("places", f"p{kind}")
+        places = one if places is None else places.join(one, "sha", "full")
+    packed = docs.mapInArrow(_pack_once, "sha binary, packed binary").join(places, "sha")
+    return tables.write(packed.select("sha", "packed", *[f"p{kind}" for kind in range(len(searches))]).mapInArrow(_rows(searches, every), _DDL_ROW))
+
+
+def _shared(rows: DataFrame, tables: Tables) -> DataFrame:
+    """The rows whose key others have too, and how many do."""
+    loads = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("n", F.col("c"))
+    return tables.write(join_salted(rows, loads, "key", "c", hot_limit(rows, rows.count()), ["sha", "at"]))
+
+
+def _matches(rows: DataFrame, tables: Tables, search: Search, hot: int, every: bool) -> DataFrame:
+    """Spans (sha, start, stop) of the repeated strings among rows of blocks, or (``every``) occurrences of the repeats."""
+    length, _, step, _ = search
+    work, ddl = (occurrences, "repeat binary, length int, sha binary, start int") if every else (covered, "sha binary, start int, stop int")
+    found = [] if every else [rows.where("stop is not null").select("sha", F.col("at").alias("start"), "stop")]
+    blocks = rows.where("stop is null")
+    while True:
+        shared = _shared(blocks, tables)
+        mild = shared.where(F.col("n") <= hot).select("key", "left", "right", "sha", "at")
+        found.append(mild.repartition("key").sortWithinPartitions("key", "left", "right").mapInArrow(_arrays(search, step, work, every), ddl))
+        rest = shared.where(F.col("n") > hot)
+        if step == 1:
+            whole = [F.col("key").alias("repeat"), F.lit(length).alias("length"), "sha", F.col("at").alias("start")]
+            found.append(rest.select(*whole) if every else rest.select("sha", F.col("at").alias("start"), (F.col("at") + length).alias("stop")))
+            break
+        if rest.isEmpty():
+            break
+        halves = tables.write(rest.select("kind", "key", "left", "right", "sha", "at").mapInArrow(_halve(search, step, every), _DDL_ROW))
+        if not every:
+            found.append(halves.where("stop is not null").select("sha", F.col("at").alias("start"), "stop"))
+        blocks, step = halves.where("stop is null"), step // 2
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def spans_of(docs: DataFrame, searches: list[Search], hot: int = 256) -> list[DataFrame]:
+    """Repeated spans (sha, spans) of ``docs`` (sha, body) for each search, in its symbols; one row a text that has any."""
+    out = []
+    with Tables(docs.sparkSession) as tables:
+        rows = _blocks(docs, tables, searches, False)
+        tables.release()
+        for kind, search in enumerate(searches):
+            with Tables(docs.sparkSession) as own:
+                every = _matches(rows.where(F.col("kind") == kind), own, search, hot, False)
+                out.append(cut(every.groupBy("sha").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))))
+    return out
+
+
+def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", search: Search | None = None, hot: int = 256) -> DataFrame:
+    """The maximal repeats of at least ``length`` bytes, one row an occurrence: repeat (a name), length, doc_id, start.
+
+    A group of any size is so many rows and no array. Repeats are maximal within the reach of
+    a block: one longer than ``length + step - 1`` bytes comes as the overlapping repeats that it
+    is made of. Of keys with more than ``hot`` rows the repeats are those of the shorter blocks
+    that they were split into, down to single strings of ``length`` bytes. A text that several
+    rows have is listed for each of them, and is a repeat as a whole.
+    """
+    search = search or of_bytes()
+    docs = _bodies(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text")
+    copies = docs.groupBy("sha").agg(F.count("*").alias("c"), F.first(F.length("body")).alias("length")).where((F.col("c") > 1) & (F.col("length") >= search.length))
+    with Tables(df.sparkSession) as tables:
+        rows = _blocks(docs.select("sha", "body").dropDuplicates(["sha"]), tables, [search], True)
+        found = _matches(rows, tables, search, hot, True)
+        found = cut(found.unionByName(copies.select(F.col("sha").alias("repeat"), "length", "sha", F.lit(0).alias("start"))))
+    return found.join(docs.select("sha", "doc_id"), "sha").select("repeat", "length", "doc_id", "start")
 
 
 def _bodies(df: DataFrame, text: str) -> DataFrame:
@@ -424,30 +586,28 @@ def _digests(length: int, words: int):
     return run
 
 
-def with_spans(df: DataFrame, text: str, length: int = 400, words: int = 51, **options) -> DataFrame:
+def with_spans(df: DataFrame, text: str, length: int = 400, words: int = 51, hot: int = 256) -> DataFrame:
     """The first column of ``df``, then packed (the compressed text), copies (null: one), spans and passages (null: none).
 
     ``spans`` are of bytes, ``passages`` of words. The result reads ``df`` and marks that are checkpoints.
     """
     docs = _bodies(df, text)
-    texts = docs.select("sha", "body")
-    passages = word_spans_of(texts, words).withColumnRenamed("spans", "passages")
-    spans = spans_of(texts.where(F.length("body") >= length), length, **options)
+    spans, passages = spans_of(docs.select("sha", "body"), [of_bytes(length), of_words(words)], hot)
     copies = docs.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")
-    marks = cut(spans.join(copies, "sha", "full").join(passages, "sha", "full"))
+    marks = cut(spans.join(copies, "sha", "full").join(passages.withColumnRenamed("spans", "passages"), "sha", "full"))
     first = df.columns[0]
     packed = docs.select(first, "sha", "body").mapInArrow(_pack, f"{first} {df.schema[first].dataType.simpleString()}, sha binary, packed binary")
     marks = marks.withColumn("n", F.coalesce("copies", F.lit(1)))
     return join_salted(packed, marks, "sha", "n", hot_limit(df, df.count()), [first], "left").select(first, "packed", "copies", "spans", "passages")
 
 
-def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, words: int = 51, **options) -> DataFrame:
+def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, words: int = 51, hot: int = 256) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages.
 
     The first five are of strings of ``length`` bytes; n_passages counts the maximal runs of
     words all in passages of ``words`` words that are found elsewhere, which go with ``strip``.
     """
-    rows = with_spans(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", length, words, **options)
+    rows = with_spans(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", length, words, hot)
     return rows.mapInArrow(_digests(length, words), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")
 
 
@@ -478,7 +638,7 @@ def _strip(length: int, words: int):
     return run
 
 
-def strip(df: DataFrame, text: str = "text", length: int = 400, words: int = 51, **options) -> DataFrame:
+def strip(df: DataFrame, text: str = "text", length: int = 400, words: int = 51, hot: int = 256) -> DataFrame:
     """The rows of ``df`` with the removed bytes gone from ``text``, whole characters only.
 
     Passages of ``words`` words that are found anywhere else go as well.
@@ -488,7 +648,7 @@ def strip(df: DataFrame, text: str = "text", length: int = 400, words: int = 51,
     space = F.lit(" \t\n\x0b\x0c\r")
     others = [F.col(f"`{name}`") for name in df.columns if name != text]
     packed = df.select(F.struct(*others, F.col(text).isNull().alias("_none"), (F.trim(F.coalesce(F.col(text), F.lit("")), space) == "").alias("_blank")).alias("row"), F.col(text).alias("_text"))
-    rows = with_spans(packed, "_text", length, words, **options)
+    rows = with_spans(packed, "_text", length, words, hot)
     out = rows.mapInArrow(_strip(length, words), f"row {packed.schema['row'].dataType.simpleString()}, rest string")
     none = F.col("row._none")
     out = out.where(none | F.col("row._blank") | (F.trim(F.col("rest"), space) != ""))

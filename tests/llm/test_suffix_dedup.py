@@ -55,7 +55,7 @@ def test_matches_brute_force(spark, seed):
         texts.append(rng.choice(["", " "]).join(parts))
     texts += [texts[12], texts[13]]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, sha string").repartition(3)
-    for hot in (256, 2):
+    for hot in (256, 2, 1):
         rows = suffix_dedup.digests(df, hot=hot).collect()
         got = {r[0]: tuple(r[1:5]) for r in rows}
         assert [got[i] for i in range(len(texts))] == brute(texts, 400)
@@ -63,9 +63,51 @@ def test_matches_brute_force(spark, seed):
         assert [found[i] for i in range(len(texts))] == passages(texts, 51)
 
 
+def positions(texts, length):
+    """Where each string of ``length`` bytes that starts more than once starts."""
+    found = {}
+    for doc, text in enumerate(texts):
+        body = (text or "").encode()
+        for i in range(len(body) - length + 1):
+            found.setdefault(body[i : i + length], set()).add((doc, i))
+    return {w: p for w, p in found.items() if len(p) > 1}
+
+
+@pytest.mark.parametrize("hot", [256, 6, 1])
+def test_repeats_with_all_occurrences(spark, hot):
+    rng = random.Random(9)
+    shared = [words(rng, n) for n in (14, 20, 60)]
+    texts = [None, "", "ab" * 60]
+    for i in range(24):
+        one = shared[i % 3]
+        texts.append(words(rng, rng.randint(0, 12)) + one[rng.randint(0, 9) : len(one) - rng.randint(0, 9)] + words(rng, rng.randint(0, 12)))
+    texts += [texts[5], "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    groups = {}
+    for r in suffix_dedup.repeats(df, search=suffix_dedup.of_bytes(40, 8, 8), hot=hot).collect():
+        groups.setdefault((bytes(r.repeat), r.length), []).append((r.doc_id, r.start))
+    want, got = positions(texts, 40), {}
+    bodies = [(t or "").encode() for t in texts]
+    for (_, size), places in groups.items():
+        strings = {bodies[doc][at : at + size] for doc, at in places}
+        assert len(strings) == 1 and len(places) == len(set(places)) > 1
+        string = strings.pop()
+        assert sorted(places) == sorted((d, i) for d, b in enumerate(bodies) for i in range(len(b) - size + 1) if b[i : i + size] == string)
+        for k in range(size - 39):
+            got.setdefault(string[k : k + 40], set()).update((doc, at + k) for doc, at in places)
+    assert got == want
+    assert hot < 256 or any(size > 40 for _, size in groups)
+
+
+@pytest.mark.parametrize("parts", [(400, 48, 32), (400, 64, 24), (80, 64, 32), (1 << 16, 64, 32)])
+def test_parts_that_do_not_fit(parts):
+    with pytest.raises(ValueError):
+        suffix_dedup.of_bytes(*parts)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert suffix_dedup.digests(df).collect() == []
+    assert suffix_dedup.digests(df).collect() == [] and suffix_dedup.repeats(df).collect() == []
 
 
 def test_maximal_repeats():
