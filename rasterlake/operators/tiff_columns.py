@@ -55,10 +55,10 @@ def tiff_info(content: Column) -> Column:
     return struct_udf(lambda data: tiff.info(bytes(data)), INFO)(F.struct(content))
 
 
-def tiff_pixels(content: Column, **limits: int) -> Column:
-    """Struct of the first page's pixels; sizes beyond the default limits, or those given, are errors before pixels are made."""
+def tiff_pixels(content: Column, palettes: bool = True, **limits: int) -> Column:
+    """Struct of the first page's pixels; indices only with ``palettes``; sizes beyond the default limits, or those given, are errors before pixels are made."""
     asked = DEFAULT_LIMITS | limits
-    return struct_udf(lambda data: tiff.decode(bytes(data), asked), PIXELS)(F.struct(content))
+    return struct_udf(lambda data: tiff.decode(bytes(data), asked, palettes=palettes), PIXELS)(F.struct(content))
 
 
 def tiff_decode(content: Column, limits: dict | None = None, hint: Column | None = None, asked: Column | None = None, **policy: bool) -> Column:

@@ -11,7 +11,7 @@ METHODS = (("none", 0, 0), ("lzw", 1, 2), ("deflate", 2, 3), ("packbits", 3, 1))
 
 
 def plan(spark: SparkSession, full: bool = True, max_tier: int | None = None, max_deviations: int | None = None) -> DataFrame:
-    """Cells: cell_id, method, predictor, big_tiff, deviations, idx_sum, tier, fingerprint, dropped.
+    """Cells: cell_id, method, predictor, big_tiff, deviations, idx_sum, tier, fingerprint, dropped; simplest first.
 
     Cells beyond ``max_tier`` stay, marked dropped; those beyond ``max_deviations`` go.
     """
@@ -25,7 +25,8 @@ def plan(spark: SparkSession, full: bool = True, max_tier: int | None = None, ma
     cell_id = F.concat(F.lit("tiff-"), "method", F.when(F.col("pi") == 1, "-hpred").otherwise(""), F.when(F.col("big_tiff"), "-big").otherwise(""))
     cells = cells.withColumn("cell_id", cell_id).withColumn("fingerprint", prints[F.col("code") * 4 + F.col("pi") * 2 + F.col("bi")])
     cells = cells.withColumn("dropped", F.lit(False) if max_tier is None else F.col("tier") > max_tier)
-    return cells if max_deviations is None else cells.where(F.col("dropped") | (F.col("deviations") <= max_deviations))
+    cells = cells if max_deviations is None else cells.where(F.col("dropped") | (F.col("deviations") <= max_deviations))
+    return cells.orderBy("deviations", "idx_sum", "ci", "pi", "bi")
 
 
 def parse_cell_id(cell: str):

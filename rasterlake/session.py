@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -24,3 +26,13 @@ def ship(spark: SparkSession) -> SparkSession:
     spark.sparkContext.addPyFile(str(path))
     _SHIPPED.add(spark.sparkContext.applicationId)
     return spark
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], list[str]]]:
+    """Jobs started in the block carry ``tag``; call what it gives, from any thread, to stop them."""
+    spark.addTag(tag)
+    try:
+        yield lambda: spark.interruptTag(tag)
+    finally:
+        spark.removeTag(tag)

@@ -6,6 +6,7 @@ defect of a file is a ``TiffError`` whose ``kind`` is a row of the error table.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -398,13 +399,27 @@ def _cmyk(grid: np.ndarray) -> np.ndarray:
     if grid.dtype not in (np.uint8, np.uint16, np.float32):
         raise TiffError("UnsupportedFeature", f"CMYK of {grid.dtype}")
     most = {1: 255, 2: 65535, 4: 1}[grid.dtype.itemsize]
-    real = np.float64 if grid.dtype == np.uint16 else np.float32
-    ink, one = grid[:, :, :4].astype(real) / real(most), real(1)
-    light = (one - ink[:, :, :3]) * (one - ink[:, :, 3:])
-    if grid.dtype != np.float32:
-        light = np.trunc(light * real(most) + real(0.5))
+    if grid.dtype == np.uint8:
+        light = _byte_light()[grid[:, :, :3], grid[:, :, 3:4]]
+    else:
+        light = _light(grid[:, :, :3], grid[:, :, 3:4], most)
     alpha = grid[:, :, 4:5] if grid.shape[2] > 4 else np.full(grid.shape[:2] + (1,), most, grid.dtype)
-    return np.concatenate([light.astype(grid.dtype), alpha], axis=2)
+    return np.concatenate([light, alpha], axis=2)
+
+
+def _light(ink: np.ndarray, black: np.ndarray, most: int) -> np.ndarray:
+    """What is left of white behind ink and black; 16 bits in double, else in float."""
+    real = np.float64 if ink.dtype == np.uint16 else np.float32
+    one, top = real(1), real(most)
+    light = (one - ink.astype(real) / top) * (one - black.astype(real) / top)
+    return (light if ink.dtype == np.float32 else np.trunc(light * top + real(0.5))).astype(ink.dtype)
+
+
+@functools.cache
+def _byte_light() -> np.ndarray:
+    """:func:`_light` of all pairs of bytes."""
+    all_ = np.arange(256, dtype=np.uint8)
+    return _light(all_[:, None], all_[None, :], 255)
 
 
 def _palette(indices: np.ndarray, colours: tuple, bits: int) -> np.ndarray:
@@ -450,10 +465,10 @@ def check_limits(d: Directory, color: str, limits: dict) -> None:
             raise TiffError("LimitExceeded", f"{name}: {value} exceeds {limits[name]}")
 
 
-def decode(data: bytes, limits: dict | None = None, orientation: int = 1) -> dict:
+def decode(data: bytes, limits: dict | None = None, orientation: int = 1, palettes: bool = True) -> dict:
     """First page's pixels: width, height, descriptor, little-endian bytes.
 
-    ``limits`` may have max_input, max_width, max_height, max_pixels and max_memory;
+    Without ``palettes``, images of indices are an unsupported feature. ``limits`` may have max_input, max_width, max_height, max_pixels and max_memory;
     ``orientation`` is applied to the pixels.
     """
     limits = limits or {}
@@ -463,6 +478,8 @@ def decode(data: bytes, limits: dict | None = None, orientation: int = 1) -> dic
     if not d.one(256) or not d.one(257):
         raise TiffError("Decode", "no image size")
     color, bits = color_type(d), d.one(258, 1)
+    if color == "palette" and not palettes:
+        raise TiffError("UnsupportedFeature", "palette")
     check_limits(d, color, limits)
     grid = planes(data, d)
     if color == "palette":

@@ -37,6 +37,7 @@ def one(spark, *columns):
 
 
 def test_golden_values(spark):
+    """Fixed values of the formulas."""
     lit = F.lit
     assert [one(spark, L.cmyk8(lit(c), lit(k)))[0] for c, k in ((0, 0), (255, 0), (0, 255), (128, 0), (128, 128), (64, 32), (200, 100))] == [255, 0, 0, 127, 63, 167, 33]
     assert [one(spark, L.unpremultiply(lit(c), lit(a)))[0] for c, a in ((64, 128), (1, 3), (200, 100), (10, 254))] == [128, 85, 255, 10]
@@ -51,5 +52,5 @@ def test_golden_values(spark):
 
 
 def test_plan_order(spark):
-    rows = variants.plan(spark).orderBy("deviations", "idx_sum", "ci", "pi", "bi").collect()
+    rows = variants.plan(spark).collect()
     assert [r.cell_id for r in rows[:5]] == ["tiff-none", "tiff-none-big", "tiff-lzw", "tiff-deflate", "tiff-packbits"] and len(rows) == 14

@@ -57,6 +57,8 @@ def test_other_layouts(order):
     assert get(1, 1, bytes([0, 128, 255, 128]), (258, 3, 8, 8, 8, 8), (262, 3, 5), (277, 3, 4))[1] == [127, 63, 0, 255]
     colours = [i << 8 for i in range(48)]
     assert get(2, 1, bytes([0x1F]), (258, 3, 4), (262, 3, 3), (277, 3, 1), (320, 3, *colours)) == ("rgb_u8", [1, 17, 33, 15, 31, 47])
+    with pytest.raises(tiff.TiffError, match="palette"):
+        tiff.decode(stored(order, 2, 1, bytes([0x1F]), (258, 3, 4), (262, 3, 3), (277, 3, 1), (320, 3, *colours)), palettes=False)
     with pytest.raises(tiff.TiffError, match="colour map"):
         get(2, 1, bytes([0x1F]), (258, 3, 4), (262, 3, 3), (277, 3, 1), (320, 3, *colours[:20]))
     with pytest.raises(tiff.TiffError, match="sample format"):
@@ -178,3 +180,19 @@ def test_large_codes():
         assert tiff.lzw_decode(tiff.lzw_encode(x)) == x
     with pytest.raises(tiff.TiffError, match="LZW"):
         tiff.lzw_decode(bytes([0x80, 0x7F, 0xFF, 0xFF]))
+
+
+def test_ink_of_all_bytes():
+    ink, black = np.meshgrid(np.arange(256, dtype="u1"), np.arange(256, dtype="u1"), indexing="ij")
+    found = tiff._cmyk(np.stack([ink, ink, ink, black], axis=2))
+    one, top = np.float32(1), np.float32(255)
+    want = np.floor((one - ink / top) * (one - black / top) * top + np.float32(0.5)).astype("u1")
+    assert (found[:, :, 0] == want).all() and (found[:, :, 3] == 255).all()
+
+
+def test_jobs_by_tag(spark):
+    from rasterlake.session import cancellable
+
+    with cancellable(spark, "decode") as stop:
+        assert "decode" in spark.getTags() and spark.range(3).count() == 3 and stop() == []
+    assert "decode" not in spark.getTags()
