@@ -7,7 +7,8 @@ updates its own and its left neighbour's leaf, each in logarithmic time.
 
 Defined results: a null text is an empty text with no ids; special tokens are ordinary
 text; very long pieces take n log n steps; pieces already merged are remembered in a
-bounded table of each Python worker. Repeated rows give repeated results.
+bounded table of each Python worker. Repeated rows give repeated results; other columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

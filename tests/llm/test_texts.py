@@ -16,7 +16,12 @@ TEXTS = [None, "", " a", " a  b", "a\n b", "x  y", "<|endoftext|>", "x" * 3000,
 def test_bpe(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate([*TEXTS, TEXTS[2]])], "doc_id long, text string, ids string, n_tokens int")
+    got = {r.doc_id: r for r in byte_bpe.digests(df, PATH, public_tokenizers.PATTERN).collect()}
+    for i, text in enumerate([*TEXTS, TEXTS[2]]):
+        ids = want.encode_ordinary(text or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    df = df.where(f"doc_id < {len(TEXTS)}")
     for row in byte_bpe.encode(df, PATH, public_tokenizers.PATTERN).collect():
         text = TEXTS[row.doc_id] or ""
         assert row.ids == want.encode_ordinary(text) and bytes(row.decoded) == text.encode()
