@@ -107,15 +107,18 @@ def tiff_tags(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def best_variant(images: DataFrame, cells: DataFrame, key: str) -> DataFrame:
-    """The smallest lossless file of every image: key, cell_id, n_bytes.
+    """The smallest lossless file of every image: key, cell_id, n_bytes; null where an image can't be written.
 
-    ``images`` has key, pixels, width, height and descriptor; ``cells`` is the variant plan,
-    at most 14 rows, exploded beside each image, so pixels don't pass a shuffle: only sizes
-    do, with a partial minimum before it. Ties go to the cell earlier in the plan.
+    ``images`` has key, pixels, width, height and descriptor; ``cells`` is the variant plan, at
+    most 14 rows. Each image is tried where it is, so nothing passes a shuffle; ties go to
+    the cell earlier in the plan.
     """
-    plan = [(r.deviations, r.idx_sum, r.ci, r.pi, r.bi, r.cell_id, r.method, r.predictor == "horizontal", r.big_tiff) for r in cells.where(~F.col("dropped")).collect()]
-    options = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(p[5]).alias("cell_id"), F.lit(p[6]).alias("method"), F.lit(p[7]).alias("hpred"), F.lit(p[8]).alias("big")) for i, p in enumerate(sorted(plan))])
-    tried = images.withColumn("cell", F.explode(options))
-    sized = tried.select(key, F.col("cell.rank").alias("rank"), F.col("cell.cell_id").alias("cell_id"), F.length(encode_tiff(F.col("pixels"), F.col("width"), F.col("height"), F.col("descriptor"), F.col("cell.method"), F.col("cell.hpred"), F.col("cell.big"))["content"]).alias("n_bytes"))
-    best = F.min(F.when(F.col("n_bytes").isNotNull(), F.struct("n_bytes", "rank", "cell_id")))
-    return sized.groupBy(key).agg(best.alias("best")).select(key, "best.cell_id", "best.n_bytes")
+    plan = cells.where(~F.col("dropped")).orderBy("deviations", "idx_sum", "ci", "pi", "bi").collect()
+    tried = [(r.method, r.predictor == "horizontal", r.big_tiff) for r in plan]
+
+    def work(pixels, width, height, descriptor) -> dict:
+        n_bytes, i = tiff.smallest(bytes(pixels), int(width), int(height), descriptor, tried)
+        return {"n_bytes": n_bytes, "cell_id": plan[i].cell_id}
+
+    best = struct_udf(work, "n_bytes int, cell_id string")(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(("pixels", "width", "height", "descriptor"))]))
+    return images.select(key, best.alias("best")).select(key, "best.cell_id", "best.n_bytes")

@@ -24,6 +24,7 @@ CODES = {1: "B", 2: "B", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i"
 DESCRIPTIVE = (0x010D, 0x010E, 0x010F, 0x0110, 0x0131, 0x0132, 0x013B, 0x013C, 0x8298)
 METHODS = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 EXIF_POINTER, GPS_POINTER = 0x8769, 0x8825
+CHANNELS, SAMPLE_BYTES = {"gray": 1, "graya": 2, "rgb": 3, "rgba": 4}, {"u8": 1, "u16": 2, "f32": 4}
 
 Entry = tuple[int, int, int, bytes]  # tag, field type, count, raw bytes
 
@@ -514,23 +515,19 @@ def encode_job(pixels: bytes, width: int, height: int, descriptor: str, method:
     """As :func:`encode`, after the limits of an encode job: pixels, width, height, memory of the raster."""
     limits = limits or {}
     layout, _, sample = descriptor.partition("_")
-    size = {"gray": 1, "graya": 2, "rgb": 3, "rgba": 4}.get(layout, 4) * {"u8": 1, "u16": 2}.get(sample, 4)
+    size = CHANNELS.get(layout, 4) * SAMPLE_BYTES.get(sample, 4)
     for name, value in (("max_pixels", width * height), ("max_width", width), ("max_height", height), ("max_memory", width * height * size)):
         if limits.get(name) is not None and value > limits[name]:
             raise TiffError("Limit", f"{name}: {value} exceeds {limits[name]}")
     return encode(pixels, width, height, descriptor, method, hpred, big, metadata)
 
 
-def encode(pixels: bytes, width: int, height: int, descriptor: str, method: str = "lzw", hpred: bool = True, big: bool = False, metadata: dict | None = None, strip_bytes: int = 1 << 16) -> bytes:
-    """Pixels of one of the twelve descriptors as a little-endian TIFF of one page.
-
-    The predictor is off for no compression and for gray with alpha. ``metadata`` may hold
-    icc, xmp, orientation and exif (a TIFF blob whose tags are dealt over the directories).
-    """
+def strips_of(pixels: bytes, width: int, height: int, descriptor: str, method: str = "lzw", hpred: bool = True, strip_bytes: int = 1 << 16) -> tuple[list[bytes], int, bool]:
+    """Compressed strips of pixels, rows a strip, and whether the predictor was used."""
     layout, _, sample = descriptor.partition("_")
-    if layout not in ("gray", "graya", "rgb", "rgba") or sample not in ("u8", "u16", "f32") or method not in METHODS:
+    if layout not in CHANNELS or sample not in SAMPLE_BYTES or method not in METHODS:
         raise TiffError("InvalidInput", f"cannot write {descriptor} with {method}")
-    samples, size = {"gray": 1, "graya": 2, "rgb": 3, "rgba": 4}[layout], {"u8": 1, "u16": 2, "f32": 4}[sample]
+    samples, size = CHANNELS[layout], SAMPLE_BYTES[sample]
     if width < 1 or height < 1 or len(pixels) != width * height * samples * size:
         raise TiffError("InvalidInput", "pixels don't fit the size")
     hpred = hpred and method != "none" and layout != "graya"
@@ -539,8 +536,34 @@ def encode(pixels: bytes, width: int, height: int, descriptor: str, method: str
         grid = np.concatenate([grid[:, :1], grid[:, 1:] - grid[:, :-1]], axis=1)
     rows = max(1, min(height, strip_bytes // (width * samples * size)))
     pack = {"none": bytes, "lzw": lzw_encode, "deflate": lambda b: zlib.compress(b, 6), "packbits": packbits_encode}[method]
-    strips = [pack(grid[y : y + rows].tobytes()) for y in range(0, height, rows)]
-    start, offsets, body = 16 if big else 8, [], b""
+    return [pack(grid[y : y + rows].tobytes()) for y in range(0, height, rows)], rows, hpred
+
+
+def encode(pixels: bytes, width: int, height: int, descriptor: str, method: str = "lzw", hpred: bool = True, big: bool = False, metadata: dict | None = None, strip_bytes: int = 1 << 16) -> bytes:
+    """Pixels of one of the twelve descriptors as a little-endian TIFF of one page.
+
+    The predictor is off for no compression and for gray with alpha. ``metadata`` may hold
+    icc, xmp, orientation and exif (a TIFF blob whose tags are dealt over the directories).
+    """
+    return assemble(*strips_of(pixels, width, height, descriptor, method, hpred, strip_bytes), width, height, descriptor, method, big, metadata)
+
+
+def smallest(pixels: bytes, width: int, height: int, descriptor: str, cells: list[tuple[str, bool, bool]]) -> tuple[int, int]:
+    """Bytes and number of the first smallest file among (method, predictor, layout); both layouts share their strips."""
+    made: dict[tuple, tuple] = {}
+    sizes = []
+    for i, (method, hpred, big) in enumerate(cells):
+        if (method, hpred) not in made:
+            made[method, hpred] = strips_of(pixels, width, height, descriptor, method, hpred)
+        sizes.append((len(assemble(*made[method, hpred], width, height, descriptor, method, big)), i))
+    return min(sizes)
+
+
+def assemble(strips: list[bytes], rows: int, hpred: bool, width: int, height: int, descriptor: str, method: str, big: bool, metadata: dict | None = None) -> bytes:
+    """The file of compressed strips."""
+    layout, _, sample = descriptor.partition("_")
+    samples, size = CHANNELS[layout], SAMPLE_BYTES[sample]
+    start, offsets, body = 16 if big else 8, [], bytearray()
     for strip in strips:
         offsets.append(start + len(body))
         body += strip + b"\0" * (len(strip) % 2)
