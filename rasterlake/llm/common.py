@@ -80,19 +80,29 @@ def hot_limit(df: DataFrame, rows: int) -> int:
     return max(1, rows // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: str, count: str, limit: int, by: list[str], how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right``, which has each key once and in ``count`` how many rows of ``left`` have it.
+def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, limit: int) -> DataFrame:
+    """Inner join with ``right``, a few numbers for each key, once each; ``count`` says how many rows of ``left`` have it, and goes.
+
+    Keys of more than ``limit`` rows, with :func:`hot_limit` fewer than four a shuffle partition,
+    are broadcast, so their rows stay where they are; only the others' rows are exchanged.
+    """
+    mild, hot = right.where(F.col(count) <= limit).drop(count), right.where(F.col(count) > limit).drop(count)
+    return left.join(mild, on).unionByName(left.join(F.broadcast(hot), on))
+
+
+def left_join_salted(left: DataFrame, right: DataFrame, on: str, count: str, limit: int, by: list[str]) -> DataFrame:
+    """Left join with ``right``, which has each key once; ``count`` says how many rows of ``left`` have it, and goes.
 
     Keys of more than ``limit`` rows are dealt over so many salts, by a hash of the columns ``by``
     of ``left``, that a task gets about ``limit`` of them; only these keys are broadcast, and
-    with :func:`hot_limit` they are fewer than four a shuffle partition. ``count`` goes.
+    with :func:`hot_limit` they are fewer than four a shuffle partition.
     """
-    hot = right.where(F.col(count) > limit).select(on, F.ceil(F.col(count) / limit).cast("int").alias("_salts"))
-    salts = F.when(F.col(count) > limit, F.ceil(F.col(count) / limit)).otherwise(1).cast("int")
-    dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    salts = F.ceil(F.col(count) / limit).cast("int")
+    hot = right.where(F.col(count) > limit).select(on, salts.alias("_salts"))
+    dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(count) > limit, salts).otherwise(1) - 1)))
     own = F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1))).cast("int")
     marked = left.join(F.broadcast(hot), on, "left").withColumn("_salt", own).drop("_salts")
-    return marked.join(dealt, [on, "_salt"], how).drop("_salt", count)
+    return marked.join(dealt, [on, "_salt"], "left").drop("_salt", count)
 
 
 def columns_of(batch: pa.RecordBatch) -> list[list]:

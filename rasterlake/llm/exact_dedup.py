@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, hot_limit, in_slices, join_salted
+from .common import columns_of, cut, hot_limit, in_slices, left_join_salted
 
 #: Runs that differ from one single space.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -178,7 +178,7 @@ def _joined(df: DataFrame, doc_id: str, text: str, spill_bytes: int, rows: DataF
     owners = cut(parts.repartition("size", "sha").mapInArrow(_tries(spill_bytes), "sha string, owner long, n long, at_owner long"))
     found = owners.select(F.col("sha").alias("_sha"), F.col("owner").alias("_owner"), F.col("n").alias("_n"), F.col("at_owner").alias("_at"))
     found = found.withColumn("_rows", F.col("_n"))
-    out = join_salted(rows, found, "_sha", "_rows", hot_limit(df, df.count()), ["_id"], "left")
+    out = left_join_salted(rows, found, "_sha", "_rows", hot_limit(df, df.count()), ["_id"])
     first = F.coalesce(F.col("_n").isNull() | F.col("_id").eqNullSafe(F.col("_owner")), F.lit(False))
     if owners.where("at_owner > 1").isEmpty():
         return out.withColumn("_kept", first)

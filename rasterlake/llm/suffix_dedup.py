@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, columns_of, cut, hot_limit, in_slices, join_salted, mix
+from .common import Tables, columns_of, cut, hot_limit, in_slices, join_counted, left_join_salted, mix
 
 _TEXT = pa.schema([("sha", pa.binary()), ("body", pa.binary())])
 _ANCHOR = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("place", pa.int64())])
@@ -457,7 +457,7 @@ def _anchored(docs: DataFrame, tables: Tables, search: Search) -> DataFrame:
     """Places of the anchors that occur more than once: sha, places."""
     found = tables.write(docs.mapInArrow(_anchors(search), "h long, sha binary, place long"))
     twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    each = join_salted(found, twice, "h", "c", hot_limit(docs, found.count()), ["sha", "place"])
+    each = join_counted(found, twice, "h", "c", hot_limit(docs, found.count()))
     return each.groupBy("sha").agg(F.collect_set("place").alias("places"))
 
 
@@ -479,7 +479,7 @@ def _blocks(docs: DataFrame, tables: Tables, searches: list[Search], every: bool
 def _shared(rows: DataFrame, tables: Tables) -> DataFrame:
     """The rows whose key others have too, and how many do."""
     loads = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("n", F.col("c"))
-    return tables.write(join_salted(rows, loads, "key", "c", hot_limit(rows, rows.count()), ["sha", "at"]))
+    return tables.write(join_counted(rows, loads, "key", "c", hot_limit(rows, rows.count())))
 
 
 def _matches(rows: DataFrame, tables: Tables, search: Search, hot: int, every: bool) -> DataFrame:
@@ -598,7 +598,7 @@ def with_spans(df: DataFrame, text: str, length: int = 400, words: int = 51, hot
     first = df.columns[0]
     packed = docs.select(first, "sha", "body").mapInArrow(_pack, f"{first} {df.schema[first].dataType.simpleString()}, sha binary, packed binary")
     marks = marks.withColumn("n", F.coalesce("copies", F.lit(1)))
-    return join_salted(packed, marks, "sha", "n", hot_limit(df, df.count()), [first], "left").select(first, "packed", "copies", "spans", "passages")
+    return left_join_salted(packed, marks, "sha", "n", hot_limit(df, df.count()), [first]).select(first, "packed", "copies", "spans", "passages")
 
 
 def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, words: int = 51, hot: int = 256) -> DataFrame:
