@@ -200,6 +200,22 @@ def svg_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", *[F.coalesce(f"{x}.{y}", F.lit(0)).alias(f"{x}_{y}") for x in ("quick", "full") for y in ("width", "height", "channels")], "full.descriptor", F.col("quick.error").alias("quick_error"), F.col("full.error").alias("full_error"))
 
 
+def svg_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle on nothing, one pixel from the edges; every 9th document has a circle, every 11th is too large."""
+    body = F.expr("""concat('<svg width="', p_size % 7 + 3, '" height="', if(p_partkey % 11 = 0, 900, p_partkey % 5 + 3), '"><g fill="#0a141e"><title>t</title><rect x="1" y="1" width="', p_size % 7 + 1, '" height="', p_partkey % 5 + 1, '"/>', if(p_partkey % 9 = 0, '<circle/>', ''), '</g></svg>')""")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.encode(body, "UTF-8").alias("content"))
+    found = D.render_svg(rows, max_px=1000)
+    return found.select("id", F.coalesce("raster.width", F.lit(0)).alias("width"), F.coalesce("raster.height", F.lit(0)).alias("height"), F.hex("raster.pixels").alias("pixels"), F.col("raster.error.kind").alias("error"))
+
+
+def pdf_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a blue rectangle on white, the second one turned; every 7th document asks for a page that isn't there."""
+    text = "concat('%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R 4 0 R] /Contents 5 0 R /MediaBox [0 0 ', p_size % 5 + 5, ' 12]>> endobj\n3 0 obj <</Type /Page /Contents 5 0 R>> endobj\n4 0 obj <</Type /Page /Rotate 90 /Contents [5 0 R]>> endobj\n5 0 obj <</Length 32>>\nstream\nq 0 0 1 rg 1 2 3 4 re f Q % blue\nendstream endobj\n')"
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", f"encode({text}, 'UTF-8') as content", "if(p_partkey % 7 = 0, 'single', 'all') as kind", "cast(2 as int) as start")
+    found = D.render_pages(rows, L.page_indices(F.col("kind"), F.col("start"), F.col("start"), F.lit(2)), F.lit("scale"), F.lit(1.0), F.lit(0.0))
+    return found.select("id", F.coalesce("page", F.lit(-1)).alias("page"), F.coalesce("raster.width", F.lit(0)).alias("width"), F.coalesce("raster.height", F.lit(0)).alias("height"), F.hex("raster.pixels").alias("pixels"), F.col("raster.error.kind").alias("error"))
+
+
 def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats of files by their first bytes, one in sixteen each."""
     #: Starts of files.
@@ -218,7 +234,7 @@ ORACLES |= {
     "x34_orientation_hints": f"with t as (select event_id as id, case when event_id % 10 between 1 and 8 then event_id % 10 else 1 end as own, user_id % 8 + 1 as asked, event_id % 4 as hint from events) select id, cast(case hint when 0 then 1 when 1 then own when 2 then asked else {_composed()}[cast((own - 1) * 8 + asked as int)] end as int) as orientation from t",
 }
 
-QUERIES |= {"s1_sniff_bytes": sniffed, "p16_generic_info": generic, "p17_job_probe": job_probe, "p18_output_info": output_info, "x37_decode_job": decode_job, "e13_encode_job": encode_job, "s16_pixel_rows": pixel_rows, "p26_pdf_probe": pdf_probe, "p27_pdf_output_info": pdf_output, "p19_svg_probe": svg_probe}
+QUERIES |= {"s1_sniff_bytes": sniffed, "p16_generic_info": generic, "p17_job_probe": job_probe, "p18_output_info": output_info, "x37_decode_job": decode_job, "e13_encode_job": encode_job, "s16_pixel_rows": pixel_rows, "p26_pdf_probe": pdf_probe, "p27_pdf_output_info": pdf_output, "p19_svg_probe": svg_probe, "x31_svg_raster": svg_raster, "x33_pdf_raster": pdf_raster}
 _PROBED = f"{_SQL}, u as (select *, {_TURNED} as turned, id % 4 > 0 as baked from t), v as (select *, case when turned > 4 then h else w end as ow, case when turned > 4 then w else h end as oh from u)"
 #: Where a pixel (x, y) of the turned image comes from, as its number in the stored one.
 _FROM = "case turned when 1 then y * w + x when 2 then y * w + w - 1 - x when 3 then (h - 1 - y) * w + w - 1 - x when 4 then (h - 1 - y) * w + x when 5 then x * w + y when 6 then (h - 1 - x) * w + y when 7 then (h - 1 - x) * w + w - 1 - y else x * w + w - 1 - y end"
@@ -241,4 +257,11 @@ x as (select *, case when id % 13 = 0 then 'InputSize' when id % 9 = 0 then 'Mal
 select id, case when error is null then page else 0 end as page, case when error is null then w else 0 end as width, case when error is null then h else 0 end as height, error from x""",
     "p19_svg_probe": """with t as (select p_partkey as id, case when p_partkey % 7 = 0 then 'Parse' end as bad, case when p_partkey % 5 = 0 then 'NotSvg' when p_partkey % 7 = 0 then 'Parse' end as quick, cast(ceil(p_size / 2.0) as bigint) as w from part)
 select id, case when quick is null then w else 0 end as quick_width, case when quick is null then cast(15 as bigint) else 0 end as quick_height, case when quick is null then 4 else 0 end as quick_channels, case when bad is null then w else 0 end as full_width, case when bad is null then cast(15 as bigint) else 0 end as full_height, case when bad is null then 4 else 0 end as full_channels, case when bad is null then 'rgba_u8' end as descriptor, quick as quick_error, bad as full_error from t""",
+    "x31_svg_raster": """with t as (select p_partkey as id, cast(p_size % 7 + 3 as int) as w, cast(p_partkey % 5 + 3 as int) as h, case when p_partkey % 11 = 0 then 'LimitExceeded' when p_partkey % 9 = 0 then 'UnsupportedFeature' end as error from part)
+select id, case when error is null then w else 0 end as width, case when error is null then h else 0 end as height, case when error is null then array_to_string([case when i % w between 1 and w - 2 and i // w between 1 and h - 2 then '0A141EFF' else '00000000' end for i in range(w * h)], '') end as pixels, error from t""",
+    "x33_pdf_raster": """with t as (select p_partkey as id, cast(p_size % 5 + 5 as int) as s, p_partkey % 7 = 0 as bad from part), p as (select *, cast(case when bad then -1 else n end as int) as page from t, range(2) r(n) where not bad or n = 0)
+select id, page, case when bad then 0 when page = 0 then s else 12 end as width, case when bad then 0 when page = 0 then 12 else s end as height,
+  case when page = 0 then array_to_string([case when i % s between 1 and 3 and i // s between 6 and 9 then '0000FFFF' else 'FFFFFFFF' end for i in range(s * 12)], '')
+    when page = 1 then array_to_string([case when i // 12 between 1 and 3 and 11 - i % 12 between 6 and 9 then '0000FFFF' else 'FFFFFFFF' end for i in range(s * 12)], '') end as pixels,
+  case when bad then 'PageOutOfRange' end as error from p""",
 }

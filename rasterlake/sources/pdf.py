@@ -10,6 +10,7 @@ from .tiff import TiffError as SourceError
 #: Bytes of an object stream that are inflated at most; what lies behind isn't read.
 MAX_STREAM = 64 << 20
 WORD = re.compile(rb"[\s\0]*(?:%[^\r\n]*[\s\0]*)*(<<|>>|\[|\]|\(|<[0-9A-Fa-f\s]*>|/[^\s\0()<>\[\]{}/%]*|(\d+)[\s\0]+(\d+)[\s\0]+R\b|[^\s\0()<>\[\]{}/%]+)")
+STREAM = re.compile(rb"\s*stream\r?\n")
 OBJECT = re.compile(rb"(?<!\d)(\d+)[\s\0]+\d+[\s\0]+obj\b")
 
 
@@ -58,9 +59,13 @@ def objects(data: bytes) -> dict[int, object]:
         except SourceError:
             continue
         plain[int(found[1])] = item
-        if isinstance(item, dict) and item.get("/Type") == "/ObjStm" and (start := re.compile(rb"\s*stream\r?\n").match(data, end)):
-            length = item.get("/Length")
-            stop = start.end() + int(length) if isinstance(length, float) else data.find(b"endstream", start.end())
+        start = STREAM.match(data, end) if isinstance(item, dict) else None
+        if not start:
+            continue
+        length = item.get("/Length")
+        stop = start.end() + int(length) if isinstance(length, float) else data.find(b"endstream", start.end())
+        item["#stream"] = start.end(), stop
+        if item.get("/Type") == "/ObjStm":
             body = data[start.end() : stop]
             if item.get("/Filter") in ("/FlateDecode", ["/FlateDecode"]):
                 try:
@@ -78,7 +83,12 @@ def objects(data: bytes) -> dict[int, object]:
 
 
 def pages(data: bytes) -> list[tuple[float, float]]:
-    """Width and height in points of every page in order, rotation applied.
+    """Width and height in points of every page in order, rotation applied."""
+    return [(page["width"], page["height"]) for page in page_nodes(data)]
+
+
+def page_nodes(data: bytes, contents: bool = False) -> list[dict]:
+    """Pages in order: width, height (rotation applied), box, rotate and, where asked for, content.
 
     Inner nodes count once, so cycles end; broken references are left out; ``Encrypted`` where the
     trailer names an encryption, ``Malformed`` without a catalogue.
@@ -115,10 +125,20 @@ def pages(data: bytes) -> list[tuple[float, float]]:
         crop = _box(own.get("/CropBox"), get) or media
         left, low, right, high = max(media[0], crop[0]), max(media[1], crop[1]), min(media[2], crop[2]), min(media[3], crop[3])
         size = (max(right - left, 0.0), max(high - low, 0.0))
-        found.append(size[::-1] if int(own.get("/Rotate") or 0) % 180 == 90 else size)
+        rotate = int(own.get("/Rotate") or 0)
+        width, height = size[::-1] if rotate % 180 == 90 else size
+        page = {"width": width, "height": height, "box": (left, low, right, high), "rotate": rotate}
+        if contents:
+            page["streams"] = [x for x in _streams(node.get("/Contents"), get) if isinstance(x, dict) and "#stream" in x]
+        found.append(page)
     return found
 
 
+def _streams(item: object, get) -> list:
+    item = get(item)
+    return [get(x) for x in item] if isinstance(item, list) else [item]
+
+
 def _box(item: object, get) -> tuple[float, float, float, float] | None:
     numbers = [get(x) for x in item] if isinstance(item, list) else []
     if len(numbers) != 4 or not all(isinstance(x, float) for x in numbers):

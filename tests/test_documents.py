@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from rasterlake.functions import pixels
 from rasterlake.operators import document_columns as D
-from rasterlake.sources import jp2, pdf, svg
+from rasterlake.sources import jp2, pdf, raster, svg
 from rasterlake.sources.tiff import TiffError
 
 
@@ -95,3 +95,43 @@ def test_limits_and_metadata_of_jobs(spark):
         limits.finite(F.lit(float("nan"))).alias("nan"),
     ).first()
     assert tuple(row) == (False, True, None, "InputSize", False)
+
+
+def test_rectangles_of_svg():
+    got = raster.render_svg(b'<svg width="4" height="2" viewBox="0 0 8 4"><rect width="8" height="4" fill="white"/><rect x="2" y="0" width="3" height="2" fill="#f00"/></svg>', 4, 2)
+    assert got[:, :, 3].tolist() == [[255] * 4] * 2
+    assert got[0].tolist() == [[255, 255, 255, 255], [255, 0, 0, 255], [255, 128, 128, 255], [255, 255, 255, 255]] and (got[1] == 255).all()
+    half = raster.render_svg(b'<svg width="2" height="1"><rect width="0.5" height="1" fill="lime"/></svg>', 2, 1)
+    assert half.tolist() == [[[0, 255, 0, 128], [0, 0, 0, 0]]]
+    assert raster.render_svg(b'<svg width="1" height="1"/>', 3, 1, (10, 20, 30, 255)).tolist() == [[[10, 20, 30, 255]] * 3]
+    middle = raster.render_svg(b'<svg width="4" height="2" viewBox="0 0 1 1"><rect width="1" height="1"/></svg>', 4, 2)
+    assert middle[:, :, 3].tolist() == [[0, 255, 255, 0]] * 2  # a square box in the middle
+    nested = b'<svg width="2" height="1"><g fill="none"><rect width="2" height="1"/><g fill="blue"><rect width="1" height="1"/></g><rect x="1" width="1" height="1"/></g></svg>'
+    assert raster.render_svg(nested, 2, 1).tolist() == [[[0, 0, 255, 255], [0, 0, 0, 0]]]
+    for bad in (b"<text/>", b'<rect rx="1"/>', b'<rect fill="url(#a)"/>', b'<g transform="scale(2)"/>', b'<rect style="fill:red"/>'):
+        with pytest.raises(TiffError) as error:
+            raster.render_svg(b'<svg width="1" height="1">' + bad + b"</svg>", 1, 1)
+        assert error.value.kind == "UnsupportedFeature"
+
+
+def test_rectangles_of_pages():
+    found = raster.rectangles(b"q 2 0 0 2 10 0 cm 0.5 g 1 1 2 3 re f Q 0 1 0 0 k 5 5 -2 2 re 0 0 1 1 re f* 9 9 9 9 re n /a BMC EMC")
+    assert found == [((12, 2, 16, 8), (0.5, 0.5, 0.5)), ((3, 5, 5, 7), (1, 0, 1)), ((0, 0, 1, 1), (1, 0, 1))]
+    for bad in (b"BT (x) Tj ET", b"0 0 m 1 1 l S", b"1 1 0 1 0 0 cm", b"0 0 1 1 re W n", b"/x Do", b"/x gs"):
+        with pytest.raises(TiffError) as error:
+            raster.rectangles(bad)
+        assert error.value.kind == "UnsupportedFeature"
+    assert raster.rectangles(b" % nothing\n") == []
+
+
+def test_pages_that_cannot_be_shown(spark):
+    from rasterlake.functions import limits as L
+
+    page = b"%PDF-1.4 1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Type/Pages/Kids[3 0 R]/MediaBox[0 0 9 9]>>endobj 3 0 obj<</Type/Page>>endobj"
+    df = spark.createDataFrame([(1, page, [0]), (2, page, [0] * 1001), (3, page, []), (4, b"x", [0]), (5, None, [0]), (6, page, None)], "id int, content binary, pages array<int>")
+    got = {}
+    for r in D.render_pages(df, F.col("pages"), F.lit("width"), F.lit(20.0), F.lit(0.0), max_px=400).collect():
+        got.setdefault(r.id, []).append((r.page, r.raster.error and r.raster.error.kind, r.raster.width))
+    assert got == {1: [(0, None, 20)], 2: [(None, "TooManyPages", None)], 4: [(None, "Malformed", None)], 5: [(0, None, None)], 6: [(None, "PageOutOfRange", None)]}
+    small = D.render_pages(df.where("id = 1"), F.col("pages"), F.lit("width"), F.lit(20.0), F.lit(0.0), max_px=399).first()
+    assert small.raster.error.kind == "PixelLimitExceeded" and L.MAX_PAGES == 1000
