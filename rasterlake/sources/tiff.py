@@ -401,7 +401,7 @@ def _cmyk(grid: np.ndarray) -> np.ndarray:
         raise TiffError("UnsupportedFeature", f"CMYK of {grid.dtype}")
     most = {1: 255, 2: 65535, 4: 1}[grid.dtype.itemsize]
     if grid.dtype == np.uint8:
-        light = _byte_light()[grid[:, :, :3], grid[:, :, 3:4]]
+        light = _byte_light().take(grid[:, :, :3].astype(np.uint16) << np.uint16(8) | grid[:, :, 3:4])
     else:
         light = _light(grid[:, :, :3], grid[:, :, 3:4], most)
     alpha = grid[:, :, 4:5] if grid.shape[2] > 4 else np.full(grid.shape[:2] + (1,), most, grid.dtype)
@@ -418,9 +418,9 @@ def _light(ink: np.ndarray, black: np.ndarray, most: int) -> np.ndarray:
 
 @functools.cache
 def _byte_light() -> np.ndarray:
-    """:func:`_light` of all pairs of bytes."""
+    """:func:`_light` of all pairs of bytes, ink first."""
     all_ = np.arange(256, dtype=np.uint8)
-    return _light(all_[:, None], all_[None, :], 255)
+    return _light(all_[:, None], all_[None, :], 255).ravel()
 
 
 def _palette(indices: np.ndarray, colours: tuple, bits: int) -> np.ndarray:
