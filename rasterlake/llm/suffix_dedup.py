@@ -103,11 +103,11 @@ class _Codes(dict):
         return found
 
 
-def of_bytes(length: int = 400, gram: int = 64, step: int = 32) -> Search:
+def of_bytes(length: int = 400, gram: int = 64, step: int = 64) -> Search:
     return Search(length, gram, step).checked()
 
 
-def of_words(words: int = 51, gram: int = 8, step: int = 8) -> Search:
+def of_words(words: int = 51, gram: int = 8, step: int = 16) -> Search:
     return Search(words, gram, step, _CODE).checked()
 
 
