@@ -40,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Tables:
     """Large tables of one operator call: compressed Parquet files in the shared checkpoint folder.
 
@@ -64,8 +70,7 @@ class Tables:
     def drop(self) -> None:
         """Delete the tables, then :meth:`release`."""
         while self.paths:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            drop_folder(self.spark, self.paths.pop())
         self.release()
 
     def __enter__(self) -> Tables:
@@ -84,10 +89,15 @@ def join_counted(left: DataFrame, right: DataFrame, on: str, count: str, limit:
     """Inner join with ``right``, a few numbers for each key, once each; ``count`` says how many rows of ``left`` have it, and goes.
 
     Keys of more than ``limit`` rows, with :func:`hot_limit` fewer than four a shuffle partition,
-    are broadcast, so their rows stay where they are; only the others' rows are exchanged.
+    come to the driver and are broadcast, so their rows stay where they are; only the others'
+    rows are exchanged. ``right`` is read twice: write it first.
     """
-    mild, hot = right.where(F.col(count) <= limit).drop(count), right.where(F.col(count) > limit).drop(count)
-    return left.join(mild, on).unionByName(left.join(F.broadcast(hot), on))
+    hot = [row[0] for row in right.where(F.col(count) > limit).select(on).collect()]
+    right = right.drop(count)
+    if not hot:
+        return left.join(right, on)
+    chosen = F.col(on).isin(hot)
+    return left.where(~chosen).join(right.where(~chosen), on).unionByName(left.where(chosen).join(F.broadcast(right.where(chosen)), on))
 
 
 def left_join_salted(left: DataFrame, right: DataFrame, on: str, count: str, limit: int, by: list[str]) -> DataFrame:

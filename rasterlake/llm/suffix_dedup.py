@@ -456,7 +456,7 @@ def _arrays(search: Search, step: int, work, every: bool, symbols: int = 1 << 20
 def _anchored(docs: DataFrame, tables: Tables, search: Search) -> DataFrame:
     """Places of the anchors that occur more than once: sha, places."""
     found = tables.write(docs.mapInArrow(_anchors(search), "h long, sha binary, place long"))
-    twice = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    twice = tables.write(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
     each = join_counted(found, twice, "h", "c", hot_limit(docs, found.count()))
     return each.groupBy("sha").agg(F.collect_set("place").alias("places"))
 
@@ -478,7 +478,7 @@ def _blocks(docs: DataFrame, tables: Tables, searches: list[Search], every: bool
 
 def _shared(rows: DataFrame, tables: Tables) -> DataFrame:
     """The rows whose key others have too, and how many do."""
-    loads = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("n", F.col("c"))
+    loads = tables.write(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("n", F.col("c")))
     return tables.write(join_counted(rows, loads, "key", "c", hot_limit(rows, rows.count())))
 
 
