@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import exact_dedup, lang_id, ngram_join, packing, suffix_dedup
-from rasterlake.llm.common import ensure_checkpoints, training_half
+from rasterlake.llm.common import drop_folder, ensure_checkpoints, training_half
 from rasterlake.session import ship
 
 
@@ -58,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written as Parquet and read again."""
+    """The stages over ``documents``, each written as Parquet and read again; what a stage has read goes when it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     place = f"{ensure_checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{i}")
         docs = spark.read.parquet(f"{place}/{i}")
+        if i:
+            drop_folder(spark, f"{place}/{i - 1}")
     return docs
