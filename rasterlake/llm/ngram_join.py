@@ -40,7 +40,7 @@ from .common import Forest, Tables, columns_of, components, cut, in_slices, mix
 _SET = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("routes", pa.list_(pa.int64()))])
 _ITEMS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("items", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 
 
 def route_plan(threshold: float, rows: int = 4, miss: float = 1e-9) -> tuple[int, int]:

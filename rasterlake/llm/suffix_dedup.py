@@ -65,7 +65,7 @@ _WORD = re.compile(rb"[^ \t-\r]+")
 _CODE = 8
 _NUMBERS = {1: np.uint8, _CODE: np.uint64}
 #: Rows that a task holds before it sends them.
-_HELD = 150_000
+_HELD = 60_000
 
 
 class Search(NamedTuple):
