@@ -199,7 +199,7 @@ def train_field(x: np.ndarray, y: np.ndarray, first: np.ndarray, steps: int = 30
     return {"used": used, "weights": p[0], "moves": p[1], "start": p[2], "bias": float(p[3][0])}
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10000, others: int = 300, purity: float = 0.95, most_tokens: int = 2_000_000) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 10000, others: int = 300, purity: float = 0.95, most_tokens: int = 300_000) -> dict | None:
     """The field, or None without anything toxic to learn."""
     sample = labelled_sample(docs, labels, label, rows).coalesce(6)
     counts, sizes = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
