@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, embed_dedup, exact_dedup, lang_id, ngram_join, packing, quality, suffix_dedup, toxicity
+from . import byte_bpe, chat_format, embed_dedup, exact_dedup, lang_id, ngram_join, packing, pii, quality, runs, source_divergence, suffix_dedup, toxicity
 from .common import held_out, training_half
 
 
@@ -67,13 +67,96 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_language_id, op4_byte_bpe, op5_chat_preferences, op6_suffix_array_dedup, op7_toxicity, op8_best_fit_packing, op9_exact_dedup, op10_ngram_join)
+    f.__name__: f for f in (op1_quality, op2_embedding_near_dedup, op3_language_id, op4_byte_bpe, op5_chat_preferences, op6_suffix_array_dedup, op7_toxicity, op8_best_fit_packing, op9_exact_dedup, op10_ngram_join, op11_source_divergence, op12_periodic_runs, op13_pii)
 }
 
 _TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 
 ORACLES: dict[str, str] = {
+    "op12_periodic_runs": r"""
+with o as (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    xor(4294967295, list_reduce(flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda c, x: case when x >= 0 then xor(c, cast(x as bigint)) else xor(c >> 1, 3988292384 * (c & 1)) end, cast(4294967295 as bigint))) as h
+  from documents
+), a as (
+  select *, len(w) as n, h // 10 as g, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from o
+), b as (
+  select *, 1 + (n - a) // (3 + g % 8) as p from a
+), d as (
+  select r, doc_id, n, case when a is null then w else list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) end as w from b
+), x as (
+  select r, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d
+), e as (
+  select x.r, y.i - x.i as q, x.i as i from x join x y on x.r = y.r and x.word = y.word and x.i < y.i
+), f as (
+  select r, q, i, i - row_number() over (partition by r, q order by i) as k from e
+), s as (
+  select r, min(i) as start, count(*) + q as length, q as period from f group by r, q, k having count(*) >= greatest(q, 12 - q)
+), t as (
+  select r, start, length, min(period) as period from s group by r, start, length
+), u as (
+  select r, count(*) as n_runs, arg_max({'start': start, 'length': length, 'period': period}, [length, -start, -period]) as top,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed
+  from t group by r
+), z as (
+  select distinct r, unnest(range(start + period, start + length)) as i from t
+), k as (
+  select x.r, string_agg(x.word, ' ' order by x.i) as kept from x anti join z on z.r = x.r and z.i = x.i group by x.r
+)
+select d.doc_id, coalesce(u.n_runs, 0) as n_runs, u.top.start as start, u.top.length as length, u.top.period as period,
+  1000 * u.top.length // u.top.period as exponent_milli, sha256(coalesce(u.listed, '')) as runs_sha256, sha256(coalesce(k.kept, '')) as collapsed_sha256
+from d left join u on u.r = d.r left join k on k.r = d.r
+""",
+    "op11_source_divergence": r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body
+  from documents
+), t as (
+  select r, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), k as (
+  select lang, term from t group by lang, term having count(distinct r) >= 10
+), g as (
+  select distinct lang, source from d
+), c as (
+  select lang, source, term, count(*) as n from t group by lang, source, term
+), x as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n
+  from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), y as (
+  select lang, source, term, n, sum(n) over (partition by lang, source) as total, count(*) over (partition by lang, source) as v,
+    sum(n) over (partition by lang, term) as lang_n, sum(n) over (partition by lang) as lang_total
+  from x
+), s as (
+  select lang, source, term, n, cast(1 + cast(1000000000 as hugeint) * (n + 2) // (total + 2 * v) as bigint) as p,
+    cast(1 + cast(1000000000 as hugeint) * (lang_n + 2) // (lang_total + 2 * v) as bigint) as q
+  from y
+), f as (
+  select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as bigint) as value
+  from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from s where n > 0 and p > q
+)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from (select * from pairs union all select * from terms)
+qualify part = 'pair' or row_number() over (partition by lang, source, part order by value desc, item) <= 10
+""",
     "op2_embedding_near_dedup": """
 with recursive x as (
   select vec_id, label, list_transform(embedding, lambda v: cast(v as double)) as v from embeddings
