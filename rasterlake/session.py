@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -28,6 +29,29 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, or the one set on the context.
+
+    Where neither is set, a temporary folder is, but only if driver and workers are one
+    process: other executors could not see it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rasterlake-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], list[str]]]:
     """Jobs started in the block carry ``tag``; call what it gives, from any thread, to stop them."""

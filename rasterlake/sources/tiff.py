@@ -1,7 +1,8 @@
 """TIFF bytes in plain Python and numpy: directories, tags, metadata, pixels, encoding.
 
-Nothing here knows Spark; ``operators/tiff_columns.py`` runs it over Arrow batches. Every
-defect of a file is a ``TiffError`` whose ``kind`` is a row of the error table.
+Nothing here knows Spark; ``operators/tiff_columns.py`` runs it over Arrow batches and
+``sources/tiff_source.py`` over files, of which only slices are read. Every defect of a file
+is a ``TiffError`` whose ``kind`` is a row of the error table.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def header(data: bytes) -> tuple[str, bool, int]:
         raise TiffError("Decode", "no TIFF header")
     order, big = MAGICS[data[:4]]
     try:
-        return order, big, struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
+        return order, big, struct.unpack(order + ("Q" if big else "I"), data[8:16] if big else data[4:8])[0]
     except struct.error:
         raise TiffError("Truncated", "short header") from None
 
@@ -53,28 +54,28 @@ def directory(data: bytes, at: int, order: str, big: bool = False) -> tuple[list
 
     Entries of unknown types and those whose values lie outside the file are skipped.
     """
-    head, size, inline = ("Q", 20, 8) if big else ("H", 12, 4)
-    try:
-        count = struct.unpack_from(order + head, data, at)[0]
-        start = at + struct.calcsize("<" + head)
-        if at <= 0 or start + count * size > len(data):
-            return None
-        found = []
-        for i in range(count):
-            place = start + i * size
-            tag, kind, n = struct.unpack_from(order + ("HHQ" if big else "HHI"), data, place)
-            if kind not in CODES:
-                continue
-            length, begin = n * struct.calcsize("<" + CODES[kind]), place + size - inline
-            if length > inline:
-                begin = struct.unpack_from(order + ("Q" if big else "I"), data, begin)[0]
-            if begin + length <= len(data):
-                found.append((tag, kind, n, data[begin : begin + length]))
-        end = start + count * size
-        after = struct.unpack_from(order + ("Q" if big else "I"), data, end)[0] if end + inline <= len(data) else 0
-        return found, after
-    except struct.error:
+    head, size, inline = (8, 20, 8) if big else (2, 12, 4)
+    wide, number = ("Q", "HHQ") if big else ("I", "HHI")
+    if at <= 0 or at + head > len(data):
+        return None
+    count = int.from_bytes(data[at : at + head], "little" if order == "<" else "big")
+    start = at + head
+    end = start + count * size
+    if end > len(data):
         return None
+    found, lines = [], data[start:end]
+    for i in range(count):
+        line = lines[i * size : (i + 1) * size]
+        tag, kind, n = struct.unpack(order + number, line[:-inline])
+        if kind not in CODES:
+            continue
+        length, begin = n * struct.calcsize("<" + CODES[kind]), start + (i + 1) * size - inline
+        if length > inline:
+            begin = struct.unpack(order + wide, line[-inline:])[0]
+        if begin + length <= len(data):
+            found.append((tag, kind, n, line[-inline:][:length] if length <= inline else data[begin : begin + length]))
+    after = struct.unpack(order + wide, data[end : end + inline])[0] if end + inline <= len(data) else 0
+    return found, after
 
 
 def pages(data: bytes) -> list[list[Entry]]:
@@ -359,13 +360,12 @@ def _samples(raw: bytes, rows: int, across: int, samples: int, bits: int, form:
     return grid
 
 
-def planes(data: bytes, d: Directory) -> np.ndarray:
-    """Stored samples of the first page as (height, width, samples), before conversion."""
-    width, height, samples, method = d.one(256), d.one(257), d.one(277, 1), d.one(259, 1)
+def grid_of(d: Directory) -> tuple[list[tuple[int, int, int, int, int, int, int]], dict]:
+    """Strips or tiles of a page as (plane, x, y, width, height, offset, length), and how their samples are stored."""
+    width, height, samples = d.one(256), d.one(257), d.one(277, 1)
     depths, forms = set(d.many(258) or (1,)), set(d.many(339) or (1,))
     if len(depths) > 1 or len(forms) > 1:
         raise TiffError("UnsupportedFeature", "samples of different formats")
-    bits, form, predictor = depths.pop(), forms.pop(), d.one(317, 1)
     tiled, apart = 322 in d.entries, d.one(284, 1) == 2
     if tiled:
         across, down = d.one(322), d.one(323)
@@ -378,19 +378,34 @@ def planes(data: bytes, d: Directory) -> np.ndarray:
     each, columns, lines = (1 if apart else samples), -(-width // across), -(-height // down)
     if len(offsets) < columns * lines * (samples if apart else 1):
         raise TiffError("Decode", "missing strips or tiles")
-    out = None
+    found = []
     for i in range(columns * lines * (samples if apart else 1)):
         plane, block = divmod(i, columns * lines)
         y, x = block // columns * down, block % columns * across
-        rows = down if tiled else min(down, height - y)
-        want = rows * (-(-across * each * bits // 8))
-        raw = inflate(data[offsets[i] : offsets[i] + lengths[i]], method, want)
-        got = _samples(raw, rows, across, each, bits, form, d.order, predictor)[: height - y, : width - x]
+        found.append((plane, x, y, across, down if tiled else min(down, height - y), offsets[i], lengths[i]))
+    return found, {"method": d.one(259, 1), "each": each, "apart": apart, "bits": depths.pop(), "form": forms.pop(), "order": d.order, "predictor": d.one(317, 1), "inverted": d.one(262) == 0, "width": width, "height": height}
+
+
+def block(packed: bytes, place: tuple[int, ...], how: dict) -> np.ndarray:
+    """Stored samples of one strip or tile as (rows, columns, samples), cut to the image."""
+    _, x, y, across, rows, _, _ = place
+    raw = inflate(packed, how["method"], rows * (-(-across * how["each"] * how["bits"] // 8)))
+    got = _samples(raw, rows, across, how["each"], how["bits"], how["form"], how["order"], how["predictor"])[: how["height"] - y, : how["width"] - x]
+    if how["inverted"] and got.dtype.kind == "u":
+        got = ((1 << how["bits"]) - 1 - got).astype(got.dtype)
+    return got
+
+
+def planes(data: bytes, d: Directory) -> np.ndarray:
+    """Stored samples of the first page as (height, width, samples), before conversion."""
+    places, how = grid_of(d)
+    out = None
+    for place in places:
+        plane, x, y, _, _, offset, length = place
+        got = block(data[offset : offset + length], place, how)
         if out is None:
-            out = np.zeros((height, width, samples), got.dtype.newbyteorder("="))
-        out[y : y + got.shape[0], x : x + got.shape[1], plane if apart else slice(None)] = got[:, :, 0] if apart else got
-    if d.one(262) == 0 and out.dtype.kind == "u":
-        out = ((1 << bits) - 1 - out).astype(out.dtype)
+            out = np.zeros((how["height"], how["width"], d.one(277, 1)), got.dtype.newbyteorder("="))
+        out[y : y + got.shape[0], x : x + got.shape[1], plane if how["apart"] else slice(None)] = got[:, :, 0] if how["apart"] else got
     return out
 
 
@@ -466,6 +481,19 @@ def check_limits(d: Directory, color: str, limits: dict) -> None:
             raise TiffError("LimitExceeded", f"{name}: {value} exceeds {limits[name]}")
 
 
+def check_block(across: int, down: int, how: dict, color: str, limits: dict) -> None:
+    """The limits of one strip or tile that is decoded by itself: its own size counts, not the image's."""
+    size = across * down * how["each"] * -(-how["bits"] // 8)
+    for name, value in (("max_pixels", across * down), ("max_memory", 2 * size + SCRATCH)):
+        if limits.get(name) is not None and value > limits[name]:
+            raise TiffError("LimitExceeded", f"{name}: {value} exceeds {limits[name]} ({color})")
+
+
+def little(grid: np.ndarray) -> bytes:
+    """Samples as little-endian bytes."""
+    return np.ascontiguousarray(grid.astype(grid.dtype.newbyteorder("<"))).tobytes()
+
+
 def decode(data: bytes, limits: dict | None = None, orientation: int = 1, palettes: bool = True) -> dict:
     """First page's pixels: width, height, descriptor, little-endian bytes.
 
@@ -491,7 +519,7 @@ def decode(data: bytes, limits: dict | None = None, orientation: int = 1, palett
         out = _convert(grid, bits)[:, :, :4]
     out = turn(out, orientation)
     layout = ("gray", "graya", "rgb", "rgba")[out.shape[2] - 1]
-    return {"width": out.shape[1], "height": out.shape[0], "descriptor": f"{layout}_{ {'u1': 'u8', 'u2': 'u16', 'f4': 'f32'}[out.dtype.str[1:]] }", "pixels": np.ascontiguousarray(out.astype(out.dtype.newbyteorder("<"))).tobytes()}
+    return {"width": out.shape[1], "height": out.shape[0], "descriptor": f"{layout}_{ {'u1': 'u8', 'u2': 'u16', 'f4': 'f32'}[out.dtype.str[1:]] }", "pixels": little(out)}
 
 
 def resolved(hint: str, own: int | None, asked: int | None) -> int:
