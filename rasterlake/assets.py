@@ -165,8 +165,8 @@ def encode_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every image as a row."""
-    images = _images(spark, sf_dir).where("descriptor = 'gray_u16'")
-    return images.select("id", F.explode(J.pixel_rows(F.col("w"), F.col("h"), F.col("pixels"), F.lit(1), F.lit(2))).alias("r")).select("id", "r.y", F.hex(J.appended(F.when(F.col("id") % 2 == 0, F.lit(b"!")), F.col("r.row"))).alias("row"))
+    images = _images(spark, sf_dir)
+    return images.select("id", F.explode(J.pixel_rows(F.col("w"), F.col("h"), F.col("pixels"), F.lit(1), F.col("unit"))).alias("r")).select("id", "r.y", F.hex(J.appended(F.when(F.col("id") % 2 == 0, F.lit(b"!")), F.col("r.row"))).alias("row"))
 
 
 def _pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +248,7 @@ q as (select id, string_agg(format('{{:02X}}', cast((id + 3 * (({_FROM}) * unit
 select id, case when good then ow else 0 end as width, case when good then oh else 0 end as height, case when not good then 0 when baked then 1 else orientation end as orientation, case when good then hex end as pixels, case when not good then 'LimitExceeded' end as error
 from (select *, w * h <= 60 as good from v join q using (id))""",
     "e13_encode_job": f"{_SQL} select id, id % 2 > 0 and (id % 3 > 0 or orientation = 1) as plain, case when bad then 'Limit' end as error, case when not bad and id % 3 = 0 and orientation > 1 then orientation else 0 end as orientation, false as icc, not bad and id % 2 = 0 as xmp from (select *, w * h > 60 or w > 12 or w * h * unit > 300 as bad from t)",
-    "s16_pixel_rows": f"{_SQL} select id, cast(y as int) as y, case when id % 2 = 0 then '21' else '' end || array_to_string([format('{{:02X}}', (id + 3 * (y * w * 2 + i)) % 256) for i in range(w * 2)], '') as row from t, range(7) r(y) where y < h and descriptor = 'gray_u16'",
+    "s16_pixel_rows": f"{_SQL} select id, cast(y as int) as y, case when id % 2 = 0 then '21' else '' end || array_to_string([format('{{:02X}}', (id + 3 * (y * w * unit + i)) % 256) for i in range(w * unit)], '') as row from t, range(7) r(y) where y < h",
     "p26_pdf_probe": "select id, case when error is null then cast(s + 100 as bigint) else 0 end as width, case when error is null then cast(300 as bigint) else 0 end as height, case when error is null then 3 else 0 end as page_count, error from (select p_partkey as id, p_size as s, case when p_partkey % 13 = 0 then 'InputSize' when p_partkey % 9 = 0 then 'Malformed' when p_size + 100 > 140 then 'width' when (p_size + 100) * 300 > 40000 then 'pixels' end as error from part)",
     "p27_pdf_output_info": """with t as (select p_partkey as id, p_size + 100.75 as w0, cast(least(p_partkey % 5, 2) as int) as page, p_partkey % 4 as k from part),
 u as (select *, case page when 0 then w0 when 1 then 300 else 0 end::float as pw, case page when 1 then 200 when 0 then 300 else 200 end::float as ph from t),

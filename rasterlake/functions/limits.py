@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.dimensions import FNV_PRIME, FNV_START
+
 f32 = lambda c: c.cast("float")
 LARGEST = (1 << 63) - 1
 #: Decode limits where none are asked for; no size limit of a side.
@@ -19,11 +21,9 @@ DECODE_BUFFER, MIDDLE_BUFFER, MAX_PAGES = 256 << 20, 128 << 20, 1000
 
 def product(*factors: Column) -> Column:
     """Product of non-negative whole numbers as bigint, the largest bigint where it is larger; null with a null factor."""
-    out = factors[0].cast("bigint")
-    for factor in factors[1:]:
-        factor = factor.cast("bigint")
-        out = F.when(out.isNotNull() & factor.isNotNull(), F.coalesce(F.try_multiply(out, factor), F.lit(LARGEST)))
-    return out
+    # One fold, so that each factor stands in the plan once; no factor is negative, so a product that overflows stays beyond.
+    step = lambda out, factor: F.when(out.isNotNull() & factor.isNotNull(), F.coalesce(F.try_multiply(out, factor), F.lit(LARGEST)))
+    return F.aggregate(F.array(*[f.cast("bigint") for f in factors]), F.lit(1).cast("bigint"), step)
 
 
 def total(value: Column, more: int) -> Column:
@@ -287,3 +287,14 @@ def estimate(codec: Column, px: Column, out_bytes: Column) -> tuple[Column, Colu
         pick = lambda c, v, name=name: F.when(codec == name, v) if c is None else c.when(codec == name, v)
         typical, most, wall = pick(typical, total(product(size, F.lit(low)), more)), pick(most, total(product(size, F.lit(high)), top)), pick(wall, F.floor(px / speed))
     return typical.cast("bigint"), most.cast("bigint"), wall.cast("bigint")
+
+
+def fingerprint(*parts: Column) -> Column:
+    """FNV-1a, 64 bits, of a few bytes (0 to 255) as 16 hexadecimal digits; null with a null byte."""
+    whole = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    last = lambda h: F.pmod(h, F.lit(256).cast("decimal(20,0)"))
+    mixed = lambda h, byte: h - last(h) + last(h).cast("int").bitwiseXOR(byte.cast("int")).cast("decimal(20,0)")
+    step = lambda h, byte: F.pmod((mixed(h, byte) * F.lit(FNV_PRIME).cast("decimal(13,0)")).cast("decimal(38,0)"), whole).cast("decimal(20,0)")
+    h = F.aggregate(F.array(*parts), F.lit(str(FNV_START)).cast("decimal(20,0)"), step)
+    halves = lambda h: F.concat(*[F.lpad(F.hex(x.cast("bigint")), 8, "0") for x in (F.floor(h / F.lit(1 << 32).cast("decimal(20,0)")), F.pmod(h, F.lit(1 << 32).cast("decimal(20,0)")))])
+    return F.lower(halves(h))

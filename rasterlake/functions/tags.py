@@ -32,12 +32,16 @@ def _ordered(digits: Column, little: Column) -> Column:
     return F.when(little, F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1")).otherwise(digits)
 
 
-def unsigned(content: Column, at: Column, size: int, little: Column) -> Column:
+def unsigned(content: Column, at: Column, size: Column, little: Column) -> Column:
     """The number of ``size`` bytes at an offset as a bigint; null beyond the end or the type."""
-    digits = F.hex(F.substr(content, (at + 1).try_cast("int"), F.lit(size)))
+    digits = F.hex(F.substr(content, (at + 1).try_cast("int"), size))
     return let(digits, lambda d: F.when(F.length(d) == 2 * size, F.conv(_ordered(d, little), 16, 10).try_cast("bigint")))
 
 
+def _by(big: Column, wide: int, narrow: int) -> Column:
+    return F.when(big, wide).otherwise(narrow)
+
+
 def as_hex(value: Column, size: int, little: Column) -> Column:
     """A number as hexadecimal digits of ``size`` bytes."""
     return _ordered(F.lpad(F.hex(value), 2 * size, "0"), little)
@@ -55,20 +59,19 @@ def is_big(content: Column) -> Column:
 
 def word(content: Column, at: Column, little: Column, big: Column) -> Column:
     """An offset or count of the file's width."""
-    return F.when(big, unsigned(content, at, 8, little)).otherwise(unsigned(content, at, 4, little))
+    return unsigned(content, at, _by(big, 8, 4), little)
 
 
 def first_directory(content: Column) -> Column:
     """Offset of the first directory; null without a header."""
     big = is_big(content)
-    return F.when(big.isNotNull(), word(content, F.when(big, F.lit(8)).otherwise(F.lit(4)), is_little(content), big))
+    return let(big, lambda big: F.when(big.isNotNull(), word(content, _by(big, 8, 4), is_little(content), big)))
 
 
 def directory_length(content: Column, at: Column, little: Column, big: Column) -> Column:
     """Entries that a directory says it has, if they fit the file."""
-    n = F.when(big, unsigned(content, at, 8, little)).otherwise(unsigned(content, at, 2, little))
-    head, size = F.when(big, 8).otherwise(2), F.when(big, 20).otherwise(12)
-    return F.when(at > 0, let(n, lambda n: F.when((n >= 0) & (n <= (F.length(content) - at - head) / size), n)))
+    n = unsigned(content, at, _by(big, 8, 2), little)
+    return F.when(at > 0, let(n, lambda n: F.when((n >= 0) & (n <= (F.length(content) - at - _by(big, 8, 2)) / _by(big, 20, 12)), n)))
 
 
 def next_directory(content: Column, at: Column, n: Column, little: Column, big: Column) -> Column:
@@ -78,12 +81,11 @@ def next_directory(content: Column, at: Column, n: Column, little: Column, big:
 
 def entries(content: Column, at: Column, n: Column, little: Column, big: Column) -> Column:
     """The entries of a directory of ``n``; null where ``n`` is."""
-    head, size, inline = F.when(big, 8).otherwise(2), F.when(big, 20).otherwise(12), F.when(big, 8).otherwise(4)
-    sizes = F.array(*map(F.lit, TYPE_BYTES))
+    head, size, inline = _by(big, 8, 2), _by(big, 20, 12), _by(big, 8, 4)
+    sizes, two = F.array(*map(F.lit, TYPE_BYTES)), F.lit(2)
 
-    def slot(i: Column) -> Column:
-        place = at + head + i * size
-        return F.struct(unsigned(content, place, 2, little).cast("int").alias("tag"), unsigned(content, place + 2, 2, little).cast("int").alias("type"), word(content, place + 4, little, big).alias("count"), (place + size - inline).alias("value"))
+    def slot(place: Column) -> Column:
+        return F.struct(unsigned(content, place, two, little).cast("int").alias("tag"), unsigned(content, place + 2, two, little).cast("int").alias("type"), word(content, place + 4, little, big).alias("count"), (place + size - inline).alias("value"))
 
     def placed(e: Column) -> Column:
         return let(e["count"] * F.get(sizes, e["type"]), lambda length: where(e, length))
@@ -91,7 +93,8 @@ def entries(content: Column, at: Column, n: Column, little: Column, big: Column)
     def where(e: Column, length: Column) -> Column:
         return F.struct(e["tag"].alias("tag"), e["type"].alias("type"), e["count"].alias("count"), length.alias("length"), F.when(length <= inline, e["value"]).otherwise(word(content, e["value"], little, big)).alias("at"))
 
-    slots = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))), slot)
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(n - 1, F.lit(0))), lambda i: at + head + i * size)
+    slots = F.transform(places, slot)
     known = F.filter(slots, lambda e: (F.get(sizes, e["type"]) > 0) & (e["count"] >= 0) & (e["count"] <= F.length(content)))
     inside = F.filter(F.transform(known, placed), lambda e: (e["at"] >= 0) & (e["at"] <= F.length(content) - e["length"]))
     raw = lambda e: F.substr(content, (e["at"] + 1).try_cast("int"), e["length"].try_cast("int"))
@@ -106,15 +109,14 @@ def entry(found: Column, tag: int) -> Column:
 
 def numbers(e: Column, little: Column) -> Column:
     """The unsigned values of an entry as bigints; null for other types."""
-    each = lambda size: F.transform(F.sequence(F.lit(0).cast("bigint"), e["count"] - 1), lambda i: unsigned(e["raw"], i * size, size, little))
-    kind = e["type"]
-    found = F.when(kind.isin(1, 7), each(1)).when(kind == 3, each(2)).when(kind.isin(4, 13), each(4)).when(kind.isin(16, 18), each(8))
-    return F.when(e["count"] > 0, found)
+    size = F.get(F.array(*map(F.lit, TYPE_BYTES)), e["type"])
+    each = F.transform(F.sequence(F.lit(0).cast("bigint"), e["count"] - 1), lambda i: unsigned(e["raw"], i * size, size, little))
+    return F.when(e["type"].isin(1, 3, 4, 7, 13, 16, 18) & (e["count"] > 0), each)
 
 
 def number(found: Column, tag: int, little: Column) -> Column:
     """The first value of an unsigned tag, or null."""
-    return F.get(numbers(entry(found, tag), little), 0)
+    return let(entry(found, tag), lambda e: F.get(numbers(e, little), 0))
 
 
 def swapped(raw: Column, kind: Column) -> Column:

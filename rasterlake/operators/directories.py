@@ -25,20 +25,27 @@ from ..plans.dimensions import DESCRIPTIVE
 MOST_PAGES = 100_000
 
 
-def directories(df: DataFrame, content: str = "content") -> DataFrame:
+def directories(df: DataFrame, content: str = "content", first_only: bool = False) -> DataFrame:
     """One row for every page: the columns of ``df``, then page, entries, little, big, after (the next directory's offset).
 
-    Column names of ``df`` that clash with the new ones are replaced.
+    Column names of ``df`` that clash with the new ones are replaced. With ``first_only`` a
+    projection gives the first pages, and nothing is chained.
     """
     data = F.col(content)
     taken = ["page", "entries", "little", "big", "after", "_at", "_n", "_seen"]
-    first = df.drop(*[c for c in taken if c != content]).withColumns({"little": T.is_little(data), "big": T.is_big(data), "_at": T.first_directory(data)})
+    # What a generator gives is evaluated once, whatever the expressions behind ``content`` and however often it is named below.
+    head = F.struct(data.alias("content"), T.is_little(data).alias("little"), T.is_big(data).alias("big"), T.first_directory(data).alias("at"))
+    rest = [f"`{c}`" for c in df.columns if c not in [*taken, content]]
+    first = df.select(*rest, F.explode(F.array(head)).alias("_head")).select(*rest, F.col("_head.content").alias(content), "_head.little", "_head.big", F.col("_head.at").alias("_at"))
     first = first.withColumn("_n", T.directory_length(data, F.col("_at"), F.col("little"), F.col("big"))).where("_n is not null")
     first = first.withColumn("page", F.lit(0)).withColumn("after", F.coalesce(_after(data), F.lit(0)))
+    found = T.entries(data, F.col("_at"), F.col("_n"), F.col("little"), F.col("big"))
+    keep = [f"`{c}`" for c in df.columns if c not in taken]
+    if first_only:
+        return first.withColumn("entries", found).select(*keep, "page", "entries", "little", "big", "after")
     start = first.where("after > 0").withColumn("_seen", F.array("_at"))
     name = f"pages_{uuid.uuid4().hex}"
     start.createOrReplaceTempView(name)
-    keep = [f"`{c}`" for c in df.columns if c not in taken]
     shared = ", ".join([*keep, "little", "big"])
     sql = f"""
 with recursive chain({shared}, _at, _n, page, after, _seen) max recursion level {MOST_PAGES} as (
@@ -57,7 +64,6 @@ select {shared}, _at, _n, page, after from chain where page > 0
     session.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     rest = session.sql(sql)
     both = first.select(*keep, "little", "big", "_at", "_n", "page", "after").unionByName(rest)
-    found = T.entries(data, F.col("_at"), F.col("_n"), F.col("little"), F.col("big"))
     return both.withColumn("entries", found).select(*keep, "page", "entries", "little", "big", "after")
 
 
@@ -65,18 +71,18 @@ def _after(data: Column) -> Column:
     return T.next_directory(data, F.col("_at"), F.col("_n"), F.col("little"), F.col("big"))
 
 
-def _sql_unsigned(at: str, size: int, content: str) -> str:
+def _sql_unsigned(at: str, size: str, content: str) -> str:
     """:func:`~rasterlake.functions.tags.unsigned` as SQL text, which a recursive query takes."""
     turned = "if(little, regexp_replace(reverse(d), '(.)(.)', '$2$1'), d)"
-    return f"get(transform(array(hex(substr(`{content}`, try_cast({at} + 1 as int), {size}))), d -> if(length(d) = {2 * size}, try_cast(conv({turned}, 16, 10) as bigint), null)), 0)"
+    return f"get(transform(array(hex(substr(`{content}`, try_cast({at} + 1 as int), {size}))), d -> if(length(d) = 2 * {size}, try_cast(conv({turned}, 16, 10) as bigint), null)), 0)"
 
 
 def _sql_word(at: str, content: str) -> str:
-    return f"if(big, {_sql_unsigned(at, 8, content)}, {_sql_unsigned(at, 4, content)})"
+    return _sql_unsigned(at, "if(big, 8, 4)", content)
 
 
 def _sql_length(at: str, content: str) -> str:
-    n = f"if(big, {_sql_unsigned(at, 8, content)}, {_sql_unsigned(at, 2, content)})"
+    n = _sql_unsigned(at, "if(big, 8, 2)", content)
     return f"get(transform(array({n}), n -> if(n >= 0 and n <= (length(`{content}`) - {at} - if(big, 8, 2)) / if(big, 20, 12), n, null)), 0)"
 
 
@@ -84,16 +90,16 @@ def _sub(found: Column, pointer: int, content: str, types: tuple[int, ...]) -> C
     """The entries that a pointer of one of the field types leads to; none where it leads nowhere."""
     little, big, data = F.col("little"), F.col("big"), F.col(content)
     at = T.number(F.filter(found, lambda e: (e["tag"] != pointer) | e["type"].isin(*types)), pointer, little)
-    inner = T.entries(data, at, T.directory_length(data, at, little, big), little, big)
+    inner = T.let(at, lambda at: T.let(T.directory_length(data, at, little, big), lambda n: T.entries(data, at, n, little, big)))
     return F.coalesce(inner, F.array().cast(T.ENTRIES))
 
 
-def tag_rows(df: DataFrame, content: str = "content", pointer_types: tuple[int, ...] = (1, 3, 4, 7, 13, 16, 18)) -> DataFrame:
+def tag_rows(df: DataFrame, content: str = "content", pointer_types: tuple[int, ...] = (1, 3, 4, 7, 13, 16, 18), first_only: bool = False) -> DataFrame:
     """One row for every tag of every page and of its EXIF and GPS directories: the columns of ``df``, page, dest, tag, type, count, raw.
 
     Pointers of other field types than ``pointer_types`` aren't followed.
     """
-    pages = directories(df, content)
+    pages = directories(df, content, first_only)
     dealt = lambda dest, found: F.transform(found, lambda e: F.struct(F.lit(dest).alias("dest"), e["tag"].alias("tag"), e["type"].alias("type"), e["count"].alias("count"), e["raw"].alias("raw")))
     inner = pages.withColumns({"_exif": _sub(F.col("entries"), T.EXIF_POINTER, content, pointer_types), "_gps": _sub(F.col("entries"), T.GPS_POINTER, content, pointer_types)})
     every = F.concat(dealt("ifd0", F.col("entries")), dealt("exif", F.col("_exif")), dealt("gps", F.col("_gps")))
@@ -155,8 +161,8 @@ def exif_blobs(df: DataFrame, key: str, content: str = "content") -> DataFrame:
 
     ``key`` is unique. Files without such tags give no row.
     """
-    tags = tag_rows(df.select(key, F.col(content).alias("content"), T.is_little(F.col(content)).alias("order")), pointer_types=(3, 4, 13, 18))
-    found = tags.where((F.col("page") == 0) & ((F.col("dest") == "exif") | ((F.col("dest") == "ifd0") & F.col("tag").isin(*[t for t in DESCRIPTIVE if t != 0x02BC]))))
+    tags = tag_rows(df.select(key, F.col(content).alias("content"), T.is_little(F.col(content)).alias("order")), pointer_types=(3, 4, 13, 18), first_only=True)
+    found = tags.where(((F.col("dest") == "exif") | ((F.col("dest") == "ifd0") & F.col("tag").isin(*[t for t in DESCRIPTIVE if t != 0x02BC]))))
     first = Window.partitionBy(key, "dest", "tag").orderBy("type", "raw")
     found = found.withColumn("_k", F.row_number().over(first)).where((F.col("dest") == "exif") | (F.col("_k") == 1))
     rows = found.select(key, *_rows(F.col("order"), F.lit(False), F.lit(8), 0, F.col("tag"), F.col("type"), F.col("count"), F.col("raw"), _no_part(), F.lit(0).cast("bigint").alias("after")))
@@ -176,7 +182,7 @@ def edit_tags(files: DataFrame, edits: DataFrame, key: str, content: str = "cont
     slim = files.select(key, F.col(content).alias("content"))
     asked = edits.select(key, "tag", "type", "count", "raw").dropDuplicates([key, "tag"])
     touched = slim.join(asked.select(key).distinct(), key, "left_semi")
-    pages = directories(touched).where("page = 0").withColumn("base", F.length("content") + F.length("content") % 2)
+    pages = directories(touched, first_only=True).withColumn("base", F.length("content") + F.length("content") % 2)
     pages = pages.select(key, "entries", "little", "big", "after", F.col("base").cast("bigint").alias("base"))
     kept = pages.select(key, "little", "big", "base", "after", F.explode("entries").alias("e")).select(key, "little", "big", "base", "after", "e.*").join(asked.select(key, "tag"), [key, "tag"], "left_anti")
     added = pages.drop("entries").join(asked.where("raw is not null"), key).withColumn("raw", F.when(F.col("little"), F.col("raw")).otherwise(T.swapped(F.col("raw"), F.col("type"))))
@@ -201,7 +207,7 @@ def embed_exif(files: DataFrame, blobs: DataFrame, key: str, content: str = "con
     Structural tags and the interoperability pointer are dropped, tags that the page has
     stay as they are. A malformed blob changes nothing. Both keys are unique.
     """
-    blob = directories(blobs.select(key, F.col(exif).alias("content"))).where("page = 0 and not big").withColumn("blob_little", F.col("little"))
+    blob = directories(blobs.select(key, F.col(exif).alias("content")), first_only=True).where("not big").withColumn("blob_little", F.col("little"))
     inner = blob.withColumns({"_exif": _sub(F.col("entries"), T.EXIF_POINTER, "content", (3, 4)), "_gps": _sub(F.col("entries"), T.GPS_POINTER, "content", (3, 4))})
     of = lambda dest, found: F.transform(found, lambda e: F.struct(F.lit(dest).alias("dest"), e["tag"].alias("tag"), e["type"].alias("type"), e["count"].alias("count"), e["raw"].alias("raw")))
     flat = F.filter("entries", lambda e: ~e["tag"].isin(T.EXIF_POINTER, T.GPS_POINTER))
@@ -209,7 +215,7 @@ def embed_exif(files: DataFrame, blobs: DataFrame, key: str, content: str = "con
     dealt = inner.select(key, "blob_little", F.explode(every).alias("e")).select(key, "blob_little", "e.*")
     dealt = dealt.where(F.col("tag") != T.INTEROPERABILITY).withColumn("dest", F.coalesce("dest", T.exif_destination(F.col("tag")))).where("dest is not null and type <= 12")
     slim = files.select(key, F.col(content).alias("content"))
-    pages = directories(slim.join(dealt.select(key).distinct(), key, "left_semi")).where("page = 0")
+    pages = directories(slim.join(dealt.select(key).distinct(), key, "left_semi"), first_only=True)
     pages = pages.select(key, "entries", "little", "big", "after", (F.length("content") + F.length("content") % 2).cast("bigint").alias("base"))
     plain = _no_part()
     own = pages.select(key, "little", "big", "base", "after", F.explode(F.filter("entries", lambda e: ~e["tag"].isin(T.EXIF_POINTER, T.GPS_POINTER))).alias("e")).select(key, "little", "big", "base", "after", "e.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .dimensions import fingerprint, small
@@ -29,6 +29,20 @@ def plan(spark: SparkSession, full: bool = True, max_tier: int | None = None, ma
     return cells.orderBy("deviations", "idx_sum", "ci", "pi", "bi")
 
 
+def plans_of(asked: DataFrame, key: str) -> DataFrame:
+    """The plan of every request: key, position (from 1), and the columns of :func:`plan`.
+
+    ``asked`` has key, all_axes (or methods only), max_tier and max_deviations, null for no
+    bound. Joined to at most 18 cells by axes and numbered within a request, so requests stay spread.
+    """
+    spark = asked.sparkSession
+    cells = plan(spark, True).withColumn("all_axes", F.lit(True)).unionByName(plan(spark, False).withColumn("all_axes", F.lit(False))).drop("dropped")
+    found = asked.join(F.broadcast(cells), "all_axes").withColumn("dropped", F.coalesce(F.col("tier") > F.col("max_tier"), F.lit(False)))
+    found = found.where("dropped or max_deviations is null or deviations <= max_deviations")
+    order = Window.partitionBy(key).orderBy("deviations", "idx_sum", "ci", "pi", "bi")
+    return found.withColumn("position", F.row_number().over(order).cast("int"))
+
+
 def parse_cell_id(cell: str):
     """Struct (method, hpred, big) of a cell id, or null where it isn't one."""
     parts = F.split(F.col(cell), "-", -1)

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import assets, oracles
+from . import assets, oracles, raster_queries, requests
 from .functions import limits as L
+from .functions import tags
 from .plans import dimensions, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,7 +167,7 @@ def _orient(d: DataFrame) -> list[Column]:
 
 _X, _Y = "(w % 7 % w)", "(h % 5 % h)"
 _query("x35_orientation", "ev", _orient, f"case when tag between 5 and 8 then h else w end as out_w, case when tag between 5 and 8 then w else h end as out_h, case tag when 2 then w-1-{_X} when 3 then w-1-{_X} when 5 then {_Y} when 6 then h-1-{_Y} when 7 then h-1-{_Y} when 8 then {_Y} else {_X} end as x, case tag when 3 then h-1-{_Y} when 4 then h-1-{_Y} when 5 then {_X} when 6 then {_X} when 7 then w-1-{_X} when 8 then w-1-{_X} else {_Y} end as y")
-_query("e8_exif_routing", "ev", lambda d: [F.when(c("exif_tag") == 0xA005, None).when(c("exif_tag").isin(*dimensions.STRUCTURAL), None).when(c("exif_tag").isin(*dimensions.DESCRIPTIVE), "ifd0").when(c("exif_tag") == 0x8769, "exif").when(c("exif_tag") == 0x8825, "gps").otherwise("exif").alias("dest"), F.element_at(F.array(*[F.lit(n) for n in dimensions.FIELD_SIZES]), (c("tag") % 12 + 1)).alias("field_size")],
+_query("e8_exif_routing", "ev", lambda d: [tags.exif_destination(c("exif_tag")).alias("dest"), F.element_at(F.array(*[F.lit(n) for n in dimensions.FIELD_SIZES]), (c("tag") % 12 + 1)).alias("field_size")],
        "case when exif_tag in (40965, 256, 257, 258, 259, 262, 273, 274, 277, 278, 279, 282, 283, 284, 296) then null when exif_tag in (269, 270, 271, 272, 305, 306, 315, 316, 33432, 700) then 'ifd0' when exif_tag = 34853 then 'gps' else 'exif' end as dest, [1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8][tag % 12 + 1] as field_size")
 
 
@@ -177,14 +178,6 @@ def _error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["e_error_categories"] = _error_counts
 ORACLES["e_error_categories"] = f"select codec, origin, kind, count(*) as n from events join {oracles.ERRORS} on v.variant_id = event_id % 47 group by all"
-_TABLES = {"s7_formats": (dimensions.formats, oracles.FORMATS), "s9_capabilities": (dimensions.capabilities, oracles.CAPABILITIES), "s10_descriptors": (dimensions.descriptors, oracles.DESCRIPTORS), "s17_source_details": (dimensions.source_details, oracles.SOURCES), "x40_compressions": (dimensions.compressions, oracles.COMPRESSIONS), "e_refused_operations": (dimensions.refused_operations, oracles.REFUSED)}
-for _name, (_made, _sql) in _TABLES.items():
-    QUERIES[_name] = lambda spark, sf_dir, made=_made: made(spark)
-    ORACLES[_name] = _sql
-QUERIES["w2_variant_plan"] = lambda spark, sf_dir: variants.plan(spark, True, 2, 2).select("cell_id", "deviations", "idx_sum", "tier", "fingerprint", "dropped")
-ORACLES["w2_variant_plan"] = oracles.VARIANTS
-
-
 def _cell_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", "concat('tiff-', element_at(array('none', 'lzw', 'deflate', 'packbits', 'zstd'), cast(p_partkey % 5 as int) + 1), element_at(array('', '-hpred', '-big', '-big-hpred', '-warp', '-hpred-x'), cast(p_partkey % 6 as int) + 1)) as cell")
     found = variants.parse_cell_id("cell")
@@ -207,5 +200,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["flagship"] = flagship
 ORACLES["flagship"] = "with d as (" + ORACLES["x3_descriptor"] + "), l as (" + ORACLES["l1_decode_limits"] + ") select descriptor, coalesce(violated, 'ok') as verdict, count(*) as n, cast(sum(p_size * 40 * (p_partkey % 1500 + 1)) as bigint) as pixels from d join l using (id) join part on p_partkey = id group by all"
 
-QUERIES |= assets.QUERIES
-ORACLES |= assets.ORACLES
+for _more in (assets, requests, raster_queries):
+    QUERIES |= _more.QUERIES
+    ORACLES |= _more.ORACLES

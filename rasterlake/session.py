@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -52,6 +53,39 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Tables:
+    """Tables of one call: compressed Parquet files in the shared folder, deleted at the end of the ``with`` block.
+
+    What the call returns must not read them, so its last step is :func:`settled`.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def place(self) -> str:
+        """A new folder, which goes at the end."""
+        self.paths.append(f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.place()
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.paths:
+            drop_folder(self.spark, self.paths.pop())
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a reliable checkpoint and read from there from now on."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], list[str]]]:
     """Jobs started in the block carry ``tag``; call what it gives, from any thread, to stop them."""
