@@ -522,23 +522,98 @@ def spans_of(docs: DataFrame, searches: list[Search], hot: int = 256) -> list[Da
     return out
 
 
+def _neighbours(reach: int):
+    """Of texts and their occurrences (name, start, length): what stands left of each (null at a text's start) and ``reach`` bytes right of it."""
+    schema = pa.schema([("name", pa.binary()), ("sha", pa.binary()), ("start", pa.int32()), ("length", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for sha, packed, places in zip(*columns_of(batch), strict=True):
+                    body = zlib.decompress(packed)
+                    for x in places:
+                        start, stop = x["start"], x["start"] + x["length"]
+                        yield x["name"], sha, start, x["length"], body[start - 1 : start] if start else None, body[stop : stop + reach]
+
+        yield from in_slices(rows(), schema, weigh=lambda row: 80 + len(row[5]))
+
+    return run
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to groups (name, n, low, high) how many bytes their first and last continuation share, which is what all share."""
+    for batch in batches:
+        shared = []
+        for low, high in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            n = min(len(low), len(high))
+            differ = np.flatnonzero(np.frombuffer(low, np.uint8, n) != np.frombuffer(high, np.uint8, n))
+            shared.append(int(differ[0]) if differ.size else n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32())], names=["name", "n", "shared"])
+
+
+def _grown(found: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """Occurrences (name, length, sha, start) of the maximal repeats, from groups of strings with all their occurrences.
+
+    The intervals of a block end where its edges do; here they grow as far as they are
+    repeats. A round reads what stands right of every occurrence: a group goes on while all
+    agree, and where they part it is a repeat of that length and its branches, by the next
+    byte, go on by themselves. Groups whose occurrences all have the same byte to their left
+    are parts of others and go. Every maximal repeat is reached from the group that begins
+    where it does. Rounds follow the number of branches on the way to a repeat, and its length.
+    """
+    done, reach = [], 1 << 9
+    now = found
+    while True:
+        places = now.groupBy("sha").agg(F.collect_list(F.struct("name", "start", "length")).alias("places"))
+        ddl = "name binary, sha binary, start int, length int, before binary, after binary"
+        seen = tables.write(texts.join(places, "sha").select("sha", "packed", "places").mapInArrow(_neighbours(reach), ddl))
+        groups = seen.groupBy("name").agg(F.count("*").alias("n"), F.min("after").alias("low"), F.max("after").alias("high"), F.min("before").alias("b0"), F.max("before").alias("b1"), F.count("before").alias("bn"))
+        # A text's start is unlike anything, another text's start included.
+        diverse = groups.where((F.col("n") > 1) & ((F.col("bn") < F.col("n")) | (F.col("b0") != F.col("b1"))))
+        sized = tables.write(diverse.select("name", "n", "low", "high").mapInArrow(_common, "name binary, n long, shared int").withColumn("rows", F.col("n")))
+        if sized.isEmpty():
+            break
+        each = tables.write(join_counted(seen, sized, "name", "rows", hot_limit(seen, seen.count())))
+        on = F.col("shared") == reach
+        length = F.col("length") + F.col("shared")
+        done.append(each.where(~on).select("name", length.alias("length"), "sha", "start"))
+        branch = F.substring(F.unhex(F.sha2(F.concat("name", F.encode(length.cast("string"), "UTF-8"), F.substr("after", F.col("shared") + 1, F.lit(1))), 256)), 1, 16)
+        parted = each.where(~on & (F.length("after") > F.col("shared"))).select(branch.alias("name"), "sha", "start", (length + 1).alias("length"))
+        now = tables.write(each.where(on).select("name", "sha", "start", length.alias("length")).unionByName(parted))
+        reach = min(4 * reach, 1 << 16)
+    out = found.select("name", "length", "sha", "start").limit(0)
+    for one in done:
+        out = out.unionByName(one)
+    # Groups of one string, from beginnings of several lengths, have one first occurrence.
+    first = tables.write(out.groupBy("name", "length").agg(F.min(F.struct("sha", "start")).alias("first"), F.count("*").alias("n")))
+    once = tables.write(first.groupBy("first", "length").agg(F.min("name").alias("name"), F.first("n").alias("n")).withColumn("name_length", F.concat("name", F.encode(F.col("length").cast("string"), "UTF-8"))).select("name_length", "n"))
+    return join_counted(out.withColumn("name_length", F.concat("name", F.encode(F.col("length").cast("string"), "UTF-8"))), once, "name_length", "n", hot_limit(out, first.count()))
+
+
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", search: Search | None = None, hot: int = 256) -> DataFrame:
     """The maximal repeats of at least ``length`` bytes, one row an occurrence: repeat (a name), length, doc_id, start.
 
-    A group of any size is so many rows and no array. Repeats are maximal within the reach of
-    a block: one longer than ``length + step - 1`` bytes comes as the overlapping repeats that it
-    is made of. Of keys with more than ``hot`` rows the repeats are those of the shorter blocks
-    that they were split into, down to single strings of ``length`` bytes. A text that several
-    rows have is listed for each of them, and is a repeat as a whole.
+    A repeat is maximal if its occurrences differ in the byte to the left and in that to the
+    right, or end with a text; all of them are listed, so a group of any size is so many rows and no array. Neither
+    ``hot`` nor the blocks have an effect on the result. A text that several rows have is
+    listed for each of them, and is a repeat as a whole. Bytes only.
     """
     search = search or of_bytes()
+    if search.unit != 1:
+        raise ValueError("repeats are of bytes")
     docs = _bodies(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text")
     copies = docs.groupBy("sha").agg(F.count("*").alias("c"), F.first(F.length("body")).alias("length")).where((F.col("c") > 1) & (F.col("length") >= search.length))
     with Tables(df.sparkSession) as tables:
-        rows = _blocks(docs.select("sha", "body").dropDuplicates(["sha"]), tables, [search], True)
-        found = _matches(rows, tables, search, hot, True)
-        found = cut(found.unionByName(copies.select(F.col("sha").alias("repeat"), "length", "sha", F.lit(0).alias("start"))))
-    return found.join(docs.select("sha", "doc_id"), "sha").select("repeat", "length", "doc_id", "start")
+        texts = docs.select("sha", "body").dropDuplicates(["sha"])
+        rows = _blocks(texts, tables, [search], True)
+        found = tables.write(_matches(rows, tables, search, hot, True).withColumnRenamed("repeat", "name").dropDuplicates(["name", "sha", "start"]))
+        packed = tables.write(texts.mapInArrow(_pack_once, "sha binary, packed binary"))
+        grown = tables.write(_grown(found, packed, tables).select("name", "length", "sha", "start"))
+        whole = copies.join(grown.where("start = 0").select("sha", "length"), ["sha", "length"], "left_anti")
+        every = grown.unionByName(whole.select(F.col("sha").alias("name"), "length", "sha", F.lit(0).alias("start")))
+        name = F.substring(F.unhex(F.sha2(F.concat("name", F.encode(F.col("length").cast("string"), "UTF-8")), 256)), 1, 16)
+        every = cut(every.select(name.alias("repeat"), "length", "sha", "start"))
+    return every.join(docs.select("sha", "doc_id"), "sha").select("repeat", "length", "doc_id", "start")
 
 
 def _bodies(df: DataFrame, text: str) -> DataFrame:

@@ -96,7 +96,32 @@ def test_repeats_with_all_occurrences(spark, hot):
         for k in range(size - 39):
             got.setdefault(string[k : k + 40], set()).update((doc, at + k) for doc, at in places)
     assert got == want
-    assert hot < 256 or any(size > 40 for _, size in groups)
+    assert {(len(bodies[d][i : i + size]), frozenset(places)) for (_, size), places in groups.items() for d, i in places[:1]} == maximal(bodies, 40)
+
+
+def maximal(bodies, least):
+    """(length, occurrences) of every string that occurs twice and whose neighbours differ on both sides."""
+    places = {}
+    for d, b in enumerate(bodies):
+        for i in range(len(b)):
+            for j in range(i + least, len(b) + 1):
+                places.setdefault(b[i:j], []).append((d, i))
+    side = lambda x: len(x) > 1 and (b"" in x or len(set(x)) > 1)
+    return {(len(s), frozenset(at)) for s, at in places.items() if side([bodies[d][i - 1 : i] if i else b"" for d, i in at]) and side([bodies[d][i + len(s) : i + len(s) + 1] for d, i in at])}
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_a_long_copy_is_one_repeat(spark, hot):
+    """Parts of it found in other texts are repeats of their own, and don't cut it."""
+    rng = random.Random(2)
+    p, q, r = (words(rng, n) for n in (30, 60, 30))
+    texts = ["1" + p + q + r + "a", "2" + p + q + r + "b", "3" + p + q + "c", "4" + q + r + "d", "x" * 50]
+    df = spark.createDataFrame([(i, t, b"n") for i, t in enumerate(texts)], "doc_id long, text string, name binary").repartition(2)
+    groups = {}
+    for x in suffix_dedup.repeats(df, search=suffix_dedup.of_bytes(40, 8, 8), hot=hot).collect():
+        groups.setdefault((bytes(x.repeat), x.length), set()).add((x.doc_id, x.start))
+    assert {(size, frozenset(at)) for (_, size), at in groups.items()} == maximal([t.encode() for t in texts], 40)
+    assert (len(p + q + r), frozenset({(0, 1), (1, 1)})) in {(size, frozenset(at)) for (_, size), at in groups.items()}
 
 
 @pytest.mark.parametrize("parts", [(400, 48, 32), (400, 64, 24), (80, 64, 32), (1 << 16, 64, 32)])
