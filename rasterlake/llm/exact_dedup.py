@@ -182,7 +182,11 @@ def _joined(df: DataFrame, doc_id: str, text: str, spill_bytes: int, rows: DataF
     first = F.coalesce(F.col("_n").isNull() | F.col("_id").eqNullSafe(F.col("_owner")), F.lit(False))
     if owners.where("at_owner > 1").isEmpty():
         return out.withColumn("_kept", first)
-    return out.withColumn("_kept", first & (F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.lit(0))) == 1))
+    # Rows of one id and text may be very many: one of each task's first, then one of those; the others stay spread by task.
+    out = out.withColumn("_task", F.spark_partition_id())
+    out = out.withColumn("_one", F.row_number().over(Window.partitionBy("_sha", "_id", "_task").orderBy(F.lit(0))) == 1)
+    out = out.withColumn("_task", F.when(F.col("_one"), -1).otherwise(F.col("_task")))
+    return out.withColumn("_kept", first & F.col("_one") & (F.row_number().over(Window.partitionBy("_sha", "_id", "_task").orderBy(F.lit(0))) == 1)).drop("_task", "_one")
 
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spill_bytes: int = 128 << 20) -> DataFrame:
