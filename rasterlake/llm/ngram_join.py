@@ -32,12 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Forest, Tables, columns_of, components, cut, in_slices, mix
 
-_SET = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("routes", pa.list_(pa.int64()))])
+_SET = pa.schema([("id", pa.int64()), ("mark", pa.binary()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("routes", pa.list_(pa.int64()))])
 _ITEMS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("items", pa.binary())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _REMEMBERED = 200_000
@@ -108,7 +108,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = dict(zip(*columns_of(batch), strict=True))
         packed = [zlib.compress(text, 1) for text in texts.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.int64()), pa.array(packed, pa.binary())], names=["mark", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(packed, pa.binary())], names=["mark", "packed"])
 
 
 def _sets(k: int, bands: int, rows: int):
@@ -197,6 +197,11 @@ def _pass(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_tiles(percent), "a long, b long")
 
 
+def _mark(text: str) -> Column:
+    """A name of 128 bits for a text; null texts have one of their own."""
+    return F.coalesce(F.unhex(F.md5(F.col(text).cast("binary"))), F.lit(b""))
+
+
 def classes(df: DataFrame, k: int = 4, percent: int = 85, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, class (a number, equal for linked rows) and mark (a hash of the text)."""
     with Tables(df.sparkSession) as tables:
@@ -206,8 +211,8 @@ def classes(df: DataFrame, k: int = 4, percent: int = 85, block: int = 256, doc_
 def _classes(df: DataFrame, tables: Tables, k: int, percent: int, block: int, doc_id: str, text: str) -> DataFrame:
     """As :func:`classes`; the result reads ``tables``."""
     bands, rows = route_plan(percent / 100)
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("mark"))
-    ids = tables.write(docs.mapInArrow(_sets(k, bands, rows), "id long, mark long, n long, d1 long, d2 long, routes array<long>"))
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), _mark(text).alias("mark"))
+    ids = tables.write(docs.mapInArrow(_sets(k, bands, rows), "id long, mark binary, n long, d1 long, d2 long, routes array<long>"))
     # a set that many rows share is one row; its number is written, so it is the same for all who read it
     reps = ids.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.first("routes").alias("routes"))
     reps = tables.write(reps.withColumn("digest", F.monotonically_increasing_id()))
@@ -218,7 +223,7 @@ def _classes(df: DataFrame, tables: Tables, k: int, percent: int, block: int, do
     members = kept.groupBy("leader", "digest").agg(F.max("m").alias("m"))
     # their texts, one a set: only compressed texts are exchanged
     needed = reps.select("d1", "d2", "digest", "mark").join(kept.select("digest").distinct(), "digest", "left_semi")
-    texts = docs.where("text is not null").select("mark", "text").mapInArrow(_packed, "mark long, packed binary").join(needed.select("mark").distinct(), "mark", "left_semi")
+    texts = docs.where("text is not null").select("mark", "text").mapInArrow(_packed, "mark binary, packed binary").join(needed.select("mark").distinct(), "mark", "left_semi")
     items = texts.select("packed").mapInArrow(_items(k), "d1 long, d2 long, items binary").groupBy("d1", "d2").agg(F.first("items").alias("items"))
     sets = tables.write(items.join(needed, ["d1", "d2"]).select("digest", "items"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int")
@@ -275,5 +280,5 @@ def keep_one(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     found = classes(df, k, percent, doc_id=doc_id, text=text)
     first = found.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))).alias("f"))
     kept = first.select("f._id", "f._mark").unionByName(found.where(F.col("class").isNull()).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))).distinct()
-    rows = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_a"), F.xxhash64(text).alias("_b"))
+    rows = df.select(F.struct(*[F.col(f"`{name}`") for name in df.columns]).alias("_row"), F.col(doc_id).cast("long").alias("_a"), _mark(text).alias("_b"))
     return rows.join(kept, F.col("_a").eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_mark")), "left_semi").select("_row.*")
