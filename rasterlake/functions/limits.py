@@ -298,3 +298,21 @@ def fingerprint(*parts: Column) -> Column:
     h = F.aggregate(F.array(*parts), F.lit(str(FNV_START)).cast("decimal(20,0)"), step)
     halves = lambda h: F.concat(*[F.lpad(F.hex(x.cast("bigint")), 8, "0") for x in (F.floor(h / F.lit(1 << 32).cast("decimal(20,0)")), F.pmod(h, F.lit(1 << 32).cast("decimal(20,0)")))])
     return F.lower(halves(h))
+
+
+def packed_samples(content: Column, bits: Column, per_row: Column, rows: Column) -> Column:
+    """Samples of 1 to 16 bits as an array of ints, most significant bit first; each row begins with a byte of its own.
+
+    Samples may straddle bytes. Null where the bytes don't suffice or the depth is another.
+    """
+    stride = F.ceil(per_row * bits / 8)
+
+    def sample(i: Column) -> Column:
+        at = i % per_row * bits
+        first = F.floor(i / per_row) * stride + F.floor(at / 8)
+        window = F.rpad(F.hex(F.substr(content, (first + 1).cast("int"), F.lit(3))), 6, "0")
+        kept = F.conv(window, 16, 10).cast("int").bitwiseAND(F.call_function("shiftright", F.lit((1 << 24) - 1), (at % 8).cast("int")))
+        return F.call_function("shiftright", kept, (24 - at % 8 - bits).cast("int"))
+
+    enough = bits.between(1, 16) & (per_row > 0) & (rows > 0) & (F.length(content) >= stride * rows)
+    return F.when(enough, F.transform(F.sequence(F.lit(0), (per_row * rows - 1).cast("int")), sample))

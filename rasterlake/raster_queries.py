@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import assets
+from .functions import limits as L
 from .functions import tags as T
+from .operators import balance as B
 from .operators import directories as D
+from .operators import markup as M
 from .operators import rasters as R
 from .session import Tables, settled
 from .sources import tiff_source
@@ -139,7 +142,28 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.assemble(turned, "key").select("key.id", "width", "height", F.hex("pixels").alias("pixels"))
 
 
-QUERIES = {"p8_page_chain": pages, "e11_written_directories": written, "e6_edited_tags": edited, "p9_exif_blobs": exif, "s13_tiff_source": source, "x1_strips": strips, "x35_tiles": tiles}
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minified SVG text by tokens: nested subtrees go, self-closing ones stay; every 9th document breaks off, every 11th closes wrongly."""
+    body = """concat('<?xml version="1.0"?><?x y?><svg width="', p_size, '"><!-- a > b --><metadata><a><metadata/><metadata>', p_name, '</metadata></a>x</metadata><title/>',
+      '<g><desc>', p_brand, '</desc><text a="1>0"> ', p_name, ' </text><x:title>t</x:title><![CDATA[ <b> ]]></', if(p_partkey % 11 = 0, 'h', 'g'), if(p_partkey % 9 = 0, '', '></svg>'))"""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", f"if(p_partkey % 13 = 0, null, {body}) as text")
+    return M.minify(rows, "id")
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows of three samples of 1 to 15 bits, from digests of the keys of lines."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(c("l_orderkey").alias("id"), c("l_linenumber").alias("line"), ((c("l_orderkey") + c("l_linenumber")) % 15 + 1).cast("int").alias("bits"), F.unhex(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber").cast("binary"))).alias("content"))
+    return rows.select("id", "line", "bits", F.array_join(L.packed_samples(c("content"), c("bits"), F.lit(3), F.lit(2)).cast("array<string>"), ",").alias("samples"))
+
+
+def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests dealt by what decoding them costs: rows, cost, and partitions of several rows that exceed the bound."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", "cast(p_size as bigint) * 40 * (p_partkey % 1500 + 1) * 4 + 524288 as cost")
+    found = B.placed(rows, c("cost"), 1 << 28).groupBy("partition").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    return found.agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.count_if((c("cost") > 1 << 28) & (c("n") > 1)).alias("n_over"))
+
+
+QUERIES = {"v3_markup": markup, "x22_packed_samples": packed, "g10_balanced": balance, "p8_page_chain": pages, "e11_written_directories": written, "e6_edited_tags": edited, "p9_exif_blobs": exif, "s13_tiff_source": source, "x1_strips": strips, "x35_tiles": tiles}
 
 _SQL = assets._SQL
 _TURN = f"{_SQL}, u as (select *, orientation as turned, case when orientation > 4 then h else w end as ow, case when orientation > 4 then w else h end as oh from t)"
@@ -147,6 +171,18 @@ _HEX = f"format('{{:02X}}', cast((id + 3 * (({assets._FROM}) * unit + k)) % 256
 _TEXT = lambda column: f"hex(encode({column})) || '00'"
 _SIZE = "case when p_partkey % 2 = 0 then format('{:02X}', p_size) || '00' else '00' || format('{:02X}', p_size) end"
 ORACLES = {
+    "v3_markup": """
+select p_partkey as id, case when p_partkey % 13 > 0 and p_partkey % 9 > 0 and p_partkey % 11 > 0 then '<?xml version="1.0"?><svg width="' || p_size || '"><title/><g><text a="1>0">' || p_name || '</text><![CDATA[ <b> ]]></g></svg>' end as text,
+  case when p_partkey % 13 > 0 and (p_partkey % 9 = 0 or p_partkey % 11 = 0) then 'Parse' end as error from part
+""",
+    "x22_packed_samples": """
+with t as (select l_orderkey as id, l_linenumber as line, cast((l_orderkey + l_linenumber) % 15 + 1 as int) as bits, md5(l_orderkey || '-' || l_linenumber) as digits from lineitem),
+s as (select *, (3 * bits + 7) // 8 as stride from t),
+r as (select s.*, y, ('0x' || substr(digits, 1 + 2 * y * stride, 2 * stride))::bigint as v from s, range(2) q(y)),
+v as (select id, line, bits, y, x, (v >> (8 * stride - (x + 1) * bits)) & ((1 << bits) - 1) as sample from r, range(3) q(x))
+select id, line, bits, string_agg(sample, ',' order by y, x) as samples from v group by 1, 2, 3
+""",
+    "g10_balanced": "select cast(count(*) as bigint) as n, cast(sum(p_size::bigint * 40 * (p_partkey % 1500 + 1) * 4 + 524288) as bigint) as cost, cast(0 as bigint) as n_over from part",
     "p8_page_chain": "select p_partkey as id, p_partkey % 4 + 1 as n_pages, cast((p_partkey % 4 + 1) * p_partkey + (p_partkey % 4 + 1) * (p_partkey % 4) // 2 as bigint) as widths from part",
     "e11_written_directories": f"""
 select p_partkey as id, 0 as page, 'ifd0' as dest, t.tag, cast(case t.tag when 270 then length(p_name) + 1 when 271 then length(p_brand) + 1 else 1 end as bigint) as count, case t.tag when 256 then {_SIZE} when 270 then {_TEXT('p_name')} when 271 then {_TEXT('p_brand')} end as raw from part, (values (256), (270), (271), (34665)) t(tag)
