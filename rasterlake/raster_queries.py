@@ -176,11 +176,11 @@ select p_partkey as id, case when p_partkey % 13 > 0 and p_partkey % 9 > 0 and p
   case when p_partkey % 13 > 0 and (p_partkey % 9 = 0 or p_partkey % 11 = 0) then 'Parse' end as error from part
 """,
     "x22_packed_samples": """
-with t as (select l_orderkey as id, l_linenumber as line, cast((l_orderkey + l_linenumber) % 15 + 1 as int) as bits, md5(l_orderkey || '-' || l_linenumber) as digits from lineitem),
+with t as (select row_number() over () as k, l_orderkey as id, l_linenumber as line, cast((l_orderkey + l_linenumber) % 15 + 1 as int) as bits, md5(l_orderkey || '-' || l_linenumber) as digits from lineitem),
 s as (select *, (3 * bits + 7) // 8 as stride from t),
 r as (select s.*, y, ('0x' || substr(digits, 1 + 2 * y * stride, 2 * stride))::bigint as v from s, range(2) q(y)),
-v as (select id, line, bits, y, x, (v >> (8 * stride - (x + 1) * bits)) & ((1 << bits) - 1) as sample from r, range(3) q(x))
-select id, line, bits, string_agg(sample, ',' order by y, x) as samples from v group by 1, 2, 3
+v as (select k, id, line, bits, y, x, (v >> (8 * stride - (x + 1) * bits)) & ((1 << bits) - 1) as sample from r, range(3) q(x))
+select id, line, bits, string_agg(sample, ',' order by y, x) as samples from v group by k, id, line, bits
 """,
     "g10_balanced": "select cast(count(*) as bigint) as n, cast(sum(p_size::bigint * 40 * (p_partkey % 1500 + 1) * 4 + 524288) as bigint) as cost, cast(0 as bigint) as n_over from part",
     "p8_page_chain": "select p_partkey as id, p_partkey % 4 + 1 as n_pages, cast((p_partkey % 4 + 1) * p_partkey + (p_partkey % 4 + 1) * (p_partkey % 4) // 2 as bigint) as widths from part",
