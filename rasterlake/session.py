@@ -81,8 +81,13 @@ class Tables:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as a reliable checkpoint and read from there from now on."""
+    """``df`` written to the shared folder as a reliable checkpoint and read from there from now on.
+
+    Its files go when nothing refers to the result any more: Spark's cleaner is asked for
+    that, which by default leaves checkpoints behind.
+    """
     shared_folder(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
