@@ -1,6 +1,13 @@
 """Corpus pipeline: language, exact copies, near copies, repeated passages, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+
+Defined results: documents with a null text or without a letter go in the first stage, so no later
+one sees them; null ids are larger than any id and stay where a choice allows it; of rows that
+repeat one id and text one is kept; an empty table gives an empty result, as does each stage
+for one; further columns of documents, whatever their names, pass through all stages but the
+last, which returns parts and bins; texts of any length are worked on whole. A stage that
+fails leaves the last written table behind; run() starts anew.
 """
 
 from __future__ import annotations

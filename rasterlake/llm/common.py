@@ -3,64 +3,30 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
+from ..session import drop_folder, settled, shared_folder  # noqa: F401
+
 #: ASCII white space of the text contracts: 0x20 and 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 
-
-def ensure_checkpoints(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``, or the one set on the context.
-
-    Where neither is set, a temporary folder is, but only if driver and workers are one
-    process: other executors could not see it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rasterlake-checkpoints-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+#: The shared checkpoint folder.
+ensure_checkpoints = shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there from now on."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it from there from now on; the files go with the last reference to it."""
+    return settled(df)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder of any file system that Spark knows."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Tables:
-    """Large tables of one operator call: compressed Parquet files in the shared checkpoint folder.
-
-    ``with Tables(spark) as tables`` deletes them at the end of the block, so what the
-    operator returns must not read them: its last step is a :func:`cut`.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{ensure_checkpoints(self.spark)}/table-{uuid.uuid4().hex}"
-        self.paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+class Tables(session.Tables):
+    """Large tables of one operator call, which also lets go of shuffle files; the last step of what reads them is a :func:`cut`."""
 
     def release(self) -> None:
         """Let Spark drop the shuffle files of plans that nothing refers to any more."""
@@ -69,13 +35,9 @@ class Tables:
 
     def drop(self) -> None:
         """Delete the tables, then :meth:`release`."""
-        while self.paths:
-            drop_folder(self.spark, self.paths.pop())
+        super().__exit__()
         self.release()
 
-    def __enter__(self) -> Tables:
-        return self
-
     def __exit__(self, *_) -> None:
         self.drop()
 
@@ -120,6 +82,12 @@ def columns_of(batch: pa.RecordBatch) -> list[list]:
     return [column.to_pylist() for column in batch.columns]
 
 
+def rows_of(batch: pa.RecordBatch, count: int = 256) -> Iterator[tuple]:
+    """The rows of a batch; no more than ``count`` of them are Python objects at a time."""
+    for start in range(0, batch.num_rows, count):
+        yield from zip(*columns_of(batch.slice(start, count)), strict=True)
+
+
 def batch_of(schema: pa.Schema, columns: Iterable[list]) -> pa.RecordBatch:
     """A batch of ``schema`` from one list per field."""
     return pa.RecordBatch.from_arrays(
