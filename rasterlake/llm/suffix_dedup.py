@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, columns_of, cut, hot_limit, in_slices, join_counted, left_join_salted, mix
+from .common import Tables, columns_of, cut, hot_limit, in_slices, join_counted, left_join_salted, mix, rows_of
 
 _TEXT = pa.schema([("sha", pa.binary()), ("body", pa.binary())])
 _ANCHOR = pa.schema([("h", pa.int64()), ("sha", pa.binary()), ("place", pa.int64())])
@@ -161,7 +161,7 @@ def _anchors(search: Search):
             seen = set()
             parts: list[list[np.ndarray]] = [[], [], [], []]
             names: list[bytes] = []
-            for sha, body in zip(*columns_of(batch), strict=True):
+            for sha, body in rows_of(batch):
                 if len(body) < search.length or sha in seen:
                     continue
                 seen.add(sha)
@@ -172,14 +172,21 @@ def _anchors(search: Search):
                 for part, values in zip(parts, found, strict=True):
                     part.append(values)
                 names += [sha] * found[0].size
+                if len(names) > _HELD:
+                    yield _anchor_batch(names, parts)
+                    names, parts = [], [[], [], [], []]
             if names:
-                h, at, first, last = (np.concatenate(part) for part in parts)
-                place = (at << 32) | ((at - first) << 16) | (at - last)  # both below length, which is below 2 ** 16
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names, pa.binary()), pa.array(place)], schema=_ANCHOR)
+                yield _anchor_batch(names, parts)
 
     return run
 
 
+def _anchor_batch(names: list[bytes], parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    h, at, first, last = (np.concatenate(part) for part in parts)
+    place = (at << 32) | ((at - first) << 16) | (at - last)  # both below length, which is below 2 ** 16
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names, pa.binary()), pa.array(place)], schema=_ANCHOR)
+
+
 class _Rows:
     """Rows of blocks on their way out. Equal rows are sent once, and their spans reported at once, unless all are wanted."""
 
@@ -219,7 +226,7 @@ def _rows(searches: list[Search], every: bool):
         readers = [search.reader() for search in searches]
         for batch in batches:
             rows, seen = _Rows(every), set()
-            for sha, packed, *each in zip(*columns_of(batch), strict=True):
+            for sha, packed, *each in rows_of(batch):
                 if sha in seen:
                     continue
                 seen.add(sha)
@@ -428,7 +435,7 @@ def _merged(group: list[tuple], core: int, unit: int, spans: list[tuple]) -> lis
     return out
 
 
-def _arrays(search: Search, step: int, work, every: bool, symbols: int = 1 << 20):
+def _arrays(search: Search, step: int, work, every: bool, symbols: int = 1 << 18):
     """``work`` (``covered`` or ``occurrences``) over the keys of a task, several together."""
     schema = _REPEAT if every else _SPAN
 
