@@ -96,14 +96,22 @@ def pdf_output_info(df: DataFrame, info: Column, length: Column, start: Column,
     return out.withColumn(into, made).drop("_page", "_length", "_in", "_maxw", "_maxh", "_maxp", "_shown", "_width", "_height", "_wrong", "_error")
 
 
-def lower_metadata(meta: Column, icc: bool = True, exif: bool = True, xmp: bool = True) -> Column:
+def lower_metadata(meta: Column, icc: bool = True, exif: bool = True, xmp: bool = True, profiles: dict[tuple[int, int], bytes] | None = None) -> Column:
     """What an encode job writes of a struct (icc, exif, xmp, orientation): gates by kind; an upright image has no orientation tag.
 
-    A source that is described by colour codes alone gets no profile: none is made here.
+    With ``profiles``, the struct has cicp (primaries, transfer) as well: a source without a
+    profile that is described by colour codes alone gets the profile of both codes, as TIFF has no
+    place for them. Codes without one, such as those of sRGB, which is what readers assume, give none:
+    a profile of the same primaries and another transfer would be wrong.
     """
     gate = lambda name, allowed: (meta[name] if allowed else F.lit(None).cast("binary")).alias(name)
+    own = gate("icc", icc)
+    if icc and profiles:
+        codes = meta["cicp"]
+        made = [F.when((codes["primaries"] == p) & (codes["transfer"] == t), F.lit(profile)) for (p, t), profile in profiles.items()]
+        own = F.coalesce(meta["icc"], *made).alias("icc")
     turned = F.when(meta["orientation"].between(2, 8), meta["orientation"].cast("int")).alias("orientation")
-    return F.struct(gate("icc", icc), gate("exif", exif), gate("xmp", xmp), turned)
+    return F.struct(own, gate("exif", exif), gate("xmp", xmp), turned)
 
 
 def nothing_to_write(meta: Column) -> Column:

@@ -3,7 +3,8 @@
 A bad row gives an ``error`` struct (kind, message) and never fails its task; null content
 gives null fields and no error. Spark cuts Arrow batches by
 ``spark.sql.execution.arrow.maxBytesPerBatch`` as well as by rows, so a batch of large files
-stays bounded; what a batch gives back is bounded by the limits of decoding.
+stays bounded; what it becomes is sent on in pieces of about 16 MB, or of one row, so that small files of
+large images don't add up.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..sources import tiff
 ERROR = "error struct<kind: string, message: string>"
 INFO = "width int, height int, color string, bits int, samples int, is_float boolean, big boolean, page_count int, compression int, photometric int, orientation int, resolution_unit int, dpi_x double, dpi_y double, page_name string, icc binary, xmp binary, iptc binary, exif binary"
 PIXELS = "width int, height int, descriptor string, pixels binary"
+#: Bytes of binary results that are held before they are sent on.
+_HELD = 16 << 20
 TAG = "page int, dest string, tag int, type int, count bigint, raw binary"
 
 
@@ -44,8 +47,15 @@ def struct_udf(work: Callable[..., dict], fields: str):
     @F.pandas_udf(f"{fields}, {ERROR}")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [attempt(work, names, *row) for row in batch.itertuples(index=False, name=None)]
-            yield pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
+            rows, held = [], 0
+            for row in batch.itertuples(index=False, name=None):
+                rows.append(attempt(work, names, *row))
+                held += sum(len(v) for v in rows[-1] if isinstance(v, bytes))
+                if held > _HELD:
+                    yield pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
 
     return run
 

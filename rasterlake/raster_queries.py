@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import assets
+from .functions import jobs as J
 from .functions import limits as L
 from .functions import tags as T
 from .operators import balance as B
@@ -163,7 +164,16 @@ def balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.count_if((c("cost") > 1 << 28) & (c("n") > 1)).alias("n_over"))
 
 
-QUERIES = {"v3_markup": markup, "x22_packed_samples": packed, "g10_balanced": balance, "p8_page_chain": pages, "e11_written_directories": written, "e6_edited_tags": edited, "p9_exif_blobs": exif, "s13_tiff_source": source, "x1_strips": strips, "x35_tiles": tiles}
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles that encode jobs embed: the source's own, or one of its colour codes; transfers without a profile get none."""
+    codes = F.struct(F.expr("element_at(array(12, 1, 9, 9), cast(p_partkey % 4 as int) + 1)").alias("primaries"), F.expr("element_at(array(13, 13, 16, 14), cast(p_partkey % 4 as int) + 1)").alias("transfer"))
+    none = F.lit(None).cast("binary")
+    meta = F.struct(F.when(c("p_partkey") % 5 == 0, F.lit(b"own")).alias("icc"), none.alias("exif"), none.alias("xmp"), F.lit(1).alias("orientation"), F.when(c("p_partkey") % 7 > 0, codes).alias("cicp"))
+    made = J.lower_metadata(meta, profiles={(12, 13): b"display p3", (9, 14): b"rec2020"})
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(c("p_partkey").alias("id"), F.decode(made["icc"], "UTF-8").alias("icc"), J.nothing_to_write(made).alias("plain"))
+
+
+QUERIES = {"e13_profiles": profiles, "v3_markup": markup, "x22_packed_samples": packed, "g10_balanced": balance, "p8_page_chain": pages, "e11_written_directories": written, "e6_edited_tags": edited, "p9_exif_blobs": exif, "s13_tiff_source": source, "x1_strips": strips, "x35_tiles": tiles}
 
 _SQL = assets._SQL
 _TURN = f"{_SQL}, u as (select *, orientation as turned, case when orientation > 4 then h else w end as ow, case when orientation > 4 then w else h end as oh from t)"
@@ -171,6 +181,10 @@ _HEX = f"format('{{:02X}}', cast((id + 3 * (({assets._FROM}) * unit + k)) % 256
 _TEXT = lambda column: f"hex(encode({column})) || '00'"
 _SIZE = "case when p_partkey % 2 = 0 then format('{:02X}', p_size) || '00' else '00' || format('{:02X}', p_size) end"
 ORACLES = {
+    "e13_profiles": """
+select p_partkey as id, icc, icc is null as plain
+from (select *, case when p_partkey % 5 = 0 then 'own' when p_partkey % 7 = 0 then null when p_partkey % 4 = 0 then 'display p3' when p_partkey % 4 = 3 then 'rec2020' end as icc from part)
+""",
     "v3_markup": """
 select p_partkey as id, case when p_partkey % 13 > 0 and p_partkey % 9 > 0 and p_partkey % 11 > 0 then '<?xml version="1.0"?><svg width="' || p_size || '"><title/><g><text a="1>0">' || p_name || '</text><![CDATA[ <b> ]]></g></svg>' end as text,
   case when p_partkey % 13 > 0 and (p_partkey % 9 = 0 or p_partkey % 11 = 0) then 'Parse' end as error from part

@@ -196,3 +196,11 @@ def test_jobs_by_tag(spark):
     with cancellable(spark, "decode") as stop:
         assert "decode" in spark.getTags() and spark.range(3).count() == 3 and stop() == []
     assert "decode" not in spark.getTags()
+
+
+def test_large_results_are_sent_in_pieces(spark, monkeypatch):
+    """Every row keeps its result, whatever the pieces."""
+    monkeypatch.setattr(T, "_HELD", 100)
+    grow = T.struct_udf(lambda n: {"n": int(n), "data": b"x" * int(n)}, "n int, data binary")
+    got = spark.range(1000).coalesce(1).select("id", grow(F.struct((F.col("id") % 90).alias("c0"))).alias("r")).select("id", "r.n", F.length("r.data").alias("size")).collect()
+    assert all(r.n == r.size == r.id % 90 for r in got) and len(got) == 1000
