@@ -7,6 +7,10 @@ length and content hash; each partition inserts the full byte strings into a com
 radix trie whose terminal nodes keep the smallest id, and spills subtrees when it holds
 more than ``spill_bytes``.
 
+``keep_first`` sends whole rows to the tries, in the order of their ids: the first row of a
+string is passed on as it is inserted and the others go, so a text is exchanged once.
+Rows that come to a spilled subtree are spilled with it and told apart at the end.
+
 Defined results: a null text is an empty text; a null doc_id is larger than any id, so
 it owns a group only if all its ids are null (keep_id is then null); rows repeated with
 the same doc_id and text are copies of which exactly one is kept; an empty table gives
@@ -19,11 +23,13 @@ from __future__ import annotations
 
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import columns_of, cut, hot_limit, in_slices, left_join_salted
 
@@ -39,6 +45,16 @@ def normalised(column):
     return F.regexp_replace(F.coalesce(column, F.lit("")), _RUNS, " ")
 
 
+def one_space(text: bytes | None) -> bytes:
+    """:func:`normalised` of one text; bytes.split() parts it at the same six characters."""
+    if not text:
+        return b""
+    words = b" ".join(text.split())
+    if not words:
+        return b" "
+    return (b" " if text[:1].isspace() else b"") + words + (b" " if text[-1:].isspace() else b"")
+
+
 def _merge(x: tuple | None, y: tuple) -> tuple:
     """Owners (id, rows, rows with that id) of one text taken together; null ids come last."""
     if x is None:
@@ -85,15 +101,17 @@ class OwnerTrie:
     def __init__(self, spill_bytes: int = 128 << 20) -> None:
         self.top, self.limit, self.held = _Node(b""), spill_bytes, 0
 
-    def add(self, body: bytes, sha: str, value: tuple) -> None:
+    def add(self, body: bytes, sha: str | None, value: tuple, late: Callable[[], bytes] | None = None) -> bool | None:
+        """Whether ``body`` is new; None if its subtree is spilled, where what ``late`` makes takes the place of ``sha``."""
         node, at = self.top, 0
         while True:
             if node.spill is not None:
-                pickle.dump((body[at:], sha, value), node.spill)
-                return
+                pickle.dump((body[at:], late() if late else sha, value), node.spill)
+                return None
             if at == len(body):
+                new = node.value is None
                 node.value = (sha, _merge(node.value and node.value[1], value))
-                return
+                return new
             child = node.below.get(body[at])
             if child is None:
                 child = node.below[body[at]] = _Node(body[at:])
@@ -111,6 +129,7 @@ class OwnerTrie:
             node, at = fork, at + n
         if self.held > self.limit:
             self._spill()
+        return True
 
     def _spill(self) -> None:
         """Move every subtree below the top to a file of its own; later strings with that start follow it."""
@@ -146,6 +165,19 @@ class OwnerTrie:
                     inner.add(*entry)
                 yield from inner.owners()
 
+    def late(self) -> Iterator[bytes]:
+        """What :meth:`add` was given for those spilled strings of which none was there before."""
+        stack = [self.top]
+        while stack:
+            node = stack.pop()
+            stack += node.below.values()
+            if node.spill is not None:
+                inner = OwnerTrie(self.limit)
+                for rest, made, value in _drain(node.spill):
+                    if inner.add(rest, None, value, lambda made=made: made) and made is not None:
+                        yield made
+                yield from inner.late()
+
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -201,8 +233,58 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spill
     )
 
 
+def _texts(batch: pa.RecordBatch, text: str) -> pa.Array:
+    return batch.column("row").field(text).cast(pa.binary())
+
+
+def _first_of_batch(text: str):
+    """Of equal texts of a batch the row of the smallest id; rows of different hashes are not compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, ids = batch.column("hash").to_pylist(), batch.column("id").to_pylist()
+            bodies, often = _texts(batch, text), Counter(hashes)
+            best: dict[tuple, int] = {}
+            for i, x in enumerate(hashes):
+                key = (x, one_space(bodies[i].as_py()) if often[x] > 1 else b"")
+                j = best.setdefault(key, i)
+                if ids[i] is not None and (ids[j] is None or ids[i] < ids[j]):
+                    best[key] = i
+            yield batch if len(best) == batch.num_rows else batch.take(pa.array(sorted(best.values()), pa.int64()))
+
+    return run
+
+
+def _first_rows(text: str, spill_bytes: int, most: int = 16 << 20):
+    """The first row of every text, of rows that come by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, schema = OwnerTrie(spill_bytes), None
+        for batch in batches:
+            schema, bodies, kept = batch.schema, _texts(batch, text), []
+            for i in range(batch.num_rows):
+                if trie.add(one_space(bodies[i].as_py()), None, (None, 1, 1), lambda i=i, batch=batch: batch.slice(i, 1).serialize().to_pybytes()):
+                    kept.append(i)
+            if kept:
+                yield batch if len(kept) == batch.num_rows else batch.take(pa.array(kept, pa.int64()))
+        held, weight = [], 0
+        for made in trie.late():
+            held.append(pa.ipc.read_record_batch(pa.py_buffer(made), schema))
+            weight += len(made)
+            if weight > most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, weight = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spill_bytes: int = 128 << 20) -> DataFrame:
     """The rows of ``df``, all columns as they were, without the later copies of a text."""
     packed = F.struct(*[F.col(f"`{name}`") for name in df.columns])
-    rows = df.select(F.col(doc_id).cast("long").alias("_id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("_sha"), packed.alias("_row"))
-    return _joined(df, doc_id, text, spill_bytes, rows).where("_kept").select("_row.*")
+    rows = df.select(F.xxhash64(normalised(F.col(text))).alias("hash"), F.col(doc_id).cast("long").alias("id"), packed.alias("row"))
+    row = StructField("row", rows.schema["row"].dataType)
+    spread = rows.mapInArrow(_first_of_batch(text), StructType([StructField("hash", LongType()), StructField("id", LongType()), row])).repartition("hash")
+    ordered = spread.sortWithinPartitions(F.col("id").asc_nulls_last()).select("row")
+    return ordered.mapInArrow(_first_rows(text, spill_bytes), StructType([row])).select("row.*")

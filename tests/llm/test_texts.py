@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -50,6 +51,61 @@ def test_exact(spark):
     assert exact_dedup.keep_first(df).columns == df.columns and exact_dedup.keep_first(df).count() == 5
 
 
+def shuffled(spark, work):
+    """The result of ``work`` and how many bytes its stages wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+    none, numbers = gateway.jvm.java.util.ArrayList(), gateway.new_array(gateway.jvm.double, 0)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(none, False, False, numbers, none)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    out = work()
+    return out, sum(n for stage, n in stages().items() if stage not in before)
+
+
+def test_kept_rows_are_exchanged_once(spark):
+    rng = np.random.default_rng(6)
+    texts = [base64.b64encode(rng.bytes(int(rng.integers(1, 30_000)))).decode() for _ in range(200)]
+    texts = [*texts, *(f"{t}  " for t in texts[:20]), *(f"{t}\n" for t in texts[10:20])]
+    rows = [(1000 - i if i % 7 else None, t, {"a b": [i]}, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `x.y z` map<string, array<int>>, id int").repartition(3).localCheckpoint()
+    best = {}
+    for row in rows:
+        key = " ".join(row[1].split()) + (" " if row[1][-1:].isspace() else "")
+        if key not in best or (row[0] is not None and (best[key][0] is None or row[0] < best[key][0])):
+            best[key] = row
+    size = sum(len(t) for t in texts)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for limit in (128 << 20, 100_000, 1000):
+            got, sent = shuffled(spark, lambda limit=limit: exact_dedup.keep_first(df, spill_bytes=limit).collect())
+            assert sorted(map(tuple, got), key=str) == sorted(best.values(), key=str)
+            assert sent < 1.3 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_trie_of_rows_put_off():
+    bodies = [f"{i % 37}-{'pq' * (i % 11)}".encode() for i in range(600)]
+    for limit in (1 << 30, 3000, 900):
+        trie, first = exact_dedup.OwnerTrie(limit), []
+        for i, body in enumerate(bodies):
+            if trie.add(body, None, (None, 1, 1), lambda i=i: b"%d" % i):
+                first.append(i)
+        assert sorted([*first, *map(int, trie.late())]) == [bodies.index(body) for body in dict.fromkeys(bodies)]
+
+
+def test_one_space():
+    for text in ["", " ", "\n\t", "a", " a", "a\r\n", "\x0b\x0ca  b\x1cc\x85d\u00a0\u2003e \t", "a\x00 b"]:
+        assert exact_dedup.one_space(text.encode()) == re.sub("[\x20\x09-\x0d]+", " ", text).encode()
+    assert exact_dedup.one_space(None) == b""
+
+
 def test_packing(spark):
     rows = [(i, "w" * (i * 37 % 900), "s0" if i % 3 else None) for i in range(300)] + [(300, "v" * 2500, "s1"), (301, None, "s1"), (302, "w" * 37, "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
