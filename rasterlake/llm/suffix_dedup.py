@@ -4,8 +4,8 @@ A byte is removed if a string of ``length`` bytes that covers it also starts any
 else. Finding these strings without one suffix array of the whole corpus:
 
 1. Every window of ``length`` bytes has an anchor: its ``gram``-byte substring of the
-   smallest hash (the leftmost of equals). Equal windows have equal anchors at the same
-   offset. Anchors that occur once are dropped by a count over their hashes.
+   smallest hash (by its upper 32 bits, the leftmost of equals). Equal windows have equal
+   anchors at the same offset. Anchors that occur once are dropped by a count over their hashes.
 2. The windows of a repeated anchor are split by their offset into blocks of ``step``.
    All windows of a block share a core of ``length - step + 1`` bytes; the block is keyed
    by the core's 128-bit hash, and only the edges left and right of the core are sent.
@@ -64,6 +64,13 @@ _REPEAT = pa.schema([("repeat", pa.binary()), ("length", pa.int32()), ("sha", pa
 _WORD = re.compile(rb"[^ \t-\r]+")
 _CODE = 8
 _NUMBERS = {1: np.uint8, _CODE: np.uint64}
+#: The hashes of single bytes.
+_BYTES = mix(np.arange(256, dtype=np.uint8), 5)
+#: Numbers of the bytes of words (none of white space), and of places in a word.
+_LETTERS = np.where(np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r")), np.uint64(0), mix(np.arange(256), 6))
+_WEIGHTS = mix(np.arange(256), 7) | np.uint64(1)
+#: The bits of a gram's hash that choose anchors; below them is its place.
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 #: Rows that a task holds before it sends them.
 _HELD = 60_000
 
@@ -87,20 +94,22 @@ class Search(NamedTuple):
 
     def reader(self) -> Callable[[bytes], bytes]:
         """A function from texts to the bytes of their symbols."""
-        if self.unit == 1:
-            return bytes
-        codes = _Codes()
-        return lambda body: b"".join(map(codes.__getitem__, body.split()))
+        return bytes if self.unit == 1 else word_codes
 
 
-class _Codes(dict):
-    """Hashes of words, in bounded memory."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 100_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_digest(word)
-        return found
+def word_codes(body: bytes) -> bytes:
+    """Hashes of the words of a text: sums of its bytes' numbers times those of their places, which white space has no part in."""
+    letters = _LETTERS[np.frombuffer(body, np.uint8)]
+    inside = np.zeros(letters.size + 1, bool)
+    np.not_equal(letters, 0, out=inside[1:])
+    starts = np.flatnonzero(inside[1:] > inside[:-1])
+    if not starts.size:
+        return b""
+    letters, starts = letters[starts[0] :], starts - starts[0]
+    sizes = np.append(starts[1:], letters.size) - starts
+    place = np.arange(letters.size) - starts.repeat(sizes)
+    letters *= _WEIGHTS[place] if sizes.max() <= _WEIGHTS.size else mix(place, 7) | np.uint64(1)
+    return mix(np.add.reduceat(letters, starts), 8).tobytes()
 
 
 def of_bytes(length: int = 400, gram: int = 64, step: int = 64) -> Search:
@@ -113,7 +122,7 @@ def of_words(words: int = 51, gram: int = 8, step: int = 16) -> Search:
 
 def _gram_hashes(body: bytes, gram: int, unit: int = 1) -> np.ndarray:
     """Hash of the ``gram`` symbols (a power of two) of ``unit`` bytes from each place, by doubling."""
-    h = mix(np.frombuffer(body, _NUMBERS[unit]), 5)
+    h = _BYTES[np.frombuffer(body, np.uint8)] if unit == 1 else mix(np.frombuffer(body, _NUMBERS[unit]), 5)
     size = 1
     while size < gram:
         h = h[:-size] * np.uint64(0x9E3779B97F4A7C15 | 1) ^ ((h[size:] << np.uint64(7)) | (h[size:] >> np.uint64(57)))
@@ -128,30 +137,15 @@ def anchors(body: bytes, length: int, gram: int, unit: int = 1) -> tuple[np.ndar
     span = length - gram + 1  # grams in a window
     windows = h.size - span + 1
     padded = np.full(-(-h.size // span) * span, np.iinfo(np.uint64).max, np.uint64)
-    padded[: h.size] = h
+    # a place below its hash: the least of a window is then the leftmost of equals, and says where it is
+    np.bitwise_or(h & _HIGH, np.arange(h.size, dtype=np.uint64), out=padded[: h.size])
     blocks = padded.reshape(-1, span)
     after = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
     upto = np.minimum.accumulate(blocks, 1).ravel()
     least = np.minimum(after[:windows], upto[span - 1 : span - 1 + windows])
-    # the leftmost place at or after each window start that has the window's minimum
-    change = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    out_at, out_first, out_last = [], [], []
-    for i, first in enumerate(change.tolist()):
-        last = (int(change[i + 1]) if i + 1 < change.size else windows) - 1
-        places = first + np.flatnonzero(h[first : last + span] == least[first])
-        at = first
-        for place in places.tolist():
-            if place < at:
-                continue
-            if at > last:
-                break
-            stop = min(last, place)
-            out_at.append(place)
-            out_first.append(at)
-            out_last.append(stop)
-            at = stop + 1
-    at = np.array(out_at, np.int64)
-    return h[at], at, np.array(out_first, np.int64), np.array(out_last, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    at = (least[first] & ~_HIGH).astype(np.int64)
+    return h[at], at, first, np.append(first[1:], windows) - 1
 
 
 def _anchors(search: Search):

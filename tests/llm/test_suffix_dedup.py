@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import sys
 from collections import Counter
 
+import numpy as np
 import pytest
 from rasterlake.llm import suffix_dedup
 
@@ -142,3 +144,55 @@ def test_maximal_repeats():
     before = np.concatenate([[999], text[:-1]])
     found = sorted((size, sorted(places.tolist())) for size, places in suffix_dedup.SuffixArray(text, 8).maximal_repeats(before, 2))
     assert found == [(3, [1, 5, 9])]
+
+
+def calls(work, *args):
+    """How many functions ``work`` calls, those of C included."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        work(*args)
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_anchors_are_the_leftmost_of_the_least():
+    rng = random.Random(4)
+    search = suffix_dedup.of_bytes(40, 8, 16)
+    for text in (b"x" * 40, b"abc" * 100, bytes(rng.choices(b"ab", k=700)), rng.randbytes(900)):
+        h = suffix_dedup._gram_hashes(text, search.gram) >> np.uint64(32)
+        got = {}
+        for _, at, first, last in zip(*suffix_dedup.anchors(text, search.length, search.gram)):
+            got |= dict.fromkeys(range(first, last + 1), at)
+        span = search.length - search.gram + 1
+        assert got == {w: w + int(np.argmin(h[w : w + span])) for w in range(len(text) - search.length + 1)}
+
+
+def test_anchors_and_words_take_no_call_each():
+    rng = random.Random(5)
+    short, long = (words(rng, n).encode() for n in (200, 20_000))
+    for search in (suffix_dedup.of_bytes(), suffix_dedup.of_words()):
+        read = search.reader()
+        assert calls(read, long) <= calls(read, short) + 10
+        found = [(search.length, search.gram, search.unit)] * 2
+        least, most = (calls(suffix_dedup.anchors, read(text), *sizes) for text, sizes in zip((short, long), found))
+        assert most <= least + 10
+
+
+def test_codes_are_those_of_words():
+    rng = random.Random(6)
+    split = [bytes(rng.choices(b"ab\xc3\xa9\x00\x1c", k=rng.choice((1, 2, 3, 5, 300)))) for _ in range(3000)] + [b"a" * n for n in (255, 256, 257, 5000)]
+    text = b"".join(bytes(rng.choices(b" \t\n\x0b\x0c\r", k=rng.randint(1, 3))) + w for w in split)
+    code = {}
+    for body in (text, text + b" ", text.lstrip(), b" ".join(split)):
+        codes = np.frombuffer(suffix_dedup.word_codes(body), np.uint64).tolist()
+        assert len(codes) == len(split) and all(code.setdefault(w, c) == c for w, c in zip(split, codes))
+    assert len(set(code.values())) == len(code)
+    assert suffix_dedup.word_codes(b"") == suffix_dedup.word_codes(b" \n") == b""
+    assert suffix_dedup.word_codes(b"b a\x00") == b"".join(map(suffix_dedup.word_codes, (b"b", b"a\x00")))
