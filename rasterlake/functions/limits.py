@@ -230,17 +230,28 @@ def unpremultiply(c: Column, a: Column) -> Column:
     return F.when(a == 0, 0).when(a == 255, c).otherwise(F.least(F.lit(255), rounded)).cast("int")
 
 
-def narrow_signed(s: Column, bits: int) -> Column:
-    """i8, i16, i32 and i64 as unsigned: offset by half the range; 32 and 64 bits keep their upper 16."""
+def _upper(s: Column) -> Column:
+    """How often 2^48 goes into a decimal, rounded down; exact beyond a bigint."""
+    part = F.lit(1 << 48).cast("decimal(15,0)")
+    # The quotient has six decimals and may have been rounded up to a whole number; Spark's div and pmod are exact but several times slower.
+    times = F.floor(s / part).cast("bigint")
+    return times - F.when(times.cast("decimal(20,0)") * part > s, 1).otherwise(0)
+
+
+def narrow_signed(s: Column, bits: int, wide: bool = False) -> Column:
+    """i8, i16, i32 and i64 as unsigned: offset by half the range; 32 and 64 bits keep their upper 16.
+
+    With ``wide``, samples of 64 bits are a decimal, which may go beyond their range.
+    """
     if bits == 64:
-        return (F.shiftright(s.cast("bigint"), 48) + (1 << 15)).cast("int")
+        return ((_upper(s) if wide else F.shiftright(s.cast("bigint"), 48)) + (1 << 15)).cast("int")
     moved = s.cast("bigint") + (1 << (bits - 1))
     return F.shiftright(moved, 16).cast("int") if bits == 32 else moved.cast("int")
 
 
-def narrow_unsigned(s: Column, bits: int) -> Column:
-    """The upper 16 of 32 bits, or of 64 bits held in a bigint."""
-    return F.shiftrightunsigned(s.cast("bigint"), bits - 16).cast("int")
+def narrow_unsigned(s: Column, bits: int, wide: bool = False) -> Column:
+    """The upper 16 of 32 bits, or of 64 bits held in a bigint or, with ``wide``, in a decimal."""
+    return (_upper(s) if wide else F.shiftrightunsigned(s.cast("bigint"), bits - 16)).cast("int")
 
 
 def fit_channels(samples: Column, channels: Column, largest: int) -> Column:

@@ -151,7 +151,9 @@ _query("x18_cmyk16", "px", lambda d: [L.cmyk16(c("c") * 257, c("k") * 257).alias
        ", ".join(f"cast(floor((1 - {i} * 257 / 65535.0::double) * (1 - k * 257 / 65535.0::double) * 65535 + 0.5) as int) as {o}" for i, o in (("c", "r"), ("m", "g"))), more="id,line")
 _query("x26_unpremultiply", "px", lambda d: [L.unpremultiply(c("c"), c("a")).alias("r"), L.unpremultiply(c("m"), c("a")).alias("g")],
        ", ".join(f"case when a = 0 then 0 when a = 255 then {i} else least(255, ({i} * 255 + a // 2) // a) end as {o}" for i, o in (("c", "r"), ("m", "g"))), more="id,line")
-_query("x8_sample_conversion", "px", lambda d: [L.narrow_signed(c("c") - 128, 8).alias("i8"), L.narrow_signed(c("c") * 257 - 32768, 16).alias("i16"), L.narrow_signed(c("id") - 5000, 32).alias("i32"), L.narrow_signed((c("id") - 5000) * (1 << 47), 64).alias("i64"), L.narrow_unsigned(c("id") * 65537, 32).alias("u32"), L.narrow_unsigned(c("id") * (1 << 47), 64).alias("u64")],
+#: A key times 2^47, as a decimal: ids of 65,536 and more are beyond a bigint.
+_shifted = lambda key: key.cast("decimal(20,0)") * F.lit(1 << 47).cast("decimal(15,0)")
+_query("x8_sample_conversion", "px", lambda d: [L.narrow_signed(c("c") - 128, 8).alias("i8"), L.narrow_signed(c("c") * 257 - 32768, 16).alias("i16"), L.narrow_signed(c("id") - 5000, 32).alias("i32"), L.narrow_signed(_shifted(c("id") - 5000), 64, wide=True).alias("i64"), L.narrow_unsigned(c("id") * 65537, 32).alias("u32"), L.narrow_unsigned(_shifted(c("id")), 64, wide=True).alias("u64")],
        "cast((id - 5000 + 65536) // 2 as int) as i64, cast(id // 2 as int) as u64, c as i8, c * 257 as i16, cast((id - 5000 + 2147483648) >> 16 as int) as i32, cast((id * 65537) >> 16 as int) as u32", more="id,line")
 _query("x5_unpack", "px", lambda d: [F.array_join(L.unpack_bits(c("c"), n).cast("array<string>"), ",").alias(f"b{n}") for n in (1, 2, 4)],
        ", ".join("concat_ws(','" + "".join(f", ((c >> {i}) & {(1 << n) - 1}) * 255 // {(1 << n) - 1}" for i in range(8 - n, -1, -n)) + f") as b{n}" for n in (1, 2, 4)), more="id,line")

@@ -54,3 +54,17 @@ def test_golden_values(spark):
 def test_plan_order(spark):
     rows = variants.plan(spark).collect()
     assert [r.cell_id for r in rows[:5]] == ["tiff-none", "tiff-none-big", "tiff-lzw", "tiff-deflate", "tiff-packbits"] and len(rows) == 14
+
+
+def test_samples_of_large_keys(spark, sql, tmp_path):
+    """Keys whose 64-bit samples are beyond a bigint, and the bounds of the samples in both forms."""
+    rows = spark.read.parquet(f"{FOLDER}/lineitem.parquet").limit(40)
+    rows.withColumn("l_orderkey", F.col("l_orderkey") + F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (0, 65500, 70530, 131071, 9_000_000)]), (F.col("l_linenumber") % 5 + 1).cast("int"))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = registry.QUERIES["x8_sample_conversion"](spark, str(tmp_path))
+    want = duckdb.sql(registry.ORACLES["x8_sample_conversion"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet/*.parquet'")).project(", ".join(got.columns)).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 40 and max(r[0] for r in want) >= 9_000_000
+    for value, signed, unsigned in ((0, 32768, 0), ((1 << 63) - 1, 65535, 32767), (-1, 32767, None), (-(1 << 63), 0, None), ((1 << 64) - 1, None, 65535), ((1 << 48) - 1, 32768, 0), (-(1 << 48) - 1, 32766, None)):
+        wide = F.lit(str(value)).cast("decimal(20,0)")
+        assert signed is None or [one(spark, L.narrow_signed(x, 64, w))[0] for x, w in ((wide, True), (F.lit(value).cast("bigint"), False))] == [signed, signed]
+        assert unsigned is None or one(spark, L.narrow_unsigned(wide, 64, wide=True))[0] == unsigned
+    assert one(spark, L.narrow_unsigned(F.lit(-1).cast("bigint"), 64))[0] == 65535
