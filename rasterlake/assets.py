@@ -16,15 +16,27 @@ METHODS = ("none", "lzw", "deflate", "packbits")
 KINDS = ("gray_u8", "rgb_u8", "gray_u16", "rgba_u16", "graya_u8", "rgb_f32")
 
 
+#: Rows of a task that makes files or encodes pixels.
+_ROWS = 20_000
+#: Bytes 0, 3, 6, ... modulo 256: the pixels of every image are a run of them.
+_RAMP = bytes(3 * i % 256 for i in range(256 + 13 * 7 * 12))
+
+
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, w, h, method, hpred, big, orientation, descriptor, unit (bytes of a pixel), pixels of every part."""
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+    """id, w, h, method, hpred, big, orientation, descriptor, unit (bytes of a pixel), pixels of every part.
+
+    Byte i of the pixels is (id + 3 i) % 256. A table of short rows is few files, so rows are
+    dealt anew, before they have pixels: work on these goes to all cores.
+    """
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = parts.selectExpr(
         "p_partkey as id", "cast(p_size % 13 + 1 as int) as w", "cast(p_partkey % 7 + 1 as int) as h", "cast(p_partkey % 8 + 1 as int) as orientation",
         f"element_at(array{METHODS}, cast(p_partkey % 4 as int) + 1) as method", "p_partkey % 3 = 0 as hpred", "p_partkey % 5 = 0 as big",
         f"element_at(array{KINDS}, cast(p_partkey div 7 % 6 as int) + 1) as descriptor", "element_at(array(1, 3, 2, 8, 2, 12), cast(p_partkey div 7 % 6 as int) + 1) as unit",
     )
-    value = lambda i: F.lpad(F.hex((F.col("id") + i * 3) % 256), 2, "0")
-    return rows.withColumn("pixels", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") * F.col("unit") - 1), value), "")))
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, parts.count() // _ROWS), "id")
+    # 3 * 171 is 1 modulo 256, so the byte 171 id begins the run.
+    return rows.withColumn("pixels", F.substr(F.lit(_RAMP), (F.col("id") * 171 % 256 + 1).cast("int"), F.col("w") * F.col("h") * F.col("unit")))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

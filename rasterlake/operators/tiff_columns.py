@@ -124,7 +124,7 @@ def best_variant(images: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     the cell earlier in the plan.
     """
     plan = cells.where(~F.col("dropped")).orderBy("deviations", "idx_sum", "ci", "pi", "bi").collect()
-    tried = [(r.method, r.predictor == "horizontal", r.big_tiff) for r in plan]
+    tried = tuple((r.method, r.predictor == "horizontal", r.big_tiff) for r in plan)
 
     def work(pixels, width, height, descriptor) -> dict:
         n_bytes, i = tiff.smallest(bytes(pixels), int(width), int(height), descriptor, tried)

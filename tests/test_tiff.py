@@ -101,6 +101,28 @@ def test_best_variant(spark):
         assert got[key] == (min(sizes)[0], min(sizes)[2])
 
 
+def test_sizes_without_files():
+    """Measured data are as long as what the encoders make, at the clears of LZW too."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 128, 129, 3835, 3836, 3837, 3838, 7674, 20000):
+        for most in (1, 3, 256):
+            data = rng.integers(0, most, n, dtype="u1").tobytes()
+            assert tiff.lzw_size(data) == len(tiff.lzw_encode(data)) and tiff.lzw_decode(tiff.lzw_encode(data)) == data
+            assert tiff.packbits_size(data) == len(tiff.packbits_encode(data))
+    large = rng.integers(0, 4, 300 * 200 * 3, dtype="u1").tobytes()
+    cells = [(m, p, b) for m in tiff.METHODS for p in (True, False) for b in (True, False)]
+    assert tiff.smallest(large, 300, 200, "rgb_u8", cells) == min((len(tiff.encode(large, 300, 200, "rgb_u8", *cell)), i) for i, cell in enumerate(cells))
+
+
+def test_images_are_spread(spark):
+    """Images of one small file are dealt to all cores, with the pixels that their keys ask for."""
+    folder = "/root/testdata/sf0.001"
+    assert spark.read.parquet(f"{folder}/part.parquet").rdd.getNumPartitions() == 1
+    assert assets.best(spark, folder).rdd.getNumPartitions() >= 4
+    rows = assets._images(spark, folder).collect()
+    assert len(rows) == len({r.id for r in rows}) and all(bytes(r.pixels) == bytes((r.id + 3 * i) % 256 for i in range(r.w * r.h * r.unit)) for r in rows)
+
+
 def test_files_and_stream(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     whole = tiff.encode(bytes(range(100)), 10, 10, "gray_u8")
