@@ -107,10 +107,10 @@ def exif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str, path: str) -> str:
-    """A folder of TIFF files, one for every part."""
+    """A folder of TIFF files, one for every part, in bundles: a file of its own for each would be a block and an entry of the driver's list."""
     tiff_source.register(spark)
     images = assets._images(spark, sf_dir).select(c("id").cast("string").alias("name"), "pixels", c("w").alias("width"), c("h").alias("height"), "descriptor", "method", "hpred", "big", "orientation")
-    images.write.format("tiff").mode("append").save(path)
+    images.write.format("tiff").option("bundleBytes", 8 << 20).mode("append").save(path)
     return path
 
 
@@ -122,7 +122,7 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files written and read by the data source, with filters on header columns."""
     with Tables(spark) as tables:
         path = _stored(spark, sf_dir, tables.place())
-        found = spark.read.format("tiff").schema("path string, width int, height int, compression int, orientation int, descriptor string, pixels binary").load(path)
+        found = spark.read.format("tiff").schema("path string, width int, height int, compression int, orientation int, descriptor string, pixels binary").option("bundles", True).load(path)
         found = found.where("width > 3 and compression in (1, 8) and orientation <= 6")
         return settled(found.select(_id(), "width", "height", "compression", "orientation", "descriptor", F.hex("pixels").alias("pixels")))
 
@@ -130,7 +130,7 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of files that are read strip by strip, cut anew into cells of 4 x 4 pixels and oriented as the file says."""
     with Tables(spark) as tables:
-        found = spark.read.format("tiff").option("rows", "strips").load(_stored(spark, sf_dir, tables.place())).withColumnsRenamed({"width": "image_width", "height": "image_height"})
+        found = spark.read.format("tiff").option("rows", "strips").option("bundles", True).load(_stored(spark, sf_dir, tables.place())).withColumnsRenamed({"width": "image_width", "height": "image_height"})
         found = found.withColumn("id", F.struct(_id(), "orientation"))
         turned = R.orient(R.retile(found, "id", 4), c("id.orientation"))
         return settled(R.lines(turned, "id").select("id.id", "y", F.hex("row").alias("row")))

@@ -10,8 +10,13 @@ packed into partitions by size.
 Writing stages the files of a task in a folder of its own and moves it when the job commits;
 a failed or repeated task leaves nothing.
 
+Millions of small files are better off in bundles, which are tar archives (``bundles.py``):
+with ``bundleBytes`` a task writes its files into archives of about that size, and with
+``bundles`` archives that are read stand for their members, each with the archive's path and its own.
+Neither listing nor driver then has an entry for every image.
+
 Paths are what ``pyarrow.fs`` knows: local ones and URIs of stores. Options: ``rows``
-(images or strips), ``maxPartitionBytes``, ``openCostInBytes``; limits of decoding ``max_width``,
+(images or strips), ``bundles`` (true or false), ``bundleBytes``, ``bundlePartitionBytes``, ``maxPartitionBytes``, ``openCostInBytes``; limits of decoding ``max_width``,
 ``max_height``, ``max_pixels``, ``max_memory``, ``max_input``. Names beginning with _ or . are skipped.
 
 Defined results: a file that can't be read gives its path, size and an error, in both modes; a file
@@ -34,7 +39,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql.types import StructType
 
 from ..functions.limits import DEFAULT_LIMITS
-from . import tiff
+from . import bundles, tiff
 
 ERROR = "error struct<kind: string, message: string>"
 HEADER = "path string, size bigint, width int, height int, color string, bits int, samples int, is_float boolean, big boolean, page_count int, compression int, photometric int, orientation int"
@@ -79,7 +84,7 @@ class Slices:
 
 @dataclass
 class Piece(ds.InputPartition):
-    """Files (path, size), or with ``stop`` the strips of one file that begin in a range of its bytes."""
+    """Files (path, size), or with ``stop`` the strips of one file, or the members of one bundle, that begin in a range of its bytes."""
 
     files: list[tuple[str, int]]
     start: int = 0
@@ -104,12 +109,14 @@ class TiffDataSource(ds.DataSource):
 class TiffReader(ds.DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.names, self.tests = options["path"], schema.names, []
-        self.strips = options.get("rows") == "strips"
+        self.strips, self.bundles = options.get("rows") == "strips", options.get("bundles", "false").lower() == "true"
         known = {f.split()[0] for f in re.sub("<.*?>", "", STRIPS if self.strips else IMAGES).split(", ")}
         if unknown := set(self.names) - known:
             raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
         self.limits = DEFAULT_LIMITS | {k: int(v) for k in ("max_width", "max_height", "max_pixels", "max_memory", "max_input") if (v := options.get(k))}
         self.most, self.cost = int(options.get("maxPartitionBytes", 128 << 20)), int(options.get("openCostInBytes", 1 << 20))
+        #: A byte of a bundle of small files takes longer than one of a large file.
+        self.bundle_most = min(self.most, int(options.get("bundlePartitionBytes", 8 << 20)))
         from pyspark.sql.pandas.types import to_arrow_schema
 
         self.arrow = to_arrow_schema(schema)
@@ -125,6 +132,9 @@ class TiffReader(ds.DataSourceReader):
         """Whether no pushed filter on the columns of ``row`` refuses it; a null passes none."""
         return all(name not in row or (row[name] is not None and test(row[name], value)) for name, test, value in self.tests)
 
+    def _bundled(self, path: str) -> bool:
+        return self.bundles and path.endswith(bundles.SUFFIX)
+
     def partitions(self) -> list[Piece]:
         store, path = _store(self.path)
         top = store.get_file_info(path)
@@ -133,13 +143,14 @@ class TiffReader(ds.DataSourceReader):
         found = [top] if top.is_file else store.get_file_info(fs.FileSelector(path, recursive=True))
         inner = lambda p: p[len(path) :] if top.type == fs.FileType.Directory else ""
         files = sorted((i.path, i.size) for i in found if i.is_file and not any(x[:1] in ("_", ".") for x in inner(i.path).split("/")))
-        files = [f for f in files if self._passes({"path": f[0], "size": f[1]})]
+        files = [f for f in files if self._bundled(f[0]) or self._passes({"path": f[0], "size": f[1]})]
         pieces, held, weight = [], [], 0
         for file, size in files:
-            if self.strips and size > self.most:
-                pieces += [Piece([(file, size)], at, at + self.most) for at in range(0, size, self.most)]
+            most = self.bundle_most if self._bundled(file) else self.most
+            if (self.strips or self._bundled(file)) and size > most:
+                pieces += [Piece([(file, size)], at, at + most) for at in range(0, size, most)]
                 continue
-            if held and weight + size + self.cost > self.most:
+            if held and weight + size + self.cost > most:
                 pieces.append(Piece(held))
                 held, weight = [], 0
             held.append((file, size))
@@ -164,28 +175,51 @@ class TiffReader(ds.DataSourceReader):
         return pa.RecordBatch.from_pylist([{name: row.get(name) for name in self.names} for row in rows], schema=self.arrow)
 
     def _rows(self, store: fs.FileSystem, path: str, size: int, piece: Piece) -> Iterator[dict]:
+        if not self._bundled(path):
+            yield from self._file(store, path, size, piece)
+            return
+        try:
+            with store.open_input_file(path) as file:
+                for name, data in bundles.members(Slices(file, size, 1 << 20), piece.start, piece.stop):
+                    yield from self._member({"path": f"{path}/{name}", "size": len(data)}, data)
+        except bundles.BundleError as error:
+            row = {"path": path, "size": size}
+            if self._passes(row | dict.fromkeys(_PUSHED - set(row))):
+                yield row | {"error": {"kind": "Decode", "message": str(error)}}
+
+    def _member(self, row: dict, data: bytes | bundles.Window) -> Iterator[dict]:
+        if not self._passes(row):
+            return
+        try:
+            yield from self._found(data, row, Piece([]))
+        except tiff.TiffError as error:
+            if self._passes(row | dict.fromkeys(_PUSHED - set(row))):
+                yield row | {"error": {"kind": error.kind, "message": str(error)}}
+
+    def _file(self, store: fs.FileSystem, path: str, size: int, piece: Piece) -> Iterator[dict]:
         row = {"path": path, "size": size}
         try:
             with store.open_input_file(path) as file:
-                data = Slices(file, size)
-                row |= {k: v for k, v in tiff.info(data).items() if k in _PUSHED}
-                if self._passes(row):
-                    yield from self._strips(data, row, piece) if self.strips else self._image(data, row)
+                yield from self._found(Slices(file, size), row, piece)
         except tiff.TiffError as error:
             if piece.start == 0 and self._passes(row | dict.fromkeys(_PUSHED - set(row))):
                 yield row | {"error": {"kind": error.kind, "message": str(error)}}
 
-    def _image(self, data: Slices, row: dict) -> Iterator[dict]:
+    def _found(self, data: bytes | Slices | bundles.Window, row: dict, piece: Piece) -> Iterator[dict]:
+        """Rows of a file; ``row`` gets what its header tells."""
+        d, count, big = tiff.first_page(data)
+        row |= tiff.summary(d, count, big)
+        if self._passes(row):
+            yield from self._strips(data, d, row, piece) if self.strips else self._image(data, d, row)
+
+    def _image(self, data: bytes | Slices | bundles.Window, d: tiff.Directory, row: dict) -> Iterator[dict]:
         if not {"pixels", "descriptor"} & set(self.names):
             yield row
             return
-        made = tiff.decode(data, self.limits)
+        made = tiff.decode(data, self.limits, page=d)
         yield row | {"descriptor": made["descriptor"], "pixels": made["pixels"] if "pixels" in self.names else None}
 
-    def _strips(self, data: Slices, row: dict, piece: Piece) -> Iterator[dict]:
-        d, _, _ = tiff.first_page(data)
-        if not d.one(256) or not d.one(257):
-            raise tiff.TiffError("Decode", "no image size")
+    def _strips(self, data: bytes | Slices | bundles.Window, d: tiff.Directory, row: dict, piece: Piece) -> Iterator[dict]:
         color = tiff.color_type(d)
         places, how = tiff.grid_of(d)
         for i, place in enumerate(places):
@@ -208,6 +242,7 @@ class TiffWriter(ds.DataSourceArrowWriter):
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.path, self.overwrite, self.job = options["path"].rstrip("/"), overwrite, uuid.uuid4().hex
+        self.bundle_bytes = int(options.get("bundleBytes", 0))
         if missing := {"pixels", "width", "height", "descriptor"} - set(schema.names):
             raise ValueError(f"columns missing: {', '.join(sorted(missing))}")
         if unknown := set(schema.names) - set(WRITABLE):
@@ -215,23 +250,19 @@ class TiffWriter(ds.DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, path = _store(self.path)
-        folder, files, names = f"{path}/_temporary/{self.job}/{uuid.uuid4().hex}", 0, set()
-        for batch in iterator:
-            for row in batch.to_pylist():
-                name = row.get("name") or f"{files:08d}"
-                if not re.fullmatch(r"[\w.-]+", name) or name[0] in "._" or name in names:
-                    raise tiff.TiffError("InvalidInput", f"file name {name!r}")
-                names.add(name)
-                if row["pixels"] is None:
-                    raise tiff.TiffError("InvalidInput", "no pixels")
-                own = {k: row[k] for k in ("method", "hpred", "big") if row.get(k) is not None}
-                made = tiff.encode_job(row["pixels"], row["width"], row["height"], row["descriptor"], **own, metadata={k: row.get(k) for k in ("orientation", "icc", "xmp", "exif")})
-                if not files:
-                    store.create_dir(folder, recursive=True)
-                with store.open_output_stream(f"{folder}/{name}.tif") as out:
-                    out.write(made)
-                files += 1
-        return Staged(folder if files else None, files)
+        folder, names = f"{path}/_temporary/{self.job}/{uuid.uuid4().hex}", set()
+        with bundles.Sink(store, folder, self.bundle_bytes) as sink:
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    name = row.get("name") or f"{len(names):08d}"
+                    if not re.fullmatch(r"[\w.-]+", name) or name[0] in "._" or name in names:
+                        raise tiff.TiffError("InvalidInput", f"file name {name!r}")
+                    names.add(name)
+                    if row["pixels"] is None:
+                        raise tiff.TiffError("InvalidInput", "no pixels")
+                    own = {k: row[k] for k in ("method", "hpred", "big") if row.get(k) is not None}
+                    sink.put(f"{name}.tif", tiff.encode_job(row["pixels"], row["width"], row["height"], row["descriptor"], **own, metadata={k: row.get(k) for k in ("orientation", "icc", "xmp", "exif")}))
+        return Staged(folder if names else None, len(names))
 
     def commit(self, messages: list[Staged | None]) -> None:
         """Move every task's folder to its place, then drop what was staged by failed or repeated tasks."""

@@ -1,13 +1,16 @@
 """format("tiff"): round trips, pushed filters, slices, ranges of large files, failed tasks."""
 
 import os
+import tarfile
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from rasterlake.functions.limits import DEFAULT_LIMITS
-from rasterlake.sources import tiff, tiff_source
+from rasterlake import raster_queries
+from rasterlake.session import Tables
+from rasterlake.sources import bundles, tiff, tiff_source
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +130,53 @@ def test_columns_are_checked(tiffs, folder):
         tiffs.createDataFrame(rows(), NAMES).drop("width").write.format("tiff").mode("append").save(folder + "x")
     with pytest.raises(Exception, match="no such columns"):
         tiffs.createDataFrame(rows(), NAMES).withColumn("more", F.lit(1)).write.format("tiff").mode("append").save(folder + "x")
+
+
+@pytest.mark.parametrize("most", [1 << 23, 2000])
+def test_bundles_stand_for_their_files(tiffs, folder, tmp_path, most):
+    """What is read from bundles, whole or by ranges, is what is read from files; archives are plain tar."""
+    path = str(tmp_path / "out")
+    tiffs.createDataFrame(rows(), NAMES).repartition(2).write.format("tiff").option("bundleBytes", 3000).mode("append").save(path)
+    found = [os.path.join(d, f) for d, _, files in os.walk(path) for f in files if f != "_SUCCESS"]
+    assert 2 < len(found) < len(rows()) and all(f.endswith(".tar") for f in found)
+    plain = {os.path.basename(r.path): open(r.path, "rb").read() for r in tiffs.read.format("tiff").load(folder).collect()}
+    inside = {}
+    for f in found:
+        with tarfile.open(f) as archive:
+            inside |= {m.name: archive.extractfile(m).read() for m in archive}
+    assert inside == plain
+    for mode in ("images", "strips"):
+        read = lambda where, mode=mode: tiffs.read.format("tiff").option("rows", mode).option("bundles", True).option("bundlePartitionBytes", most).load(where)
+        key = lambda r: (os.path.basename(r["path"]), r.asDict() | {"path": 0})
+        assert sorted(map(key, read(path).collect()), key=str) == sorted(map(key, read(folder).collect()), key=str)
+        df = read(path).where("width > 6 and compression = 8 and path like '%rgb%' and size > 10")
+        assert {os.path.basename(r.path) for r in df.collect()} == {"rgba_u16-deflate.tif"}
+
+
+def test_broken_bundles_are_rows(tiffs, tmp_path):
+    good = tiff.encode(bytes(range(100)), 10, 10, "gray_u8", "none")
+    parts = [bundles.header(f"{i}.tif", len(x)) + x + bytes(-len(x) % 512) for i, x in enumerate((good, b"hello", good, b""))]
+    (tmp_path / "whole.tar").write_bytes(b"".join(parts))
+    (tmp_path / "cut.tar").write_bytes(b"".join(parts)[:700])
+    (tmp_path / "bad.tar").write_bytes(parts[0] + b"x" * 512)
+    (tmp_path / "empty.tar").write_bytes(bytes(1024))
+    with tarfile.open(tmp_path / "other.tar", "w", format=tarfile.USTAR_FORMAT) as archive:
+        (tmp_path / "_a").mkdir()
+        (tmp_path / "_a" / "large.tif").write_bytes(tiff.encode(picture(900, 500, 3).tobytes(), 900, 500, "rgb_u8", "none"))
+        archive.add(tmp_path / "_a", "deep" * 30)
+    for most in (1 << 23, 512):
+        got = tiffs.read.format("tiff").option("bundles", True).option("bundlePartitionBytes", most).load(str(tmp_path)).collect()
+        told = {r.path[len(str(tmp_path)) + 1 :].replace("deep" * 30, "d"): r.error and r.error.kind for r in got}
+        assert told == {"whole.tar/0.tif": None, "whole.tar/1.tif": "Decode", "whole.tar/2.tif": None, "whole.tar/3.tif": "Truncated", "cut.tar": "Decode", "bad.tar/0.tif": None, "bad.tar": "Decode", "other.tar/d/large.tif": None}
+        assert [bytes(r.pixels) for r in got if r.width == 900] == [picture(900, 500, 3).tobytes()] and len(got) == len(told)
+    assert {r.error.kind for r in tiffs.read.format("tiff").load(str(tmp_path)).collect()} == {"Decode"}
+    with pytest.raises(ValueError, match="no member"):
+        bundles.header("x" * 101, 1)
+
+
+def test_images_of_a_table_are_few_files(tiffs):
+    """The folder of the queries has an archive of many images for each task, not a file for each image."""
+    with Tables(tiffs) as tables:
+        path = raster_queries._stored(tiffs, "/root/testdata/sf0.001", tables.place())
+        there = [f for _, _, files in os.walk(path.removeprefix("file:")) for f in files if f.endswith((".tif", ".tar"))]
+        assert 0 < len(there) <= tiffs.sparkContext.defaultParallelism
