@@ -5,7 +5,9 @@ A block is a row: the key of its image, the image's size (image_width, image_hei
 image cover it and don't overlap; they may be strips, tiles or cells of any cut. Orientation
 moves the blocks by arithmetic on their keys, and turns each one by itself; cutting anew,
 joining planes and giving lines are groupings by key and place, so no task holds more of an
-image than the blocks of one cell or line.
+image than the blocks of one cell, line or band. Only what lies in several blocks is grouped: cells
+within a block and lines of blocks as wide as their image stay where they are. Both parts
+read the blocks, so blocks that are costly to make should be a table.
 
 Defined results: blocks with null pixels are passed on with null pixels, and a line or cell
 with such a block is null; empty tables give empty tables; further columns of ``blocks``
@@ -14,6 +16,8 @@ are dropped; keys may repeat only if the blocks still don't overlap.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,13 +26,15 @@ from pyspark.sql.types import BinaryType
 
 from ..sources.tiff import turn
 
+#: Bytes of a band of blocks, beside each other over the whole width, that meets as one.
+BAND = 16 << 20
 COLUMNS = ("image_width", "image_height", "unit", "x", "y", "columns", "rows", "pixels")
 
 
 def _joined(parts: Column) -> Column:
     """Binaries of an array end to end; null if one is."""
     whole = F.unhex(F.array_join(F.transform(parts, F.hex), ""))
-    return F.when(~F.exists(parts, lambda p: p.isNull()), whole)
+    return F.when(F.size(parts) == 1, F.element_at(parts, 1)).when(~F.exists(parts, lambda p: p.isNull()), whole)
 
 
 def _slice(pixels: Column, at: Column, length: Column) -> Column:
@@ -48,28 +54,42 @@ def cut(images: DataFrame, key: str, side: int, width: str = "width", height: st
 def retile(blocks: DataFrame, key: str, side: int) -> DataFrame:
     """The same rasters in blocks of ``side`` x ``side`` pixels, whatever they were cut into.
 
-    Every block is split by the grid where it is; a cell's pieces then meet.
+    Every block is split by the grid where it is; the pieces of a cell then meet, unless one block has all of it.
     """
     cells = lambda at, size: F.sequence((F.col(at) / side).cast("int"), ((F.col(at) + F.col(size) - 1) / side).cast("int"))
     split = blocks.withColumn("_row", F.explode(cells("y", "rows"))).withColumn("_column", F.explode(cells("x", "columns")))
     top, left = F.greatest(F.col("y"), F.col("_row") * side), F.greatest(F.col("x"), F.col("_column") * side)
     bottom, right = F.least(F.col("y") + F.col("rows"), (F.col("_row") + 1) * side), F.least(F.col("x") + F.col("columns"), (F.col("_column") + 1) * side)
     split = split.withColumns({"_top": top, "_left": left, "_bottom": bottom, "_right": right})
-    line = lambda y: F.struct(y.alias("y"), F.col("_left").alias("x"), _slice(F.col("pixels"), ((y - F.col("y")) * F.col("columns") + F.col("_left") - F.col("x")) * F.col("unit"), (F.col("_right") - F.col("_left")) * F.col("unit")).alias("pixels"))
-    pieces = split.withColumn("_lines", F.transform(F.sequence(F.col("_top"), F.col("_bottom") - 1), line))
-    met = pieces.groupBy(key, "image_width", "image_height", "unit", "_row", "_column").agg(F.array_sort(F.flatten(F.collect_list("_lines"))).alias("_lines"))
     y, x = F.col("_row") * side, F.col("_column") * side
-    return met.withColumns({"x": x, "y": y, "columns": F.least(F.lit(side), F.col("image_width") - x), "rows": F.least(F.lit(side), F.col("image_height") - y), "pixels": _joined(F.col("_lines.pixels"))}).select(key, *COLUMNS)
+    down, across = F.least(F.lit(side), F.col("image_height") - y), F.least(F.lit(side), F.col("image_width") - x)
+    whole = (F.col("_bottom") - F.col("_top") == down) & (F.col("_right") - F.col("_left") == across)
+    part = lambda y: _slice(F.col("pixels"), ((y - F.col("y")) * F.col("columns") + F.col("_left") - F.col("x")) * F.col("unit"), (F.col("_right") - F.col("_left")) * F.col("unit"))
+    line = lambda y: F.struct(y.alias("y"), F.col("_left").alias("x"), part(y).alias("pixels"))
+    numbers = F.sequence(F.col("_top"), F.col("_bottom") - 1)
+    inside = split.where(F.coalesce(whole, F.lit(False))).withColumn("pixels", _joined(F.transform(numbers, part)))
+    met = split.where(~F.coalesce(whole, F.lit(False))).withColumn("_lines", F.transform(numbers, line)).groupBy(key, "image_width", "image_height", "unit", "_row", "_column").agg(F.array_sort(F.flatten(F.collect_list("_lines"))).alias("_lines"))
+    placed = lambda df: df.withColumns({"x": x, "y": y, "columns": across, "rows": down}).select(key, *COLUMNS)
+    return placed(inside).unionByName(placed(met.withColumn("pixels", _joined(F.col("_lines.pixels")))))
 
 
 @F.pandas_udf(BinaryType())
 def _turned(pixels: pd.Series, columns: pd.Series, rows: pd.Series, unit: pd.Series, tag: pd.Series) -> pd.Series:
-    """One block after another, by numpy's views."""
-
-    def one(data, w, h, n, t):
-        return None if data is None else np.ascontiguousarray(turn(np.frombuffer(data, np.uint8).reshape(h, w, n), int(t))).tobytes()
-
-    return pd.Series([one(*row) for row in zip(pixels, columns, rows, unit, tag, strict=True)], dtype=object)
+    """Blocks of one shape and tag together, by numpy's views."""
+    out, alike = [None] * len(pixels), defaultdict(list)
+    for i, (data, *shape) in enumerate(zip(pixels, columns.tolist(), rows.tolist(), unit.tolist(), tag.tolist(), strict=True)):
+        if data is not None:
+            alike[(len(data), *shape)].append(i)
+    held = pixels.tolist()
+    for (length, w, h, n, t), places in alike.items():
+        if length != w * h * n:
+            raise ValueError(f"{length} bytes of a block of {w} x {h} x {n}")
+        grid = np.frombuffer(b"".join([held[i] for i in places]), np.uint8).reshape(len(places), h, w, n)
+        turned = turn(grid.transpose(1, 2, 0, 3).reshape(h, w, -1), int(t))
+        made = np.ascontiguousarray(turned.reshape(*turned.shape[:2], len(places), n).transpose(2, 0, 1, 3)).tobytes()
+        for k, i in enumerate(places):
+            out[i] = made[k * length : (k + 1) * length]
+    return pd.Series(out, dtype=object)
 
 
 def orient(blocks: DataFrame, tag: Column) -> DataFrame:
@@ -108,11 +128,26 @@ def join_planes(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def lines(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, y, row): the lines of the rasters, one row each, to push to a sink in order of y."""
+    """(key, y, row): the lines of the rasters, one row each, to push to a sink in order of y.
+
+    Blocks of equal place and height meet first. Where these bands are as wide as the image, they
+    have its lines; those of other blocks, and of bands beyond ``BAND`` bytes, meet line by line.
+    """
     stride = F.col("columns") * F.col("unit")
-    each = blocks.select(key, "x", "y", "pixels", stride.alias("_stride"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("_r"))
-    each = each.select(key, (F.col("y") + F.col("_r")).alias("y"), F.struct("x", _slice(F.col("pixels"), F.col("_r") * F.col("_stride"), F.col("_stride")).alias("pixels")).alias("p"))
-    return each.groupBy(key, "y").agg(F.array_sort(F.collect_list("p")).alias("ps")).select(key, "y", _joined(F.col("ps.pixels")).alias("row"))
+    block = F.struct("x", stride.alias("stride"), "pixels")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    wide, small = yes(F.col("columns") == F.col("image_width")), yes(F.col("image_width").cast("bigint") * F.col("rows") * F.col("unit") <= BAND)
+    alone = lambda df: df.select(key, "y", "rows", F.array(block).alias("_blocks"))
+    bands = blocks.where(~wide & small).groupBy(key, "image_width", "y", "rows").agg(F.array_sort(F.collect_list(block)).alias("_blocks"), F.sum("columns").alias("_width"))
+    whole = yes(F.col("_width") == F.col("image_width"))
+    cut = lambda b: _slice(b["pixels"], F.col("_r") * b["stride"], b["stride"])
+    each = lambda df: df.select(key, "y", "_blocks", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("_r"))
+    y = (F.col("y") + F.col("_r")).alias("y")
+    made = each(alone(blocks.where(wide)).unionByName(bands.where(whole).select(key, "y", "rows", "_blocks"))).select(key, y, _joined(F.transform("_blocks", cut)).alias("row"))
+    apart = each(alone(blocks.where(~wide & ~small)).unionByName(bands.where(~whole).select(key, "y", "rows", "_blocks")))
+    pieces = apart.select(key, y, F.transform("_blocks", lambda b: F.struct(b["x"].alias("x"), cut(b).alias("pixels"))).alias("ps"))
+    met = pieces.groupBy(key, "y").agg(F.array_sort(F.flatten(F.collect_list("ps"))).alias("ps")).select(key, "y", _joined(F.col("ps.pixels")).alias("row"))
+    return made.unionByName(met)
 
 
 def assemble(blocks: DataFrame, key: str) -> DataFrame:

@@ -132,15 +132,16 @@ def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Tables(spark) as tables:
         found = spark.read.format("tiff").option("rows", "strips").option("bundles", True).load(_stored(spark, sf_dir, tables.place())).withColumnsRenamed({"width": "image_width", "height": "image_height"})
         found = found.withColumn("id", F.struct(_id(), "orientation"))
-        turned = R.orient(R.retile(found, "id", 4), c("id.orientation"))
+        turned = tables.write(R.orient(R.retile(tables.write(found), "id", 4), c("id.orientation")))
         return settled(R.lines(turned, "id").select("id.id", "y", F.hex("row").alias("row")))
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images cut into cells of 3 x 3 pixels, oriented and put together again."""
     images = assets._images(spark, sf_dir).withColumn("key", F.struct("id", "orientation"))
-    turned = R.orient(R.cut(images, "key", 3, "w", "h"), c("key.orientation"))
-    return R.assemble(turned, "key").select("key.id", "width", "height", F.hex("pixels").alias("pixels"))
+    with Tables(spark) as tables:
+        turned = tables.write(R.orient(R.cut(images, "key", 3, "w", "h"), c("key.orientation")))
+        return settled(R.assemble(turned, "key").select("key.id", "width", "height", F.hex("pixels").alias("pixels")))
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:

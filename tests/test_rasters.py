@@ -54,6 +54,31 @@ def test_lines_and_nulls(spark):
     assert all((r.row is None) == (r.y >= heights[r.id] - 2) for r in found)
 
 
+@pytest.mark.parametrize("most", [0, 20, R.BAND])
+def test_blocks_of_any_cut(spark, monkeypatch, most):
+    """Lines and cells where blocks share places only in part, are as wide as the image, or lie in bands beyond the bound."""
+    monkeypatch.setattr(R, "BAND", most)
+    grid = np.arange(9 * 7 * 2).astype("u1").reshape(7, 9, 2)
+    places = {"mixed": [(0, 0, 4, 3), (4, 0, 5, 3), (0, 3, 9, 1), (0, 4, 2, 3), (2, 4, 7, 2), (2, 6, 7, 1)], "strips": [(0, 0, 9, 4), (0, 4, 9, 3)], "hole": [(0, 0, 4, 7)]}
+    blocks = [(k, 9, 7, 2, x, y, w, h, grid[y : y + h, x : x + w].tobytes()) for k, found in places.items() for x, y, w, h in found]
+    df = spark.createDataFrame([*blocks, ("null", 9, 7, 2, 0, 0, 9, 7, None), ("bad", None, None, None, None, None, None, None, None)], "id string, image_width int, image_height int, unit int, x int, y int, columns int, rows int, pixels binary")
+    got = {(r.id, r.y): r.row and bytes(r.row) for r in R.lines(df, "id").collect()}
+    assert got == {(k, y): None if k == "null" else grid[y, : 4 if k == "hole" else 9].tobytes() for k in [*places, "null"] for y in range(7)}
+    for side in (2, 4, 9):
+        cells = R.retile(df.where("id in ('mixed', 'strips', 'null')"), "id", side).collect()
+        assert sorted((r.id, r.x, r.y, r.columns, r.rows) for r in cells) == sorted((k, x, y, min(side, 9 - x), min(side, 7 - y)) for k in ("mixed", "strips", "null") for x in range(0, 9, side) for y in range(0, 7, side))
+        assert all(r.pixels is None if r.id == "null" else bytes(r.pixels) == grid[r.y : r.y + r.rows, r.x : r.x + r.columns].tobytes() for r in cells)
+
+
+def test_cells_within_a_block_stay(spark):
+    """No row of strips that hold their cells passes an exchange, and neither do lines of blocks as wide as the image."""
+    df = spark.createDataFrame([(i, 6, 8, 1, 0, y, 6, 4, bytes(24)) for i in range(50) for y in (0, 4)], "id long, image_width int, image_height int, unit int, x int, y int, columns int, rows int, pixels binary").coalesce(2)
+    for found, n in ((R.retile(df, "id", 4), 200), (R.lines(df, "id"), 400)):
+        assert len(found.collect()) == n
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Final Plan" in plan and "collect_list" not in plan[: plan.index("Initial Plan")]
+
+
 def test_strips_of_files(spark, tmp_path):
     tiff_source.register(spark)
     grid = (np.arange(60 * 50 * 3) % 253).astype("u1").reshape(50, 60, 3)
